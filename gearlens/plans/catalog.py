@@ -59,3 +59,383 @@ def q_volume_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = TR.volume_trend(inspections(spark, sf_dir))
     return t.select(iso_date("inspection_date").alias("inspection_date"), "n_inspections",
                     r6("rolling_mean").alias("rolling_mean"), r6("rolling_std").alias("rolling_std"))
+
+
+# ---------------------------------------------------------------------------
+# Helpers shared by several oracle queries
+# ---------------------------------------------------------------------------
+from gearlens import schema as S  # noqa: E402
+from gearlens.functions import timefx as TF  # noqa: E402
+from gearlens.operators import prep as P  # noqa: E402
+from gearlens.operators import profile as PR  # noqa: E402
+from gearlens.sources.driver_tables import (  # noqa: E402
+    COMMENT_COLUMN, CONDITION_COLUMN, INSP_COLUMNS, SLOT_COLUMNS)
+
+ALL_SLOT_BLOCK = [CONDITION_COLUMN, *SLOT_COLUMNS, COMMENT_COLUMN]   # every engineTransmission_ column
+
+
+def _sql_hist(src: str, expr: str, bins: int) -> tuple[str, str]:
+    """CTEs + body of the equal-width histogram in DuckDB."""
+    ctes = f"""hv as (select cast({expr} as double) as x from {src} where {expr} is not null and not isnan(cast({expr} as double))),
+hr as (select case when min(x) = max(x) then min(x) - 0.5 else min(x) end as lo,
+              case when min(x) = max(x) then max(x) + 0.5 else max(x) end as hi from hv),
+hc as (select cast(least(floor((x - lo) / (hi - lo) * {bins}), {bins - 1}) as int) as bin, count(*) as n from hv, hr group by 1),
+he as (select cast(b as int) as bin, lo + (hi - lo) * b / {bins} as bin_lo, lo + (hi - lo) * (b + 1) / {bins} as bin_hi
+       from hr, range(0, {bins}) t(b))"""
+    body = """select he.bin, round(bin_lo, 6) as bin_lo, round(bin_hi, 6) as bin_hi, coalesce(n, 0) as n
+from he left join hc using (bin)"""
+    return ctes, body
+
+
+def _hist_out(h: DataFrame) -> DataFrame:
+    return h.select("bin", r6("bin_lo").alias("bin_lo"), r6("bin_hi").alias("bin_hi"), "n")
+
+
+# ---------------------------------------------------------------------------
+# F1-F3 time features
+# ---------------------------------------------------------------------------
+@register("time_features", with_insp("""
+select appointmentId, cast(hour(inspectionStartTime) as int) as inspection_hour,
+       cast(month(inspectionStartTime) as int) as inspection_mon,
+       strftime(inspectionStartTime, '%Y-%m-%d') as inspection_date,
+       dayname(inspectionStartTime) as inspection_dow,
+       cast(month(inspectionStartTime) as int) as inspection_month_num,
+       monthname(inspectionStartTime) as inspection_month_name
+from insp"""))
+def q_time_features(spark, sf_dir):
+    df = TF.time_features(inspections(spark, sf_dir).select(S.KEY, S.TIME), with_month_name=True)
+    return df.select(S.KEY, S.HOUR, S.MON, iso_date(S.DATE).alias(S.DATE), S.DOW, S.MONTH_NUM, S.MONTH_NAME)
+
+
+# Text forms of the inspection time, one per id class, plus a broken one.
+_TEXT_SPARK = {0: "yyyy-MM-dd'T'HH:mm", 1: "yyyy-MM-dd HH:mm:ss", 2: "yyyy-MM-dd"}
+_TEXT_DUCK = {0: "%Y-%m-%dT%H:%M", 1: "%Y-%m-%d %H:%M:%S", 2: "%Y-%m-%d"}
+
+
+@register("parse_time", with_insp("""
+select appointmentId, strftime(coalesce(
+         try_strptime(t, '%Y-%m-%dT%H:%M'), try_strptime(t, '%Y-%m-%d %H:%M:%S'),
+         try_strptime(t, '%Y-%m-%d')), '%Y-%m-%d %H:%M:%S') as parsed
+from txt""", """txt as (
+  select appointmentId,
+         case appointmentId % 4 when 0 then strftime(inspectionStartTime, '%Y-%m-%dT%H:%M')
+                                when 1 then strftime(inspectionStartTime, '%Y-%m-%d %H:%M:%S')
+                                when 2 then strftime(inspectionStartTime, '%Y-%m-%d')
+                                else 'bad' end as t
+  from insp)"""))
+def q_parse_time(spark, sf_dir):
+    insp = inspections(spark, sf_dir)
+    m = F.col(S.KEY) % 4
+    text = (F.when(m == 0, F.date_format(S.TIME, _TEXT_SPARK[0]))
+             .when(m == 1, F.date_format(S.TIME, _TEXT_SPARK[1]))
+             .when(m == 2, F.date_format(S.TIME, _TEXT_SPARK[2]))
+             .otherwise(F.lit("bad")))
+    parsed = TF.parse_time(text)
+    return insp.select(S.KEY, F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+# ---------------------------------------------------------------------------
+# A7-A11, A13, A15-A17 volumes
+# ---------------------------------------------------------------------------
+@register("daily_volume", with_insp("""
+select strftime(cast(inspectionStartTime as date), '%Y-%m-%d') as inspection_date, count(appointmentId) as n_inspections
+from insp where inspectionStartTime is not null group by 1"""))
+def q_daily_volume(spark, sf_dir):
+    d = TR.daily_volume(inspections(spark, sf_dir))
+    return d.select(iso_date(S.DATE).alias(S.DATE), "n_inspections")
+
+
+@register("avg_daily_volume", with_insp("""
+select round(avg(n), 6) as avg_daily_inspections from (
+  select count(appointmentId) as n from insp where inspectionStartTime is not null
+  group by cast(inspectionStartTime as date))"""))
+def q_avg_daily_volume(spark, sf_dir):
+    return TR.avg_daily_volume(inspections(spark, sf_dir)).select(r6("avg_daily_inspections").alias("avg_daily_inspections"))
+
+
+@register("monthly_volume", with_insp("""
+select cast(month(inspectionStartTime) as int) as inspection_month_num, monthname(inspectionStartTime) as inspection_month_name,
+       count(*) as n_inspections
+from insp where inspectionStartTime is not null group by 1, 2"""))
+def q_monthly_volume(spark, sf_dir):
+    return TR.monthly_volume(inspections(spark, sf_dir))
+
+
+@register("avg_volume_by_weekday", with_insp("""
+select inspection_dow, round(avg(n), 6) as avg_inspections from (
+  select cast(inspectionStartTime as date) as d, dayname(inspectionStartTime) as inspection_dow, count(appointmentId) as n
+  from insp where inspectionStartTime is not null group by 1, 2)
+group by 1"""))
+def q_avg_volume_by_weekday(spark, sf_dir):
+    return TR.avg_volume_by_weekday(inspections(spark, sf_dir)).select(S.DOW, r6("avg_inspections").alias("avg_inspections"))
+
+
+@register("hourly_volume", with_insp("""
+select cast(hour(inspectionStartTime) as int) as inspection_hour, count(*) as n_inspections
+from insp where inspectionStartTime is not null group by 1"""))
+def q_hourly_volume(spark, sf_dir):
+    return TR.hourly_volume(inspections(spark, sf_dir))
+
+
+_c, _b = _sql_hist("dv", "n", 30)
+@register("daily_intensity_histogram", with_insp(_b, """dv as (
+  select count(*) as n from insp where inspectionStartTime is not null group by cast(inspectionStartTime as date)),
+""" + _c))
+def q_daily_intensity_histogram(spark, sf_dir):
+    return _hist_out(TR.daily_intensity_histogram(inspections(spark, sf_dir), 30))
+
+
+@register("vintage", with_insp("""
+select year as registration_year, count(*) as n_inspections from insp where year is not null group by 1"""))
+def q_vintage(spark, sf_dir):
+    return TR.vintage(inspections(spark, sf_dir))
+
+
+@register("registration_month_volume", with_insp("""
+select month as registration_month, count(appointmentId) as n_inspections from insp where month is not null group by 1"""))
+def q_registration_month_volume(spark, sf_dir):
+    return TR.registration_month_volume(inspections(spark, sf_dir))
+
+
+@register("group_mean", with_insp("""
+select month, round(avg(rating_engineTransmission), 6) as mean_target from insp where month is not null group by 1"""))
+def q_group_mean(spark, sf_dir):
+    return TR.group_mean(inspections(spark, sf_dir), S.REG_MONTH).select(S.REG_MONTH, r6("mean_target").alias("mean_target"))
+
+
+# ---------------------------------------------------------------------------
+# A1-A6, A12, A14, A18-A22 profiling
+# ---------------------------------------------------------------------------
+_NULL_UNION = "\nunion all\n".join(
+    f"select '{c}' as column_name, 100.0 * count_if({c} is null) / count(*) as null_pct from insp" for c in INSP_COLUMNS)
+
+
+@register("null_rate", with_insp(f"""
+select column_name, round(null_pct, 4) as null_pct from ({_NULL_UNION}) where null_pct > 50"""))
+def q_null_rate(spark, sf_dir):
+    return PR.null_rate(inspections(spark, sf_dir), 50)
+
+
+@register("count_sparse_columns", with_insp(f"""
+select count(*) as n_sparse_columns from ({_NULL_UNION}) where null_pct > 50"""))
+def q_count_sparse_columns(spark, sf_dir):
+    return PR.count_sparse_columns(inspections(spark, sf_dir), 50)
+
+
+@register("is_unique", with_insp("""
+select count(distinct appointmentId) = count(appointmentId) as is_unique from insp"""))
+def q_is_unique(spark, sf_dir):
+    return PR.is_unique(inspections(spark, sf_dir), S.KEY)
+
+
+@register("span_days", with_insp("""
+select cast(floor((epoch_us(max(inspectionStartTime)) - epoch_us(min(inspectionStartTime))) / 86400000000.0) as bigint) as span_days
+from insp"""))
+def q_span_days(spark, sf_dir):
+    return PR.span_days(inspections(spark, sf_dir))
+
+
+_c, _b = _sql_hist("insp", "hour(inspectionStartTime)", 10)
+@register("histogram_hour", with_insp(_b, _c))
+def q_histogram_hour(spark, sf_dir):
+    df = TF.time_features(inspections(spark, sf_dir).select(S.TIME))
+    return _hist_out(PR.histogram(df, S.HOUR, 10))
+
+
+_c, _b = _sql_hist("insp", "rating_engineTransmission", 10)
+@register("histogram_rating", with_insp(_b, _c))
+def q_histogram_rating(spark, sf_dir):
+    return _hist_out(PR.histogram(inspections(spark, sf_dir), S.TARGET, 10))
+
+
+_c, _b = _sql_hist("events", "value", 10)
+@register("histogram_event_value", f"with {_c}\n{_b}")
+def q_histogram_event_value(spark, sf_dir):
+    return _hist_out(PR.histogram(table(spark, sf_dir, "events"), "value", 10))
+
+
+@register("value_shares", with_insp("""
+select rating_engineTransmission as value, round(count(*) / sum(count(*)) over (), 6) as share
+from insp where rating_engineTransmission is not null group by 1"""))
+def q_value_shares(spark, sf_dir):
+    return PR.value_shares(inspections(spark, sf_dir), S.TARGET).select("value", r6("share").alias("share"))
+
+
+def _box_sql(src: str, col: str, by: str | None) -> str:
+    g = f"{by}, " if by else ""
+    gb = f"group by {by}" if by else ""
+    join = f"join bf using ({by})" if by else ", bf"
+    return f"""bq as (select {g}quantile_cont({col}, 0.25) as q1, quantile_cont({col}, 0.5) as median,
+              quantile_cont({col}, 0.75) as q3 from {src} where {col} is not null {gb}),
+bf as (select *, q3 - q1 as iqr, q1 - 1.5 * (q3 - q1) as lower_fence, q3 + 1.5 * (q3 - q1) as upper_fence from bq),
+bx as (select {g}q1, median, q3, iqr, lower_fence, upper_fence, count(*) as n,
+              min(case when {col} >= lower_fence and {col} <= upper_fence then {col} end) as whisker_low,
+              max(case when {col} >= lower_fence and {col} <= upper_fence then {col} end) as whisker_high,
+              count_if(not ({col} >= lower_fence and {col} <= upper_fence)) as n_outliers
+       from {src} {join} where {col} is not null group by all)"""
+
+
+_BOX_COLS = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence", "whisker_low", "whisker_high"]
+_BOX_SEL = ", ".join(f"round({c}, 6) as {c}" for c in _BOX_COLS) + ", n, n_outliers"
+
+
+def _box_out(b: DataFrame, by=()) -> DataFrame:
+    return b.select(*by, *[r6(c).alias(c) for c in _BOX_COLS], "n", "n_outliers")
+
+
+@register("box_summary", with_insp(f"select {_BOX_SEL} from bx", _box_sql("insp", "odometer_reading", None)))
+def q_box_summary(spark, sf_dir):
+    return _box_out(PR.box_summary(inspections(spark, sf_dir), S.ODOMETER))
+
+
+@register("box_summary_by_fuel", with_insp(f"select fuel_type, {_BOX_SEL} from bx",
+                                           _box_sql("insp", "rating_engineTransmission", "fuel_type")))
+def q_box_summary_by_fuel(spark, sf_dir):
+    return _box_out(PR.box_summary(inspections(spark, sf_dir), S.TARGET, [S.FUEL]), [S.FUEL])
+
+
+@register("outliers", with_insp("""
+select appointmentId, odometer_reading from insp, bf
+where odometer_reading < lower_fence or odometer_reading > upper_fence""",
+    """bq as (select quantile_cont(odometer_reading, 0.25) as q1, quantile_cont(odometer_reading, 0.75) as q3
+       from insp where odometer_reading is not null),
+bf as (select q1 - 1.5 * (q3 - q1) as lower_fence, q3 + 1.5 * (q3 - q1) as upper_fence from bq)"""))
+def q_outliers(spark, sf_dir):
+    return PR.outliers(inspections(spark, sf_dir), S.ODOMETER).select(S.KEY, S.ODOMETER)
+
+
+_CORR_COLS = [S.REG_YEAR, S.REG_MONTH, S.ODOMETER, S.TARGET]
+
+
+@register("pearson_matrix", with_insp("\nunion all\n".join(
+    f"select '{a}' as col_a, '{b}' as col_b, round(corr(cast({a} as double), cast({b} as double)), 6) as corr from insp"
+    for a in _CORR_COLS for b in _CORR_COLS)))
+def q_pearson_matrix(spark, sf_dir):
+    return PR.pearson_matrix(inspections(spark, sf_dir), _CORR_COLS).select("col_a", "col_b", r6("corr").alias("corr"))
+
+
+_TF_COLS = INSP_COLUMNS + [S.HOUR, S.MON, S.DATE, S.DOW]
+
+
+@register("constant_columns", with_insp("\nunion all\n".join(
+    f"select '{c}' as column_name from tf having count({c}) = count(*) and count(*) > 0 and min({c}) = max({c})"
+    for c in _TF_COLS), """tf as (select *, hour(inspectionStartTime) as inspection_hour, month(inspectionStartTime) as inspection_mon,
+       cast(inspectionStartTime as date) as inspection_date, dayname(inspectionStartTime) as inspection_dow from insp)"""))
+def q_constant_columns(spark, sf_dir):
+    return PR.constant_columns(TF.time_features(inspections(spark, sf_dir)))
+
+
+@register("distinct_values", with_insp(f"select distinct {SLOT_COLUMNS[0]} as value from insp"))
+def q_distinct_values(spark, sf_dir):
+    return PR.distinct_values(inspections(spark, sf_dir), SLOT_COLUMNS[0])
+
+
+# ---------------------------------------------------------------------------
+# P1-P16 projection, filter, cleaning; U1, O1-O3
+# ---------------------------------------------------------------------------
+@register("drop_columns", with_insp("select * exclude (inspectionStartTime, fuel_type) from insp"))
+def q_drop_columns(spark, sf_dir):
+    df = P.drop_columns(inspections(spark, sf_dir), [S.TIME, S.FUEL, *S.EMPTY_SLOT_COLUMNS])
+    return df
+
+
+@register("drop_columns_like", with_insp(f"select * exclude ({COMMENT_COLUMN}, inspectionStartTime) from insp"))
+def q_drop_columns_like(spark, sf_dir):
+    return P.drop_columns_like(inspections(spark, sf_dir), S.COMMENT_MARK).drop(S.TIME)
+
+
+@register("select_columns_like", with_insp(f"select appointmentId, {', '.join(SLOT_COLUMNS)} from insp"))
+def q_select_columns_like(spark, sf_dir):
+    return P.select_columns_like(inspections(spark, sf_dir), "CC_VALUE", case_insensitive=True, keep=[S.KEY])
+
+
+@register("fill_slots", with_insp("select appointmentId, " + ", ".join(
+    f"coalesce({c}, 'yes') as {c}" for c in ALL_SLOT_BLOCK) + " from insp"))
+def q_fill_slots(spark, sf_dir):
+    df = P.fill_slots(inspections(spark, sf_dir))
+    return df.select(S.KEY, *ALL_SLOT_BLOCK)
+
+
+@register("fill_unknown", with_insp("select appointmentId, rating_engineTransmission, " + ", ".join(
+    f"coalesce(cast({c} as varchar), 'Unknown') as {c}" for c in SLOT_COLUMNS) + " from insp"))
+def q_fill_unknown(spark, sf_dir):
+    df = P.fill_unknown(inspections(spark, sf_dir), SLOT_COLUMNS)
+    return df.select(S.KEY, S.TARGET, *SLOT_COLUMNS)
+
+
+def _iqr_sql(src: str, col: str, name: str) -> str:
+    return f"""{name}q as (select quantile_cont({col}, 0.25) as a, quantile_cont({col}, 0.75) as b from {src}),
+{name} as (select {src}.* from {src}, {name}q where {col} > a - 1.5 * (b - a) and {col} < b + 1.5 * (b - a))"""
+
+
+@register("iqr_filter", with_insp("select appointmentId, year, odometer_reading from f2",
+                                  _iqr_sql("insp", "year", "f1") + ",\n" + _iqr_sql("f1", "odometer_reading", "f2")))
+def q_iqr_filter(spark, sf_dir):
+    df = inspections(spark, sf_dir).select(S.KEY, S.REG_YEAR, S.ODOMETER)
+    return P.iqr_filter(P.iqr_filter(df, S.REG_YEAR), S.ODOMETER)
+
+
+@register("iqr_filter_events", "with " + _iqr_sql("events", "value", "f1") + "\nselect event_id, value from f1")
+def q_iqr_filter_events(spark, sf_dir):
+    return P.iqr_filter(table(spark, sf_dir, "events"), "value").select("event_id", "value")
+
+
+@register("filter_weak", with_insp("select appointmentId, rating_engineTransmission from insp where rating_engineTransmission <= 2"))
+def q_filter_weak(spark, sf_dir):
+    return P.filter_weak(inspections(spark, sf_dir)).select(S.KEY, S.TARGET)
+
+
+@register("records_view", with_insp(f"""
+select appointmentId, {SQL_ISO_TS.format('inspectionStartTime')} as "Inspection Date", year as "Year",
+       rating_engineTransmission as "Engine Rating", odometer_reading as "Odometer (km)", fuel_type as "Fuel Type"
+from insp where rating_engineTransmission <= 2"""))
+def q_records_view(spark, sf_dir):
+    v = P.records_view(inspections(spark, sf_dir), weak_only=True)
+    return v.withColumn("Inspection Date", iso_ts("`Inspection Date`"))
+
+
+@register("cast_rating_int", with_insp(
+    "select appointmentId, cast(trunc(rating_engineTransmission) as int) as rating_engineTransmission from insp"))
+def q_cast_rating_int(spark, sf_dir):
+    return P.cast_rating_int(inspections(spark, sf_dir)).select(S.KEY, S.TARGET)
+
+
+@register("head", with_insp("select appointmentId, fuel_type from insp order by appointmentId limit 5"))
+def q_head(spark, sf_dir):
+    return P.head(inspections(spark, sf_dir).select(S.KEY, S.FUEL), 5)
+
+
+_ALIGN = [S.REG_YEAR, S.REG_MONTH, S.ODOMETER, S.HOUR, "fuel_type_Petrol"]
+
+
+@register("align_features", with_insp("""
+select appointmentId, cast(year as double) as year, cast(month as double) as month, odometer_reading,
+       0.0::double as inspection_hour, 0.0::double as fuel_type_Petrol from insp"""))
+def q_align_features(spark, sf_dir):
+    return P.align_features(inspections(spark, sf_dir), _ALIGN, keep=[S.KEY])
+
+
+@register("search_records", with_insp(f"""
+select appointmentId, fuel_type, {CONDITION_COLUMN} from insp
+where lower(concat_ws(' ', fuel_type, {CONDITION_COLUMN})) like '%urgent%'"""))
+def q_search_records(spark, sf_dir):
+    df = inspections(spark, sf_dir).select(S.KEY, S.FUEL, CONDITION_COLUMN)
+    return P.search_records(df, "URGENT", [S.FUEL, CONDITION_COLUMN])
+
+
+@register("latest_first", with_insp(f"select appointmentId, {SQL_ISO_TS.format('inspectionStartTime')} as inspectionStartTime from insp"))
+def q_latest_first(spark, sf_dir):
+    df = TR.latest_first(inspections(spark, sf_dir).select(S.KEY, S.TIME))
+    return df.select(S.KEY, iso_ts(S.TIME).alias(S.TIME))
+
+
+@register("sort_by", with_insp("select appointmentId, rating_engineTransmission from insp"))
+def q_sort_by(spark, sf_dir):
+    return TR.sort_by(inspections(spark, sf_dir).select(S.KEY, S.TARGET), S.TARGET, False, S.KEY)
+
+
+@register("top_k", with_insp("""
+select appointmentId, odometer_reading from insp where odometer_reading is not null
+order by odometer_reading desc, appointmentId limit 10"""))
+def q_top_k(spark, sf_dir):
+    return TR.top_k(inspections(spark, sf_dir).select(S.KEY, S.ODOMETER), S.ODOMETER, 10, S.KEY)
