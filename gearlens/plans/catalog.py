@@ -439,3 +439,89 @@ select appointmentId, odometer_reading from insp where odometer_reading is not n
 order by odometer_reading desc, appointmentId limit 10"""))
 def q_top_k(spark, sf_dir):
     return TR.top_k(inspections(spark, sf_dir).select(S.KEY, S.ODOMETER), S.ODOMETER, 10, S.KEY)
+
+
+# ---------------------------------------------------------------------------
+# E1-E3, A23, J1 encoding
+# ---------------------------------------------------------------------------
+from gearlens.operators import encode as EN  # noqa: E402
+
+_B = "engineTransmission_"
+
+
+@register("category_vocabulary", with_insp("\nunion all\n".join(
+    f"select distinct '{c}' as column_name, cast({c} as varchar) as value from insp where {c} is not null"
+    for c in ALL_SLOT_BLOCK)))
+def q_category_vocabulary(spark, sf_dir):
+    return EN.category_vocabulary_df(inspections(spark, sf_dir), ALL_SLOT_BLOCK)
+
+
+def _flag(col, v):
+    return f"case when {col} = '{v}' then 1 else 0 end"
+
+
+# Vocabulary of the fixture's condition block: slots take A/N/R, the Yes/No
+# column Yes/No, the comment column F/O; drop-first removes A, No and F.
+_E2_SQL = ", ".join(
+    [f"{_flag(CONDITION_COLUMN, 'Yes')} as {CONDITION_COLUMN}_Yes"]
+    + [f"{_flag(c, v)} as {c}_{v}" for c in SLOT_COLUMNS for v in ("N", "R")]
+    + [f"{_flag(COMMENT_COLUMN, 'O')} as {COMMENT_COLUMN}_O"])
+
+
+@register("one_hot_drop_first", with_insp(f"select appointmentId, {_E2_SQL} from insp"))
+def q_one_hot_drop_first(spark, sf_dir):
+    df = inspections(spark, sf_dir).select(S.KEY, *ALL_SLOT_BLOCK)
+    return EN.one_hot_drop_first(df, ALL_SLOT_BLOCK)
+
+
+def _any(cols, v):
+    return "case when " + " or ".join(f"{c} = '{v}'" for c in cols) + " then 1 else 0 end"
+
+
+@register("slot_rollup_reference", with_insp(f"""
+select appointmentId,
+       {_flag(CONDITION_COLUMN, 'Yes')} as {_B}battery_value_Yes_Yes,
+       {_any(SLOT_COLUMNS, 'N')} as {_B}battery_cc_value_N,
+       {_any(SLOT_COLUMNS, 'R')} as {_B}battery_cc_value_R,
+       {_flag(COMMENT_COLUMN, 'O')} as {_B}comments_value_O
+from insp"""))
+def q_slot_rollup_reference(spark, sf_dir):
+    df = inspections(spark, sf_dir).select(S.KEY, *ALL_SLOT_BLOCK)
+    enc = EN.one_hot_drop_first(df, ALL_SLOT_BLOCK)
+    return EN.slot_rollup(enc, [c for c in enc.columns if c != S.KEY], mode="reference")
+
+
+_COMPONENTS = {"battery": SLOT_COLUMNS[0:2], "engineOil": SLOT_COLUMNS[2:4],
+               "coolant": SLOT_COLUMNS[4:5], "clutch": SLOT_COLUMNS[5:7]}
+
+
+@register("slot_rollup_component", with_insp("select appointmentId, " + ", ".join(
+    [f"{_flag(CONDITION_COLUMN, 'Yes')} as {CONDITION_COLUMN}_Yes"]
+    + [f"{_any(cs, v)} as {_B}{comp}_cc_value_{v}" for comp, cs in _COMPONENTS.items() for v in ("N", "R")]
+    + [f"{_flag(COMMENT_COLUMN, 'O')} as {_B}comments_value_O"]) + " from insp"))
+def q_slot_rollup_component(spark, sf_dir):
+    df = inspections(spark, sf_dir).select(S.KEY, *ALL_SLOT_BLOCK)
+    enc = EN.one_hot_drop_first(df, ALL_SLOT_BLOCK)
+    return EN.slot_rollup(enc, [c for c in enc.columns if c != S.KEY], mode="component")
+
+
+@register("any_flag", with_insp(f"""
+select appointmentId, case when {SLOT_COLUMNS[0]} is not null or {SLOT_COLUMNS[1]} is not null then 1 else 0 end as any_battery_defect
+from insp"""))
+def q_any_flag(spark, sf_dir):
+    df = inspections(spark, sf_dir).select(
+        S.KEY, *[F.col(c).isNotNull().alias(f"has_{i}") for i, c in enumerate(SLOT_COLUMNS[:2])])
+    return EN.any_flag(df, ["has_0", "has_1"], "any_battery_defect").select(S.KEY, "any_battery_defect")
+
+
+@register("attach_features", with_insp(f"""
+select appointmentId, rating_engineTransmission,
+       {_any(SLOT_COLUMNS, 'N')} as {_B}battery_cc_value_N,
+       {_any(SLOT_COLUMNS, 'R')} as {_B}battery_cc_value_R
+from insp"""))
+def q_attach_features(spark, sf_dir):
+    insp = inspections(spark, sf_dir)
+    block = insp.select(S.KEY, *SLOT_COLUMNS)
+    feats = EN.slot_rollup(EN.one_hot_drop_first(block, SLOT_COLUMNS), mode="reference",
+                           flag_cols=[c for c in EN.one_hot_drop_first(block, SLOT_COLUMNS).columns if c != S.KEY])
+    return P.attach_features(insp.select(S.KEY, S.TARGET), feats, S.KEY)
