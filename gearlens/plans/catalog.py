@@ -525,3 +525,139 @@ def q_attach_features(spark, sf_dir):
     feats = EN.slot_rollup(EN.one_hot_drop_first(block, SLOT_COLUMNS), mode="reference",
                            flag_cols=[c for c in EN.one_hot_drop_first(block, SLOT_COLUMNS).columns if c != S.KEY])
     return P.attach_features(insp.select(S.KEY, S.TARGET), feats, S.KEY)
+
+
+# ---------------------------------------------------------------------------
+# T1-T7 statistics (the statistic is checked here; p-values in unit tests)
+# ---------------------------------------------------------------------------
+from gearlens.operators import stats as ST  # noqa: E402
+
+
+def _spearman_sql(src: str, a: str, b: str) -> str:
+    return f"""sp as (select {a} as a, {b} as b from {src} where {a} is not null and {b} is not null),
+rk as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra,
+              rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from sp)"""
+
+
+@register("spearman", with_insp("select count(*) as n, round(corr(ra, rb), 6) as rho from rk",
+                                _spearman_sql("insp", "year", "rating_engineTransmission")))
+def q_spearman(spark, sf_dir):
+    return ST.spearman_stat(inspections(spark, sf_dir), S.REG_YEAR, S.TARGET).select("n", r6("rho").alias("rho"))
+
+
+@register("spearman_lineitem", "with " + _spearman_sql("lineitem", "l_quantity", "l_extendedprice")
+          + "\nselect count(*) as n, round(corr(ra, rb), 6) as rho from rk")
+def q_spearman_lineitem(spark, sf_dir):
+    # four value ranges per rank table: exercises the bucketed running sum
+    df = table(spark, sf_dir, "lineitem")
+    return ST.spearman_stat(df, "l_quantity", "l_extendedprice", buckets=4).select("n", r6("rho").alias("rho"))
+
+
+def _kw_sql(long_sql: str) -> str:
+    """CTEs ending in ``ks`` (feature, k, N, h) and ``kg`` group moments."""
+    return f"""lg as ({long_sql}),
+lv as (select * from lg where value is not null and y is not null),
+kr as (select feature, value, y, rank() over (partition by feature order by y)
+                         + (count(*) over (partition by feature, y) - 1) / 2.0 as r from lv),
+kg as (select feature, value, count(*) as n_i, sum(r) as r_i, avg(y) as mu, var_samp(y) as s from kr group by 1, 2),
+kt as (select feature, sum(t * t * t - t) as tie from (select feature, y, count(*)::double as t from lv group by 1, 2) group by 1),
+ka as (select feature, count(*) as k, sum(n_i)::double as nn, sum(r_i * r_i / n_i) as sr from kg group by 1),
+ks as (select feature, k, nn, (12.0 / (nn * (nn + 1)) * sr - 3 * (nn + 1)) / (1 - tie / (nn * nn * nn - nn)) as h
+       from ka join kt using (feature)),
+tg as (select feature, n_i, mu, s, row_number() over (partition by feature order by value) as i from kg),
+tt as (select a.feature, (a.mu - b.mu) / sqrt(((a.n_i - 1) * a.s + (b.n_i - 1) * b.s) / (a.n_i + b.n_i - 2)
+                                             * (1.0 / a.n_i + 1.0 / b.n_i)) as t,
+              (a.n_i + b.n_i - 2)::double as tdf
+       from tg a join tg b on a.feature = b.feature and a.i = 1 and b.i = 2)"""
+
+
+@register("kruskal_wallis", _kw_sql(
+    "select 'event_type' as feature, event_type as value, value as y from events").join(["with ", ""])
+    + "\nselect k, cast(nn as bigint) as N, round(h, 6) as statistic from ks")
+def q_kruskal_wallis(spark, sf_dir):
+    long = ST._long(table(spark, sf_dir, "events"), ["event_type"], "value")
+    return ST.kruskal_stats(long).select("k", F.col("N").cast("bigint").alias("N"), r6("statistic").alias("statistic"))
+
+
+@register("kruskal_wallis_rating_by_fuel", with_insp(
+    "select k, cast(nn as bigint) as N, round(h, 6) as statistic from ks",
+    _kw_sql("select 'fuel_type' as feature, fuel_type as value, rating_engineTransmission as y from insp")))
+def q_kruskal_wallis_rating_by_fuel(spark, sf_dir):
+    long = ST._long(inspections(spark, sf_dir), [S.FUEL], S.TARGET)
+    return ST.kruskal_stats(long).select("k", F.col("N").cast("bigint").alias("N"), r6("statistic").alias("statistic"))
+
+
+@register("t_test", "with " + _kw_sql(
+    "select 'l_linestatus' as feature, l_linestatus as value, l_quantity as y from lineitem")
+    + "\nselect round(t, 6) as statistic, tdf as df from tt")
+def q_t_test(spark, sf_dir):
+    long = ST._long(table(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_quantity")
+    return ST.t_stats(ST.moments(long)).select(r6("statistic").alias("statistic"), "df")
+
+
+def _anova_sql(long_sql: str) -> str:
+    return f"""lg as ({long_sql}),
+am as (select feature, value, count(*) as n, avg(y) as mu, var_samp(y) as s from lg
+       where value is not null and y is not null group by 1, 2 having count(*) >= 2),
+ag as (select feature, sum(n * mu) / sum(n) as gm from am group by 1),
+aa as (select feature, count(*) as k, sum(n) as nn, sum(n * (mu - gm) * (mu - gm)) as ssb, sum((n - 1) * s) as ssw
+       from am join ag using (feature) group by 1)
+|select feature, k, cast(nn as bigint) as N, round(case when k >= 2 then (ssb / (k - 1)) / (ssw / (nn - k)) end, 6) as statistic,
+       (k - 1)::double as df1, (nn - k)::double as df2 from aa"""
+
+
+@register("anova", "with " + _anova_sql(
+    "select 'l_returnflag' as feature, l_returnflag as value, l_quantity as y from lineitem").replace("|", ""))
+def q_anova(spark, sf_dir):
+    long = ST._long(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity")
+    a = ST.anova_stats(ST.moments(long))
+    return a.select("feature", "k", F.col("N").cast("bigint").alias("N"), r6("statistic").alias("statistic"), "df1", "df2")
+
+
+_AS = _anova_sql("\nunion all\n".join(
+    f"select '{c}' as feature, coalesce({c}, 'Unknown') as value, rating_engineTransmission as y from insp"
+    for c in SLOT_COLUMNS)).split("|")
+
+
+@register("anova_slots", with_insp(_AS[1], _AS[0]))
+def q_anova_slots(spark, sf_dir):
+    df = P.fill_unknown(inspections(spark, sf_dir), SLOT_COLUMNS)
+    a = ST.anova_stats(ST.moments(ST._long(df, SLOT_COLUMNS, S.TARGET)))
+    return a.select("feature", "k", F.col("N").cast("bigint").alias("N"), r6("statistic").alias("statistic"), "df1", "df2")
+
+
+_TREND_FEATURES = [S.HOUR, S.MON, S.DOW, S.REG_MONTH, S.REG_YEAR]
+_TREND_LONG = "\nunion all\n".join([
+    "select 'inspection_hour' as feature, cast(hour(inspectionStartTime) as varchar) as value, rating_engineTransmission as y from insp",
+    "select 'inspection_mon' as feature, cast(month(inspectionStartTime) as varchar) as value, rating_engineTransmission as y from insp",
+    "select 'inspection_dow' as feature, dayname(inspectionStartTime) as value, rating_engineTransmission as y from insp",
+    "select 'month' as feature, cast(month as varchar) as value, rating_engineTransmission as y from insp",
+    "select 'year' as feature, cast(year as varchar) as value, rating_engineTransmission as y from insp"])
+
+
+@register("temporal_trends", with_insp("""
+select ka.feature, ka.k as n_groups, case when ka.k > 2 then 'Kruskal-Wallis' when ka.k = 2 then 't-test' end as test,
+       round(case when ka.k > 2 then h when ka.k = 2 then t end, 6) as statistic,
+       case when ka.k > 2 then (ka.k - 1)::double when ka.k = 2 then tdf end as df
+from ka left join ks using (feature) left join tt using (feature)""", _kw_sql(_TREND_LONG)))
+def q_temporal_trends(spark, sf_dir):
+    df = TF.time_features(inspections(spark, sf_dir))
+    t = ST.temporal_trend_stats(df, _TREND_FEATURES, S.TARGET)
+    return t.select("feature", "n_groups", "test", r6("statistic").alias("statistic"), "df")
+
+
+@register("kde_event_value", """with kv as (select value as x from events where value is not null and not isnan(value)),
+ks as (select count(*) as n, stddev_samp(x) as sd, min(x) as lo, max(x) as hi from kv),
+kp as (select n, sd * pow(n, -0.2) as bw, lo, hi from ks),
+kg as (select cast(i as int) as grid_index, (lo - 3 * bw) + i * (((hi + 3 * bw) - (lo - 3 * bw)) / 199) as gx from kp, range(0, 200) t(i)),
+kf as (select x, count(*) as c from kv group by 1)
+select grid_index, round(gx, 6) as x, round(sum(c * exp(-0.5 * ((gx - x) / bw) * ((gx - x) / bw))) / (n * bw * sqrt(2 * pi())), 9) as density
+from kg, kf, kp group by grid_index, gx, n, bw""")
+def q_kde_event_value(spark, sf_dir):
+    k = ST.kde(table(spark, sf_dir, "events"), "value", 200)
+    return k.select("grid_index", r6("x").alias("x"), F.round("density", 9).alias("density"))
+
+
+@register("vif")
+def q_vif(spark, sf_dir):
+    return ST.vif(inspections(spark, sf_dir), [S.REG_YEAR, S.REG_MONTH, S.ODOMETER, S.TARGET])
