@@ -661,3 +661,125 @@ def q_kde_event_value(spark, sf_dir):
 @register("vif")
 def q_vif(spark, sf_dir):
     return ST.vif(inspections(spark, sf_dir), [S.REG_YEAR, S.REG_MONTH, S.ODOMETER, S.TARGET])
+
+
+# ---------------------------------------------------------------------------
+# F4-F18 scalar rules
+# ---------------------------------------------------------------------------
+from gearlens.functions import bands as BD  # noqa: E402
+from gearlens.sources.requests import DIAGNOSTIC_SLOT, FUEL_BY_PRIORITY, requests_from_inspections  # noqa: E402
+
+
+@register("name_tokens", with_insp(f"""
+select column_name,
+       case when contains(column_name, '_') then regexp_extract(column_name, '.*_(.*)$', 1) end as suffix,
+       regexp_replace(column_name, '_[0-9]+_N$', '') as base_n,
+       contains(column_name, '_N') as has_n
+from (select distinct column_name || '_' || value as column_name
+      from (select '{SLOT_COLUMNS[0]}' as column_name, {SLOT_COLUMNS[0]} as value from insp) where value is not null)"""))
+def q_name_tokens(spark, sf_dir):
+    # encoded column names as data (name = column + '_' + value)
+    names = (EN.category_vocabulary_df(inspections(spark, sf_dir), [SLOT_COLUMNS[0]])
+               .select(F.concat_ws("_", "column_name", "value").alias("column_name")))
+    return names.select("column_name", BD.suffix_token("column_name").alias("suffix"),
+                        BD.base_name("column_name", "N").alias("base_n"),
+                        BD.contains_token("column_name", "N").alias("has_n"))
+
+
+_SCORE = "(rating_engineTransmission * 1.3 - 0.7)"
+
+
+@register("clamp_score", with_insp(f"""
+select appointmentId, round(greatest(0.0, least(5.0, {_SCORE})), 6) as clamped,
+       round(greatest(0.0, {_SCORE}), 6) as floored from insp"""))
+def q_clamp_score(spark, sf_dir):
+    x = F.col(S.TARGET) * 1.3 - 0.7
+    return inspections(spark, sf_dir).select(S.KEY, r6(BD.clamp(x)).alias("clamped"), r6(BD.floor_zero(x)).alias("floored"))
+
+
+@register("grade_threshold", with_insp("""
+select appointmentId, case when rating_engineTransmission >= 4.5 then 'Excellent' when rating_engineTransmission >= 3.5 then 'Very Good'
+       when rating_engineTransmission >= 2.5 then 'Average' when rating_engineTransmission >= 1.5 then 'Below Average'
+       else 'Poor' end as grade from insp"""))
+def q_grade_threshold(spark, sf_dir):
+    return inspections(spark, sf_dir).select(S.KEY, BD.grade_threshold(S.TARGET).alias("grade"))
+
+
+@register("grade_rounded", with_insp("""
+select appointmentId, case g when 5 then 'Excellent' when 4 then 'Very Good' when 3 then 'Average'
+       when 2 then 'Below Average' when 1 then 'Poor' else 'Critical' end as grade
+from (select appointmentId, greatest(0, least(5, cast(round_even(rating_engineTransmission, 0) as int))) as g from insp)"""))
+def q_grade_rounded(spark, sf_dir):
+    return inspections(spark, sf_dir).select(S.KEY, BD.grade_rounded(S.TARGET).alias("grade"))
+
+
+_FAILED = " + ".join(f"coalesce(({c} = 'R')::int, 0)" for c in DIAGNOSTIC_SLOT.values())
+
+
+@register("health", with_insp(f"""
+select cast(appointmentId as varchar) as request_id, failed as failed_checks, 6 - failed as healthy_checks,
+       round((6 - failed) / 6.0 * 100, 6) as health_pct,
+       cast(cast(round_even((6 - failed) / 6.0 * 100, 0) as int) as varchar) || '%' as health_text,
+       case when failed > 0 then '-' || cast(failed as varchar) || ' Flags' else 'Optimal' end as health_delta
+from (select appointmentId, {_FAILED} as failed from insp)"""))
+def q_health(spark, sf_dir):
+    req = requests_from_inspections(inspections(spark, sf_dir))
+    cols = BD.health_columns("diagnostics")
+    out = req.select("request_id", *cols)
+    return out.withColumn("health_pct", r6("health_pct"))
+
+
+@register("component_scores", with_insp("\nunion all\n".join(
+    f"select cast(appointmentId as varchar) as request_id, '{label}' as component, "
+    f"case when {DIAGNOSTIC_SLOT[key]} = 'R' then {score} else 100 end as score from insp"
+    for label, key, score in S.COMPONENT_SCORES)))
+def q_component_scores(spark, sf_dir):
+    req = requests_from_inspections(inspections(spark, sf_dir))
+    return BD.component_scores(req, "diagnostics", keep=["request_id"])
+
+
+@register("usage_band", with_insp("""
+select appointmentId, case when odometer_reading is null then null when odometer_reading > 100000 then 'High' else 'Normal' end as usage
+from insp"""))
+def q_usage_band(spark, sf_dir):
+    return inspections(spark, sf_dir).select(S.KEY, BD.usage_band(S.ODOMETER).alias("usage"))
+
+
+@register("result_card_bands", with_insp("""
+select appointmentId,
+       case when rating_engineTransmission >= 4 then 'green' when rating_engineTransmission >= 3 then 'yellow' else 'red' end as color,
+       case when rating_engineTransmission > 4 then 'optimal' when rating_engineTransmission > 2.5 then 'acceptable' else 'critical' end as condition,
+       case when rating_engineTransmission > 4 then 'High' when rating_engineTransmission > 2 then 'Medium' else 'Low' end as market_value
+from insp"""))
+def q_result_card_bands(spark, sf_dir):
+    return inspections(spark, sf_dir).select(
+        S.KEY, BD.rating_color(S.TARGET).alias("color"), BD.condition_text(S.TARGET).alias("condition"),
+        BD.market_value_band(S.TARGET).alias("market_value"))
+
+
+_FUEL_OF = "case fuel_type " + " ".join(f"when '{k}' then '{v}'" for k, v in FUEL_BY_PRIORITY.items()) + " end"
+
+
+@register("fuel_flags", with_insp("select request_id, " + ", ".join(
+    f"coalesce((fuel = '{choice}')::int, 0) as {name}" for choice, name in S.FUEL_FLAGS.items())
+    + f" from (select cast(appointmentId as varchar) as request_id, {_FUEL_OF} as fuel from insp)"))
+def q_fuel_flags(spark, sf_dir):
+    req = requests_from_inspections(inspections(spark, sf_dir))
+    return req.select("request_id", *BD.fuel_flags("fuel_type"))
+
+
+@register("diagnostic_flags", with_insp("select cast(appointmentId as varchar) as request_id, " + ", ".join(
+    f"coalesce(({DIAGNOSTIC_SLOT[key]} = 'R')::int, 0) as {name}" for key, name in S.DIAGNOSTIC_FLAGS.items())
+    + " from insp"))
+def q_diagnostic_flags(spark, sf_dir):
+    req = requests_from_inspections(inspections(spark, sf_dir))
+    return req.select("request_id", *BD.diagnostic_flags("diagnostics"))
+
+
+@register("round_display", with_insp("""
+select appointmentId, round_even(rating_engineTransmission / 3, 2) as rating_2dp,
+       printf('%.1f', round_even(rating_engineTransmission / 3, 1)) as rating_text from insp"""))
+def q_round_display(spark, sf_dir):
+    x = F.col(S.TARGET) / 3
+    return inspections(spark, sf_dir).select(S.KEY, BD.round_display(x, 2).alias("rating_2dp"),
+                                             BD.format_display(x, 1).alias("rating_text"))
