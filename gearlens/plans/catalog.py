@@ -783,3 +783,38 @@ def q_round_display(spark, sf_dir):
     x = F.col(S.TARGET) / 3
     return inspections(spark, sf_dir).select(S.KEY, BD.round_display(x, 2).alias("rating_2dp"),
                                              BD.format_display(x, 1).alias("rating_text"))
+
+
+# ---------------------------------------------------------------------------
+# Named pipelines (production = training job, explore = notebook)
+# ---------------------------------------------------------------------------
+from gearlens.plans import pipelines as PL  # noqa: E402
+
+_PRIORITIES = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]   # '1-URGENT' is dropped first
+
+
+@register("production_features", with_insp(f"""
+select appointmentId, year, month, odometer_reading, cast(hour(inspectionStartTime) as int) as inspection_hour,
+       cast(month(inspectionStartTime) as int) as inspection_mon,
+       {_flag(CONDITION_COLUMN, 'Yes')} as {_B}battery_value_Yes_Yes,
+       {_any(SLOT_COLUMNS, 'N')} as {_B}battery_cc_value_N,
+       {_any(SLOT_COLUMNS, 'R')} as {_B}battery_cc_value_R,
+       {_flag(COMMENT_COLUMN, 'O')} as {_B}comments_value_O,
+       """ + ",\n       ".join(f"{_flag('fuel_type', p)} as fuel_type_{P.sanitize_name(p)}" for p in _PRIORITIES) + """,
+       rating_engineTransmission
+from insp"""))
+def q_production_features(spark, sf_dir):
+    return PL.production_features(inspections(spark, sf_dir)).df
+
+
+@register("explore_features", with_insp(f"""
+select appointmentId, year, month, odometer_reading, cast(hour(inspectionStartTime) as int) as inspection_hour,
+       cast(month(inspectionStartTime) as int) as inspection_mon,
+       """ + ",\n       ".join(f"{_flag('fuel_type', p)} as \"fuel_type_{p}\"" for p in _PRIORITIES) + f""",
+       {_flag(CONDITION_COLUMN, 'Yes')} as {_B}battery_value_Yes_Yes_1,
+       {_any(SLOT_COLUMNS, 'N')} as {_B}battery_cc_value_N_1,
+       {_any(SLOT_COLUMNS, 'R')} as {_B}battery_cc_value_R_1,
+       rating_engineTransmission
+from f2""", _iqr_sql("insp", "year", "f1") + ",\n" + _iqr_sql("f1", "odometer_reading", "f2")))
+def q_explore_features(spark, sf_dir):
+    return PL.explore_features(inspections(spark, sf_dir)).df
