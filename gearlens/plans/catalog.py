@@ -818,3 +818,125 @@ select appointmentId, year, month, odometer_reading, cast(hour(inspectionStartTi
 from f2""", _iqr_sql("insp", "year", "f1") + ",\n" + _iqr_sql("f1", "odometer_reading", "f2")))
 def q_explore_features(spark, sf_dir):
     return PL.explore_features(inspections(spark, sf_dir)).df
+
+
+# ---------------------------------------------------------------------------
+# Split, models, scoring, streaming (rows-only beyond M1/U1)
+# ---------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from gearlens.plans import model as ML  # noqa: E402
+from gearlens.plans import score as SC  # noqa: E402
+
+_SQL_BUCKET = "cast((('0x' || substr(md5(cast(appointmentId as varchar)), 1, 8))::bigint % 100) as int)"
+
+
+@register("split", with_insp(f"""
+select appointmentId, b as bucket,
+       case when b < 64 then 'train' when b < 80 then 'validation' else 'test' end as part
+from (select appointmentId, {_SQL_BUCKET} as b from insp)"""))
+def q_split(spark, sf_dir):
+    return ML.with_split(inspections(spark, sf_dir).select(S.KEY)).select(S.KEY, "bucket", "part")
+
+
+@register("append_rows", with_insp(f"""
+select appointmentId, 'train' as part from insp where {_SQL_BUCKET} < 64
+union all
+select appointmentId, 'validation' as part from insp where {_SQL_BUCKET} >= 64 and {_SQL_BUCKET} < 80"""))
+def q_append_rows(spark, sf_dir):
+    tr, va, _ = ML.split(inspections(spark, sf_dir).select(S.KEY))
+    return P.append_rows(tr.withColumn("part", F.lit("train")), va.withColumn("part", F.lit("validation")))
+
+
+# Small, fixed model settings for the registered queries (the fits run on the
+# whole derived table; the settings only bound the number of trees).
+_QUICK = {"maxIter": 10, "maxDepth": 4}
+_MODEL_CACHE: dict = {}
+
+
+def _features(spark, sf_dir):
+    ff = PL.production_features(inspections(spark, sf_dir))
+    return ff
+
+
+def _model(spark, sf_dir):
+    key = (sf_dir, spark.sparkContext.applicationId)
+    if key not in _MODEL_CACHE:
+        ff = _features(spark, sf_dir)
+        tr, va, te = ML.split(ff.df)
+        m = ML.train(P.append_rows(tr, va), ff.features, "boosted", int_target=True, **_QUICK)
+        _MODEL_CACHE[key] = (m, ff.features)
+    return _MODEL_CACHE[key]
+
+
+@register("compare_models")
+def q_compare_models(spark, sf_dir):
+    ff = _features(spark, sf_dir)
+    tr, va, _ = ML.split(ff.df)
+    params = {"decision_tree": {"maxDepth": 5}, "random_forest": {"numTrees": 10, "maxDepth": 5}, "boosted": _QUICK}
+    return ML.compare_models(tr, va, ff.features, params=params)
+
+
+@register("random_search")
+def q_random_search(spark, sf_dir):
+    ff = _features(spark, sf_dir)
+    tr, _, _ = ML.split(ff.df)
+    space = {"maxDepth": [2, 4], "stepSize": [0.1, 0.2], "maxIter": [5]}
+    cvm, maps = ML.random_search(tr, ff.features, space, n=2, folds=3)
+    return ML.search_results(cvm, maps)
+
+
+@register("final_fit")
+def q_final_fit(spark, sf_dir):
+    ff = _features(spark, sf_dir)
+    tr, va, te = ML.split(ff.df)
+    _, metrics = ML.final_fit(tr, va, te, ff.features, **_QUICK)
+    return metrics
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    m, cols = _model(spark, sf_dir)
+    return ML.feature_importance(m, cols, 10)
+
+
+def _requests(spark, sf_dir):
+    return requests_from_inspections(inspections(spark, sf_dir), with_registration=True)
+
+
+@register("score")
+def q_score(spark, sf_dir):
+    m, cols = _model(spark, sf_dir)
+    scored, _ = SC.score_requests(_requests(spark, sf_dir), m, cols)
+    return scored
+
+
+@register("score_rejects")
+def q_score_rejects(spark, sf_dir):
+    m, cols = _model(spark, sf_dir)
+    _, rejected = SC.score_requests(_requests(spark, sf_dir), m, cols)
+    return rejected
+
+
+@register("degradation")
+def q_degradation(spark, sf_dir):
+    m, cols = _model(spark, sf_dir)
+    return SC.degradation(_requests(spark, sf_dir), m, cols)
+
+
+@register("residual_outliers")
+def q_residual_outliers(spark, sf_dir):
+    m, cols = _model(spark, sf_dir)
+    return SC.residual_outliers(_features(spark, sf_dir).df, m)
+
+
+@register("score_stream")
+def q_score_stream(spark, sf_dir):
+    from gearlens.session import shared_folder
+    from gearlens.streaming.score_stream import run_to_completion, score_stream
+    m, cols = _model(spark, sf_dir)
+    run = shared_folder(spark, f"score-stream-{uuid.uuid4().hex}")
+    _requests(spark, sf_dir).write.mode("overwrite").json(f"{run}/in")
+    qs = score_stream(spark, f"{run}/in", f"{run}/out", m, cols, checkpoint=f"{run}/ck")
+    run_to_completion(qs)
+    return spark.read.parquet(f"{run}/out/scored")
