@@ -2,20 +2,25 @@
 
 Spark's exact ``percentile`` merges a map of *all distinct values* of a group
 into a single task; for a continuous column over a huge table that does not
-fit.  Here each quantile is found by narrowing:
-
-1. one aggregation per group gives (n, min, max);
-2. each needed order statistic (ranks floor/ceil of (n-1)p) lives in an
-   interval; one aggregation counts rows per (interval, equal-width bucket)
-   together with the bucket's min and max -- at most ``bins`` rows per
-   interval reach the driver, whatever the data size;
-3. the bucket holding the rank becomes the new interval (its [min, max]);
-   a bucket whose min equals its max is the answer.  Once an interval holds
-   at most ``exact_below`` rows, its (value, count) pairs are fetched once.
+fit.  Here each needed order statistic (ranks floor/ceil of (n-1)p) is found
+by narrowing an interval that is known to contain it:
+
+1. one aggregation per group gives n, min, max and a ``percentile_approx``
+   sketch (bounded size); the sketch values at p -/+ a few rank-error widths
+   give each order statistic a *candidate* interval [a, b];
+2. one aggregation counts, per interval, the rows below ``a`` and the rows of
+   each of ``bins`` equal-width buckets of [a, b] with the bucket's min and
+   max -- at most bins + 1 rows per interval reach the driver.  If the rank
+   is not inside [a, b] after all (the sketch is only trusted after this
+   exact check) the interval falls back to [min, max];
+3. the bucket holding the rank becomes the new interval; a bucket whose min
+   equals its max is the answer; an interval of at most ``exact_below`` rows
+   is finished from its (value, count) pairs.
 
 Every pass is a partial (map-side) aggregate, so a hot group costs no more
-than a cold one.  Interpolation follows ``lo + (h - floor h) * (hi - lo)``,
-the same as Spark's ``percentile`` and DuckDB's ``quantile_cont``.
+than a cold one; typical columns finish in two passes.  Interpolation is
+``lo + (h - floor h) * (hi - lo)``, as Spark's ``percentile`` and DuckDB's
+``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -34,8 +39,12 @@ def _group_key(row, by):
     return tuple(row[b] for b in by)
 
 
+SKETCH_ACCURACY = 10_000   # rank error of the seeding sketch: n / accuracy
+SKETCH_MARGIN = 3          # bracket half-width, in sketch rank errors
+
+
 def exact_quantiles(df: DataFrame, col: str, probs, by=None, bins: int = 4096,
-                    exact_below: int = 50_000, max_passes: int = 64) -> dict:
+                    exact_below: int = 50_000, max_passes: int = 64, seed_with_sketch: bool = True) -> dict:
     """Return {group tuple: [q for p in probs]} (None for an all-null group)."""
     by = list(by or [])
     probs = list(probs)
@@ -44,8 +53,12 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=None, bins: int = 4096,
               .where(F.col("__x").isNotNull() & ~F.isnan("__x")))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stats = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("lo"),
-                                      F.max("__x").alias("hi"))
+        eps = SKETCH_MARGIN / SKETCH_ACCURACY
+        brackets = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
+        aggs = [F.count(F.lit(1)).alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi")]
+        if seed_with_sketch:
+            aggs.append(F.percentile_approx("__x", brackets, SKETCH_ACCURACY).alias("sk"))
+        stats = data.groupBy(*by).agg(*aggs)
         stat_rows = stats.limit(MAX_GROUPS + 1).collect()
         if len(stat_rows) > MAX_GROUPS:
             raise ValueError(f"more than {MAX_GROUPS} groups; use exact=False (percentile_approx)")
@@ -53,13 +66,20 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=None, bins: int = 4096,
         targets = {}
         for r in stat_rows:
             g, n = _group_key(r, by), r["n"]
+            sk = dict(zip(brackets, r["sk"])) if seed_with_sketch else {}
             for p in probs:
                 h = (n - 1) * p
                 for rank in {math.floor(h), math.ceil(h)}:
-                    targets[(g, rank)] = {"a": r["lo"], "b": r["hi"], "base": 0, "value": None,
-                                          "n_in": n}
+                    t = {"a": r["lo"], "b": r["hi"], "base": 0, "value": None, "n_in": n,
+                         "lo": r["lo"], "hi": r["hi"], "check": False, "n": n}
+                    if sk:
+                        a = sk[min(1.0, max(0.0, p - eps))]
+                        b = sk[min(1.0, max(0.0, p + eps))]
+                        if (a, b) != (r["lo"], r["hi"]):
+                            t.update(a=a, b=b, base=None, n_in=None, check=True)
+                    targets.setdefault((g, rank), t)
         for t in targets.values():
-            if t["a"] == t["b"]:
+            if t["a"] == t["b"] and not t["check"]:
                 t["value"] = t["a"]
         _narrow(data, by, targets, bins, exact_below, max_passes)
         out = {}
@@ -97,8 +117,11 @@ def _narrow(data: DataFrame, by, targets, bins, exact_below, max_passes):
             t = targets[k]
             ivs.setdefault((k[0], t["a"], t["b"]), []).append(k)
         iv_list = list(ivs.items())
-        small = [(i, key) for i, (key, ks) in enumerate(iv_list) if targets[ks[0]]["n_in"] <= exact_below]
-        big = [(i, key) for i, (key, ks) in enumerate(iv_list) if targets[ks[0]]["n_in"] > exact_below]
+        def is_small(ks):
+            t = targets[ks[0]]
+            return not t["check"] and t["n_in"] <= exact_below
+        small = [(i, key) for i, (key, ks) in enumerate(iv_list) if is_small(ks)]
+        big = [(i, key) for i, (key, ks) in enumerate(iv_list) if not is_small(ks)]
         if small:
             _finish_small(data, by, by_fields, small, iv_list, targets)
         if big:
@@ -106,10 +129,12 @@ def _narrow(data: DataFrame, by, targets, bins, exact_below, max_passes):
     raise RuntimeError("quantile narrowing did not converge")
 
 
-def _join_intervals(data, by, by_fields, chosen):
+def _join_intervals(data, by, by_fields, chosen, with_below: bool = False):
     rows = [tuple(key[0]) + (i, float(key[1]), float(key[2])) for i, key in chosen]
     ivf = _interval_frame(data.sparkSession, by_fields, rows)
-    cond = (F.col("__x") >= F.col("__a")) & (F.col("__x") <= F.col("__b"))
+    cond = F.col("__x") <= F.col("__b")
+    if not with_below:
+        cond = cond & (F.col("__x") >= F.col("__a"))
     for b in by:
         cond = cond & (data[b].eqNullSafe(ivf[b]))
     # the interval table has one row per pending order statistic: broadcast
@@ -138,22 +163,40 @@ def _finish_small(data, by, by_fields, chosen, iv_list, targets):
 
 
 def _histogram_pass(data, by, by_fields, chosen, iv_list, targets, bins):
-    joined = _join_intervals(data, by, by_fields, chosen)
+    # candidate intervals also need the number of rows below them (bucket -1)
+    checking = any(targets[iv_list[i][1][0]]["check"] for i, _ in chosen)
+    joined = _join_intervals(data, by, by_fields, chosen, with_below=checking)
     width = F.col("__b") - F.col("__a")
-    bucket = F.least(F.floor((F.col("__x") - F.col("__a")) / width * bins), F.lit(bins - 1)).cast("int")
+    inner = F.when(width > 0, F.least(F.floor((F.col("__x") - F.col("__a")) / width * bins), F.lit(bins - 1))) \
+             .otherwise(F.lit(0))
+    bucket = F.when(F.col("__x") < F.col("__a"), F.lit(-1)).otherwise(inner).cast("int")
     rows = (joined.groupBy("__iid", bucket.alias("__k"))
                   .agg(F.count(F.lit(1)).alias("c"), F.min("__x").alias("mn"), F.max("__x").alias("mx"))
                   .orderBy("__iid", "__k").collect())
     per = {}
     for r in rows:
-        per.setdefault(r["__iid"], []).append((r["c"], r["mn"], r["mx"]))
+        per.setdefault(r["__iid"], []).append((r["c"], r["mn"], r["mx"], r["__k"]))
     for i, key in chosen:
         buckets = per.get(i, [])
+        below = 0
+        if buckets and buckets[0][3] == -1:
+            below = buckets[0][0]
+            buckets = buckets[1:]
         for k in iv_list[i][1]:
             t = targets[k]
+            if t["check"]:
+                inside = sum(c for c, _, _, _ in buckets)
+                t["check"] = False
+                if not (below <= k[1] < below + inside):
+                    # the sketch missed: fall back to the whole range
+                    t.update(a=t["lo"], b=t["hi"], base=0, n_in=t["n"])
+                    if t["a"] == t["b"]:
+                        t["value"] = t["a"]
+                    continue
+                t["base"] = below
             want = k[1] - t["base"]
             acc = 0
-            for c, mn, mx in buckets:
+            for c, mn, mx, _ in buckets:
                 if acc + c > want:
                     t["base"] += acc
                     t["a"], t["b"], t["n_in"] = mn, mx, c

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,13 +44,13 @@ def _is_text(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, T.StringType)
 
 
-def _encode_block(df: DataFrame, cat_cols: list[str], mode: str) -> tuple[list, list[str]]:
+def _encode_block(df: DataFrame, cat_cols: list[str], mode: str, vocab: dict | None = None) -> tuple[list, list[str]]:
     """E1 + E2 + E3 on the condition block -> ([(name, expr)], names).
 
     An all-null column has no vocabulary and passes through unencoded (as in
     pandas, where it is numeric); it still takes part in the roll-up plan.
     """
-    vocab = EN.category_vocabulary(df, cat_cols)
+    vocab = vocab if vocab is not None else EN.category_vocabulary(df, cat_cols)
     passthrough = [c for c in cat_cols if not vocab.get(c)]
     enc = EN.one_hot_plan({c: vocab[c] for c in cat_cols if vocab.get(c)}, drop_first=True)
     flag_expr = {c: F.lit(None).cast("int") for c in passthrough}
@@ -69,14 +70,15 @@ def production_features(df: DataFrame, rollup_mode: str = "reference", sanitize:
     """The training job's preprocessing (see module doc)."""
     base = time_features(df)
     cat_cols = P.columns_like(base, S.SLOT_PREFIX)
-    block, _ = _encode_block(base, cat_cols, rollup_mode)
     rest = [c for c in base.columns if c not in cat_cols and c not in S.META_DROP_COLUMNS]
-    block = [(n, e) for n, e in block if n not in S.META_DROP_COLUMNS]
     if S.TARGET not in rest:
         raise ValueError(f"target column {S.TARGET!r} not found")
     feats_plain = [c for c in rest if c != S.TARGET]
     text_cols = [c for c in feats_plain if _is_text(base, c)]
-    vocab = EN.category_vocabulary(base, text_cols)
+    # one vocabulary job for the condition block and the other text columns
+    vocab = EN.category_vocabulary(base, cat_cols + text_cols)
+    block, _ = _encode_block(base, cat_cols, rollup_mode, {c: vocab[c] for c in cat_cols})
+    block = [(n, e) for n, e in block if n not in S.META_DROP_COLUMNS]
     dummies = EN.one_hot_plan({c: vocab[c] for c in text_cols}, drop_first=True)
     numeric = [c for c in feats_plain if c not in text_cols]
 
@@ -92,13 +94,22 @@ def production_features(df: DataFrame, rollup_mode: str = "reference", sanitize:
     return FeatureFrame(out, names)
 
 
-def explore_clean(df: DataFrame) -> DataFrame:
+def explore_clean(df: DataFrame, persist: bool = False) -> DataFrame:
     """The notebook's cleaning: empty slots and comments dropped, slot nulls
-    filled with 'yes', time features, IQR filters on year then odometer."""
+    filled with 'yes', time features, IQR filters on year then odometer.
+
+    The filters and the encoding read the table in several small jobs.  Left
+    lazy, each job is pruned to the columns it needs (the year quartiles never
+    touch the slot pivot), which is cheaper than caching the wide table;
+    ``persist=True`` is for inputs whose upstream is expensive for every
+    column.  Persisted blocks are recomputed from lineage if an executor is lost.
+    """
     d = P.drop_columns(df, S.EMPTY_SLOT_COLUMNS)
     d = P.drop_columns_like(d, S.COMMENT_MARK)
     d = P.fill_slots(d, P.columns_like(d, "engineTransmission"), S.SLOT_FILL_VALUE)
     d = time_features(d)
+    if persist:
+        d = d.persist(StorageLevel.MEMORY_AND_DISK)
     d = P.iqr_filter(d, S.REG_YEAR)
     d = P.iqr_filter(d, S.ODOMETER)
     return d

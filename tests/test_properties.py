@@ -42,6 +42,17 @@ def test_exact_quantiles_match_brute_force(spark, bins, exact_below):
     assert whole == pytest.approx([_linear_quantile(xs, p) for p in probs], rel=1e-12)
 
 
+def test_exact_quantiles_when_sketch_bracket_misses(spark, monkeypatch):
+    # a zero-width bracket almost never holds the exact order statistic:
+    # every target must fall back to the full range and still be exact
+    monkeypatch.setattr(Q, "SKETCH_MARGIN", 0)
+    rng = random.Random(11)
+    xs = [rng.gauss(0, 1) for _ in range(5000)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = Q.exact_quantiles(df, "x", [0.25, 0.75], bins=16, exact_below=100)[()]
+    assert got == pytest.approx([_linear_quantile(xs, 0.25), _linear_quantile(xs, 0.75)], rel=1e-12)
+
+
 def test_bucketed_mid_ranks_equal_single_window(spark):
     rng = random.Random(3)
     rows = [(rng.choice("xy"), float(rng.randint(0, 400))) for _ in range(4000)]
