@@ -95,7 +95,8 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """Equal-width counts over [min, max]; the last bin is closed.
 
     Empty bins are listed with count 0.  A column with a single value uses
-    [v - 0.5, v + 0.5] (the usual convention).
+    [v - 0.5, v + 0.5] (the usual convention).  The range is a scalar
+    subquery (computed once), the counts one partial aggregation.
     """
     x = F.col(col).cast("double")
     vals = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
@@ -103,26 +104,27 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     rng = rng.select(
         F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
         F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"))
-    # the range is one row: broadcast it to every task
-    b = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(bins)),
-                F.lit(bins - 1)).cast("int")
-    counts = vals.crossJoin(F.broadcast(rng)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    r = rng.select(F.struct("lo", "hi")).scalar()
+    lo, hi = r.getField("lo"), r.getField("hi")
+    b = F.least(F.floor((F.col("x") - lo) / (hi - lo) * F.lit(bins)), F.lit(bins - 1)).cast("int")
+    counts = vals.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     edges = rng.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", "hi")
     edges = edges.select(
         "bin",
         (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / F.lit(bins)).alias("bin_lo"),
         (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("bin") + 1) / F.lit(bins)).alias("bin_hi"))
-    return (edges.join(counts, "bin", "left")
+    # edges has exactly ``bins`` rows
+    return (edges.join(F.broadcast(counts), "bin", "left")
                  .select("bin", "bin_lo", "bin_hi", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
                  .orderBy("bin"))
 
 
 def value_shares(df: DataFrame, col: str = S.TARGET) -> DataFrame:
     """Share of each non-null value among the non-null rows."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return (counts.crossJoin(F.broadcast(total))
-                  .select(F.col(col).alias("value"), (F.col("n") / F.col("total")).alias("share"))
+    nonnull = df.where(F.col(col).isNotNull())
+    total = nonnull.select(F.count(F.lit(1))).scalar()     # scalar subquery, computed once
+    counts = nonnull.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    return (counts.select(F.col(col).alias("value"), (F.col("n") / total).alias("share"))
                   .orderBy(F.col("share").desc(), "value"))
 
 
@@ -130,14 +132,26 @@ def box_summary(df: DataFrame, col: str, by=None, k: float = 1.5) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whiskers (furthest value inside the
     fences), outlier count; per group when ``by`` is given."""
     by = list(by or [])
-    q = quantile_frame(df, col, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
-    q = q.select(*by, "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
-    q = q.select("*", (F.col("q1") - k * F.col("iqr")).alias("lower_fence"),
-                 (F.col("q3") + k * F.col("iqr")).alias("upper_fence"))
     x = F.col(col).cast("double")
     base = df.select(*by, x.alias("__x")).where(F.col("__x").isNotNull())
-    # q has one row per group (bounded by the collected group count)
-    j = base.join(F.broadcast(q), by, "inner") if by else base.crossJoin(F.broadcast(q))
+    if by:
+        q = quantile_frame(df, col, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
+        q = q.select(*by, "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
+        q = q.select("*", (F.col("q1") - k * F.col("iqr")).alias("lower_fence"),
+                     (F.col("q3") + k * F.col("iqr")).alias("upper_fence"))
+        # q has one row per group (bounded by the collected group count)
+        j = base.join(F.broadcast(q), by, "inner")
+    else:
+        got = exact_quantiles(df, col, [0.25, 0.5, 0.75]).get(())
+        if got is None:
+            return df.sparkSession.createDataFrame([], "q1 double, median double, q3 double, iqr double, "
+                                                   "lower_fence double, upper_fence double, n long, "
+                                                   "whisker_low double, whisker_high double, n_outliers long")
+        q1, med, q3 = got
+        iqr = q3 - q1
+        consts = {"q1": q1, "median": med, "q3": q3, "iqr": iqr,
+                  "lower_fence": q1 - k * iqr, "upper_fence": q3 + k * iqr}
+        j = base.select("__x", *[F.lit(v).alias(n) for n, v in consts.items()])
     inside = (F.col("__x") >= F.col("lower_fence")) & (F.col("__x") <= F.col("upper_fence"))
     agg = j.groupBy(*by, "q1", "median", "q3", "iqr", "lower_fence", "upper_fence").agg(
         F.count(F.lit(1)).alias("n"),

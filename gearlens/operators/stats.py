@@ -49,7 +49,10 @@ def mid_ranks(freq: DataFrame, value: str, count: str = "c", by=(), buckets: int
         return freq.withColumn("rank", cum - (F.col(count) - 1) / F.lit(2.0))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = freq.groupBy(*by).agg(F.percentile_approx(v.cast("double"), probs, 10_000).alias("__cuts"))
-    keyed = freq.join(F.broadcast(cuts), by, "inner") if by else freq.crossJoin(F.broadcast(cuts))
+    if by:   # one row of cut points per group
+        keyed = freq.join(F.broadcast(cuts), by, "inner")
+    else:    # a single array: scalar subquery
+        keyed = freq.withColumn("__cuts", cuts.select("__cuts").scalar())
     keyed = keyed.withColumn("__bk", F.expr(f"size(filter(__cuts, x -> x < cast(`{value}` as double)))")).drop("__cuts")
     totals = keyed.groupBy(*by, "__bk").agg(F.sum(count).alias("__t"))
     wo = Window.partitionBy(*by).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,11 +86,10 @@ def spearman_stat(df: DataFrame, a: str, b: str, buckets: int = 1) -> DataFrame:
     rb = mid_ranks(pairs.groupBy("b").agg(F.sum("c").alias("c")), "b", "c", buckets=buckets) \
         .select("b", F.col("rank").alias("rb"))
     j = pairs.join(ra, "a").join(rb, "b")
-    m = j.agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("ra")) / F.sum("c")).alias("ma"),
-              (F.sum(F.col("c") * F.col("rb")) / F.sum("c")).alias("mb"))
-    j = j.crossJoin(F.broadcast(m))   # m is one row
-    da, db = F.col("ra") - F.col("ma"), F.col("rb") - F.col("mb")
-    return j.agg(F.first("n").alias("n"),
+    m = j.agg(F.struct(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("ra")) / F.sum("c")).alias("ma"),
+                       (F.sum(F.col("c") * F.col("rb")) / F.sum("c")).alias("mb"))).scalar()
+    da, db = F.col("ra") - m.getField("ma"), F.col("rb") - m.getField("mb")
+    return j.agg(F.sum("c").alias("n"),
                  (F.sum(F.col("c") * da * db) /
                   F.sqrt(F.sum(F.col("c") * da * da) * F.sum(F.col("c") * db * db))).alias("rho"))
 
