@@ -224,3 +224,49 @@ def test_sanitize_and_errors(spark):
 def test_cast_rating_int_truncates(spark):
     df = spark.createDataFrame([(4.9,), (0.5,)], f"{S.TARGET} double")
     assert [r[0] for r in P.cast_rating_int(df).collect()] == [4, 0]
+
+
+def test_schema_profile_and_types(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, None, 1.5)], "i int, s string, d double")
+    prof = [(r.column_name, r.data_type, r.non_null) for r in PR.schema_profile(df).collect()]
+    assert prof == [("i", "int", 2), ("s", "string", 1), ("d", "double", 1)]
+    assert PR.type_counts(df) == {"string": 1, "numeric": 2, "timestamp": 0}
+    assert P.select_columns_of_type(df, "numeric").columns == ["i", "d"]
+
+
+def test_parse_time_two_columns(spark):
+    df = spark.createDataFrame([("2019-03-04", "10:15"), ("2019-03-04", "bad")], "d string, t string")
+    from gearlens.functions.timefx import parse_time
+    got = [r.ts for r in df.select(parse_time("d", "t").alias("ts")).collect()]
+    assert got[0] == dt.datetime(2019, 3, 4, 10, 15) and got[1] is None
+
+
+def test_p_values(spark):
+    rows = [("a", float(v)) for v in (1, 2, 2)] + [("b", float(v)) for v in (2, 3, 3)] + [("c", float(v)) for v in (4, 5, 5)]
+    df = spark.createDataFrame(rows, "g string, y double")
+    from gearlens.functions.distributions import chi2_sf, f_sf, t_sf_two_sided
+    tr = {r.feature: r for r in ST.temporal_trends(df, ["g"], "y").collect()}["g"]
+    assert tr.test == "Kruskal-Wallis" and tr.p_value == pytest.approx(chi2_sf(tr.statistic, 2))
+    assert tr.verdict == "significant"
+    a = ST.anova(df, ["g"], "y").first()
+    assert a.p_value == pytest.approx(f_sf(a.statistic, 2, 6))
+    t = ST.t_test(_two_groups(spark), "g", "y").first()
+    assert t.p_value == pytest.approx(t_sf_two_sided(-1.549193, 4), rel=1e-5)
+    assert chi2_sf(7.8147, 3) == pytest.approx(0.05, abs=1e-5)
+    assert f_sf(4.1028, 2, 10) == pytest.approx(0.05, abs=1e-5)
+    assert t_sf_two_sided(2.2281, 10) == pytest.approx(0.05, abs=1e-4)
+
+
+def test_trend_single_group(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "g string, y double")
+    r = ST.temporal_trends(df, ["g"], "y").first()
+    assert r.statistic is None and r.verdict == "not enough groups"
+
+
+def test_kde_integrates_to_one(spark):
+    import random
+    rng = random.Random(5)
+    df = spark.createDataFrame([(rng.gauss(0, 1),) for _ in range(500)], "x double")
+    rows = ST.kde(df, "x", 400).collect()
+    step = rows[1].x - rows[0].x
+    assert sum(r.density for r in rows) * step == pytest.approx(1.0, abs=0.01)
