@@ -188,11 +188,17 @@ def pearson_matrix(df: DataFrame, cols, wide: bool = False) -> DataFrame:
     Long form: (col_a, col_b, corr) for every ordered pair, diagonal included.
     """
     cols = list(cols)
-    pairs = [(a, b) for a in cols for b in cols]
-    aggs = [F.corr(F.col(_q(a)).cast("double"), F.col(_q(b)).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(pairs)]
+    # the upper triangle is aggregated (k(k+1)/2 correlations), then mirrored
+    upper = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    aggs = [F.corr(F.col(_q(cols[i])).cast("double"), F.col(_q(cols[j])).cast("double")).alias(f"c{i}_{j}")
+            for i, j in upper]
     w = df.agg(*aggs)
-    stack = F.explode(F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                         F.col(f"{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]))
+    entries = []
+    for i, j in upper:
+        entries.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), F.col(f"c{i}_{j}").alias("corr")))
+        if i != j:
+            entries.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"), F.col(f"c{i}_{j}").alias("corr")))
+    stack = F.explode(F.array(*entries))
     long = w.select(stack.alias("s")).select("s.*")
     if not wide:
         return long

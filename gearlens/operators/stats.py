@@ -31,7 +31,19 @@ def _q(c: str) -> str:
 # ---------------------------------------------------------------------------
 # Mid-ranks from a frequency table
 # ---------------------------------------------------------------------------
-def mid_ranks(freq: DataFrame, value: str, count: str = "c", by=(), buckets: int = 1) -> DataFrame:
+ROWS_PER_RANK_TASK = 2_000_000   # distinct values one running-sum window may hold
+
+
+def rank_buckets(freq: DataFrame, by=()) -> int:
+    """Number of value ranges so that no window partition of the running sum
+    holds more than ROWS_PER_RANK_TASK distinct values (one small job)."""
+    by = list(by)
+    sizes = freq.groupBy(*by).count() if by else freq.select(F.count(F.lit(1)).alias("count"))
+    biggest = sizes.agg(F.max("count")).first()[0] or 0
+    return max(1, math.ceil(biggest / ROWS_PER_RANK_TASK))
+
+
+def mid_ranks(freq: DataFrame, value: str, count: str = "c", by=(), buckets: int | None = None) -> DataFrame:
     """Add ``rank``: the average 1-based rank of each distinct value within
     its ``by`` group, from a table with one row per (by, value) and its count.
 
@@ -43,6 +55,8 @@ def mid_ranks(freq: DataFrame, value: str, count: str = "c", by=(), buckets: int
     """
     by = list(by)
     v = F.col(_q(value))
+    if buckets is None:
+        buckets = rank_buckets(freq, by)
     if buckets <= 1:
         w = Window.partitionBy(*by).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
         cum = F.sum(count).over(w)
@@ -63,16 +77,10 @@ def mid_ranks(freq: DataFrame, value: str, count: str = "c", by=(), buckets: int
     return keyed.withColumn("rank", cum - (F.col(count) - 1) / F.lit(2.0)).drop("__bk", "__off")
 
 
-def _rank_buckets(n_distinct_hint: int | None) -> int:
-    if not n_distinct_hint or n_distinct_hint <= 2_000_000:
-        return 1
-    return int(math.ceil(n_distinct_hint / 2_000_000))
-
-
 # ---------------------------------------------------------------------------
 # T1 Spearman
 # ---------------------------------------------------------------------------
-def spearman_stat(df: DataFrame, a: str, b: str, buckets: int = 1) -> DataFrame:
+def spearman_stat(df: DataFrame, a: str, b: str, buckets: int | None = None) -> DataFrame:
     """T1 on Spark: one row (n, rho).  Pairs with a null are left out.
 
     Rows are first reduced to (a, b, count); ranks come from the marginal
@@ -128,10 +136,16 @@ def _long(df: DataFrame, features, target: str) -> DataFrame:
     return long.where(F.col("value").isNotNull() & F.col("y").isNotNull())
 
 
-def kruskal_stats(long: DataFrame) -> DataFrame:
+def value_counts(long: DataFrame) -> DataFrame:
+    """(feature, value, y) -> count: the one pre-aggregation every grouped
+    test starts from (map-side combined, so a hot group is one row per y)."""
+    return long.groupBy("feature", "value", "y").agg(F.count(F.lit(1)).alias("c"))
+
+
+def kruskal_stats(long: DataFrame | None = None, cnt: DataFrame | None = None) -> DataFrame:
     """T2 per feature from (feature, value, y): H with tie correction,
     n groups, N.  Runs on (feature, value, y) counts."""
-    cnt = long.groupBy("feature", "value", "y").agg(F.count(F.lit(1)).alias("c"))
+    cnt = cnt if cnt is not None else value_counts(long)
     ties = cnt.groupBy("feature", "y").agg(F.sum("c").alias("t"))
     ranks = mid_ranks(ties, "y", "t", by=["feature"])
     per_group = (cnt.join(ranks.select("feature", "y", "rank"), ["feature", "y"])
@@ -154,6 +168,19 @@ def moments(long: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.var_samp("y").alias("var"))
 
 
+def moments_from_counts(cnt: DataFrame) -> DataFrame:
+    """The same moments from (feature, value, y, c): mean first, then the
+    centred sum of squares (two hash aggregations and a join on the small
+    per-group table; no window, so a hot group is still split across tasks)."""
+    m = cnt.groupBy("feature", "value").agg(F.sum("c").alias("n"),
+                                            (F.sum(F.col("c") * F.col("y")) / F.sum("c")).alias("mean"))
+    ss = (cnt.join(F.broadcast(m), ["feature", "value"])
+             .groupBy("feature", "value", "n", "mean")
+             .agg(F.sum(F.col("c") * F.pow(F.col("y") - F.col("mean"), 2)).alias("ss")))
+    return ss.select("feature", "value", "n", "mean",
+                     F.when(F.col("n") > 1, F.col("ss") / (F.col("n") - 1)).alias("var"))
+
+
 def t_stats(mom: DataFrame) -> DataFrame:
     """T3 per feature with exactly two groups: pooled-variance t (group 1 is
     the smaller value as text) and df."""
@@ -214,10 +241,11 @@ TREND_SCHEMA = ("feature string, n_groups long, test string, statistic double, d
 def temporal_trend_stats(df: DataFrame, features, target: str = S.TARGET) -> DataFrame:
     """T4 on Spark: per feature, group count and the statistic of
     Kruskal-Wallis (more than 2 groups) or the t-test (2 groups)."""
-    long = _long(df, features, target).persist()
-    mom = moments(long)
+    # one scan: every statistic derives from the (feature, value, y) counts
+    cnt = value_counts(_long(df, features, target))
+    mom = moments_from_counts(cnt)
     ngroups = mom.groupBy("feature").agg(F.count(F.lit(1)).alias("n_groups"))
-    kw = kruskal_stats(long).select("feature", F.col("statistic").alias("h"))
+    kw = kruskal_stats(cnt=cnt).select("feature", F.col("statistic").alias("h"))
     tt = t_stats(mom).select("feature", F.col("statistic").alias("t"), F.col("df").alias("t_df"))
     out = ngroups.join(kw, "feature", "left").join(tt, "feature", "left")
     return out.select(
@@ -306,11 +334,16 @@ def vif(df: DataFrame, cols, add_constant: bool = True) -> DataFrame:
 # ---------------------------------------------------------------------------
 # T7 kernel density
 # ---------------------------------------------------------------------------
-def kde(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0) -> DataFrame:
+def kde(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0, bins: int | None = None) -> DataFrame:
     """Gaussian kernel density on an even grid, Scott bandwidth
     (n^(-1/5) times the sample deviation), grid from min - cut*bw to
     max + cut*bw.  Distinct values with their counts each emit ``grid_size``
-    contributions that are summed per grid point (partial aggregation)."""
+    contributions that are summed per grid point (partial aggregation).
+
+    ``bins``: linear binning first -- values are moved to the centre of one of
+    ``bins`` equal-width bins over [min, max] (error at most half a bin width),
+    so the kernel work is bounded by bins x grid_size whatever the row count.
+    """
     x = F.col(_q(col)).cast("double")
     vals = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     st = vals.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
@@ -321,6 +354,10 @@ def kde(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0) -> Data
     bw = sd * n ** (-1.0 / 5.0)
     start = st["lo"] - cut * bw
     step = ((st["hi"] + cut * bw) - start) / (grid_size - 1)
+    if bins:
+        width = (st["hi"] - st["lo"]) / bins if st["hi"] > st["lo"] else 1.0
+        k = F.least(F.floor((F.col("x") - F.lit(st["lo"])) / F.lit(width)), F.lit(bins - 1))
+        vals = vals.select((F.lit(st["lo"]) + (k + 0.5) * F.lit(width)).alias("x"))
     freq = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     g = F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("grid_index")
     contrib = freq.select("x", "c", g)

@@ -58,7 +58,8 @@ def test_bucketed_mid_ranks_equal_single_window(spark):
     rows = [(rng.choice("xy"), float(rng.randint(0, 400))) for _ in range(4000)]
     df = spark.createDataFrame(rows, "g string, v double")
     freq = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
-    one = {(r.g, r.v): r.rank for r in ST.mid_ranks(freq, "v", "c", by=["g"]).collect()}
+    one = {(r.g, r.v): r.rank for r in ST.mid_ranks(freq, "v", "c", by=["g"], buckets=1).collect()}
+    assert ST.rank_buckets(freq, ["g"]) == 1
     many = {(r.g, r.v): r.rank for r in ST.mid_ranks(freq, "v", "c", by=["g"], buckets=7).collect()}
     assert one == many
 
@@ -103,3 +104,21 @@ def test_quantile_narrowing_result_bound(spark):
     df = spark.range(0, 200_000).select((F.col("id") * 1.000001).alias("x"))
     got = Q.exact_quantiles(df, "x", [0.5], bins=64, exact_below=100)[()][0]
     assert got == pytest.approx(99_999.5 * 1.000001)
+
+
+def test_auto_rank_buckets_split_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(ST, "ROWS_PER_RANK_TASK", 100)
+    df = spark.range(0, 1000).select((F.col("id") % 457).cast("double").alias("v"))
+    freq = df.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    assert ST.rank_buckets(freq) == 5
+    auto = {r.v: r.rank for r in ST.mid_ranks(freq, "v", "c").collect()}
+    plain = {r.v: r.rank for r in ST.mid_ranks(freq, "v", "c", buckets=1).collect()}
+    assert auto == plain
+
+
+def test_binned_kde_close_to_exact(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(rng.gauss(10, 2),) for _ in range(2000)], "x double")
+    exact = [r.density for r in ST.kde(df, "x", 50).collect()]
+    binned = [r.density for r in ST.kde(df, "x", 50, bins=4096).collect()]
+    assert max(abs(a - b) for a, b in zip(exact, binned)) < 1e-4
