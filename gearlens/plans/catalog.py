@@ -940,3 +940,44 @@ def q_score_stream(spark, sf_dir):
     qs = score_stream(spark, f"{run}/in", f"{run}/out", m, cols, checkpoint=f"{run}/ck")
     run_to_completion(qs)
     return spark.read.parquet(f"{run}/out/scored")
+
+
+# ---------------------------------------------------------------------------
+# T7 on the histogram inputs: rating, hour of day, daily counts (violin)
+# ---------------------------------------------------------------------------
+def _kde_sql(src_sql: str, grid: int = 200) -> tuple[str, str]:
+    ctes = f"""kv as ({src_sql}),
+ks as (select count(*) as n, stddev_samp(x) as sd, min(x) as lo, max(x) as hi from kv),
+kp as (select n, sd * pow(n, -0.2) as bw, lo, hi from ks),
+kg as (select cast(i as int) as grid_index, (lo - 3 * bw) + i * (((hi + 3 * bw) - (lo - 3 * bw)) / {grid - 1}) as gx
+       from kp, range(0, {grid}) t(i)),
+kf as (select x, count(*) as c from kv group by 1)"""
+    body = """select grid_index, round(gx, 6) as x,
+       round(sum(c * exp(-0.5 * ((gx - x) / bw) * ((gx - x) / bw))) / (n * bw * sqrt(2 * pi())), 9) as density
+from kg, kf, kp group by grid_index, gx, n, bw"""
+    return ctes, body
+
+
+def _kde_out(k: DataFrame) -> DataFrame:
+    return k.select("grid_index", r6("x").alias("x"), F.round("density", 9).alias("density"))
+
+
+_c, _b = _kde_sql("select rating_engineTransmission::double as x from insp where rating_engineTransmission is not null")
+@register("kde_rating", with_insp(_b, _c))
+def q_kde_rating(spark, sf_dir):
+    return _kde_out(ST.kde(inspections(spark, sf_dir), S.TARGET, 200))
+
+
+_c, _b = _kde_sql("select hour(inspectionStartTime)::double as x from insp where inspectionStartTime is not null")
+@register("kde_hour", with_insp(_b, _c))
+def q_kde_hour(spark, sf_dir):
+    df = TF.time_features(inspections(spark, sf_dir).select(S.TIME))
+    return _kde_out(ST.kde(df, S.HOUR, 200))
+
+
+_c, _b = _kde_sql("""select count(*)::double as x from insp where inspectionStartTime is not null
+                     group by cast(inspectionStartTime as date)""")
+@register("daily_intensity_kde", with_insp(_b, _c))
+def q_daily_intensity_kde(spark, sf_dir):
+    daily = TR.daily_volume(inspections(spark, sf_dir), count_col=None)
+    return _kde_out(ST.kde(daily, "n_inspections", 200))
