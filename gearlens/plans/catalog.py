@@ -271,7 +271,7 @@ bf as (select *, q3 - q1 as iqr, q1 - 1.5 * (q3 - q1) as lower_fence, q3 + 1.5 *
 bx as (select {g}q1, median, q3, iqr, lower_fence, upper_fence, count(*) as n,
               min(case when {col} >= lower_fence and {col} <= upper_fence then {col} end) as whisker_low,
               max(case when {col} >= lower_fence and {col} <= upper_fence then {col} end) as whisker_high,
-              count_if(not ({col} >= lower_fence and {col} <= upper_fence)) as n_outliers
+              cast(count_if(not ({col} >= lower_fence and {col} <= upper_fence)) as bigint) as n_outliers
        from {src} {join} where {col} is not null group by all)"""
 
 

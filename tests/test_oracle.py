@@ -17,6 +17,7 @@ def con():
 def test_query_matches_duckdb(spark, con, name):
     r = compare(spark, con, name, E.queries()[name], ORACLE[name], SF_CHECK)
     assert r["names_match"], r
+    assert not r["type_mismatches"], r
     assert r["spark_rows"] == r["oracle_rows"], r
     assert r["values_match"], r
 
