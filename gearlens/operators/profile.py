@@ -23,6 +23,22 @@ def _q(c: str) -> str:
     return f"`{c}`"
 
 
+def _is_float(df: DataFrame, c: str) -> bool:
+    return isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))
+
+
+def missing(df: DataFrame, c: str):
+    """Null, or NaN in a float column (pandas counts both as missing)."""
+    col = F.col(_q(c))
+    return (col.isNull() | F.isnan(col)) if _is_float(df, c) else col.isNull()
+
+
+def as_number(df: DataFrame, c: str):
+    """The column as double with NaN turned into null."""
+    col = F.col(_q(c)).cast("double")
+    return F.when(~F.isnan(col), col) if _is_float(df, c) else col
+
+
 def _unpivot(wide: DataFrame, cols, name: str, value: str) -> DataFrame:
     return wide.unpivot([], [F.col(_q(c)).alias(c) for c in cols], name, value)
 
@@ -31,7 +47,7 @@ def null_rate(df: DataFrame, min_pct: float | None = None, digits: int = 4) -> D
     """A1: percent of nulls per column (> min_pct), rounded, most-null first."""
     cols = df.columns
     total = F.count(F.lit(1))
-    wide = df.agg(*[(F.lit(100.0) * F.count_if(F.col(_q(c)).isNull()) / total).alias(c) for c in cols])
+    wide = df.agg(*[(F.lit(100.0) * F.count_if(missing(df, c)) / total).alias(c) for c in cols])
     long = _unpivot(wide, cols, "column_name", "null_pct")
     if min_pct is not None:
         long = long.where(F.col("null_pct") > F.lit(float(min_pct)))
@@ -190,8 +206,7 @@ def pearson_matrix(df: DataFrame, cols, wide: bool = False) -> DataFrame:
     cols = list(cols)
     # the upper triangle is aggregated (k(k+1)/2 correlations), then mirrored
     upper = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    aggs = [F.corr(F.col(_q(cols[i])).cast("double"), F.col(_q(cols[j])).cast("double")).alias(f"c{i}_{j}")
-            for i, j in upper]
+    aggs = [F.corr(as_number(df, cols[i]), as_number(df, cols[j])).alias(f"c{i}_{j}") for i, j in upper]
     w = df.agg(*aggs)
     entries = []
     for i, j in upper:

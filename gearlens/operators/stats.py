@@ -129,9 +129,10 @@ def _result(df, rows, schema):
 def _long(df: DataFrame, features, target: str) -> DataFrame:
     """(feature, value, y) for every feature; null features/targets left out,
     values as text so features of any type stack."""
+    from gearlens.operators.profile import as_number
     features = list(features)
     base = df.select(*[F.col(_q(f)).cast("string").alias(f) for f in features],
-                     F.col(_q(target)).cast("double").alias("y"))
+                     as_number(df, target).alias("y"))
     long = base.unpivot(["y"], features, "feature", "value")
     return long.where(F.col("value").isNotNull() & F.col("y").isNotNull())
 

@@ -270,3 +270,11 @@ def test_kde_integrates_to_one(spark):
     rows = ST.kde(df, "x", 400).collect()
     step = rows[1].x - rows[0].x
     assert sum(r.density for r in rows) * step == pytest.approx(1.0, abs=0.01)
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (float("nan"), 2.0), (3.0, 3.0), (None, 4.0)], "a double, b double")
+    rates = {r.column_name: r.null_pct for r in PR.null_rate(df).collect()}
+    assert rates == {"a": 50.0, "b": 0.0}
+    corr = {(r.col_a, r.col_b): r.corr for r in PR.pearson_matrix(df, ["a", "b"]).collect()}
+    assert round(corr[("a", "b")], 6) == 1.0 and corr[("a", "b")] == corr[("b", "a")]
