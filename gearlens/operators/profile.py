@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from gearlens import schema as S
 from gearlens.functions.timefx import as_time
+from gearlens.operators.common import sorted_small
 from gearlens.operators.quantiles import exact_quantiles, quantile_frame
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -51,8 +52,8 @@ def null_rate(df: DataFrame, min_pct: float | None = None, digits: int = 4) -> D
     long = _unpivot(wide, cols, "column_name", "null_pct")
     if min_pct is not None:
         long = long.where(F.col("null_pct") > F.lit(float(min_pct)))
-    return (long.select("column_name", F.round("null_pct", digits).alias("null_pct"))
-                .orderBy(F.col("null_pct").desc(), "column_name"))
+    return sorted_small(long.select("column_name", F.round("null_pct", digits).alias("null_pct")),
+                        F.col("null_pct").desc(), "column_name")
 
 
 def count_sparse_columns(df: DataFrame, min_pct: float = 50.0) -> DataFrame:
@@ -67,7 +68,7 @@ def schema_profile(df: DataFrame) -> DataFrame:
     long = _unpivot(wide, cols, "column_name", "non_null")
     types = df.sparkSession.createDataFrame(
         [(c, t, i) for i, (c, t) in enumerate(df.dtypes)], "column_name string, data_type string, pos int")
-    return long.join(F.broadcast(types), "column_name").orderBy("pos").drop("pos")
+    return sorted_small(long.join(F.broadcast(types), "column_name"), "pos").drop("pos")
 
 
 def columns_of_kind(df: DataFrame, kind: str) -> list[str]:
@@ -130,9 +131,9 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
         (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / F.lit(bins)).alias("bin_lo"),
         (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("bin") + 1) / F.lit(bins)).alias("bin_hi"))
     # edges has exactly ``bins`` rows
-    return (edges.join(F.broadcast(counts), "bin", "left")
-                 .select("bin", "bin_lo", "bin_hi", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
-                 .orderBy("bin"))
+    out = (edges.join(F.broadcast(counts), "bin", "left")
+                .select("bin", "bin_lo", "bin_hi", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    return sorted_small(out, "bin")
 
 
 def value_shares(df: DataFrame, col: str = S.TARGET) -> DataFrame:
@@ -175,7 +176,7 @@ def box_summary(df: DataFrame, col: str, by=None, k: float = 1.5) -> DataFrame:
         F.max(F.when(inside, F.col("__x"))).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"),
     )
-    return agg.orderBy(*by) if by else agg
+    return sorted_small(agg, *by) if by else agg
 
 
 def fences(df: DataFrame, col: str, k: float = 1.5) -> tuple[float, float] | None:
@@ -227,7 +228,7 @@ def constant_columns(df: DataFrame) -> DataFrame:
     wide = df.agg(*[((F.count(F.col(_q(c))) == n) & (n > 0) &
                      F.min(F.col(_q(c))).eqNullSafe(F.max(F.col(_q(c))))).alias(c) for c in cols])
     long = _unpivot(wide, cols, "column_name", "is_constant")
-    return long.where("is_constant").select("column_name").orderBy("column_name")
+    return sorted_small(long.where("is_constant").select("column_name"), "column_name")
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:

@@ -144,8 +144,9 @@ def _join_intervals(data, by, by_fields, chosen, with_below: bool = False):
 
 def _finish_small(data, by, by_fields, chosen, iv_list, targets):
     joined = _join_intervals(data, by, by_fields, chosen)
-    rows = (joined.groupBy("__iid", "__x").agg(F.count(F.lit(1)).alias("c"))
-                  .orderBy("__iid", "__x").collect())
+    # at most exact_below rows per interval: sorted on the driver
+    rows = sorted(joined.groupBy("__iid", "__x").agg(F.count(F.lit(1)).alias("c")).collect(),
+                  key=lambda r: (r["__iid"], r["__x"]))
     per = {}
     for r in rows:
         per.setdefault(r["__iid"], []).append((r["__x"], r["c"]))
@@ -170,9 +171,10 @@ def _histogram_pass(data, by, by_fields, chosen, iv_list, targets, bins):
     inner = F.when(width > 0, F.least(F.floor((F.col("__x") - F.col("__a")) / width * bins), F.lit(bins - 1))) \
              .otherwise(F.lit(0))
     bucket = F.when(F.col("__x") < F.col("__a"), F.lit(-1)).otherwise(inner).cast("int")
-    rows = (joined.groupBy("__iid", bucket.alias("__k"))
-                  .agg(F.count(F.lit(1)).alias("c"), F.min("__x").alias("mn"), F.max("__x").alias("mx"))
-                  .orderBy("__iid", "__k").collect())
+    # at most bins + 1 rows per interval: sorted on the driver
+    rows = sorted(joined.groupBy("__iid", bucket.alias("__k"))
+                        .agg(F.count(F.lit(1)).alias("c"), F.min("__x").alias("mn"), F.max("__x").alias("mx"))
+                        .collect(), key=lambda r: (r["__iid"], r["__k"]))
     per = {}
     for r in rows:
         per.setdefault(r["__iid"], []).append((r["c"], r["mn"], r["mx"], r["__k"]))

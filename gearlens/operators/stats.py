@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from gearlens import schema as S
 from gearlens.functions.distributions import chi2_sf, f_sf, t_sf_two_sided
+from gearlens.operators.common import sorted_small
 
 ALPHA = 0.05
 
@@ -366,11 +367,11 @@ def kde(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0, bins: i
     z = (gx - F.col("x")) / F.lit(bw)
     term = F.col("c") * F.exp(F.lit(-0.5) * z * z)
     norm = 1.0 / (n * bw * math.sqrt(2.0 * math.pi))
-    return (contrib.groupBy("grid_index").agg(F.sum(term).alias("s"))
+    out = (contrib.groupBy("grid_index").agg(F.sum(term).alias("s"))
                    .select(F.col("grid_index").cast("int").alias("grid_index"),
                            (F.lit(start) + F.col("grid_index") * F.lit(step)).alias("x"),
-                           (F.col("s") * F.lit(norm)).alias("density"))
-                   .orderBy("grid_index"))
+                           (F.col("s") * F.lit(norm)).alias("density")))
+    return sorted_small(out, "grid_index")
 
 
 def kde_params(df: DataFrame, col: str, cut: float = 3.0) -> dict:

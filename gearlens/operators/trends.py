@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gearlens import schema as S
 from gearlens.functions.timefx import as_time, month_name, weekday_name
+from gearlens.operators.common import sorted_small
 from gearlens.operators.prep import first_present
 from gearlens.operators.profile import histogram
 
@@ -37,12 +38,12 @@ def avg_daily_volume(df: DataFrame, ts: str = S.TIME, count_col: str | None = S.
 def monthly_volume(df: DataFrame, ts: str = S.TIME, count_col: str | None = None) -> DataFrame:
     """Count per month number and full month name, ordered by number."""
     t = as_time(df, ts)
-    return (df.select(F.month(t).alias(S.MONTH_NUM), month_name(t).alias(S.MONTH_NAME),
-                      *([F.col(count_col)] if count_col else []))
-              .where(F.col(S.MONTH_NUM).isNotNull())
-              .groupBy(S.MONTH_NUM, S.MONTH_NAME)
-              .agg(_count(count_col).alias("n_inspections"))
-              .orderBy(S.MONTH_NUM))
+    out = (df.select(F.month(t).alias(S.MONTH_NUM), month_name(t).alias(S.MONTH_NAME),
+                     *([F.col(count_col)] if count_col else []))
+             .where(F.col(S.MONTH_NUM).isNotNull())
+             .groupBy(S.MONTH_NUM, S.MONTH_NAME)
+             .agg(_count(count_col).alias("n_inspections")))
+    return sorted_small(out, S.MONTH_NUM)     # at most 12 rows
 
 
 def avg_volume_by_weekday(df: DataFrame, ts: str = S.TIME, count_col: str | None = S.KEY) -> DataFrame:
@@ -59,11 +60,11 @@ def avg_volume_by_weekday(df: DataFrame, ts: str = S.TIME, count_col: str | None
 def hourly_volume(df: DataFrame, ts: str = S.TIME, count_col: str | None = None) -> DataFrame:
     """Inspections per hour of day, ordered by hour."""
     h = F.hour(as_time(df, ts))
-    return (df.select(h.alias(S.HOUR), *([F.col(count_col)] if count_col else []))
-              .where(F.col(S.HOUR).isNotNull())
-              .groupBy(S.HOUR)
-              .agg(_count(count_col).alias("n_inspections"))
-              .orderBy(S.HOUR))
+    out = (df.select(h.alias(S.HOUR), *([F.col(count_col)] if count_col else []))
+             .where(F.col(S.HOUR).isNotNull())
+             .groupBy(S.HOUR)
+             .agg(_count(count_col).alias("n_inspections")))
+    return sorted_small(out, S.HOUR)          # at most 24 rows
 
 
 def daily_intensity_histogram(df: DataFrame, bins: int = 30, ts: str = S.TIME,
@@ -75,19 +76,19 @@ def daily_intensity_histogram(df: DataFrame, bins: int = 30, ts: str = S.TIME,
 def vintage(df: DataFrame, year_cols=(S.REG_YEAR, S.REG_YEAR_ALT)) -> DataFrame:
     """Count per registration year (first present column), ascending."""
     yc = first_present(df, list(year_cols))
-    return (df.select(F.col(yc).alias("registration_year"))
-              .where(F.col("registration_year").isNotNull())
-              .groupBy("registration_year").agg(F.count(F.lit(1)).alias("n_inspections"))
-              .orderBy("registration_year"))
+    out = (df.select(F.col(yc).alias("registration_year"))
+             .where(F.col("registration_year").isNotNull())
+             .groupBy("registration_year").agg(F.count(F.lit(1)).alias("n_inspections")))
+    return sorted_small(out, "registration_year")   # one row per calendar year
 
 
 def registration_month_volume(df: DataFrame, month_col: str = S.REG_MONTH,
                               count_col: str | None = S.KEY) -> DataFrame:
     """Count per registration month."""
-    return (df.select(F.col(month_col).alias("registration_month"), *([F.col(count_col)] if count_col else []))
-              .where(F.col("registration_month").isNotNull())
-              .groupBy("registration_month").agg(_count(count_col).alias("n_inspections"))
-              .orderBy("registration_month"))
+    out = (df.select(F.col(month_col).alias("registration_month"), *([F.col(count_col)] if count_col else []))
+             .where(F.col("registration_month").isNotNull())
+             .groupBy("registration_month").agg(_count(count_col).alias("n_inspections")))
+    return sorted_small(out, "registration_month")   # at most 12 rows
 
 
 def group_mean(df: DataFrame, feature: str, target: str = S.TARGET) -> DataFrame:
