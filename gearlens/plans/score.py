@@ -111,8 +111,7 @@ def residual_outliers(feats: DataFrame, model: PipelineModel, label: str = S.TAR
     pred = model.transform(feats.where(F.col(label).isNotNull()))
     res = pred.select(key, F.col(label).alias("rating"), F.col(PREDICTION).alias("prediction"),
                       F.abs(F.col(label) - F.col(PREDICTION)).alias("residual"))
-    res = res.persist()
-    f = fences(res, "residual", k)
+    f = fences(res, "residual", k)   # its passes keep a narrow projection cached only while they run
     if f is None:
         return res.limit(0)
     lo, hi = f

@@ -17,6 +17,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # long sessions run many small jobs: let the cleaner reclaim shuffle files
+    # and broadcasts of finished queries regularly
+    "spark.cleaner.periodicGC.interval": "1min",
 }
 
 
