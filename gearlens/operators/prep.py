@@ -70,7 +70,7 @@ def fill_unknown(df: DataFrame, cols=None, value: str = S.UNKNOWN_VALUE) -> Data
                        else F.col(_q(c)) for c in df.columns])
 
 
-def iqr_filter(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
+def iqr_filter(df: DataFrame, col: str, k: float = 1.5, exact: bool = True) -> DataFrame:
     """Keep rows strictly inside (q1 - k*IQR, q3 + k*IQR).
 
     Quartiles are exact and linear-interpolated over the non-null values;
@@ -78,7 +78,7 @@ def iqr_filter(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     predicate reaches the parquet scan (PushedFilters).
     """
     from gearlens.operators.profile import fences
-    f = fences(df, col, k)
+    f = fences(df, col, k, exact)
     if f is None:
         return df.limit(0)
     lo, hi = f

@@ -179,9 +179,16 @@ def box_summary(df: DataFrame, col: str, by=None, k: float = 1.5) -> DataFrame:
     return sorted_small(agg, *by) if by else agg
 
 
-def fences(df: DataFrame, col: str, k: float = 1.5) -> tuple[float, float] | None:
-    """(lower, upper) 1.5-IQR fences of a column; None when it is all null."""
-    q = exact_quantiles(df, col, [0.25, 0.75]).get((), None)
+def fences(df: DataFrame, col: str, k: float = 1.5, exact: bool = True,
+           accuracy: int = 100_000) -> tuple[float, float] | None:
+    """(lower, upper) 1.5-IQR fences of a column; None when it is all null.
+    ``exact=False`` takes the quartiles from ``percentile_approx``."""
+    if exact:
+        q = exact_quantiles(df, col, [0.25, 0.75]).get((), None)
+    else:
+        r = df.where(F.col(col).isNotNull()).agg(
+            F.percentile_approx(F.col(col).cast("double"), [0.25, 0.75], accuracy).alias("q")).first()
+        q = list(r["q"]) if r and r["q"] else None
     if q is None:
         return None
     q1, q3 = q

@@ -44,9 +44,16 @@ SKETCH_MARGIN = 3          # bracket half-width, in sketch rank errors
 
 
 def exact_quantiles(df: DataFrame, col: str, probs, by=None, bins: int = 4096,
-                    exact_below: int = 50_000, max_passes: int = 64, seed_with_sketch: bool = True) -> dict:
-    """Return {group tuple: [q for p in probs]} (None for an all-null group)."""
+                    exact_below: int = 50_000, max_passes: int = 64, seed_with_sketch: bool | None = None) -> dict:
+    """Return {group tuple: [q for p in probs]} (None for an all-null group).
+
+    The seeding sketch is used for ungrouped quantiles by default: one sketch
+    per group would multiply its buffer by the group count, and grouped
+    narrowing converges without it.
+    """
     by = list(by or [])
+    if seed_with_sketch is None:
+        seed_with_sketch = not by
     probs = list(probs)
     x = F.col(col).cast("double")
     data = (df.select(*[F.col(b) for b in by], x.alias("__x"))

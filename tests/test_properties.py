@@ -122,3 +122,17 @@ def test_binned_kde_close_to_exact(spark):
     exact = [r.density for r in ST.kde(df, "x", 50).collect()]
     binned = [r.density for r in ST.kde(df, "x", 50, bins=4096).collect()]
     assert max(abs(a - b) for a, b in zip(exact, binned)) < 1e-4
+
+
+def test_approximate_fences_close_to_exact(spark):
+    ev = table(spark, SF, "events")
+    lo, hi = PR.fences(ev, "value")
+    alo, ahi = PR.fences(ev, "value", exact=False)
+    assert abs(alo - lo) < 1.0 and abs(ahi - hi) < 1.0
+    assert abs(P.iqr_filter(ev, "value", exact=False).count() - 9537) < 20
+
+
+def test_search_spaces_draw_distinct_settings(spark):
+    from pyspark.ml.regression import GBTRegressor
+    maps = ML.draw_param_maps(GBTRegressor(), ML.BOOSTED_SPACE_LEAFWISE, ML.SEARCH_DRAWS["leafwise"])
+    assert len(maps) == 50 and len({tuple(sorted((p.name, v) for p, v in m.items())) for m in maps}) == 50
