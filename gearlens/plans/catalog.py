@@ -981,3 +981,16 @@ _c, _b = _kde_sql("""select count(*)::double as x from insp where inspectionStar
 def q_daily_intensity_kde(spark, sf_dir):
     daily = TR.daily_volume(inspections(spark, sf_dir), count_col=None)
     return _kde_out(ST.kde(daily, "n_inspections", 200))
+
+
+@register("outliers_events", """with bq as (select quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3
+            from events where value is not null),
+bf as (select q1 - 1.5 * (q3 - q1) as lower_fence, q3 + 1.5 * (q3 - q1) as upper_fence from bq)
+select event_id, value from events, bf where value < lower_fence or value > upper_fence""")
+def q_outliers_events(spark, sf_dir):
+    return PR.outliers(table(spark, sf_dir, "events"), "value").select("event_id", "value")
+
+
+@register("box_summary_events", "with " + _box_sql("events", "value", None) + f"\nselect {_BOX_SEL} from bx")
+def q_box_summary_events(spark, sf_dir):
+    return _box_out(PR.box_summary(table(spark, sf_dir, "events"), "value"))
