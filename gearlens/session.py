@@ -40,11 +40,34 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime-settable part of BASE_CONF to an existing session."""
-    for k, v in BASE_CONF.items():
-        if k.startswith("spark.sql."):
-            spark.conf.set(k, v)
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def scale_conf(input_bytes: int, target_partition_bytes: int = TARGET_PARTITION_BYTES) -> dict:
+    """Shuffle and scan sizing for an input of ``input_bytes`` (compressed
+    parquet): about 256 MB per scan split and per shuffle partition after AQE
+    coalescing, starting from enough partitions that the largest stage never
+    spills a whole partition; skewed partitions (5x the median and above
+    1 GB) are split by AQE's skew join."""
+    parts = max(200, -(-int(input_bytes) * 3 // target_partition_bytes))   # ~3x expansion when decoded
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
+def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Apply the runtime-settable part of BASE_CONF (and, given the input
+    size, the sizing of :func:`scale_conf`) to an existing session."""
+    conf = {k: v for k, v in BASE_CONF.items() if k.startswith("spark.sql.")}
+    if input_bytes:
+        conf.update(scale_conf(input_bytes))
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     return spark
 

@@ -278,3 +278,10 @@ def test_nan_counts_as_missing(spark):
     assert rates == {"a": 50.0, "b": 0.0}
     corr = {(r.col_a, r.col_b): r.corr for r in PR.pearson_matrix(df, ["a", "b"]).collect()}
     assert round(corr[("a", "b")], 6) == 1.0 and corr[("a", "b")] == corr[("b", "a")]
+
+
+def test_scale_conf():
+    from gearlens.session import scale_conf
+    c = scale_conf(100 * 1024 ** 4)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 * 3 // (256 * 1024 ** 2)
+    assert int(scale_conf(10 * 1024 ** 2)["spark.sql.shuffle.partitions"]) == 200
