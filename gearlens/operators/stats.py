@@ -64,15 +64,15 @@ def mid_ranks(freq: DataFrame, value: str, count: str = "c", by=(), buckets: int
         return freq.withColumn("rank", cum - (F.col(count) - 1) / F.lit(2.0))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = freq.groupBy(*by).agg(F.percentile_approx(v.cast("double"), probs, 10_000).alias("__cuts"))
-    if by:   # one row of cut points per group
-        keyed = freq.join(F.broadcast(cuts), by, "inner")
+    if by:   # one row of cut points per group; AQE broadcasts it when small
+        keyed = freq.join(cuts, by, "inner")
     else:    # a single array: scalar subquery
         keyed = freq.withColumn("__cuts", cuts.select("__cuts").scalar())
     keyed = keyed.withColumn("__bk", F.expr(f"size(filter(__cuts, x -> x < cast(`{value}` as double)))")).drop("__cuts")
     totals = keyed.groupBy(*by, "__bk").agg(F.sum(count).alias("__t"))
     wo = Window.partitionBy(*by).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("__off", F.coalesce(F.sum("__t").over(wo), F.lit(0))).drop("__t")
-    keyed = keyed.join(F.broadcast(offsets), [*by, "__bk"], "inner")
+    keyed = keyed.join(offsets, [*by, "__bk"], "inner")
     w = Window.partitionBy(*by, "__bk").orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
     cum = F.sum(count).over(w) + F.col("__off")
     return keyed.withColumn("rank", cum - (F.col(count) - 1) / F.lit(2.0)).drop("__bk", "__off")
@@ -176,7 +176,9 @@ def moments_from_counts(cnt: DataFrame) -> DataFrame:
     per-group table; no window, so a hot group is still split across tasks)."""
     m = cnt.groupBy("feature", "value").agg(F.sum("c").alias("n"),
                                             (F.sum(F.col("c") * F.col("y")) / F.sum("c")).alias("mean"))
-    ss = (cnt.join(F.broadcast(m), ["feature", "value"])
+    # one row per (feature, value): grows with feature cardinality, so the
+    # join strategy is left to AQE (broadcast when the runtime size is small)
+    ss = (cnt.join(m, ["feature", "value"])
              .groupBy("feature", "value", "n", "mean")
              .agg(F.sum(F.col("c") * F.pow(F.col("y") - F.col("mean"), 2)).alias("ss")))
     return ss.select("feature", "value", "n", "mean",
