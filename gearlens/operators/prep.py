@@ -6,11 +6,8 @@ the driver from ``df.columns``/``df.schema``; they never run a job.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gearlens import schema as S
 
@@ -180,7 +177,3 @@ def attach_features(df: DataFrame, feats: DataFrame, key: str = S.KEY, drop=())
 def append_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Stack two tables by column name, duplicates kept."""
     return a.unionByName(b, allowMissingColumns=False)
-
-
-def regex_escape(s: str) -> str:
-    return re.escape(s)

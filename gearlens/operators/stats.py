@@ -16,7 +16,6 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gearlens import schema as S
 from gearlens.functions.distributions import chi2_sf, f_sf, t_sf_two_sided
@@ -386,4 +385,5 @@ def kde_params(df: DataFrame, col: str, cut: float = 3.0) -> dict:
 
 
 __all__ = ["mid_ranks", "spearman", "spearman_stat", "kruskal_wallis", "kruskal_stats", "t_test", "t_stats",
-           "temporal_trends", "temporal_trend_stats", "anova", "anova_stats", "moments", "vif", "kde", "T"]
+           "temporal_trends", "temporal_trend_stats", "anova", "anova_stats", "moments", "moments_from_counts",
+           "value_counts", "rank_buckets", "vif", "kde"]
