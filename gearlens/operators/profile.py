@@ -125,11 +125,12 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     lo, hi = r.getField("lo"), r.getField("hi")
     b = F.least(F.floor((F.col("x") - lo) / (hi - lo) * F.lit(bins)), F.lit(bins - 1)).cast("int")
     counts = vals.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    edges = rng.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", "hi")
+    # the edges use the same (reused) scalar subquery: no second pass over the input
+    edges = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     edges = edges.select(
         "bin",
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / F.lit(bins)).alias("bin_lo"),
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("bin") + 1) / F.lit(bins)).alias("bin_hi"))
+        (lo + (hi - lo) * F.col("bin") / F.lit(bins)).alias("bin_lo"),
+        (lo + (hi - lo) * (F.col("bin") + 1) / F.lit(bins)).alias("bin_hi"))
     # edges has exactly ``bins`` rows
     out = (edges.join(F.broadcast(counts), "bin", "left")
                 .select("bin", "bin_lo", "bin_hi", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
