@@ -994,3 +994,28 @@ def q_outliers_events(spark, sf_dir):
 @register("box_summary_events", "with " + _box_sql("events", "value", None) + f"\nselect {_BOX_SEL} from bx")
 def q_box_summary_events(spark, sf_dir):
     return _box_out(PR.box_summary(table(spark, sf_dir, "events"), "value"))
+
+
+# Notebook flow: ANOVA of the rating over the rolled-up flags (as text) of the
+# cleaned table (slot nulls filled with 'yes', IQR filters on year, odometer).
+_FILLED = [f"coalesce({c}, 'yes')" for c in SLOT_COLUMNS]
+
+
+def _any_filled(v):
+    return "case when " + " or ".join(f"{c} = '{v}'" for c in _FILLED) + " then 1 else 0 end"
+
+
+_ROLLUP_LONG = "\nunion all\n".join([
+    f"select '{_B}battery_value_Yes_Yes' as feature, cast({_flag(CONDITION_COLUMN, 'Yes')} as varchar) as value, "
+    "rating_engineTransmission as y from f2",
+    *[f"select '{_B}battery_cc_value_{v}' as feature, cast({_any_filled(v)} as varchar) as value, "
+      "rating_engineTransmission as y from f2" for v in ("N", "R", "yes")]])
+_AR = _anova_sql(_ROLLUP_LONG).split("|")
+
+
+@register("anova_rollup", with_insp(_AR[1], _iqr_sql("insp", "year", "f1") + ",\n"
+                                    + _iqr_sql("f1", "odometer_reading", "f2") + ",\n" + _AR[0]))
+def q_anova_rollup(spark, sf_dir):
+    tbl, names = PL.anova_table(inspections(spark, sf_dir))
+    a = ST.anova_stats(ST.moments(ST._long(tbl, names, S.TARGET)))
+    return a.select("feature", "k", F.col("N").cast("bigint").alias("N"), r6("statistic").alias("statistic"), "df1", "df2")
