@@ -911,11 +911,13 @@ def q_score(spark, sf_dir):
     return scored
 
 
-@register("score_rejects")
+@register("score_rejects", with_insp("""
+select cast(appointmentId as varchar) as request_id, strftime(inspectionStartTime, '%Y-%m-%dT%H:%M') as inspectionStartTime,
+       coalesce(cast(cast(odometer_reading as bigint) as varchar), 'x') as odometer_reading,
+       'bad odometer_reading' as reject_reason
+from insp where odometer_reading is null"""))
 def q_score_rejects(spark, sf_dir):
-    m, cols = _model(spark, sf_dir)
-    _, rejected = SC.score_requests(_requests(spark, sf_dir), m, cols)
-    return rejected
+    return SC.reject_records(_requests(spark, sf_dir))
 
 
 @register("degradation")

@@ -75,15 +75,23 @@ def request_features(req: DataFrame, columns, year_month_default: int = 0) -> Da
                     *feature_exprs(columns, year_month_default))
 
 
+def reject_records(req: DataFrame) -> DataFrame:
+    """Records that cannot be scored, with their raw fields and the reason
+    (needs no model)."""
+    p = parsed_requests(req)
+    rid = F.col("request_id") if "request_id" in p.columns else F.lit(None).cast("string")
+    return p.where(F.col("reject_reason").isNotNull()).select(
+        rid.alias("request_id"), F.col("__time_text").alias("inspectionStartTime"),
+        F.col("__odo_text").alias("odometer_reading"), "reject_reason")
+
+
 def score_requests(req: DataFrame, model: PipelineModel, columns,
                    year_month_default: int = 0) -> tuple[DataFrame, DataFrame]:
     """(scored, rejected).  Scored rows carry the clamped prediction and
     its grade; rejected rows carry the raw fields and the reason."""
     feats = request_features(req, columns, year_month_default)
     good = feats.where(F.col("reject_reason").isNull())
-    bad = feats.where(F.col("reject_reason").isNotNull()).select(
-        "request_id", F.col("__time_text").alias("inspectionStartTime"),
-        F.col("__odo_text").alias("odometer_reading"), "reject_reason")
+    bad = reject_records(req)
     pred = model.transform(good.drop("reject_reason", "__time_text", "__odo_text", "__odo"))
     clamped = BD.clamp(F.col(PREDICTION))
     scored = pred.select("request_id", F.col(PREDICTION).alias("raw_prediction"),
