@@ -319,12 +319,18 @@ def vif(df: DataFrame, cols, add_constant: bool = True) -> DataFrame:
             cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] if r[f"c{i}_{j}"] is not None else float("nan")
     means = np.array([r[f"m{i}"] for i in range(k)], dtype=float)
     out = []
+    # scale-free form: correlation matrix R and z = mean / sd, so columns of
+    # very different scales (odometer vs. month) do not hurt the inversion
+    sd = np.sqrt(np.diag(cov))
     try:
-        inv = np.linalg.inv(cov)
-        if not np.all(np.isfinite(inv)) or np.linalg.cond(cov) > 1e15:
+        if not np.all(np.isfinite(cov)) or np.any(sd == 0):
             raise np.linalg.LinAlgError
-        vifs = np.diag(inv) * np.diag(cov)
-        const_vif = 1.0 + n / (n - 1) * float(means @ inv @ means)
+        corr = cov / np.outer(sd, sd)
+        if np.linalg.cond(corr) > 1e13:
+            raise np.linalg.LinAlgError
+        vifs = np.diag(np.linalg.inv(corr))
+        z = means / sd
+        const_vif = 1.0 + n / (n - 1) * float(z @ np.linalg.solve(corr, z))
     except np.linalg.LinAlgError:
         vifs = np.full(k, np.inf)
         const_vif = float("inf")

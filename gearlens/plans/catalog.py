@@ -658,11 +658,6 @@ def q_kde_event_value(spark, sf_dir):
     return k.select("grid_index", r6("x").alias("x"), F.round("density", 9).alias("density"))
 
 
-@register("vif")
-def q_vif(spark, sf_dir):
-    return ST.vif(inspections(spark, sf_dir), [S.REG_YEAR, S.REG_MONTH, S.ODOMETER, S.TARGET])
-
-
 # ---------------------------------------------------------------------------
 # F4-F18 scalar rules
 # ---------------------------------------------------------------------------
@@ -1021,3 +1016,67 @@ def q_anova_rollup(spark, sf_dir):
     tbl, names = PL.anova_table(inspections(spark, sf_dir))
     a = ST.anova_stats(ST.moments(ST._long(tbl, names, S.TARGET)))
     return a.select("feature", "k", F.col("N").cast("bigint").alias("N"), r6("statistic").alias("statistic"), "df1", "df2")
+
+
+# ---------------------------------------------------------------------------
+# T6 oracle: closed-form inverse of the 4 x 4 correlation matrix in SQL
+# (Leibniz determinant and cofactors), VIF_j = inv(R)_jj, and the constant's
+# VIF = 1 + n/(n-1) z' inv(R) z with z = mean / sd.
+# ---------------------------------------------------------------------------
+import itertools  # noqa: E402
+
+
+def _perm_sign(p):
+    s, p = 1, list(p)
+    for i in range(len(p)):
+        while p[i] != i:
+            j = p[i]
+            p[i], p[j] = p[j], p[i]
+            s = -s
+    return s
+
+
+def _det_sql(idx, cell):
+    terms = []
+    for perm in itertools.permutations(range(len(idx))):
+        prod = " * ".join(cell(idx[a], idx[b]) for a, b in enumerate(perm))
+        terms.append(("+ " if _perm_sign(perm) > 0 else "- ") + f"({prod})")
+    return "(" + " ".join(terms).lstrip("+ ") + ")"
+
+
+def _vif_sql(cols) -> str:
+    k = len(cols)
+
+    def cell(i, j):
+        return f"r{min(i, j)}{max(i, j)}"
+
+    rcols = ", ".join(f"{'1.0::double' if i == j else f'corr({cols[i]}, {cols[j]})'} as r{i}{j}"
+                      for i in range(k) for j in range(i, k))
+    zcols = ", ".join(f"avg({c}) / stddev_samp({c}) as z{i}" for i, c in enumerate(cols))
+    det = _det_sql(list(range(k)), cell)
+
+    def cof(i, j):
+        rows = [a for a in range(k) if a != i]
+        cs = [b for b in range(k) if b != j]
+        minor = _det_sql(list(range(k - 1)), lambda a, b: cell(rows[a], cs[b]))
+        return f"{'' if (i + j) % 2 == 0 else '-'}{minor}"
+
+    quad = " + ".join(f"z{i} * z{j} * {cof(i, j)}" for i in range(k) for j in range(k))
+    sel = [f"select 'const' as feature, round(1 + n / (n - 1.0) * ({quad}) / d, 4) as vif from m"]
+    sel += [f"select '{c}' as feature, round({cof(i, i)} / d, 4) as vif from m" for i, c in enumerate(cols)]
+    nonnull = " and ".join(f"{c} is not null" for c in cols)
+    return f"""vx as (select {", ".join(f"cast({c} as double) as {c}" for c in cols)} from insp where {nonnull}),
+mm as (select count(*) as n, {rcols}, {zcols} from vx),
+m as (select *, {det} as d from mm)
+""" + "\nunion all\n".join(sel)
+
+
+_VIF_COLS = [S.REG_YEAR, S.REG_MONTH, S.ODOMETER, S.TARGET]
+_VIF = _vif_sql(_VIF_COLS).split("\n", 3)
+
+
+@register("vif", with_insp(_VIF[3], "\n".join(_VIF[:3])))
+def q_vif(spark, sf_dir):
+    # 4 decimals: the constant's VIF is large (its z-scores are ~1e3)
+    v = ST.vif(inspections(spark, sf_dir), _VIF_COLS)
+    return v.select("feature", F.round("vif", 4).alias("vif"))
