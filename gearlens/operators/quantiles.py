@@ -10,7 +10,9 @@ by narrowing an interval that is known to contain it:
    give each order statistic a *candidate* interval [a, b];
 2. one aggregation counts, per interval, the rows below ``a`` and the rows of
    each of ``bins`` equal-width buckets of [a, b] with the bucket's min and
-   max -- at most bins + 1 rows per interval reach the driver.  If the rank
+   max -- at most bins + 1 rows per interval, and about DRIVER_ROWS rows per
+   job (many intervals get fewer buckets and are taken in chunks), reach the
+   driver.  If the rank
    is not inside [a, b] after all (the sketch is only trusted after this
    exact check) the interval falls back to [min, max];
 3. the bucket holding the rank becomes the new interval; a bucket whose min
@@ -39,6 +41,8 @@ def _group_key(row, by):
     return tuple(row[b] for b in by)
 
 
+DRIVER_ROWS = 1_000_000    # rows one narrowing job may return to the driver
+MIN_BINS = 16              # fewest buckets per interval and pass
 SKETCH_ACCURACY = 10_000   # rank error of the seeding sketch: n / accuracy
 SKETCH_MARGIN = 3          # bracket half-width, in sketch rank errors
 
@@ -112,7 +116,6 @@ def _interval_frame(spark, by_fields, intervals):
 
 
 def _narrow(data: DataFrame, by, targets, bins, exact_below, max_passes):
-    spark = data.sparkSession
     by_fields = [data.schema[b] for b in by]
     for _ in range(max_passes):
         active = [k for k, t in targets.items() if t["value"] is None]
@@ -124,15 +127,23 @@ def _narrow(data: DataFrame, by, targets, bins, exact_below, max_passes):
             t = targets[k]
             ivs.setdefault((k[0], t["a"], t["b"]), []).append(k)
         iv_list = list(ivs.items())
+        # Rows one job may return per interval: with many intervals (many
+        # groups) the buckets get fewer and only intervals this small are
+        # finished from their values, so no job returns more than about
+        # DRIVER_ROWS rows; the intervals are then taken in chunks.
+        per_iv = max(MIN_BINS + 1, DRIVER_ROWS // len(iv_list))
+        round_bins = min(bins, per_iv - 1)
+        cut = min(exact_below, per_iv)
         def is_small(ks):
             t = targets[ks[0]]
-            return not t["check"] and t["n_in"] <= exact_below
+            return not t["check"] and t["n_in"] <= cut
         small = [(i, key) for i, (key, ks) in enumerate(iv_list) if is_small(ks)]
         big = [(i, key) for i, (key, ks) in enumerate(iv_list) if not is_small(ks)]
-        if small:
-            _finish_small(data, by, by_fields, small, iv_list, targets)
-        if big:
-            _histogram_pass(data, by, by_fields, big, iv_list, targets, bins)
+        step = max(1, DRIVER_ROWS // per_iv)
+        for s in range(0, len(small), step):
+            _finish_small(data, by, by_fields, small[s:s + step], iv_list, targets)
+        for s in range(0, len(big), step):
+            _histogram_pass(data, by, by_fields, big[s:s + step], iv_list, targets, round_bins)
     raise RuntimeError("quantile narrowing did not converge")
 
 

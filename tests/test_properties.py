@@ -53,6 +53,19 @@ def test_exact_quantiles_when_sketch_bracket_misses(spark, monkeypatch):
     assert got == pytest.approx([_linear_quantile(xs, 0.25), _linear_quantile(xs, 0.75)], rel=1e-12)
 
 
+def test_exact_quantiles_with_small_driver_budget(spark, monkeypatch):
+    # many intervals for the budget: fewer buckets, chunked jobs, still exact
+    monkeypatch.setattr(Q, "DRIVER_ROWS", 400)
+    rng = random.Random(5)
+    rows = [(g, rng.expovariate(1.0)) for g in range(12) for _ in range(150)]
+    rows += [(3, 0.5)] * 900           # a hot group
+    df = spark.createDataFrame(rows, "g int, x double")
+    got = Q.exact_quantiles(df, "x", [0.25, 0.75], by=["g"])
+    for g in range(12):
+        xs = [x for gg, x in rows if gg == g]
+        assert got[(g,)] == pytest.approx([_linear_quantile(xs, 0.25), _linear_quantile(xs, 0.75)], rel=1e-12)
+
+
 def test_bucketed_mid_ranks_equal_single_window(spark):
     rng = random.Random(3)
     rows = [(rng.choice("xy"), float(rng.randint(0, 400))) for _ in range(4000)]
