@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -93,10 +94,24 @@ def _labelled(df: DataFrame, label: str, int_target: bool) -> DataFrame:
     return df.where(F.col(label).isNotNull()).withColumn(label, y)
 
 
+def _fit_input(df: DataFrame, features, label: str, int_target: bool) -> DataFrame:
+    """The labelled rows, feature and label columns only, persisted: the tree
+    learners pass over their input several times before caching their own
+    binned copy (row count, split sampling, binning), and without this every
+    pass would recompute the whole feature plan.  Blocks lost with an
+    executor are recomputed from the lineage."""
+    cols = [F.col(f"`{c}`") for c in dict.fromkeys(list(features) + [label])]
+    return _labelled(df.select(*cols), label, int_target).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def train(df: DataFrame, features, kind: str = "boosted", label: str = S.TARGET,
           int_target: bool = False, **params) -> PipelineModel:
     """M2 (decision_tree), M3 (random_forest), M4 (boosted)."""
-    return make_pipeline(features, kind, label, **params).fit(_labelled(df, label, int_target))
+    data = _fit_input(df, features, label, int_target)
+    try:
+        return make_pipeline(features, kind, label, **params).fit(data)
+    finally:
+        data.unpersist()
 
 
 def train_tree(df, features, **kw):
@@ -183,7 +198,11 @@ def random_search(df: DataFrame, features, space: dict | None = None, n: int = 2
     ev = RegressionEvaluator(labelCol=label, predictionCol=PREDICTION, metricName="r2")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
                         seed=seed, parallelism=parallelism)
-    return cv.fit(_labelled(df, label, False)), maps
+    data = _fit_input(df, features, label, False)
+    try:
+        return cv.fit(data), maps
+    finally:
+        data.unpersist()
 
 
 def search_results(cv_model, maps) -> DataFrame:
