@@ -51,12 +51,18 @@ def inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
              # only line numbers that feed a slot; pushed into the parquet scan
              .where(F.col("l_linenumber").between(1, len(SLOT_BY_LINE))))
-    # (l_orderkey, l_linenumber) is not unique, so the pivot takes max(); the
-    # aggregate is partial on the map side, so hot keys are combined early.
-    slot_aggs = [F.max(F.when(F.col("l_linenumber") == i, F.col("l_returnflag"))).alias(name)
-                 for i, name in SLOT_BY_LINE.items()]
-    slot_aggs.append(F.max(F.when(F.col("l_linenumber") == 1, F.col("l_linestatus"))).alias(COMMENT_COLUMN))
+    # (l_orderkey, l_linenumber) is not unique, so the pivot takes the max.
+    # The flags are one ASCII letter each, so the max is taken over the
+    # character code and turned back into the letter afterwards: an int buffer
+    # keeps this a hash aggregate, partial on the map side (hot keys combined
+    # early), where a max over strings would sort every lineitem row first.
+    def code_max(line, c):
+        return F.max(F.when(F.col("l_linenumber") == line, F.ascii(c)))
+
+    slot_aggs = [code_max(i, "l_returnflag").alias(name) for i, name in SLOT_BY_LINE.items()]
+    slot_aggs.append(code_max(1, "l_linestatus").alias(COMMENT_COLUMN))
     slots = lines.groupBy("l_orderkey").agg(*slot_aggs)
+    slots = slots.select("l_orderkey", *[F.char(c).alias(c) for c in SLOT_COLUMNS + [COMMENT_COLUMN]])
 
     k = F.get_json_object("props", "$.k").cast("int")
     base = events.join(orders, events.event_id == orders.o_orderkey, "inner")
@@ -77,9 +83,9 @@ def inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _slot_sql() -> str:
-    parts = [f"max(case when l_linenumber = {i} then l_returnflag end) as {name}"
+    parts = [f"chr(max(case when l_linenumber = {i} then ascii(l_returnflag) end)) as {name}"
              for i, name in SLOT_BY_LINE.items()]
-    parts.append(f"max(case when l_linenumber = 1 then l_linestatus end) as {COMMENT_COLUMN}")
+    parts.append(f"chr(max(case when l_linenumber = 1 then ascii(l_linestatus) end)) as {COMMENT_COLUMN}")
     return ",\n         ".join(parts)
 
 
