@@ -86,12 +86,21 @@ def spearman_stat(df: DataFrame, a: str, b: str, buckets: int | None = None) ->
     Rows are first reduced to (a, b, count); ranks come from the marginal
     frequencies; rho is the weighted Pearson correlation of the ranks.
     """
-    pairs = (df.select(F.col(_q(a)).alias("a"), F.col(_q(b)).alias("b"))
-               .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-               .groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
-    ra = mid_ranks(pairs.groupBy("a").agg(F.sum("c").alias("c")), "a", "c", buckets=buckets) \
+    both = (df.select(F.col(_q(a)).alias("a"), F.col(_q(b)).alias("b"))
+              .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
+    pairs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    if buckets is None:
+        # one sizing pass for both columns: HyperLogLog estimates of the
+        # distinct counts (partial aggregation, no shuffle of values); the
+        # range count only balances the work, the ranks do not depend on it
+        est = both.agg(F.approx_count_distinct("a", 0.01).alias("a"),
+                       F.approx_count_distinct("b", 0.01).alias("b")).first()
+        buckets_a, buckets_b = (max(1, math.ceil(1.05 * est[c] / ROWS_PER_RANK_TASK)) for c in ("a", "b"))
+    else:
+        buckets_a = buckets_b = buckets
+    ra = mid_ranks(pairs.groupBy("a").agg(F.sum("c").alias("c")), "a", "c", buckets=buckets_a) \
         .select("a", F.col("rank").alias("ra"))
-    rb = mid_ranks(pairs.groupBy("b").agg(F.sum("c").alias("c")), "b", "c", buckets=buckets) \
+    rb = mid_ranks(pairs.groupBy("b").agg(F.sum("c").alias("c")), "b", "c", buckets=buckets_b) \
         .select("b", F.col("rank").alias("rb"))
     j = pairs.join(ra, "a").join(rb, "b")
     m = j.agg(F.struct(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("ra")) / F.sum("c")).alias("ma"),

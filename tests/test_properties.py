@@ -66,6 +66,18 @@ def test_exact_quantiles_with_small_driver_budget(spark, monkeypatch):
         assert got[(g,)] == pytest.approx([_linear_quantile(xs, 0.25), _linear_quantile(xs, 0.75)], rel=1e-12)
 
 
+def test_spearman_sized_ranges_equal_single_window(spark, monkeypatch):
+    # a small per-window bound makes the sizing pass choose several ranges
+    rng = random.Random(9)
+    rows = [(float(rng.randint(0, 300)), rng.gauss(0, 1)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    whole = ST.spearman_stat(df, "a", "b", buckets=1).first()
+    monkeypatch.setattr(ST, "ROWS_PER_RANK_TASK", 200)
+    ranged = ST.spearman_stat(df, "a", "b").first()
+    assert ranged["n"] == whole["n"] == 3000
+    assert ranged["rho"] == pytest.approx(whole["rho"], rel=1e-12)
+
+
 def test_bucketed_mid_ranks_equal_single_window(spark):
     rng = random.Random(3)
     rows = [(rng.choice("xy"), float(rng.randint(0, 400))) for _ in range(4000)]
