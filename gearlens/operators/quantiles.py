@@ -148,6 +148,18 @@ def _narrow(data: DataFrame, by, targets, bins, exact_below, max_passes):
 
 
 def _join_intervals(data, by, by_fields, chosen, with_below: bool = False):
+    if not by:
+        # ungrouped: a few intervals (two per probability at most) as a
+        # literal array; each row keeps the intervals that hold it -- a
+        # projection, where a join on a range condition would be a nested loop
+        ivs = F.array(*[F.struct(F.lit(i).alias("iid"), F.lit(float(key[1])).alias("a"),
+                                 F.lit(float(key[2])).alias("b")) for i, key in chosen])
+        def holds(iv):
+            below_b = F.col("__x") <= iv["b"]
+            return below_b if with_below else below_b & (F.col("__x") >= iv["a"])
+        hits = data.select("__x", F.explode(F.filter(ivs, holds)).alias("__iv"))
+        return hits.select(F.col("__iv.iid").alias("__iid"), "__x",
+                           F.col("__iv.a").alias("__a"), F.col("__iv.b").alias("__b"))
     rows = [tuple(key[0]) + (i, float(key[1]), float(key[2])) for i, key in chosen]
     ivf = _interval_frame(data.sparkSession, by_fields, rows)
     cond = F.col("__x") <= F.col("__b")
