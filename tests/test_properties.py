@@ -78,6 +78,19 @@ def test_spearman_sized_ranges_equal_single_window(spark, monkeypatch):
     assert ranged["rho"] == pytest.approx(whole["rho"], rel=1e-12)
 
 
+def test_kruskal_sized_ranges_equal_single_window(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(rng.choice("pqrs"), float(rng.randint(0, 500))) for _ in range(4000)]
+    long = spark.createDataFrame(rows, "value string, y double").withColumn("feature", F.lit("f"))
+    whole = ST.kruskal_stats(long).first()
+    monkeypatch.setattr(ST, "ROWS_PER_RANK_TASK", 50)
+    ties = long.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("t"))
+    assert ST.rank_buckets(ties, ["feature"]) > 1
+    ranged = ST.kruskal_stats(long).first()
+    assert (ranged["k"], ranged["N"]) == (whole["k"], whole["N"]) == (4, 4000)
+    assert ranged["statistic"] == pytest.approx(whole["statistic"], rel=1e-12)
+
+
 def test_bucketed_mid_ranks_equal_single_window(spark):
     rng = random.Random(3)
     rows = [(rng.choice("xy"), float(rng.randint(0, 400))) for _ in range(4000)]
