@@ -34,7 +34,23 @@ def parse_time(c: str | Column, time_of_day: str | Column | None = None) -> Colu
     if time_of_day is not None:
         text = F.concat_ws(" ", text, _c(time_of_day).cast("string"))
     text = F.trim(text)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS])
+    # A layout can only match text of its own shape ('T' or space between date
+    # and time, number of ':' and '.'), and the shapes of the layouts do not
+    # overlap; so each text is parsed with the one layout of its shape, which
+    # gives what trying them all in order gives, without a failed parse (an
+    # exception inside the parser) per layout tried before the right one.
+    def parse(i):
+        return F.try_to_timestamp(text, F.lit(TIME_FORMATS[i]))
+    iso = text.contains("T")
+    colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
+    frac = text.contains(".")
+    return (F.when(iso & (colons == 2) & frac, parse(0))
+             .when(iso & (colons == 2), parse(1))
+             .when(iso & (colons == 1), parse(2))
+             .when(~iso & (colons == 2) & frac, parse(3))
+             .when(~iso & (colons == 2), parse(4))
+             .when(~iso & (colons == 1), parse(5))
+             .when(colons == 0, parse(6)))
 
 
 def as_time(df: DataFrame, c: str = S.TIME) -> Column:
