@@ -72,6 +72,18 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
     return spark
 
 
+def input_bytes(df) -> int:
+    """Bytes of the files a DataFrame scans, from the optimizer's statistics of
+    its leaf relations (metadata only, no job).  The root estimate is not used:
+    without cost-based statistics a join's estimate is the product of its
+    inputs.  0 when the plan is not reachable (e.g. Spark Connect)."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:
+        return 0
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

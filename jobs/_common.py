@@ -8,17 +8,21 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def load_input(spark, args):
     """The inspection table: a file/folder (--data) or derived from the
     driver tables (--sf-dir)."""
+    from gearlens.session import configure, input_bytes
     from gearlens.sources.driver_tables import inspections
     from gearlens.sources.io import read_inspections
-    if args.sf_dir:
-        return inspections(spark, args.sf_dir)
-    return read_inspections(spark, args.data)
+    df = inspections(spark, args.sf_dir) if args.sf_dir else read_inspections(spark, args.data)
+    if getattr(args, "cluster_session", False):
+        # size scans and shuffles to the input (see session.scale_conf)
+        configure(spark, input_bytes=input_bytes(df))
+    return df
 
 
 def session(args):
     from gearlens.session import configure, get_session
     from pyspark.sql import SparkSession
     active = SparkSession.getActiveSession()
+    args.cluster_session = active is not None
     if active is not None:
         return configure(active)
     return get_session(args.master, args.shuffle_partitions)

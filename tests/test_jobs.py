@@ -13,10 +13,23 @@ JOBS = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
 
 
 def run_job(monkeypatch, name, args):
+    # in-process, the job sees the test session as a cluster session and sizes
+    # it to its input; the session's settings are restored for later tests
+    from pyspark.sql import SparkSession
+    from gearlens.session import scale_conf
+    spark = SparkSession.getActiveSession()
+    saved = {k: spark.conf.get(k, None) for k in scale_conf(1)}
     monkeypatch.syspath_prepend(JOBS)
     monkeypatch.setattr(sys, "argv", [name] + args)
     mod = importlib.import_module(name)
-    mod.main()
+    try:
+        mod.main()
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def test_train_report_score(spark, monkeypatch, tmp_path):
@@ -36,3 +49,14 @@ def test_train_report_score(spark, monkeypatch, tmp_path):
     scored = spark.read.parquet(str(tmp_path / "scores" / "scored")).count()
     rejected = spark.read.parquet(str(tmp_path / "scores" / "rejected")).count()
     assert scored + rejected == inspections(spark, SF).count() and rejected > 0
+
+
+def test_input_bytes_sums_scanned_files(spark):
+    import os
+    from gearlens.session import input_bytes, scale_conf
+    from gearlens.sources.driver_tables import inspections
+    sf = "/root/testdata/sf0.01"
+    want = sum(os.path.getsize(f"{sf}/{t}.parquet") for t in ("events", "orders", "lineitem"))
+    assert input_bytes(inspections(spark, sf)) == want
+    # 100 TB of parquet: ~1.2 M initial shuffle partitions before AQE merges small ones
+    assert int(scale_conf(100 * 1024 ** 4)["spark.sql.shuffle.partitions"]) == 1_228_800

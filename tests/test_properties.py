@@ -88,7 +88,8 @@ def test_kruskal_sized_ranges_equal_single_window(spark, monkeypatch):
     assert ST.rank_buckets(ties, ["feature"]) > 1
     ranged = ST.kruskal_stats(long).first()
     assert (ranged["k"], ranged["N"]) == (whole["k"], whole["N"]) == (4, 4000)
-    assert ranged["statistic"] == pytest.approx(whole["statistic"], rel=1e-12)
+    # H is a difference of large terms: summation order moves its last digits
+    assert ranged["statistic"] == pytest.approx(whole["statistic"], rel=1e-9)
 
 
 def test_bucketed_mid_ranks_equal_single_window(spark):
