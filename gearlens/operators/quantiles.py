@@ -12,9 +12,8 @@ by narrowing an interval that is known to contain it:
    each of ``bins`` equal-width buckets of [a, b] with the bucket's min and
    max -- at most bins + 1 rows per interval, and about DRIVER_ROWS rows per
    job (many intervals get fewer buckets and are taken in chunks), reach the
-   driver.  If the rank
-   is not inside [a, b] after all (the sketch is only trusted after this
-   exact check) the interval falls back to [min, max];
+   driver.  If the rank is not inside [a, b] after all (the sketch is only
+   trusted after this exact check) the interval falls back to [min, max];
 3. the bucket holding the rank becomes the new interval; a bucket whose min
    equals its max is the answer; an interval of at most ``exact_below`` rows
    is finished from its (value, count) pairs.
