@@ -24,6 +24,7 @@ def run_job(monkeypatch, name, args):
     mod = importlib.import_module(name)
     try:
         mod.main()
+        return spark.conf.get("spark.sql.shuffle.partitions")
     finally:
         for k, v in saved.items():
             if v is None:
@@ -34,7 +35,8 @@ def run_job(monkeypatch, name, args):
 
 def test_train_report_score(spark, monkeypatch, tmp_path):
     model = str(tmp_path / "model")
-    run_job(monkeypatch, "train", ["--sf-dir", SF, "--model", model, "--max-iter", "3"])
+    parts = run_job(monkeypatch, "train", ["--sf-dir", SF, "--model", model, "--max-iter", "3"])
+    assert parts == "200"      # sized to its (small) input: scale_conf's floor
     assert os.path.isdir(model) and os.path.isdir(model + "_columns")
 
     run_job(monkeypatch, "report", ["--sf-dir", SF, "--out", str(tmp_path / "report")])
