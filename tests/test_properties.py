@@ -53,6 +53,16 @@ def test_exact_quantiles_when_sketch_bracket_misses(spark, monkeypatch):
     assert got == pytest.approx([_linear_quantile(xs, 0.25), _linear_quantile(xs, 0.75)], rel=1e-12)
 
 
+def test_exact_quantiles_many_probabilities_ungrouped(spark):
+    # ~100 order statistics at once: a long literal interval array per row
+    rng = random.Random(17)
+    xs = [rng.paretovariate(1.5) for _ in range(4000)] + [1.0] * 1500
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    probs = [i / 50 for i in range(51)]
+    got = Q.exact_quantiles(df, "x", probs, bins=64, exact_below=200)[()]
+    assert got == pytest.approx([_linear_quantile(xs, p) for p in probs], rel=1e-12)
+
+
 def test_exact_quantiles_with_small_driver_budget(spark, monkeypatch):
     # many intervals for the budget: fewer buckets, chunked jobs, still exact
     monkeypatch.setattr(Q, "DRIVER_ROWS", 400)
