@@ -28,8 +28,8 @@ BATCH_CHARS = 3_000_000
 UNKNOWN = "und"
 
 
-def char_classes() -> np.ndarray:
-    """Class of each code point: its lower-case letter's code point, or 0 (no letter)."""
+def lower_letters() -> np.ndarray:
+    """For each code point the code point of its lower-case letter, or 0 (no letter)."""
     t = np.zeros(0x110000, np.uint32)
     for c in range(0x110000):
         s = chr(c)
@@ -40,7 +40,7 @@ def char_classes() -> np.ndarray:
 
 
 def normalise(text: str, classes: np.ndarray) -> np.ndarray:
-    """Lower-case letters of a text, every run of other characters one 0 between them."""
+    """Classes of a text's letters, every run of other characters one 0 between them."""
     x = classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     keep = x > 0
     keep[1:] |= x[:-1] > 0
@@ -48,14 +48,27 @@ def normalise(text: str, classes: np.ndarray) -> np.ndarray:
     return x[:-1] if len(x) and x[-1] == 0 else x
 
 
+class Alphabet:
+    """Small numbers for the letters of the sample: 0 no letter, then one each,
+    ``other`` for letters never seen, ``pad`` behind a text's end."""
+
+    def __init__(self, samples: list[np.ndarray], lower: np.ndarray):
+        seen = np.unique(np.concatenate([*samples, np.zeros(1, np.uint32)]))
+        self.other, self.pad = len(seen), len(seen) + 1
+        small = np.full(0x110000, self.other, np.uint16)
+        small[seen] = np.arange(len(seen))
+        self.lower_codes = small
+        self.of = small[lower]
+
+
 class Automaton:
-    """Suffix automaton of one language as a dense table: row = state, column =
-    character class; 0 (the root) means that no such phrase goes on."""
+    """Suffix automaton of one language as a dense table of rows (states) and
+    columns (character classes).  An entry is the offset of the next state's row;
+    where the phrase can't go on, it is ~(offset of the state that the character
+    starts a new phrase with), which is negative."""
 
-    def __init__(self, text: np.ndarray):
-        self.letters, codes = np.unique(text, return_inverse=True)
-        self.width = len(self.letters) + 1                      # the last column: characters never seen
-        self.length = max(2, len(text))
+    def __init__(self, codes: np.ndarray, width: int):
+        self.length = max(2, len(codes))
         go, link, size, last = [{}], [-1], [0], 0
         for c in codes.tolist():
             cur = len(go)
@@ -80,53 +93,52 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = twin
             last = cur
-        self.next = np.zeros(len(go) * self.width, np.int32)
+        start = np.array([go[0].get(c, 0) * width for c in range(width)], np.int32)
+        rows = np.tile(~start, (len(go), 1))
         for s, arcs in enumerate(go):
             for c, t in arcs.items():
-                self.next[s * self.width + c] = t * self.width   # the target's row begins there
-
-    def codes(self, chars: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.letters, chars)
-        at[at == len(self.letters)] = 0
-        return np.where(self.letters[at] == chars, at, self.width - 1).astype(np.int32)
+                rows[s, c] = t * width
+        rows[0] = start                                          # at the root no phrase is open
+        self.next = rows.ravel()
+        self.unseen = start == 0
+        self.unseen[-1] = False                                  # the padding
 
     def phrases(self, columns: np.ndarray, alive: np.ndarray) -> np.ndarray:
         """Phrases of blocks parsed side by side; ``columns[t]`` has the t-th
-        character of the first ``alive[t]`` blocks (the longest come first)."""
-        codes = self.codes(columns.ravel()).reshape(columns.shape)
-        count = np.zeros(columns.shape[1], np.int32)
+        character of the blocks, of which the first ``alive[t]`` are that long."""
+        count = self.unseen[columns].sum(0, dtype=np.int32)      # a character of no phrase counts as one
         state = np.zeros(columns.shape[1], np.int32)
+        at = np.zeros(columns.shape[1], np.int64)
+        to, ends = np.zeros_like(state), np.zeros_like(state)
         for t in range(len(columns)):
             n = alive[t]
-            c, s = codes[t, :n], state[:n]
-            to = self.next[s + c]
-            ends = to == 0                                       # the phrase can't go on: a new one starts here
-            count[:n] += ends & (s > 0)
-            start = self.next[c]
-            count[:n] += ends & (start == 0)                     # a character of no phrase counts as one
-            state[:n] = np.where(ends, start, to)
+            s, v, e = state[:n], to[:n], ends[:n]
+            np.add(s, columns[t, :n], out=at[:n])
+            np.take(self.next, at[:n], out=v, mode="clip")
+            np.right_shift(v, 31, out=e)                         # -1 where a phrase ends
+            count[:n] -= e
+            np.bitwise_xor(v, e, out=s)
         return count + (state > 0)                               # the last phrase
 
 
-def parse(texts: list[np.ndarray], automata: dict[str, Automaton], block: int = BLOCK) -> np.ndarray:
-    """Phrases of each normalised text (row) under each language (column)."""
-    pieces, owner = [], []
+def parse(texts: list[np.ndarray], automata: dict[str, Automaton], pad: int, block: int = BLOCK) -> np.ndarray:
+    """Phrases of each text (row) under each language (column)."""
+    sizes, owner = [], []
     for i, x in enumerate(texts):
-        for at in range(0, len(x), block):
-            pieces.append(x[at:at + block])
-            owner.append(i)
+        full, rest = divmod(len(x), block)
+        sizes += [block] * full + [rest] * (rest > 0)
+        owner += [i] * (full + (rest > 0))
     out = np.zeros((len(texts), len(automata)))
-    if not pieces:
+    if not sizes:
         return out
-    sizes = np.array([len(p) for p in pieces])
+    sizes, owner = np.array(sizes), np.array(owner)
+    rows = np.full((len(sizes), block), pad, np.uint16)
+    rows[np.arange(block) < sizes[:, None]] = np.concatenate(texts)
     order = np.argsort(-sizes, kind="stable")
-    columns = np.zeros((sizes.max(), len(pieces)), np.uint32)
-    for to, k in enumerate(order):
-        columns[:sizes[k], to] = pieces[k]
+    columns = np.ascontiguousarray(rows[order].T)[:sizes.max()]
     alive = np.searchsorted(-sizes[order], -np.arange(sizes.max()), side="left")
-    owners = np.array(owner)[order]
     for j, a in enumerate(automata.values()):
-        np.add.at(out[:, j], owners, a.phrases(columns, alive))
+        out[:, j] = np.bincount(owner[order], a.phrases(columns, alive), len(texts))
     return out
 
 
@@ -143,7 +155,7 @@ def choose(phrases: np.ndarray, automata: dict[str, Automaton]) -> tuple[np.ndar
 
 def _predict(model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, automata = model.value
+        alphabet, automata = model.value
         names = list(automata)
         for batch in batches:
             col = batch.column(1)
@@ -151,14 +163,14 @@ def _predict(model):
 
             def flush():
                 if todo and names:
-                    best, s = choose(parse([x for _, x in todo], automata), automata)
+                    best, s = choose(parse([x for _, x in todo], automata, alphabet.pad), automata)
                     for (i, _), b, v in zip(todo, best, s):
                         pred[i], score[i] = names[b], float(v)
                 todo.clear()
 
             for i, t in enumerate(col):
                 t = t.as_py()
-                x = normalise(t, classes) if t else None
+                x = normalise(t, alphabet.of) if t else None
                 if x is not None and len(x):
                     todo.append((i, x))
                     size += len(x)
@@ -171,8 +183,8 @@ def _predict(model):
     return predict
 
 
-def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, sample_docs: int = SAMPLE_DOCS) -> dict[str, Automaton]:
-    """Automata of the languages of ``labelled`` (doc_id, text, lang).
+def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, sample_docs: int = SAMPLE_DOCS) -> tuple[Alphabet, dict[str, Automaton]]:
+    """Alphabet and automata of the languages of ``labelled`` (doc_id, text, lang).
 
     The sample is bounded: per language at most ``sample_docs`` documents, the
     one with the least hash in each of that many hash classes, and of each at
@@ -185,13 +197,13 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, sample_docs: int
     names = sorted({r["lang"] for r in picks})
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
-    classes, texts = char_classes(), {n: [] for n in names}
+    lower, texts = lower_letters(), {n: [] for n in names}
     if picks:
         chosen = rows.select("lang", h.alias("h"), F.substring("text", 1, 4 * sample_chars // sample_docs * 4).alias("text")) \
             .where(F.col("h").isin([r["h"] for r in picks]))
         for r in sorted(chosen.dropDuplicates(["lang", "h"]).collect(), key=lambda r: (r["lang"], r["h"])):
-            texts[r["lang"]].append(normalise(r["text"], classes))
-    out = {}
+            texts[r["lang"]].append(normalise(r["text"], lower))
+    samples = {}
     for n in names:
         sample, left = [], sample_chars
         for k, x in enumerate(sorted(texts[n], key=len)):       # short ones leave their share to the rest
@@ -200,20 +212,21 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, sample_docs: int
             left -= len(x[:share])
         sample = np.concatenate(sample) if sample else np.zeros(0, np.uint32)
         if sample.any():
-            out[n] = Automaton(sample)
-    return out
+            samples[n] = sample
+    alphabet = Alphabet(list(samples.values()), lower)
+    return alphabet, {n: Automaton(alphabet.lower_codes[x], alphabet.pad + 1) for n, x in samples.items()}
 
 
-def identify(docs: DataFrame, automata: dict[str, Automaton], *keep: str) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[Alphabet, dict[str, Automaton]], *keep: str) -> DataFrame:
     """doc_id, the columns ``keep``, lang_pred and score for every row of ``docs``.
 
     Null, empty or letterless text, or no automaton at all: ``und`` with score 0.
     Texts of any length are parsed whole.  Repeated rows and null doc_ids stay as
     they are; an empty table gives no rows; other columns are ignored."""
-    model = docs.sparkSession.sparkContext.broadcast((char_classes(), automata))   # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)     # bounded by the sample
     d = docs.select("doc_id", "text", *keep)
     out = d.drop("text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)})
-    return d.mapInArrow(_predict(model), out.schema)
+    return d.mapInArrow(_predict(shared), out.schema)
 
 
 def held_out() -> Column:
@@ -222,8 +235,7 @@ def held_out() -> Column:
 
 def op3_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    automata = fit(docs.where(~held_out()))
-    return identify(docs, automata).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identify(docs, fit(docs.where(~held_out()))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 ORACLE: dict[str, str] = {}
