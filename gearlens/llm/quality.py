@@ -24,7 +24,7 @@ SKETCH_K, GROUP_MIN = 800, 200
 #: A measure is out of line above median + FENCE * (upper quartile - median, but
 #: at least FLOOR), i.e. relative to its own group.
 FENCE = 12.0
-FLOORS = {"symbol_share": 0.005, "dup_line_share": 0.02, "repeat_share": 0.01}
+FLOORS = {"symbol_share": 0.005, "dup_line_share": 0.05, "repeat_share": 0.05}
 #: Fences both ways for the mean word length (code points).
 WORD_LENGTH_FLOOR = 0.5
 #: Thresholds are broadcast up to this many groups.
