@@ -7,9 +7,9 @@ twice as many signature values; bands of ``ROWS`` values are the buckets.
 1. Documents with equal shingle sets fold into one class (its smallest doc_id).
 2. Each class is compared with the smallest class of each of its buckets, on
    full shingle sets; the confirmed links give components.
-3. In buckets whose members are still in several components, all pairs across
-   components (and of compatible set sizes) are compared, so that no link
-   between bucket partners is lost.
+3. The classes of buckets that are still in several components are compared
+   across components by an exact prefix-filter join on their shingles, so that
+   no link between bucket partners is lost and no group is paired with itself.
 4. Components of all confirmed links, by least-label propagation with pointer
    jumping over staged tables.
 """
@@ -123,6 +123,18 @@ def _setter(width: int):
     return sets
 
 
+def _lister(width: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
+        for batch in batches:
+            found = [shingle_set(t.as_py(), memo, width) for t in batch.column(1)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                                             ["rep", "size", "shingles"])
+    return sets
+
+
 def _linker(similarity: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,6 +160,33 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, similarity: i
     return p.select("a", "b", "sa", "sb").mapInArrow(_linker(similarity), "a bigint, b bigint")
 
 
+def prefix_pairs(crowd: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
+    """(a, b), a > b: pairs of ``crowd`` (rep, label) of different label that can be similar.
+
+    Exact prefix and position filter: with each set in one order, rarest shingles
+    first, similar sets share a shingle early, and the first shared one leaves
+    room for the rest of the overlap.  The shingles that edits brought in are
+    rare, so copies that are edited too far meet no one.  For each shingle only
+    rows outside its most frequent label look for partners, so that a large
+    component isn't compared with itself."""
+    some = docs.join(crowd.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = some.select("doc_id", "text").mapInArrow(_lister(width), "rep bigint, size bigint, shingles array<bigint>")
+    rows = stage(sets.select("rep", "size", F.explode("shingles").alias("g")), "minhash-shingles")
+    often = stage(rows.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "minhash-frequencies")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "g")) - 1
+    early = rows.join(often, "g").withColumn("i", place).where((100 * (F.col("size") - F.col("i")) >= similarity * F.col("size")) & (F.col("df") > 1))
+    early = stage(early.join(crowd, "rep").select("rep", "label", "size", "g", "i"), "minhash-prefixes")
+    labels = early.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(
+        F.max(F.struct("n", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("g", "most")
+    labels = stage(labels, "minhash-labels")
+    y = early.join(labels, "g").select(*[F.col(c).alias(f"y_{c}") for c in ("rep", "label", "size", "g", "i")])
+    x = early.join(labels, "g").where("label <> most")
+    room = F.least(F.col("size") - F.col("i"), F.col("y_size") - F.col("y_i"))
+    pairs = x.join(y, (F.col("g") == F.col("y_g")) & (F.col("label") != F.col("y_label"))
+                   & ((100 + similarity) * room >= similarity * (F.col("size") + F.col("y_size"))))
+    return pairs.select(F.greatest("rep", "y_rep").alias("a"), F.least("rep", "y_rep").alias("b")).distinct()
+
+
 def _repeats(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
 
@@ -200,16 +239,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     links = stage(confirm(stars, docs, width, similarity), "minhash-links")
     part = components(links)
 
-    # pairs across components in the buckets that the links left in several parts
+    # classes of buckets that the links left in several parts: all their links across parts, by an exact join
     m = members.join(part.withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    m = stage(m.select("bucket", "rep", "size", "head", "label"), "minhash-parts")
+    m = stage(m.select("bucket", "rep", "size", "label"), "minhash-parts")
     open_ = stage(m.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("r"), F.count(F.lit(1)).alias("n"))
                   .where("l < r AND n > 2").select("bucket"), "minhash-open")
-    m = stage(m.join(open_, "bucket").where("rep <> head").drop("head"), "minhash-rest")
-    x, y = m.alias("x"), m.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label"))
-                  & (100 * F.col("x.size") >= similarity * F.col("y.size")) & (100 * F.col("y.size") >= similarity * F.col("x.size")))
-    rest = rest.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    crowd = stage(m.join(open_, "bucket").select("rep", "label").distinct(), "minhash-crowd")
+    rest = prefix_pairs(crowd, docs, width, similarity).join(stars, ["a", "b"], "left_anti")
     rest = stage(rest, "minhash-rest-pairs")
     if rest.limit(1).count():
         more = stage(confirm(rest, docs, width, similarity), "minhash-more-links")
