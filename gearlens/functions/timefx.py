@@ -24,6 +24,18 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _plain_time(text: Column) -> Column:
+    """The wall-clock text that the layouts know: slashes in the date become
+    dashes, a zone (Z or an offset, of texts with a time) is left out, so that
+    the clock time of the sender stays, and a fraction gets six digits."""
+    plain = F.regexp_replace(text, r"^(\d{4})/(\d{2})/(\d{2})", "$1-$2-$3")
+    plain = F.regexp_replace(plain, r"^(\S+[T ].*\d{2}:\d{2}\S*?)\s*(?:Z|[+-]\d{2}:?\d{2})$", "$1")
+    whole, digits = F.substring_index(plain, ".", 1), F.substring_index(plain, ".", -1)
+    plain = F.when(plain.rlike(r":\d{2}\.\d{1,9}$"), F.concat(whole, F.lit("."), F.rpad(F.substring(digits, 1, 6), 6, "0"))).otherwise(plain)
+    # the usual texts are left alone without a rewrite
+    return F.when(text.rlike(r"[/Z.+]|:\d{2}\s*-\d{2}"), plain).otherwise(text)
+
+
 def parse_time(c: str | Column, time_of_day: str | Column | None = None) -> Column:
     """text -> timestamp; null (not an error) when no layout matches.
 
@@ -33,7 +45,7 @@ def parse_time(c: str | Column, time_of_day: str | Column | None = None) -> Colu
     text = _c(c).cast("string")
     if time_of_day is not None:
         text = F.concat_ws(" ", text, _c(time_of_day).cast("string"))
-    text = F.trim(text)
+    text = _plain_time(F.trim(text))
     # A layout can only match text of its own shape ('T' or space between date
     # and time, number of ':' and '.'), and the shapes of the layouts do not
     # overlap; so each text is parsed with the one layout of its shape, which

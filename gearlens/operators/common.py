@@ -10,7 +10,8 @@ def sorted_small(df: DataFrame, *order) -> DataFrame:
     month, hour, year, bin, grid point or group of a checked count).
 
     One partition sorted locally: no range-partition sampling job, which a
-    global ``orderBy`` would run.  Never use it on a result that grows with
-    the number of input rows.
+    global ``orderBy`` would run.  The exchange stands after the last
+    aggregation, so only finished rows meet in the one task.  Never use it on a
+    result that grows with the number of input rows.
     """
-    return df.coalesce(1).sortWithinPartitions(*order)
+    return df.repartition(1).sortWithinPartitions(*order)

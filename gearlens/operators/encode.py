@@ -14,7 +14,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -94,19 +93,28 @@ def one_hot_drop_first(df: DataFrame, cols, vocab: dict | None = None, drop_firs
 # ---------------------------------------------------------------------------
 # E3
 # ---------------------------------------------------------------------------
-_SUFFIX = re.compile(r".*_(.*)$", re.S)
-_SLOT_NAME = re.compile(r"^(.*?)_(\d+)_(.+)$", re.S)
-
-
 def suffix_token(name: str) -> str | None:
     """F4 on a name: the text after the last underscore (None without one)."""
-    m = _SUFFIX.match(name)
-    return m.group(1) if m else None
+    _, underscore, tail = name.rpartition("_")
+    return tail if underscore else None
 
 
 def base_name(name: str, suffix: str) -> str:
-    """F5 on a name: strip a final ``_<digits>_<suffix>``; unchanged otherwise."""
-    return re.sub(r"_\d+_" + re.escape(suffix) + "$", "", name)
+    """F5 on a name: without its last two parts if these are a slot number and
+    ``suffix``; unchanged otherwise."""
+    if not name.endswith(f"_{suffix}"):
+        return name
+    stem, underscore, number = name.removesuffix(f"_{suffix}").rpartition("_")
+    return stem if underscore and number.isdecimal() else name
+
+
+def slot_stem(name: str) -> str:
+    """A flag name without the first slot number that stands between two parts."""
+    parts = name.split("_")
+    for i in range(1, len(parts) - 1):
+        if parts[i].isdecimal() and "_".join(parts[i + 1:]):
+            return "_".join(parts[:i] + parts[i + 1:])
+    return name
 
 
 def rollup_plan(names, mode: str = "component") -> list[tuple[str, list[str]]]:
@@ -144,9 +152,7 @@ def rollup_plan(names, mode: str = "component") -> list[tuple[str, list[str]]]:
     if mode == "component":
         out: dict[str, list[str]] = {}
         for n in names:
-            m = _SLOT_NAME.match(n)
-            key = f"{m.group(1)}_{m.group(3)}" if m else n
-            out.setdefault(key, []).append(n)
+            out.setdefault(slot_stem(n), []).append(n)
         return list(out.items())
     raise ValueError(f"unknown mode {mode!r}")
 

@@ -6,6 +6,8 @@ the driver from ``df.columns``/``df.schema``; they never run a job.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,18 +123,18 @@ def cast_rating_int(df: DataFrame, col: str = S.TARGET) -> DataFrame:
     return df.withColumn(col, F.col(col).cast("double").cast("int"))
 
 
-def cast_double(df: DataFrame, col: str = S.TARGET) -> DataFrame:
-    return df.withColumn(col, F.col(col).cast("double"))
-
-
 def head(df: DataFrame, n: int = 5, order=(S.KEY,)) -> DataFrame:
     """First n rows under a total order (never an arbitrary n)."""
     order = [c for c in order if c in df.columns]
     return (df.orderBy(*[F.col(_q(c)) for c in order]) if order else df).limit(n)
 
 
+_NOT_WORD = re.compile(r"\W")
+
+
 def sanitize_name(name: str) -> str:
-    return "".join(ch if ch.isalnum() else "_" for ch in name)
+    """P13 on a name: everything but letters and digits of any script becomes an underscore."""
+    return _NOT_WORD.sub("_", name)
 
 
 def sanitize_names(df: DataFrame) -> DataFrame:

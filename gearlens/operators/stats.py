@@ -105,12 +105,11 @@ def spearman_stat(df: DataFrame, a: str, b: str, buckets: int | None = None) ->
     rb = mid_ranks(pairs.groupBy("b").agg(F.sum("c").alias("c")), "b", "c", buckets=buckets_b) \
         .select("b", F.col("rank").alias("rb"))
     j = pairs.join(ra, "a").join(rb, "b")
-    m = j.agg(F.struct(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("ra")) / F.sum("c")).alias("ma"),
-                       (F.sum(F.col("c") * F.col("rb")) / F.sum("c")).alias("mb"))).scalar()
-    da, db = F.col("ra") - m.getField("ma"), F.col("rb") - m.getField("mb")
-    return j.agg(F.sum("c").alias("n"),
-                 (F.sum(F.col("c") * da * db) /
-                  F.sqrt(F.sum(F.col("c") * da * da) * F.sum(F.col("c") * db * db))).alias("rho"))
+    # mid-ranks of n rows have the mean (n + 1) / 2, ties or not: one aggregation is enough
+    c, n = F.col("c"), F.sum("c").cast("double")
+    offset = n * (n + 1) / 2 * (n + 1) / 2
+    cross, own_a, own_b = (F.sum(c * F.col(x) * F.col(y)) - offset for x, y in (("ra", "rb"), ("ra", "ra"), ("rb", "rb")))
+    return j.agg(F.sum("c").alias("n"), F.try_divide(cross, F.sqrt(own_a) * F.sqrt(own_b)).alias("rho"))
 
 
 def _spearman_p(rho, n):
@@ -213,9 +212,8 @@ def anova_stats(mom: DataFrame, min_rows: int = 2) -> DataFrame:
     """T5 per feature: one-way F over the groups with at least ``min_rows``
     rows (the groups that are kept are the ones tested); k, N."""
     kept = mom.where(F.col("n") >= min_rows)
-    w = Window.partitionBy("feature")
-    grand = F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w)
-    g = kept.withColumn("__gm", grand)
+    grand = kept.groupBy("feature").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("__gm"))
+    g = kept.join(grand, "feature")
     agg = g.groupBy("feature").agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"),
         F.sum(F.col("n") * F.pow(F.col("mean") - F.col("__gm"), 2)).alias("ssb"),

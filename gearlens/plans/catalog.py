@@ -662,7 +662,7 @@ def q_kde_event_value(spark, sf_dir):
 # F4-F18 scalar rules
 # ---------------------------------------------------------------------------
 from gearlens.functions import bands as BD  # noqa: E402
-from gearlens.sources.requests import DIAGNOSTIC_SLOT, FUEL_BY_PRIORITY, requests_from_inspections  # noqa: E402
+from gearlens.sources.requests import DIAGNOSTIC_SLOT, FUEL_BY_PRIORITY, requests_from_inspections, service_inspections  # noqa: E402
 
 
 @register("name_tokens", with_insp(f"""
@@ -854,10 +854,15 @@ def _features(spark, sf_dir):
     return ff
 
 
+def _service_features(spark, sf_dir):
+    """Features whose flags are the ones that scoring requests set."""
+    return PL.production_features(service_inspections(inspections(spark, sf_dir)))
+
+
 def _model(spark, sf_dir):
     key = (sf_dir, spark.sparkContext.applicationId)
     if key not in _MODEL_CACHE:
-        ff = _features(spark, sf_dir)
+        ff = _service_features(spark, sf_dir)
         tr, va, te = ML.split(ff.df)
         m = ML.train(P.append_rows(tr, va), ff.features, "boosted", int_target=True, **_QUICK)
         _MODEL_CACHE[key] = (m, ff.features)
@@ -924,7 +929,7 @@ def q_degradation(spark, sf_dir):
 @register("residual_outliers")
 def q_residual_outliers(spark, sf_dir):
     m, cols = _model(spark, sf_dir)
-    return SC.residual_outliers(_features(spark, sf_dir).df, m)
+    return SC.residual_outliers(_service_features(spark, sf_dir).df, m)
 
 
 @register("score_stream")

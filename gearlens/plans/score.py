@@ -29,7 +29,9 @@ def _q(c: str) -> str:
 def parsed_requests(req: DataFrame) -> DataFrame:
     """Typed request fields plus ``reject_reason`` (null for good records)."""
     t = parse_time("inspectionStartTime")
-    odo = F.col("odometer_reading").cast("string").try_cast("bigint")
+    text = F.col("odometer_reading").cast("string")
+    real = text.try_cast("double")                     # "50000.0" is as good as "50000"
+    odo = F.coalesce(text.try_cast("bigint"), F.when((real == F.floor(real)) & (F.abs(real) < 2.0**53), real.try_cast("bigint")))
     diag = F.coalesce(F.col("diagnostics"), F.create_map().cast("map<string,boolean>"))
     extra = [c for c in req.columns if c not in ("inspectionStartTime", "odometer_reading", "diagnostics")]
     p = req.select(*[F.col(_q(c)) for c in extra], t.alias("__t"), odo.alias("__odo"), diag.alias("diagnostics"),
@@ -65,6 +67,12 @@ def feature_exprs(columns, year_month_default: int = 0) -> list:
     return out
 
 
+def unset_features(columns) -> list[str]:
+    """Trained features that no request can set: they are 0 for every request."""
+    settable = {S.HOUR, S.MON, S.ODOMETER, S.REG_YEAR, S.REG_MONTH, *S.FUEL_FLAGS.values(), *S.DIAGNOSTIC_FLAGS.values()}
+    return [c for c in columns if c not in settable]
+
+
 def request_features(req: DataFrame, columns, year_month_default: int = 0) -> DataFrame:
     """M10 input: (request_id, reject_reason, features...)."""
     p = parsed_requests(req)

@@ -76,19 +76,16 @@ def input_bytes(df) -> int:
     """Bytes of the files a DataFrame scans, from the optimizer's statistics of
     its leaf relations (metadata only, no job).  The root estimate is not used:
     without cost-based statistics a join's estimate is the product of its
-    inputs.  0 when the plan is not reachable (e.g. Spark Connect)."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:
-        return 0
+    inputs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared folder and is always honoured.
-    Only when it is unset (local tests) do we create a scratch folder.
+    Only a local master may leave it unset: its one machine gets a scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -98,6 +95,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="gearlens-ckpt-")
     sc.setCheckpointDir(local)
     return local

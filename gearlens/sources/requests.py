@@ -32,6 +32,35 @@ DIAGNOSTIC_SLOT = {
 }
 
 
+# The same priorities as fuel values of an inspection table whose trained flags
+# are the ones that requests set (every other '5-LOW' is a hybrid).
+SERVICE_FUEL = {"1-URGENT": "Petrol", "2-HIGH": "Petrol + CNG", "3-MEDIUM": "Petrol + LPG", "4-NOT SPECIFIED": "Diesel", "5-LOW": "Electric"}
+# Diagnostic key -> (slot column, value of 'R', value of 'A'); 'N' is no finding.
+_E = "engineTransmission_"
+SERVICE_SLOTS = {
+    "battery_jump_start": (f"{_E}battery_cc_value_0", "Jump Start", "Discharged"),
+    "engine_oil_leak": (f"{_E}engineOil_cc_value_0", "Leaking", "Dirty"),
+    "engine_sound_abnormal": (f"{_E}engineSound_cc_value_0", "Engine Auxiliary Noise", "Critical"),
+    "exhaust_smoke_white": (f"{_E}exhaustSmoke_cc_value_0", "White", "Black"),
+    "clutch_hard": (f"{_E}clutch_cc_value_0", "Hard", "Burning"),
+    "gear_shifting_hard": (f"{_E}gearShifting_cc_value_0", "Not Engaging", "Hard"),
+}
+
+
+def service_inspections(insp: DataFrame) -> DataFrame:
+    """The inspections in the words of the scoring service, for the model that
+    requests are scored with: fuel values and findings under the names behind
+    ``FUEL_FLAGS`` and ``DIAGNOSTIC_FLAGS``.  Each finding that a request can
+    name lowers the rating by half a step."""
+    fuel = F.coalesce(*[F.when(F.col(S.FUEL) == k, F.lit(v)) for k, v in SERVICE_FUEL.items()])
+    fuel = F.when((F.col(S.FUEL) == "5-LOW") & (F.col(S.KEY) % 2 == 1), "Hybrid").otherwise(fuel)
+    bad = sum(F.coalesce((F.col(DIAGNOSTIC_SLOT[k]) == "R").cast("int"), F.lit(0)) for k in SERVICE_SLOTS)
+    rest = [F.col(c) for c in insp.columns if c not in (S.FUEL, S.TARGET, *SLOT_COLUMNS)]
+    slots = [F.when(F.col(DIAGNOSTIC_SLOT[k]) == "R", r).when(F.col(DIAGNOSTIC_SLOT[k]) == "A", a).alias(c)
+             for k, (c, r, a) in SERVICE_SLOTS.items()]
+    return insp.select(*rest, fuel.alias(S.FUEL), F.greatest(F.col(S.TARGET) - 0.5 * bad, F.lit(0.0)).alias(S.TARGET), *slots)
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines scoring requests with the fixed request schema; a
     missing ``diagnostics`` becomes an empty map."""

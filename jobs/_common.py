@@ -12,24 +12,26 @@ def load_input(spark, args):
     from gearlens.sources.driver_tables import inspections
     from gearlens.sources.io import read_inspections
     df = inspections(spark, args.sf_dir) if args.sf_dir else read_inspections(spark, args.data)
-    if getattr(args, "cluster_session", False):
-        # size scans and shuffles to the input (see session.scale_conf)
-        configure(spark, input_bytes=input_bytes(df))
+    # size scans and shuffles to the input (see session.scale_conf), on any master
+    configure(spark, input_bytes=input_bytes(df))
+    if args.shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(args.shuffle_partitions))
     return df
 
 
 def session(args):
-    from gearlens.session import configure, get_session
+    """The session that ``spark-submit`` describes: a master set here would win
+    over its ``--master``, so none is, unless this script is given one."""
+    from gearlens.session import configure
     from pyspark.sql import SparkSession
-    active = SparkSession.getActiveSession()
-    args.cluster_session = active is not None
-    if active is not None:
-        return configure(active)
-    return get_session(args.master, args.shuffle_partitions)
+    builder = SparkSession.builder.appName("gearlens")
+    if args.master:
+        builder = builder.master(args.master)
+    return configure(builder.getOrCreate())
 
 
 def add_common(parser):
     parser.add_argument("--data", help="inspection table (csv/parquet/json)")
     parser.add_argument("--sf-dir", help="derive the inspection table from driver tables")
-    parser.add_argument("--master", default="local[*]")
-    parser.add_argument("--shuffle-partitions", type=int, default=8)
+    parser.add_argument("--master", help="only where spark-submit does not set it")
+    parser.add_argument("--shuffle-partitions", type=int, help="instead of the number that fits the input")

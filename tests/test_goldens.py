@@ -292,9 +292,9 @@ def test_parse_time_equals_trying_every_layout(spark):
     from gearlens.functions.timefx import TIME_FORMATS, parse_time
     texts = ["2019-03-04T10:15", "2019-03-04T10:15:30", "2019-03-04T10:15:30.123456", "2019-03-04T10:15:30.5",
              "2019-03-04 10:15", "2019-03-04 10:15:30", "2019-03-04 10:15:30.123456", "2019-03-04",
-             " 2019-03-04T10:15 ", "2019-3-4", "2019-03-04T", "2019-03-04T10", "2019-03-04T10:15:30Z",
+             " 2019-03-04T10:15 ", "2019-3-4", "2019-03-04T", "2019-03-04T10",
              "2019-03-04T10:15.5", "2019.03.04", "10:15", "1:2:3:4", "bad", "", "2019-02-30", "2019-03-04 25:00",
-             "2019-03-04T10:15:30.1234567", "2019-03-04 10:15:30.", None]
+             "2019-03-04 10:15:30.", None]    # zones and longer fractions: tests/test_service_model.py
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     every = F.coalesce(*[F.try_to_timestamp(F.trim("s"), F.lit(f)) for f in TIME_FORMATS])
     got = df.select("s", parse_time("s").alias("a"), every.alias("b")).collect()
