@@ -19,8 +19,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 10_000   # per column; a wider one-hot would not be a sane plan
-
 
 def _q(c: str) -> str:
     return f"`{c}`"
@@ -37,19 +35,25 @@ def category_vocabulary_df(df: DataFrame, cols) -> DataFrame:
     return long.where(F.col("value").isNotNull()).distinct()
 
 
-def category_vocabulary(df: DataFrame, cols, max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
-    """{column: sorted distinct non-null values} in one job."""
+def category_vocabulary(df: DataFrame, cols, max_levels: int | None = None) -> dict[str, list[str]]:
+    """{column: sorted distinct non-null values} in one job.
+
+    The values become column names, so they are needed on the driver; a caller
+    that wants an error rather than a very wide table sets ``max_levels``.  Free
+    text does not belong in ``cols``: ``drop_columns_like(df, 'comment')`` leaves
+    comment columns out."""
     cols = list(cols)
     if not cols:
         return {}
-    limit = max_levels * len(cols) + 1
-    rows = category_vocabulary_df(df, cols).limit(limit).collect()
+    long = category_vocabulary_df(df, cols)
+    if max_levels is not None:
+        wide = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_levels).first()
+        if wide is not None:
+            raise ValueError(f"column {wide['column_name']!r} has more than {max_levels} distinct values")
     vocab: dict[str, list[str]] = {c: [] for c in cols}
-    for r in rows:
+    for r in long.collect():
         vocab[r["column_name"]].append(r["value"])
-    for c, vs in vocab.items():
-        if len(vs) > max_levels:
-            raise ValueError(f"column {c!r} has more than {max_levels} distinct values")
+    for vs in vocab.values():
         vs.sort()
     return vocab
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from gearlens import schema as S
 from gearlens.functions.timefx import as_time
 from gearlens.operators.common import sorted_small
-from gearlens.operators.quantiles import exact_quantiles, quantile_frame
+from gearlens.operators.quantiles import exact_quantiles, quantiles_of, running_counts, value_frequencies
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -139,9 +139,8 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
 def value_shares(df: DataFrame, col: str = S.TARGET) -> DataFrame:
     """Share of each non-null value among the non-null rows."""
-    nonnull = df.where(F.col(col).isNotNull())
-    total = nonnull.select(F.count(F.lit(1))).scalar()     # scalar subquery, computed once
-    counts = nonnull.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.select(F.sum("n")).scalar()     # over the grouped rows: both read the same exchange
     return (counts.select(F.col(col).alias("value"), (F.col("n") / total).alias("share"))
                   .orderBy(F.col("share").desc(), "value"))
 
@@ -150,18 +149,17 @@ def box_summary(df: DataFrame, col: str, by=None, k: float = 1.5) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whiskers (furthest value inside the
     fences), outlier count; per group when ``by`` is given."""
     by = list(by or [])
-    x = F.col(col).cast("double")
-    base = df.select(*by, x.alias("__x")).where(F.col("__x").isNotNull())
+    # the written (group, value, count) rows serve the quartiles and the whiskers: one read of the input
+    placed = running_counts(value_frequencies(df, col, by), "__x", "__c", by)
+    q = quantiles_of(placed, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
     if by:
-        q = quantile_frame(df, col, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
-        q = q.select(*by, "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
+        q = q.select("*", (F.col("q3") - F.col("q1")).alias("iqr"))
         q = q.select("*", (F.col("q1") - k * F.col("iqr")).alias("lower_fence"),
                      (F.col("q3") + k * F.col("iqr")).alias("upper_fence"))
-        # q has one row per group (bounded by the collected group count)
-        j = base.join(F.broadcast(q), by, "inner")
+        j = placed.join(q, by, "inner")
     else:
-        got = exact_quantiles(df, col, [0.25, 0.5, 0.75]).get(())
-        if got is None:
+        got = q.first()
+        if got is None or got["q1"] is None:
             return df.sparkSession.createDataFrame([], "q1 double, median double, q3 double, iqr double, "
                                                    "lower_fence double, upper_fence double, n long, "
                                                    "whisker_low double, whisker_high double, n_outliers long")
@@ -169,15 +167,15 @@ def box_summary(df: DataFrame, col: str, by=None, k: float = 1.5) -> DataFrame:
         iqr = q3 - q1
         consts = {"q1": q1, "median": med, "q3": q3, "iqr": iqr,
                   "lower_fence": q1 - k * iqr, "upper_fence": q3 + k * iqr}
-        j = base.select("__x", *[F.lit(v).alias(n) for n, v in consts.items()])
+        j = placed.select("__x", "__c", *[F.lit(v).alias(n) for n, v in consts.items()])
     inside = (F.col("__x") >= F.col("lower_fence")) & (F.col("__x") <= F.col("upper_fence"))
     agg = j.groupBy(*by, "q1", "median", "q3", "iqr", "lower_fence", "upper_fence").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.sum("__c").alias("n"),
         F.min(F.when(inside, F.col("__x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("__x"))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"),
+        F.sum(F.when(inside, 0).otherwise(F.col("__c"))).alias("n_outliers"),
     )
-    return sorted_small(agg, *by) if by else agg
+    return agg.orderBy(*by) if by else agg      # as many rows as groups: a range sort, not one task
 
 
 def fences(df: DataFrame, col: str, k: float = 1.5, exact: bool = True,
@@ -185,7 +183,7 @@ def fences(df: DataFrame, col: str, k: float = 1.5, exact: bool = True,
     """(lower, upper) 1.5-IQR fences of a column; None when it is all null.
     ``exact=False`` takes the quartiles from ``percentile_approx``."""
     if exact:
-        q = exact_quantiles(df, col, [0.25, 0.75]).get((), None)
+        q = exact_quantiles(df, col, [0.25, 0.75])
     else:
         r = df.where(F.col(col).isNotNull()).agg(
             F.percentile_approx(F.col(col).cast("double"), [0.25, 0.75], accuracy).alias("q")).first()

@@ -1,257 +1,108 @@
-"""Exact linear-interpolated quantiles without one task holding every value.
+"""Exact linear-interpolated quantiles and running counts, distributed.
 
 Spark's exact ``percentile`` merges a map of *all distinct values* of a group
 into a single task; for a continuous column over a huge table that does not
-fit.  Here each needed order statistic (ranks floor/ceil of (n-1)p) is found
-by narrowing an interval that is known to contain it:
-
-1. one aggregation per group gives n, min, max and a ``percentile_approx``
-   sketch (bounded size); the sketch values at p -/+ a few rank-error widths
-   give each order statistic a *candidate* interval [a, b];
-2. one aggregation counts, per interval, the rows below ``a`` and the rows of
-   each of ``bins`` equal-width buckets of [a, b] with the bucket's min and
-   max -- at most bins + 1 rows per interval, and about DRIVER_ROWS rows per
-   job (many intervals get fewer buckets and are taken in chunks), reach the
-   driver.  If the rank is not inside [a, b] after all (the sketch is only
-   trusted after this exact check) the interval falls back to [min, max];
-3. the bucket holding the rank becomes the new interval; a bucket whose min
-   equals its max is the answer; an interval of at most ``exact_below`` rows
-   is finished from its (value, count) pairs.
-
-Every pass is a partial (map-side) aggregate, so a hot group costs no more
-than a cold one; typical columns finish in two passes.  Interpolation is
-``lo + (h - floor h) * (hi - lo)``, as Spark's ``percentile`` and DuckDB's
-``quantile_cont``.
+fit.  Here a column is reduced to one row per (group, value) and its count, the
+rows are dealt out by range of (group, value), and each range's running counts
+start at the total of the ranges before it.  A hot value is one row, a hot
+group is many ranges, and only the range totals (groups + partitions rows) are
+brought together per group.  Interpolation is ``lo + (h - floor h) * (hi - lo)``,
+as Spark's ``percentile`` and DuckDB's ``quantile_cont``.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_GROUPS = 100_000  # group count is collected; beyond it use exact=False
+from gearlens.session import ensure_checkpoint_dir
 
+BELOW, TOTAL = "__below", "__total"
 
-def _group_key(row, by):
-    return tuple(row[b] for b in by)
 
-
-DRIVER_ROWS = 1_000_000    # rows one narrowing job may return to the driver
-MIN_BINS = 16              # fewest buckets per interval and pass
-SKETCH_ACCURACY = 10_000   # rank error of the seeding sketch: n / accuracy
-SKETCH_MARGIN = 3          # bracket half-width, in sketch rank errors
+def value_frequencies(df: DataFrame, col: str, by=()) -> DataFrame:
+    """(by, __x, __c): each distinct value of ``col`` as double and its count;
+    nulls and NaN are left out."""
+    x = F.col(col).cast("double")
+    data = df.select(*by, x.alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    return data.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c"))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs, by=None, bins: int = 4096,
-                    exact_below: int = 50_000, max_passes: int = 64, seed_with_sketch: bool | None = None) -> dict:
-    """Return {group tuple: [q for p in probs]} (None for an all-null group).
+def running_counts(freq: DataFrame, value: str, count: str, by=(), ranges: int | None = None) -> DataFrame:
+    """``freq`` (one row per (by, value)) with ``__below``, the rows of the group
+    with a smaller value, and ``__total``, all rows of the group.
 
-    The seeding sketch is used for ungrouped quantiles by default: one sketch
-    per group would multiply its buffer by the group count, and grouped
-    narrowing converges without it.
+    The ranges come from sampled cut points, so they are written to the
+    checkpoint folder once: a later step or a lost executor reads the same
+    ranges again.  The result does not depend on where they are cut; ``ranges``
+    only sets how many there are at most (the session's shuffle partitions by
+    default).  Null group keys are a group like any other.
     """
-    by = list(by or [])
-    if seed_with_sketch is None:
-        seed_with_sketch = not by
+    by = list(by)
+    ensure_checkpoint_dir(freq.sparkSession)
+    order = [F.col(f"`{c}`") for c in (*by, value)]
+    dealt = freq.repartitionByRange(ranges, *order) if ranges else freq.repartitionByRange(*order)
+    dealt = dealt.withColumn("__range", F.spark_partition_id()).checkpoint()
+
+    keys = [f"__by{i}" for i in range(len(by))]
+    sizes = dealt.groupBy(*[F.col(f"`{b}`").alias(k) for b, k in zip(by, keys)], F.col("__range").alias("__r")) \
+        .agg(F.sum(count).alias("__rows"))
+    group = Window.partitionBy(*keys)        # one row per range that holds rows of the group
+    earlier = group.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "__r", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__offset"),
+                         F.sum("__rows").over(group).alias(TOTAL))
+    same = reduce(lambda a, b: a & b, [F.col(f"`{b}`").eqNullSafe(F.col(k)) for b, k in zip(by, keys)],
+                  F.col("__range") == F.col("__r"))
+    placed = dealt.join(sizes, same)
+    in_range = Window.partitionBy(*keys, "__r").orderBy(F.col(f"`{value}`")).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("__offset") + F.coalesce(F.sum(count).over(in_range), F.lit(0))
+    return placed.select(*[F.col(f"`{c}`") for c in freq.columns], below.alias(BELOW), F.col(TOTAL))
+
+
+def quantiles_of(placed: DataFrame, probs, by=(), names=None) -> DataFrame:
+    """One row per group, one column per p, from :func:`running_counts` of
+    :func:`value_frequencies`: the two order statistics around each rank are the
+    values whose running counts span it."""
     probs = list(probs)
-    x = F.col(col).cast("double")
-    data = (df.select(*[F.col(b) for b in by], x.alias("__x"))
-              .where(F.col("__x").isNotNull() & ~F.isnan("__x")))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        eps = SKETCH_MARGIN / SKETCH_ACCURACY
-        brackets = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
-        aggs = [F.count(F.lit(1)).alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi")]
-        if seed_with_sketch:
-            aggs.append(F.percentile_approx("__x", brackets, SKETCH_ACCURACY).alias("sk"))
-        stats = data.groupBy(*by).agg(*aggs)
-        stat_rows = stats.limit(MAX_GROUPS + 1).collect()
-        if len(stat_rows) > MAX_GROUPS:
-            raise ValueError(f"more than {MAX_GROUPS} groups; use exact=False (percentile_approx)")
-        # target: (group, rank) -> value ; interval state per target
-        targets = {}
-        for r in stat_rows:
-            g, n = _group_key(r, by), r["n"]
-            sk = dict(zip(brackets, r["sk"])) if seed_with_sketch else {}
-            for p in probs:
-                h = (n - 1) * p
-                for rank in {math.floor(h), math.ceil(h)}:
-                    t = {"a": r["lo"], "b": r["hi"], "base": 0, "value": None, "n_in": n,
-                         "lo": r["lo"], "hi": r["hi"], "check": False, "n": n}
-                    if sk:
-                        a = sk[min(1.0, max(0.0, p - eps))]
-                        b = sk[min(1.0, max(0.0, p + eps))]
-                        if (a, b) != (r["lo"], r["hi"]):
-                            t.update(a=a, b=b, base=None, n_in=None, check=True)
-                    targets.setdefault((g, rank), t)
-        for t in targets.values():
-            if t["a"] == t["b"] and not t["check"]:
-                t["value"] = t["a"]
-        _narrow(data, by, targets, bins, exact_below, max_passes)
-        out = {}
-        for r in stat_rows:
-            g, n = _group_key(r, by), r["n"]
-            vals = []
-            for p in probs:
-                h = (n - 1) * p
-                lo_v = targets[(g, math.floor(h))]["value"]
-                hi_v = targets[(g, math.ceil(h))]["value"]
-                vals.append(lo_v + (h - math.floor(h)) * (hi_v - lo_v))
-            out[g] = vals
-        return out
-    finally:
-        data.unpersist()
-
-
-def _interval_frame(spark, by_fields, intervals):
-    fields = list(by_fields) + [T.StructField("__iid", T.IntegerType()),
-                                T.StructField("__a", T.DoubleType()),
-                                T.StructField("__b", T.DoubleType())]
-    return spark.createDataFrame(intervals, T.StructType(fields))
-
-
-def _narrow(data: DataFrame, by, targets, bins, exact_below, max_passes):
-    by_fields = [data.schema[b] for b in by]
-    for _ in range(max_passes):
-        active = [k for k, t in targets.items() if t["value"] is None]
-        if not active:
-            return
-        # distinct intervals of the active targets
-        ivs = {}
-        for k in active:
-            t = targets[k]
-            ivs.setdefault((k[0], t["a"], t["b"]), []).append(k)
-        iv_list = list(ivs.items())
-        # Rows one job may return per interval: with many intervals (many
-        # groups) the buckets get fewer and only intervals this small are
-        # finished from their values, so no job returns more than about
-        # DRIVER_ROWS rows; the intervals are then taken in chunks.
-        per_iv = max(MIN_BINS + 1, DRIVER_ROWS // len(iv_list))
-        round_bins = min(bins, per_iv - 1)
-        cut = min(exact_below, per_iv)
-        def is_small(ks):
-            t = targets[ks[0]]
-            return not t["check"] and t["n_in"] <= cut
-        small = [(i, key) for i, (key, ks) in enumerate(iv_list) if is_small(ks)]
-        big = [(i, key) for i, (key, ks) in enumerate(iv_list) if not is_small(ks)]
-        step = max(1, DRIVER_ROWS // per_iv)
-        for s in range(0, len(small), step):
-            _finish_small(data, by, by_fields, small[s:s + step], iv_list, targets)
-        for s in range(0, len(big), step):
-            _histogram_pass(data, by, by_fields, big[s:s + step], iv_list, targets, round_bins)
-    raise RuntimeError("quantile narrowing did not converge")
-
-
-def _join_intervals(data, by, by_fields, chosen, with_below: bool = False):
-    if not by:
-        # ungrouped: a few intervals (two per probability at most) as a
-        # literal array; each row keeps the intervals that hold it -- a
-        # projection, where a join on a range condition would be a nested loop
-        ivs = F.array(*[F.struct(F.lit(i).alias("iid"), F.lit(float(key[1])).alias("a"),
-                                 F.lit(float(key[2])).alias("b")) for i, key in chosen])
-        def holds(iv):
-            below_b = F.col("__x") <= iv["b"]
-            return below_b if with_below else below_b & (F.col("__x") >= iv["a"])
-        hits = data.select("__x", F.explode(F.filter(ivs, holds)).alias("__iv"))
-        return hits.select(F.col("__iv.iid").alias("__iid"), "__x",
-                           F.col("__iv.a").alias("__a"), F.col("__iv.b").alias("__b"))
-    rows = [tuple(key[0]) + (i, float(key[1]), float(key[2])) for i, key in chosen]
-    ivf = _interval_frame(data.sparkSession, by_fields, rows)
-    cond = F.col("__x") <= F.col("__b")
-    if not with_below:
-        cond = cond & (F.col("__x") >= F.col("__a"))
-    for b in by:
-        cond = cond & (data[b].eqNullSafe(ivf[b]))
-    # the interval table has one row per pending order statistic: broadcast
-    joined = data.join(F.broadcast(ivf), cond, "inner")
-    return joined.select("__iid", "__x", "__a", "__b")
+    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
+    first, n, x = F.col(BELOW), F.col(TOTAL), F.col("__x")
 
+    def statistic(rank):
+        return F.max(F.when((first <= rank) & (rank < first + F.col("__c")), x))
 
-def _finish_small(data, by, by_fields, chosen, iv_list, targets):
-    joined = _join_intervals(data, by, by_fields, chosen)
-    # at most exact_below rows per interval: sorted on the driver
-    rows = sorted(joined.groupBy("__iid", "__x").agg(F.count(F.lit(1)).alias("c")).collect(),
-                  key=lambda r: (r["__iid"], r["__x"]))
-    per = {}
-    for r in rows:
-        per.setdefault(r["__iid"], []).append((r["__x"], r["c"]))
-    for i, key in chosen:
-        vals = per.get(i, [])
-        for k in iv_list[i][1]:
-            t = targets[k]
-            want = k[1] - t["base"]
-            acc = 0
-            for v, c in vals:
-                acc += c
-                if acc > want:
-                    t["value"] = v
-                    break
+    aggs = [F.max(TOTAL).alias("__n")]
+    for i, p in enumerate(probs):
+        h = (n - 1) * F.lit(float(p))
+        aggs += [statistic(F.floor(h)).alias(f"__lo{i}"), statistic(F.ceil(h)).alias(f"__hi{i}")]
+    found = placed.groupBy(*by).agg(*aggs)
+    out = []
+    for i, (p, name) in enumerate(zip(probs, names)):
+        h = (F.col("__n") - 1) * F.lit(float(p))
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        out.append((lo + (h - F.floor(h)) * (hi - lo)).alias(name))
+    return found.select(*by, *out)
 
 
-def _histogram_pass(data, by, by_fields, chosen, iv_list, targets, bins):
-    # candidate intervals also need the number of rows below them (bucket -1)
-    checking = any(targets[iv_list[i][1][0]]["check"] for i, _ in chosen)
-    joined = _join_intervals(data, by, by_fields, chosen, with_below=checking)
-    width = F.col("__b") - F.col("__a")
-    inner = F.when(width > 0, F.least(F.floor((F.col("__x") - F.col("__a")) / width * bins), F.lit(bins - 1))) \
-             .otherwise(F.lit(0))
-    bucket = F.when(F.col("__x") < F.col("__a"), F.lit(-1)).otherwise(inner).cast("int")
-    # at most bins + 1 rows per interval: sorted on the driver
-    rows = sorted(joined.groupBy("__iid", bucket.alias("__k"))
-                        .agg(F.count(F.lit(1)).alias("c"), F.min("__x").alias("mn"), F.max("__x").alias("mx"))
-                        .collect(), key=lambda r: (r["__iid"], r["__k"]))
-    per = {}
-    for r in rows:
-        per.setdefault(r["__iid"], []).append((r["c"], r["mn"], r["mx"], r["__k"]))
-    for i, key in chosen:
-        buckets = per.get(i, [])
-        below = 0
-        if buckets and buckets[0][3] == -1:
-            below = buckets[0][0]
-            buckets = buckets[1:]
-        for k in iv_list[i][1]:
-            t = targets[k]
-            if t["check"]:
-                inside = sum(c for c, _, _, _ in buckets)
-                t["check"] = False
-                if not (below <= k[1] < below + inside):
-                    # the sketch missed: fall back to the whole range
-                    t.update(a=t["lo"], b=t["hi"], base=0, n_in=t["n"])
-                    if t["a"] == t["b"]:
-                        t["value"] = t["a"]
-                    continue
-                t["base"] = below
-            want = k[1] - t["base"]
-            acc = 0
-            for c, mn, mx, _ in buckets:
-                if acc + c > want:
-                    t["base"] += acc
-                    t["a"], t["b"], t["n_in"] = mn, mx, c
-                    if mn == mx:
-                        t["value"] = mn
-                    break
-                acc += c
+def exact_quantiles(df: DataFrame, col: str, probs, ranges: int | None = None) -> list[float] | None:
+    """Quantiles of a whole column as numbers; None if it holds no value."""
+    names = [f"q{i}" for i in range(len(list(probs)))]
+    r = quantiles_of(running_counts(value_frequencies(df, col), "__x", "__c", ranges=ranges), probs, names=names).first()
+    return None if r is None or r[0] is None else list(r)
 
 
 def quantile_frame(df: DataFrame, col: str, probs, by=None, names=None, exact: bool = True,
-                   accuracy: int = 100_000) -> DataFrame:
-    """Quantiles as a small DataFrame: one row per group, one column per p.
+                   accuracy: int = 100_000, ranges: int | None = None) -> DataFrame:
+    """Quantiles as a DataFrame: one row per group, one column per p.
 
-    ``exact=False`` uses ``percentile_approx`` (bounded sketch per group) for
-    very many groups.
+    ``exact=False`` uses ``percentile_approx`` (a bounded sketch per group)
+    and no shuffle of values.
     """
     by = list(by or [])
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    spark = df.sparkSession
-    if not exact:
-        qs = F.percentile_approx(F.col(col).cast("double"), list(probs), accuracy)
-        res = df.where(F.col(col).isNotNull()).groupBy(*by).agg(qs.alias("__q"))
-        return res.select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
-    qs = exact_quantiles(df, col, probs, by)
-    fields = [df.schema[b] for b in by] + [T.StructField(n, T.DoubleType()) for n in names]
-    rows = [tuple(g) + tuple(v) for g, v in qs.items()]
-    return spark.createDataFrame(rows, T.StructType(fields))
+    if exact:
+        return quantiles_of(running_counts(value_frequencies(df, col, by), "__x", "__c", by, ranges), probs, by, names)
+    qs = F.percentile_approx(F.col(col).cast("double"), list(probs), accuracy)
+    res = df.where(F.col(col).isNotNull()).groupBy(*by).agg(qs.alias("__q"))
+    return res.select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from gearlens import schema as S
 from gearlens.functions.distributions import chi2_sf, f_sf, t_sf_two_sided
 from gearlens.operators.common import sorted_small
+from gearlens.operators.quantiles import BELOW, TOTAL, running_counts
+from gearlens.session import ensure_checkpoint_dir
 
 ALPHA = 0.05
 
@@ -31,50 +33,17 @@ def _q(c: str) -> str:
 # ---------------------------------------------------------------------------
 # Mid-ranks from a frequency table
 # ---------------------------------------------------------------------------
-ROWS_PER_RANK_TASK = 2_000_000   # distinct values one running-sum window may hold
-
-
-def rank_buckets(freq: DataFrame, by=()) -> int:
-    """Number of value ranges so that no window partition of the running sum
-    holds more than ROWS_PER_RANK_TASK distinct values (one small job)."""
-    by = list(by)
-    sizes = freq.groupBy(*by).count() if by else freq.select(F.count(F.lit(1)).alias("count"))
-    biggest = sizes.agg(F.max("count")).first()[0] or 0
-    return max(1, math.ceil(biggest / ROWS_PER_RANK_TASK))
-
-
 def mid_ranks(freq: DataFrame, value: str, count: str = "c", by=(), buckets: int | None = None) -> DataFrame:
     """Add ``rank``: the average 1-based rank of each distinct value within
     its ``by`` group, from a table with one row per (by, value) and its count.
 
-    ``buckets > 1`` splits each group's value range into ranges (cut points
-    from ``percentile_approx`` over the distinct values), runs the running sum
-    per range and adds the range's offset, so no window partition holds all
-    distinct values of a large group.  The result does not depend on the cut
-    points, only the balance of the work does.
+    One plan for every size: running counts by range of (group, value), see
+    :func:`running_counts`.  ``buckets`` is the number of ranges; the result
+    does not depend on it.
     """
-    by = list(by)
-    v = F.col(_q(value))
-    if buckets is None:
-        buckets = rank_buckets(freq, by)
-    if buckets <= 1:
-        w = Window.partitionBy(*by).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
-        cum = F.sum(count).over(w)
-        return freq.withColumn("rank", cum - (F.col(count) - 1) / F.lit(2.0))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = freq.groupBy(*by).agg(F.percentile_approx(v.cast("double"), probs, 10_000).alias("__cuts"))
-    if by:   # one row of cut points per group; AQE broadcasts it when small
-        keyed = freq.join(cuts, by, "inner")
-    else:    # a single array: scalar subquery
-        keyed = freq.withColumn("__cuts", cuts.select("__cuts").scalar())
-    keyed = keyed.withColumn("__bk", F.expr(f"size(filter(__cuts, x -> x < cast(`{value}` as double)))")).drop("__cuts")
-    totals = keyed.groupBy(*by, "__bk").agg(F.sum(count).alias("__t"))
-    wo = Window.partitionBy(*by).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("__off", F.coalesce(F.sum("__t").over(wo), F.lit(0))).drop("__t")
-    keyed = keyed.join(offsets, [*by, "__bk"], "inner")
-    w = Window.partitionBy(*by, "__bk").orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
-    cum = F.sum(count).over(w) + F.col("__off")
-    return keyed.withColumn("rank", cum - (F.col(count) - 1) / F.lit(2.0)).drop("__bk", "__off")
+    placed = running_counts(freq, value, count, by, buckets)
+    rank = F.col(BELOW) + (F.col(_q(count)) + 1) / F.lit(2.0)
+    return placed.withColumn("rank", rank).drop(BELOW, TOTAL)
 
 
 # ---------------------------------------------------------------------------
@@ -83,26 +52,17 @@ def mid_ranks(freq: DataFrame, value: str, count: str = "c", by=(), buckets: int
 def spearman_stat(df: DataFrame, a: str, b: str, buckets: int | None = None) -> DataFrame:
     """T1 on Spark: one row (n, rho).  Pairs with a null are left out.
 
-    Rows are first reduced to (a, b, count); ranks come from the marginal
-    frequencies; rho is the weighted Pearson correlation of the ranks.
+    Rows are first reduced to (a, b, count) and written, so the source is read
+    once; ranks come from the marginal frequencies; rho is the weighted Pearson
+    correlation of the ranks.
     """
     both = (df.select(F.col(_q(a)).alias("a"), F.col(_q(b)).alias("b"))
               .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
-    pairs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    if buckets is None:
-        # one sizing pass for both columns: HyperLogLog estimates of the
-        # distinct counts (partial aggregation, no shuffle of values; default
-        # 5% relative error, hence the 20% margin; a finer sketch costs more
-        # in generated code than it saves).  The range count only balances
-        # the work; the ranks do not depend on it
-        est = both.agg(F.approx_count_distinct("a").alias("a"),
-                       F.approx_count_distinct("b").alias("b")).first()
-        buckets_a, buckets_b = (max(1, math.ceil(1.2 * est[c] / ROWS_PER_RANK_TASK)) for c in ("a", "b"))
-    else:
-        buckets_a = buckets_b = buckets
-    ra = mid_ranks(pairs.groupBy("a").agg(F.sum("c").alias("c")), "a", "c", buckets=buckets_a) \
+    ensure_checkpoint_dir(df.sparkSession)
+    pairs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).checkpoint()
+    ra = mid_ranks(pairs.groupBy("a").agg(F.sum("c").alias("c")), "a", "c", buckets=buckets) \
         .select("a", F.col("rank").alias("ra"))
-    rb = mid_ranks(pairs.groupBy("b").agg(F.sum("c").alias("c")), "b", "c", buckets=buckets_b) \
+    rb = mid_ranks(pairs.groupBy("b").agg(F.sum("c").alias("c")), "b", "c", buckets=buckets) \
         .select("b", F.col("rank").alias("rb"))
     j = pairs.join(ra, "a").join(rb, "b")
     # mid-ranks of n rows have the mean (n + 1) / 2, ties or not: one aggregation is enough
@@ -149,8 +109,11 @@ def _long(df: DataFrame, features, target: str) -> DataFrame:
 
 def value_counts(long: DataFrame) -> DataFrame:
     """(feature, value, y) -> count: the one pre-aggregation every grouped
-    test starts from (map-side combined, so a hot group is one row per y)."""
-    return long.groupBy("feature", "value", "y").agg(F.count(F.lit(1)).alias("c"))
+    test starts from (map-side combined, so a hot group is one row per y).
+    Written to the checkpoint folder: the tests use it several times and the
+    source is read once."""
+    ensure_checkpoint_dir(long.sparkSession)
+    return long.groupBy("feature", "value", "y").agg(F.count(F.lit(1)).alias("c")).checkpoint()
 
 
 def kruskal_stats(long: DataFrame | None = None, cnt: DataFrame | None = None) -> DataFrame:
@@ -390,15 +353,6 @@ def kde(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0, bins: i
     return sorted_small(out, "grid_index")
 
 
-def kde_params(df: DataFrame, col: str, cut: float = 3.0) -> dict:
-    x = F.col(_q(col)).cast("double")
-    st = df.select(x.alias("x")).where(F.col("x").isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"),
-        F.max("x").alias("hi")).first()
-    bw = st["sd"] * st["n"] ** (-1.0 / 5.0)
-    return {"n": st["n"], "bw": bw, "lo": st["lo"], "hi": st["hi"], "cut": cut}
-
-
 __all__ = ["mid_ranks", "spearman", "spearman_stat", "kruskal_wallis", "kruskal_stats", "t_test", "t_stats",
            "temporal_trends", "temporal_trend_stats", "anova", "anova_stats", "moments", "moments_from_counts",
-           "value_counts", "rank_buckets", "vif", "kde"]
+           "value_counts", "vif", "kde"]

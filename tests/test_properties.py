@@ -1,4 +1,4 @@
-"""Properties and scale paths (multi-pass quantiles, bucketed ranks)."""
+"""Properties and scale paths (quantiles and ranks by range)."""
 import random
 
 import numpy as np
@@ -23,94 +23,90 @@ def _linear_quantile(xs, p):
     return lo + (h - np.floor(h)) * (hi - lo)
 
 
-@pytest.mark.parametrize("bins,exact_below", [(4096, 50_000), (4, 10), (2, 3)])
-def test_exact_quantiles_match_brute_force(spark, bins, exact_below):
+@pytest.mark.parametrize("ranges", [None, 1, 40])
+def test_exact_quantiles_match_brute_force(spark, ranges):
     rng = random.Random(7)
     rows = [(rng.choice("abc"), rng.lognormvariate(0, 2) if rng.random() > 0.3 else float(rng.randint(0, 5)))
             for _ in range(3000)]
-    # one hot group holding most rows, plus a null value
-    rows += [("a", 2.5)] * 2000 + [("b", None)]
+    # one hot group holding most rows, plus a null value, a NaN and a null group
+    rows += [("a", 2.5)] * 2000 + [("b", None), ("c", float("nan")), (None, 4.0), (None, 6.0)]
     df = spark.createDataFrame(rows, "g string, x double")
     probs = [0.25, 0.5, 0.75, 0.9]
-    got = Q.exact_quantiles(df, "x", probs, by=["g"], bins=bins, exact_below=exact_below)
-    for g in "abc":
-        xs = [x for gg, x in rows if gg == g and x is not None]
-        for p, v in zip(probs, got[(g,)]):
-            assert v == pytest.approx(_linear_quantile(xs, p), rel=1e-12, abs=1e-12)
-    whole = Q.exact_quantiles(df, "x", probs, bins=bins, exact_below=exact_below)[()]
-    xs = [x for _, x in rows if x is not None]
+    got = {r[0]: list(r)[1:] for r in Q.quantile_frame(df, "x", probs, by=["g"], ranges=ranges).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g in got:
+        xs = [x for gg, x in rows if gg == g and x is not None and x == x]
+        assert got[g] == pytest.approx([_linear_quantile(xs, p) for p in probs], rel=1e-12, abs=1e-12)
+    whole = Q.exact_quantiles(df, "x", probs, ranges=ranges)
+    xs = [x for _, x in rows if x is not None and x == x]
     assert whole == pytest.approx([_linear_quantile(xs, p) for p in probs], rel=1e-12)
 
 
-def test_exact_quantiles_when_sketch_bracket_misses(spark, monkeypatch):
-    # a zero-width bracket almost never holds the exact order statistic:
-    # every target must fall back to the full range and still be exact
-    monkeypatch.setattr(Q, "SKETCH_MARGIN", 0)
-    rng = random.Random(11)
-    xs = [rng.gauss(0, 1) for _ in range(5000)]
-    df = spark.createDataFrame([(x,) for x in xs], "x double")
-    got = Q.exact_quantiles(df, "x", [0.25, 0.75], bins=16, exact_below=100)[()]
-    assert got == pytest.approx([_linear_quantile(xs, 0.25), _linear_quantile(xs, 0.75)], rel=1e-12)
-
-
 def test_exact_quantiles_many_probabilities_ungrouped(spark):
-    # ~100 order statistics at once: a long literal interval array per row
     rng = random.Random(17)
     xs = [rng.paretovariate(1.5) for _ in range(4000)] + [1.0] * 1500
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     probs = [i / 50 for i in range(51)]
-    got = Q.exact_quantiles(df, "x", probs, bins=64, exact_below=200)[()]
+    got = Q.exact_quantiles(df, "x", probs, ranges=9)
     assert got == pytest.approx([_linear_quantile(xs, p) for p in probs], rel=1e-12)
 
 
-def test_exact_quantiles_with_small_driver_budget(spark, monkeypatch):
-    # many intervals for the budget: fewer buckets, chunked jobs, still exact
-    monkeypatch.setattr(Q, "DRIVER_ROWS", 400)
-    rng = random.Random(5)
-    rows = [(g, rng.expovariate(1.0)) for g in range(12) for _ in range(150)]
-    rows += [(3, 0.5)] * 900           # a hot group
-    df = spark.createDataFrame(rows, "g int, x double")
-    got = Q.exact_quantiles(df, "x", [0.25, 0.75], by=["g"])
-    for g in range(12):
-        xs = [x for gg, x in rows if gg == g]
-        assert got[(g,)] == pytest.approx([_linear_quantile(xs, 0.25), _linear_quantile(xs, 0.75)], rel=1e-12)
+def test_exact_quantiles_without_values(spark):
+    empty = spark.createDataFrame([("a", None)], "g string, x double")
+    assert Q.exact_quantiles(empty, "x", [0.5]) is None
+    assert Q.quantile_frame(empty, "x", [0.5], by=["g"]).count() == 0
+    assert PR.fences(empty, "x") is None
+    assert PR.box_summary(empty, "x").count() == 0
+
 
+def test_quantiles_of_very_many_groups(spark):
+    # more groups than any driver-side list was allowed to hold before
+    df = spark.range(0, 360_000).select((F.col("id") % 120_000).alias("g"), F.col("id").cast("double").alias("x"))
+    q = Q.quantile_frame(df, "x", [0.5], by=["g"])
+    assert q.count() == 120_000
+    assert q.where(F.col("q50") != F.col("g") + 120_000).count() == 0
 
-def test_spearman_sized_ranges_equal_single_window(spark, monkeypatch):
-    # a small per-window bound makes the sizing pass choose several ranges
+
+def test_spearman_ranges_equal_single_range(spark):
     rng = random.Random(9)
     rows = [(float(rng.randint(0, 300)), rng.gauss(0, 1)) for _ in range(3000)]
     df = spark.createDataFrame(rows, "a double, b double")
     whole = ST.spearman_stat(df, "a", "b", buckets=1).first()
-    monkeypatch.setattr(ST, "ROWS_PER_RANK_TASK", 200)
-    ranged = ST.spearman_stat(df, "a", "b").first()
+    ranged = ST.spearman_stat(df, "a", "b", buckets=15).first()
     assert ranged["n"] == whole["n"] == 3000
     assert ranged["rho"] == pytest.approx(whole["rho"], rel=1e-12)
 
 
-def test_kruskal_sized_ranges_equal_single_window(spark, monkeypatch):
+def test_kruskal_matches_plain_ranks(spark):
     rng = random.Random(13)
     rows = [(rng.choice("pqrs"), float(rng.randint(0, 500))) for _ in range(4000)]
     long = spark.createDataFrame(rows, "value string, y double").withColumn("feature", F.lit("f"))
-    whole = ST.kruskal_stats(long).first()
-    monkeypatch.setattr(ST, "ROWS_PER_RANK_TASK", 50)
-    ties = long.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("t"))
-    assert ST.rank_buckets(ties, ["feature"]) > 1
-    ranged = ST.kruskal_stats(long).first()
-    assert (ranged["k"], ranged["N"]) == (whole["k"], whole["N"]) == (4, 4000)
+    got = ST.kruskal_stats(long).first()
+    assert (got["k"], got["N"]) == (4, 4000)
+    ys = np.array([y for _, y in rows])
+    order = np.sort(ys)
+    rank = (np.searchsorted(order, ys, "left") + np.searchsorted(order, ys, "right") + 1) / 2
+    groups = np.array([g for g, _ in rows])
+    n = len(rows)
+    h = 12 / (n * (n + 1)) * sum(rank[groups == g].sum() ** 2 / (groups == g).sum() for g in "pqrs") - 3 * (n + 1)
+    ties = np.unique(ys, return_counts=True)[1].astype(float)
     # H is a difference of large terms: summation order moves its last digits
-    assert ranged["statistic"] == pytest.approx(whole["statistic"], rel=1e-9)
+    assert got["statistic"] == pytest.approx(h / (1 - (ties ** 3 - ties).sum() / (n ** 3 - n)), rel=1e-9)
 
 
-def test_bucketed_mid_ranks_equal_single_window(spark):
+def test_mid_ranks_do_not_depend_on_ranges(spark):
     rng = random.Random(3)
     rows = [(rng.choice("xy"), float(rng.randint(0, 400))) for _ in range(4000)]
     df = spark.createDataFrame(rows, "g string, v double")
     freq = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
     one = {(r.g, r.v): r.rank for r in ST.mid_ranks(freq, "v", "c", by=["g"], buckets=1).collect()}
-    assert ST.rank_buckets(freq, ["g"]) == 1
     many = {(r.g, r.v): r.rank for r in ST.mid_ranks(freq, "v", "c", by=["g"], buckets=7).collect()}
     assert one == many
+    for g in "xy":
+        vs = sorted(v for gg, v in rows if gg == g)
+        for v in set(vs):
+            at = [i + 1 for i, w in enumerate(vs) if w == v]
+            assert one[(g, v)] == sum(at) / len(at)
 
 
 def test_histogram_counts_sum_to_rows(spark):
@@ -148,21 +144,16 @@ def test_iqr_filter_pushes_literal_fences_into_scan(spark):
     assert "PushedFilters: [IsNotNull(value), GreaterThan(value," in plan
 
 
-def test_quantile_narrowing_result_bound(spark):
-    # the histogram pass never returns more than bins rows per interval
+def test_quantile_of_all_distinct_values(spark):
     df = spark.range(0, 200_000).select((F.col("id") * 1.000001).alias("x"))
-    got = Q.exact_quantiles(df, "x", [0.5], bins=64, exact_below=100)[()][0]
-    assert got == pytest.approx(99_999.5 * 1.000001)
-
-
-def test_auto_rank_buckets_split_large_tables(spark, monkeypatch):
-    monkeypatch.setattr(ST, "ROWS_PER_RANK_TASK", 100)
-    df = spark.range(0, 1000).select((F.col("id") % 457).cast("double").alias("v"))
-    freq = df.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    assert ST.rank_buckets(freq) == 5
-    auto = {r.v: r.rank for r in ST.mid_ranks(freq, "v", "c").collect()}
-    plain = {r.v: r.rank for r in ST.mid_ranks(freq, "v", "c", buckets=1).collect()}
-    assert auto == plain
+    assert Q.exact_quantiles(df, "x", [0.5])[0] == pytest.approx(99_999.5 * 1.000001)
+
+
+def test_vocabulary_bound_is_the_callers(spark):
+    df = spark.range(0, 50).select(F.col("id").cast("string").alias("a"), F.lit("k").alias("b"))
+    assert len(EN.category_vocabulary(df, ["a", "b"])["a"]) == 50
+    with pytest.raises(ValueError, match="'a'"):
+        EN.category_vocabulary(df, ["a", "b"], max_levels=49)
 
 
 def test_binned_kde_close_to_exact(spark):
