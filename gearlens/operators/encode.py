@@ -2,7 +2,7 @@
 
 * E1 finds every column's vocabulary in **one** distributed job (unpivot +
   distinct with map-side combine; nulls are filtered before the shuffle).
-  Only the vocabulary reaches the driver, and its size is checked.
+  Only the vocabulary reaches the driver, as it names the columns.
 * E2 turns the vocabulary into one ``select`` of ``when(col == v, 1)``
   expressions (pandas ``get_dummies(drop_first=True)`` semantics: the first
   value in sort order is dropped, null gives all zeros, non-encoded columns

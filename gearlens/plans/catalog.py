@@ -294,6 +294,13 @@ def q_box_summary_by_fuel(spark, sf_dir):
     return _box_out(PR.box_summary(inspections(spark, sf_dir), S.TARGET, [S.FUEL]), [S.FUEL])
 
 
+@register("box_summary_by_order", "with li as (select l_orderkey, cast(l_extendedprice as double) as price from lineitem),\n"
+          + _box_sql("li", "price", "l_orderkey") + f"\nselect l_orderkey, {_BOX_SEL} from bx")
+def q_box_summary_by_order(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast("double").alias("price"))
+    return _box_out(PR.box_summary(li, "price", ["l_orderkey"]), ["l_orderkey"])
+
+
 @register("outliers", with_insp("""
 select appointmentId, odometer_reading from insp, bf
 where odometer_reading < lower_fence or odometer_reading > upper_fence""",
@@ -819,6 +826,9 @@ def q_explore_features(spark, sf_dir):
 # Split, models, scoring, streaming (rows-only beyond M1/U1)
 # ---------------------------------------------------------------------------
 import uuid  # noqa: E402
+from contextlib import contextmanager  # noqa: E402
+
+from pyspark import StorageLevel  # noqa: E402
 
 from gearlens.plans import model as ML  # noqa: E402
 from gearlens.plans import score as SC  # noqa: E402
@@ -843,15 +853,19 @@ def q_append_rows(spark, sf_dir):
     return P.append_rows(tr.withColumn("part", F.lit("train")), va.withColumn("part", F.lit("validation")))
 
 
-# Small, fixed model settings for the registered queries (the fits run on the
-# whole derived table; the settings only bound the number of trees).
-_QUICK = {"maxIter": 10, "maxDepth": 4}
 _MODEL_CACHE: dict = {}
 
 
-def _features(spark, sf_dir):
+@contextmanager
+def _split_features(spark, sf_dir):
+    """Feature names and the train, validation and test parts of one derivation
+    of the feature table, kept while the fits of a query read them."""
     ff = PL.production_features(inspections(spark, sf_dir))
-    return ff
+    rows = ff.df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield ff.features, ML.split(rows)
+    finally:
+        rows.unpersist()
 
 
 def _service_features(spark, sf_dir):
@@ -863,34 +877,31 @@ def _model(spark, sf_dir):
     key = (sf_dir, spark.sparkContext.applicationId)
     if key not in _MODEL_CACHE:
         ff = _service_features(spark, sf_dir)
-        tr, va, te = ML.split(ff.df)
-        m = ML.train(P.append_rows(tr, va), ff.features, "boosted", int_target=True, **_QUICK)
+        # train and validation rows as one range of buckets: one derivation, no union
+        fit, _ = ML.split(ff.df, weights=(0.80, 0.20))
+        m = ML.train(fit, ff.features, "boosted", int_target=True)
         _MODEL_CACHE[key] = (m, ff.features)
     return _MODEL_CACHE[key]
 
 
 @register("compare_models")
 def q_compare_models(spark, sf_dir):
-    ff = _features(spark, sf_dir)
-    tr, va, _ = ML.split(ff.df)
-    params = {"decision_tree": {"maxDepth": 5}, "random_forest": {"numTrees": 10, "maxDepth": 5}, "boosted": _QUICK}
-    return ML.compare_models(tr, va, ff.features, params=params)
+    with _split_features(spark, sf_dir) as (features, (tr, va, _)):
+        return ML.compare_models(tr, va, features)
 
 
 @register("random_search")
 def q_random_search(spark, sf_dir):
-    ff = _features(spark, sf_dir)
-    tr, _, _ = ML.split(ff.df)
     space = {"maxDepth": [2, 4], "stepSize": [0.1, 0.2], "maxIter": [5]}
-    cvm, maps = ML.random_search(tr, ff.features, space, n=2, folds=3)
+    with _split_features(spark, sf_dir) as (features, (tr, _, _)):
+        cvm, maps = ML.random_search(tr, features, space, n=2, folds=3)
     return ML.search_results(cvm, maps)
 
 
 @register("final_fit")
 def q_final_fit(spark, sf_dir):
-    ff = _features(spark, sf_dir)
-    tr, va, te = ML.split(ff.df)
-    _, metrics = ML.final_fit(tr, va, te, ff.features, **_QUICK)
+    with _split_features(spark, sf_dir) as (features, (tr, va, te)):
+        _, metrics = ML.final_fit(tr, va, te, features)
     return metrics
 
 

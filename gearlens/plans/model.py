@@ -94,14 +94,14 @@ def _labelled(df: DataFrame, label: str, int_target: bool) -> DataFrame:
     return df.where(F.col(label).isNotNull()).withColumn(label, y)
 
 
-def _fit_input(df: DataFrame, features, label: str, int_target: bool) -> DataFrame:
+def _fit_input(df: DataFrame, features, label: str, int_target: bool, extra=()) -> DataFrame:
     """The labelled rows, feature and label columns only, persisted: the tree
     learners pass over their input several times before caching their own
     binned copy (row count, split sampling, binning), and without this every
     pass would recompute the whole feature plan.  Blocks lost with an
     executor are recomputed from the lineage."""
     cols = [F.col(f"`{c}`") for c in dict.fromkeys(list(features) + [label])]
-    return _labelled(df.select(*cols), label, int_target).persist(StorageLevel.MEMORY_AND_DISK)
+    return _labelled(df.select(*cols, *extra), label, int_target).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def train(df: DataFrame, features, kind: str = "boosted", label: str = S.TARGET,
@@ -190,7 +190,10 @@ def draw_param_maps(estimator, space: dict, n: int, seed: int = 42) -> list[dict
 def random_search(df: DataFrame, features, space: dict | None = None, n: int = 20, folds: int = 3,
                   kind: str = "boosted", label: str = S.TARGET, seed: int = 42, parallelism: int = 2):
     """M6: ``n`` random settings, ``folds``-fold CV by R^2; returns the
-    fitted CrossValidatorModel (``bestModel``, ``avgMetrics``) and the maps."""
+    fitted CrossValidatorModel (``bestModel``, ``avgMetrics``) and the maps.
+
+    A table with the key column gets its folds from the key's hash bucket, so
+    they don't depend on partitioning; without it they are random by ``seed``."""
     pipe = make_pipeline(features, kind, label)
     reg = pipe.getStages()[-1]
     maps = draw_param_maps(reg, space or BOOSTED_SPACE, n, seed)
@@ -198,7 +201,11 @@ def random_search(df: DataFrame, features, space: dict | None = None, n: int = 2
     ev = RegressionEvaluator(labelCol=label, predictionCol=PREDICTION, metricName="r2")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
                         seed=seed, parallelism=parallelism)
-    data = _fit_input(df, features, label, False)
+    extra = []
+    if S.KEY in df.columns:
+        extra = [(split_bucket(S.KEY) % folds).cast("int").alias("__fold")]
+        cv = cv.setFoldCol("__fold")
+    data = _fit_input(df, features, label, False, extra)
     try:
         return cv.fit(data), maps
     finally:
