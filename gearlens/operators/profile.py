@@ -205,15 +205,23 @@ def outliers(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     return df.where((F.col(col) < F.lit(lo)) | (F.col(col) > F.lit(hi)))
 
 
+def _corr(a, b):
+    """Correlation over the rows where both are present.  Null for a constant
+    side, where ``corr`` itself is a division by zero in ANSI mode."""
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
 def pearson_matrix(df: DataFrame, cols, wide: bool = False) -> DataFrame:
     """Pairwise-complete Pearson correlations in one aggregation.
 
-    Long form: (col_a, col_b, corr) for every ordered pair, diagonal included.
+    Long form: (col_a, col_b, corr) for every ordered pair, diagonal included;
+    a column that is constant over the rows of a pair has no correlation (null).
     """
     cols = list(cols)
     # the upper triangle is aggregated (k(k+1)/2 correlations), then mirrored
     upper = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    aggs = [F.corr(as_number(df, cols[i]), as_number(df, cols[j])).alias(f"c{i}_{j}") for i, j in upper]
+    aggs = [_corr(as_number(df, cols[i]), as_number(df, cols[j])).alias(f"c{i}_{j}") for i, j in upper]
     w = df.agg(*aggs)
     entries = []
     for i, j in upper:

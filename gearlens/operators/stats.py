@@ -14,6 +14,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark import StorageLevel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -274,44 +277,48 @@ def anova(df: DataFrame, cols, target: str = S.TARGET, min_rows: int = 2) -> Dat
 # ---------------------------------------------------------------------------
 def vif(df: DataFrame, cols, add_constant: bool = True) -> DataFrame:
     """Variance inflation factor of each column (statsmodels convention
-    with a constant term).  Means and covariances come from one aggregation;
-    only the k x k matrix is inverted on the driver.  Exact collinearity
-    gives infinity.  Rows with a null in any column are left out."""
+    with a constant term).  The columns are assembled to a vector, so wide blocks
+    of flags cost one Gram-matrix aggregation and not k(k+1)/2 expressions; only
+    the k x k matrix is inverted on the driver.
+
+    Columns that take part in an exact linear relation get infinity, and so does
+    the constant then; the other columns keep their finite factor.  A table with a constant column or fewer than two
+    complete rows gives infinity everywhere.  Rows with a null in any column are
+    left out."""
     cols = list(cols)
-    x = df.select(*[F.col(_q(c)).cast("double").alias(c) for c in cols]).dropna()
-    aggs = [F.count(F.lit(1)).alias("__n")] + [F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)]
-    aggs += [F.covar_samp(_q(a), _q(b)).alias(f"c{i}_{j}")
-             for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    r = x.agg(*aggs).first()
-    n = r["__n"]
-    k = len(cols)
-    cov = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] if r[f"c{i}_{j}"] is not None else float("nan")
-    means = np.array([r[f"m{i}"] for i in range(k)], dtype=float)
-    out = []
-    # scale-free form: correlation matrix R and z = mean / sd, so columns of
-    # very different scales (odometer vs. month) do not hurt the inversion
-    sd = np.sqrt(np.diag(cov))
+    parts = [f"__v{i}" for i in range(len(cols))]
+    x = df.select(*[F.col(_q(c)).cast("double").alias(p) for c, p in zip(cols, parts)]).dropna()
+    v = VectorAssembler(inputCols=parts, outputCol="v").transform(x).select("v").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if not np.all(np.isfinite(cov)) or np.any(sd == 0):
-            raise np.linalg.LinAlgError
-        corr = cov / np.outer(sd, sd)
-        if np.linalg.cond(corr) > 1e13:
-            raise np.linalg.LinAlgError
-        vifs = np.diag(np.linalg.inv(corr))
-        z = means / sd
-        const_vif = 1.0 + n / (n - 1) * float(z @ np.linalg.solve(corr, z))
-    except np.linalg.LinAlgError:
-        vifs = np.full(k, np.inf)
-        const_vif = float("inf")
-    if add_constant:
-        out.append(("const", float(const_vif)))
-    out += [(c, float(v)) for c, v in zip(cols, vifs)]
+        n = v.count()        # the summary of no rows is an error
+        s = v.agg(Summarizer.metrics("mean", "std").summary(F.col("v")).alias("s")).first()["s"] if n >= 2 else None
+        usable = s is not None and bool(np.all(s["std"].toArray() > 0))
+        # scale-free form: correlation matrix R and z = mean / sd, so columns of
+        # very different scales (odometer vs. month) do not hurt the inversion
+        corr = Correlation.corr(v, "v").first()[0].toArray() if usable else None
+    finally:
+        v.unpersist()
+    vifs, const_vif = [float("inf")] * len(cols), float("inf")
+    if usable:
+        z = s["mean"].toArray() / s["std"].toArray()
+        vifs, const_vif = _inflation(corr, z, n)
+    out = [("const", const_vif)] if add_constant else []
+    out += [(c, float(f)) for c, f in zip(cols, vifs)]
     return _result(df, out, "feature string, vif double")
 
 
+def _inflation(corr: np.ndarray, z: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """Factors of the columns and of the constant.  The residual of a column
+    on the others is 1 over its diagonal entry of the inverse; with exact
+    relations the pseudo-inverse has it for the columns outside of them."""
+    size, axes = np.linalg.eigh(corr)
+    null = size <= 1e-12 * size.max()
+    inverse = (axes[:, ~null] / size[~null]) @ axes[:, ~null].T
+    related = np.abs(axes[:, null]).max(axis=1, initial=0.0) > 1e-6
+    const = float("inf") if null.any() else 1.0 + n / (n - 1) * float(z @ inverse @ z)
+    return np.where(related, np.inf, np.diag(inverse)), const
+
+
 # ---------------------------------------------------------------------------
 # T7 kernel density
 # ---------------------------------------------------------------------------

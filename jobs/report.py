@@ -19,6 +19,7 @@ def main():
     from pyspark import StorageLevel
 
     from gearlens import schema as S
+    from gearlens.functions.timefx import time_features
     from gearlens.operators import prep as P
     from gearlens.operators import profile as PR
     from gearlens.operators import trends as TR
@@ -28,14 +29,15 @@ def main():
     cols = P.present(df, [S.KEY, S.TIME, S.REG_YEAR, S.REG_YEAR_ALT, S.REG_MONTH, S.ODOMETER, S.FUEL, S.TARGET])
     base = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     out = args.out.rstrip("/")
-    corr_cols = P.present(base, [S.REG_YEAR, S.ODOMETER, S.TARGET])
+    numbers = time_features(base, with_month_name=True) if S.TIME in cols else base
+    corr_cols = P.present(numbers, [S.REG_YEAR, S.MONTH_NUM, S.ODOMETER, S.TARGET])
     views = {
         "volume_trend": TR.volume_trend(base, count_col=None),
         "monthly_volume": TR.monthly_volume(base),
         "vintage": TR.vintage(base),
         "daily_intensity": TR.daily_intensity_histogram(base, 30),
         "odometer_box": PR.box_summary(base, S.ODOMETER),
-        "correlation": PR.pearson_matrix(base, corr_cols),
+        "correlation": PR.pearson_matrix(numbers, corr_cols),
     }
     for name, view in views.items():
         write_table(view, f"{out}/{name}")
