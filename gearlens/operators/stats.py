@@ -135,8 +135,9 @@ def kruskal_stats(long: DataFrame | None = None, cnt: DataFrame | None = None) -
     agg = agg.join(tie_sum, "feature")
     N = F.col("N").cast("double")
     h = F.lit(12.0) / (N * (N + 1)) * F.col("sr") - 3 * (N + 1)
-    corr = F.lit(1.0) - F.col("tie") / (N * N * N - N)
-    return agg.select("feature", "k", "N", (h / corr).alias("statistic"))
+    # one row, or all values tied: no statistic
+    corr = F.lit(1.0) - F.try_divide(F.col("tie"), N * N * N - N)
+    return agg.select("feature", "k", "N", F.try_divide(h, corr).alias("statistic"))
 
 
 def moments(long: DataFrame) -> DataFrame:
@@ -169,8 +170,10 @@ def t_stats(mom: DataFrame) -> DataFrame:
     g2 = two.where("__i = 2").select("feature", F.col("n").alias("n2"), F.col("mean").alias("m2"), F.col("var").alias("v2"))
     j = g1.join(g2, "feature")
     dfree = F.col("n1") + F.col("n2") - 2
-    sp2 = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / dfree
-    t = (F.col("m1") - F.col("m2")) / F.sqrt(sp2 * (F.lit(1.0) / F.col("n1") + F.lit(1.0) / F.col("n2")))
+    # a group of one row has no variance and adds nothing; without any variation there is no statistic
+    spread = (F.col("n1") - 1) * F.coalesce("v1", F.lit(0.0)) + (F.col("n2") - 1) * F.coalesce("v2", F.lit(0.0))
+    sp2 = F.try_divide(spread, dfree.cast("double"))
+    t = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(sp2 * (F.lit(1.0) / F.col("n1") + F.lit(1.0) / F.col("n2"))))
     return j.select("feature", t.alias("statistic"), dfree.cast("double").alias("df"))
 
 
@@ -186,7 +189,7 @@ def anova_stats(mom: DataFrame, min_rows: int = 2) -> DataFrame:
         F.sum((F.col("n") - 1) * F.col("var")).alias("ssw"))
     d1 = F.col("k") - 1
     d2 = F.col("N") - F.col("k")
-    f = (F.col("ssb") / d1) / (F.col("ssw") / d2)
+    f = F.try_divide(F.col("ssb") * d2, F.col("ssw") * d1)       # null without variation inside the groups
     return agg.select("feature", "k", "N", F.when(F.col("k") >= 2, f).alias("statistic"),
                       d1.cast("double").alias("df1"), d2.cast("double").alias("df2"))
 
@@ -194,7 +197,7 @@ def anova_stats(mom: DataFrame, min_rows: int = 2) -> DataFrame:
 def kruskal_wallis(df: DataFrame, feature: str, target: str = S.TARGET) -> DataFrame:
     """Kruskal-Wallis H of ``target`` across the values of ``feature``."""
     r = kruskal_stats(_long(df, [feature], target)).first()
-    if r is None or r["k"] < 2:
+    if r is None or r["k"] < 2 or r["statistic"] is None:
         return _result(df, [(feature, int(r["k"]) if r else 0, None, None, None)],
                        "feature string, k long, statistic double, df double, p_value double")
     h, k = r["statistic"], r["k"]
@@ -206,7 +209,7 @@ def t_test(df: DataFrame, feature: str, target: str = S.TARGET) -> DataFrame:
     """Two-sample pooled-variance t of ``target`` between the two values
     of ``feature``."""
     r = t_stats(moments(_long(df, [feature], target))).first()
-    if r is None:
+    if r is None or r["statistic"] is None:
         return _result(df, [(feature, None, None, None)], "feature string, statistic double, df double, p_value double")
     return _result(df, [(feature, r["statistic"], r["df"], t_sf_two_sided(r["statistic"], r["df"]))],
                    "feature string, statistic double, df double, p_value double")
@@ -237,7 +240,8 @@ def temporal_trend_stats(df: DataFrame, features, target: str = S.TARGET) -> Dat
 def temporal_trends(df: DataFrame, features=(S.HOUR, S.MON, S.DOW, S.REG_MONTH, S.REG_YEAR),
                     target: str = S.TARGET) -> DataFrame:
     """T4: trend test per feature with p-value and verdict (p < 0.05).
-    A feature with fewer than two groups gets no statistic."""
+    A feature with fewer than two groups, or a target without variation, gets no
+    statistic."""
     rows = temporal_trend_stats(df, features, target).collect()   # one row per feature
     got = {r["feature"]: r for r in rows}
     out = []
@@ -246,6 +250,9 @@ def temporal_trends(df: DataFrame, features=(S.HOUR, S.MON, S.DOW, S.REG_MONTH,
         if r is None or r["n_groups"] < 2:
             out.append((f, int(r["n_groups"]) if r else 0, None, None, None, None, "not enough groups"))
             continue
+        if r["statistic"] is None:
+            out.append((f, int(r["n_groups"]), r["test"], None, None, None, "no variation"))
+            continue
         p = chi2_sf(r["statistic"], r["df"]) if r["test"] == "Kruskal-Wallis" else t_sf_two_sided(r["statistic"], r["df"])
         out.append((f, int(r["n_groups"]), r["test"], r["statistic"], r["df"], p,
                     "significant" if p < ALPHA else "not significant"))
@@ -263,7 +270,7 @@ def anova(df: DataFrame, cols, target: str = S.TARGET, min_rows: int = 2) -> Dat
     out = []
     for c in cols:
         r = rows.get(c)
-        if r is None or r["k"] < 2:
+        if r is None or r["k"] < 2 or r["statistic"] is None:
             out.append((c, int(r["k"]) if r else 0, None, None, None, None, "skipped"))
             continue
         p = f_sf(r["statistic"], r["df1"], r["df2"])

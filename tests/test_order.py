@@ -1,6 +1,6 @@
 """Row order of the sorting operators (O1, O2, P9), which the value comparison
 of the oracle queries can't see; variance inflation of wide blocks (T6) and
-correlations with constant columns (A20)."""
+correlations and tests without variation (A20, T2-T5)."""
 import datetime as dt
 import math
 import random
@@ -90,3 +90,20 @@ def test_correlation_of_a_constant_column_is_null(spark):
     assert [got["a", "b"], got["b", "b"], got["c", "b"]] == [None, None, None]
     assert got["a", "a"] == pytest.approx(1.0)
     assert got["a", "c"] == got["c", "a"] == pytest.approx(np.corrcoef([1, 4, 5], [2, 5, 3])[0, 1])
+
+
+def test_tests_without_variation_have_no_statistic(spark):
+    df = spark.createDataFrame([("p", "u", 2.0), ("p", "v", 2.0), ("q", "w", 2.0), ("q", "w", 2.0)], "two string, three string, y double")
+    assert ST.kruskal_wallis(df, "three", "y").first()["statistic"] is None
+    assert ST.t_test(df, "two", "y").first()["statistic"] is None
+    assert ST.anova(df, ["two"], "y").first()["verdict"] == "skipped"
+    got = {r["feature"]: r["verdict"] for r in ST.temporal_trends(df, ["two", "three"], "y").collect()}
+    assert got == {"two": "no variation", "three": "no variation"}
+
+
+def test_t_with_a_group_of_one_row(spark):
+    df = spark.createDataFrame([("p", 1.0), ("p", 2.0), ("p", 4.0), ("q", 5.0)], "g string, y double")
+    r = ST.t_test(df, "g", "y").first()
+    mean, spread = 7 / 3, sum((y - 7 / 3) ** 2 for y in (1, 2, 4))
+    assert r["statistic"] == pytest.approx((mean - 5) / math.sqrt(spread / 2 * (1 / 3 + 1)))
+    assert r["df"] == 2
