@@ -7,62 +7,30 @@ from pyspark.sql import functions as F
 
 from gearlens import schema as S
 
-# Accepted text layouts for inspection times, tried in order (ISO forms with
-# or without seconds/fractions, the browser's minute form, a bare date).
-TIME_FORMATS = [
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-]
+# Accepted inspection times: a date with dashes or slashes, alone or with minutes,
+# seconds and 1 to 9 fraction digits after a blank or T, and then with a zone.
+# Group 1 is the wall-clock time of the sender, without the zone.
+TIME_TEXT = r"^(\d{4}([-/])\d{2}\2\d{2}(?:\z|[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?))\s*(?:Z|[+-]\d{2}:?\d{2})?\z"
 
 
 def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _plain_time(text: Column) -> Column:
-    """The wall-clock text that the layouts know: slashes in the date become
-    dashes, a zone (Z or an offset, of texts with a time) is left out, so that
-    the clock time of the sender stays, and a fraction gets six digits."""
-    plain = F.regexp_replace(text, r"^(\d{4})/(\d{2})/(\d{2})", "$1-$2-$3")
-    plain = F.regexp_replace(plain, r"^(\S+[T ].*\d{2}:\d{2}\S*?)\s*(?:Z|[+-]\d{2}:?\d{2})$", "$1")
-    whole, digits = F.substring_index(plain, ".", 1), F.substring_index(plain, ".", -1)
-    plain = F.when(plain.rlike(r":\d{2}\.\d{1,9}$"), F.concat(whole, F.lit("."), F.rpad(F.substring(digits, 1, 6), 6, "0"))).otherwise(plain)
-    # the usual texts are left alone without a rewrite
-    return F.when(text.rlike(r"[/Z.+]|:\d{2}\s*-\d{2}"), plain).otherwise(text)
-
-
 def parse_time(c: str | Column, time_of_day: str | Column | None = None) -> Column:
-    """text -> timestamp; null (not an error) when no layout matches.
+    """text -> timestamp; null (not an error) for a text of another form.
+
+    A zone is read but not applied: the clock time of the sender stays; digits
+    after the sixth of a fraction are cut.  With ``time_of_day`` the date and the
+    time come from two columns and are joined with a space first.
 
-    With ``time_of_day`` the date and the time come from two columns and are
-    joined with a space first.
+    One pattern checks the form and a cast reads it, so the text is used once and
+    the expression stays small when a plan repeats it.
     """
     text = _c(c).cast("string")
     if time_of_day is not None:
         text = F.concat_ws(" ", text, _c(time_of_day).cast("string"))
-    text = _plain_time(F.trim(text))
-    # A layout can only match text of its own shape ('T' or space between date
-    # and time, number of ':' and '.'), and the shapes of the layouts do not
-    # overlap; so each text is parsed with the one layout of its shape, which
-    # gives what trying them all in order gives, without a failed parse (an
-    # exception inside the parser) per layout tried before the right one.
-    def parse(i):
-        return F.try_to_timestamp(text, F.lit(TIME_FORMATS[i]))
-    iso = text.contains("T")
-    colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
-    frac = text.contains(".")
-    return (F.when(iso & (colons == 2) & frac, parse(0))
-             .when(iso & (colons == 2), parse(1))
-             .when(iso & (colons == 1), parse(2))
-             .when(~iso & (colons == 2) & frac, parse(3))
-             .when(~iso & (colons == 2), parse(4))
-             .when(~iso & (colons == 1), parse(5))
-             .when(colons == 0, parse(6)))
+    return F.translate(F.regexp_extract(F.trim(text), TIME_TEXT, 1), "/", "-").try_cast("timestamp")
 
 
 def as_time(df: DataFrame, c: str = S.TIME) -> Column:

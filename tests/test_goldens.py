@@ -289,14 +289,16 @@ def test_scale_conf():
 
 def test_parse_time_equals_trying_every_layout(spark):
     from pyspark.sql import functions as F
-    from gearlens.functions.timefx import TIME_FORMATS, parse_time
+    from gearlens.functions.timefx import parse_time
+    layouts = ["yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss.SSSSSS",
+               "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"]
     texts = ["2019-03-04T10:15", "2019-03-04T10:15:30", "2019-03-04T10:15:30.123456", "2019-03-04T10:15:30.5",
              "2019-03-04 10:15", "2019-03-04 10:15:30", "2019-03-04 10:15:30.123456", "2019-03-04",
              " 2019-03-04T10:15 ", "2019-3-4", "2019-03-04T", "2019-03-04T10",
              "2019-03-04T10:15.5", "2019.03.04", "10:15", "1:2:3:4", "bad", "", "2019-02-30", "2019-03-04 25:00",
              "2019-03-04 10:15:30.", None]    # zones and longer fractions: tests/test_service_model.py
     df = spark.createDataFrame([(t,) for t in texts], "s string")
-    every = F.coalesce(*[F.try_to_timestamp(F.trim("s"), F.lit(f)) for f in TIME_FORMATS])
+    every = F.coalesce(*[F.try_to_timestamp(F.trim("s"), F.lit(f)) for f in layouts])
     got = df.select("s", parse_time("s").alias("a"), every.alias("b")).collect()
     assert [(r.s, r.a) for r in got] == [(r.s, r.b) for r in got]
     assert sum(r.a is not None for r in got) >= 8
