@@ -28,7 +28,7 @@ from gearlens.plans import model as ML
 from gearlens.plans import pipelines as PL
 from gearlens.plans import score as SC
 from gearlens.plans.catalog import (_FUEL_OF, _PRIORITIES, _SQL_BUCKET, _TREND_FEATURES, _TREND_LONG, _anova_sql, _kw_sql, _requests,
-                                    _service_features, _spearman_sql, r6, register)
+                                    _service_features, _spearman_sql, iso_ts, r6, register)
 from gearlens.session import shared_folder
 from gearlens.sources import io as IO
 from gearlens.sources.driver_tables import INSP_COLUMNS, SLOT_COLUMNS, inspections, table, with_insp
@@ -107,6 +107,26 @@ def q_read_requests(spark, sf_dir):
         F.size(given).alias("n_given"), F.size(F.filter(given, lambda v: v)).alias("n_set"))
 
 
+# ---------------------------------------------------------------------------
+# every accepted form of a time, one per id class, and two that are none
+# ---------------------------------------------------------------------------
+# (pattern, what follows it, unit that the form keeps)
+_TIME_FORMS = [("yyyy-MM-dd'T'HH:mm", "", "minute"), ("yyyy-MM-dd'T'HH:mm:ss", "", "second"), ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "", "microsecond"),
+               ("yyyy-MM-dd HH:mm", "", "minute"), ("yyyy-MM-dd HH:mm:ss", "", "second"), ("yyyy-MM-dd HH:mm:ss.SSSSSS", "", "microsecond"),
+               ("yyyy-MM-dd", "", "day"), ("yyyy/MM/dd", "", "day"), ("yyyy/MM/dd HH:mm", "", "minute"), ("yyyy-MM-dd'T'HH:mm:ss.SSS", "Z", "millisecond"),
+               ("yyyy-MM-dd'T'HH:mm", "+05:30", "minute"), ("yyyy-MM-dd HH:mm:ss", "-0800", "second"), ("yyyy-MM-dd HH:mm:ss.SSSSSS", "789", "microsecond"),
+               ("'soon' HH:mm", "", None), ("yyyy-MM-dd'T'HH", "", None)]
+
+
+@register("parse_time_forms", with_insp(f"select {S.KEY}, strftime(case {S.KEY} % {len(_TIME_FORMS)} " + " ".join(
+    f"when {i} then " + (f"date_trunc('{unit}', {S.TIME})::timestamp" if unit else "null") for i, (_, _, unit) in enumerate(_TIME_FORMS))
+    + " end, '%Y-%m-%d %H:%M:%S.%f') as parsed from insp"))
+def q_parse_time_forms(spark, sf_dir):
+    form = F.col(S.KEY) % len(_TIME_FORMS)
+    text = F.coalesce(*[F.when(form == i, F.concat(F.date_format(S.TIME, p), F.lit(end))) for i, (p, end, _) in enumerate(_TIME_FORMS)])
+    return inspections(spark, sf_dir).select(S.KEY, iso_ts(TF.parse_time(text)).alias("parsed"))
+
+
 # ---------------------------------------------------------------------------
 # P4, P10, P13, P15, A3, A4
 # ---------------------------------------------------------------------------
