@@ -176,5 +176,5 @@ def round_display(x, digits: int) -> Column:
 
 
 def format_display(x, digits: int) -> Column:
-    """F18 as text with a fixed number of decimals."""
-    return F.format_string(f"%.{digits}f", F.bround(_c(x), digits))
+    """F18 as text with a fixed number of decimals; null stays null."""
+    return F.when(_c(x).isNotNull(), F.format_string(f"%.{digits}f", F.bround(_c(x), digits)))

@@ -692,8 +692,8 @@ _SCORE = "(rating_engineTransmission * 1.3 - 0.7)"
 
 
 @register("clamp_score", with_insp(f"""
-select appointmentId, round(greatest(0.0, least(5.0, {_SCORE})), 6) as clamped,
-       round(greatest(0.0, {_SCORE}), 6) as floored from insp"""))
+select appointmentId, case when {_SCORE} is not null then round(greatest(0.0, least(5.0, {_SCORE})), 6) end as clamped,
+       case when {_SCORE} is not null then round(greatest(0.0, {_SCORE}), 6) end as floored from insp"""))
 def q_clamp_score(spark, sf_dir):
     x = F.col(S.TARGET) * 1.3 - 0.7
     return inspections(spark, sf_dir).select(S.KEY, r6(BD.clamp(x)).alias("clamped"), r6(BD.floor_zero(x)).alias("floored"))
@@ -702,15 +702,16 @@ def q_clamp_score(spark, sf_dir):
 @register("grade_threshold", with_insp("""
 select appointmentId, case when rating_engineTransmission >= 4.5 then 'Excellent' when rating_engineTransmission >= 3.5 then 'Very Good'
        when rating_engineTransmission >= 2.5 then 'Average' when rating_engineTransmission >= 1.5 then 'Below Average'
-       else 'Poor' end as grade from insp"""))
+       when rating_engineTransmission is not null then 'Poor' end as grade from insp"""))
 def q_grade_threshold(spark, sf_dir):
     return inspections(spark, sf_dir).select(S.KEY, BD.grade_threshold(S.TARGET).alias("grade"))
 
 
 @register("grade_rounded", with_insp("""
 select appointmentId, case g when 5 then 'Excellent' when 4 then 'Very Good' when 3 then 'Average'
-       when 2 then 'Below Average' when 1 then 'Poor' else 'Critical' end as grade
-from (select appointmentId, greatest(0, least(5, cast(round_even(rating_engineTransmission, 0) as int))) as g from insp)"""))
+       when 2 then 'Below Average' when 1 then 'Poor' when 0 then 'Critical' end as grade
+from (select appointmentId, case when rating_engineTransmission is not null then
+        greatest(0, least(5, cast(round_even(rating_engineTransmission, 0) as int))) end as g from insp)"""))
 def q_grade_rounded(spark, sf_dir):
     return inspections(spark, sf_dir).select(S.KEY, BD.grade_rounded(S.TARGET).alias("grade"))
 
@@ -749,9 +750,11 @@ def q_usage_band(spark, sf_dir):
 
 @register("result_card_bands", with_insp("""
 select appointmentId,
-       case when rating_engineTransmission >= 4 then 'green' when rating_engineTransmission >= 3 then 'yellow' else 'red' end as color,
-       case when rating_engineTransmission > 4 then 'optimal' when rating_engineTransmission > 2.5 then 'acceptable' else 'critical' end as condition,
-       case when rating_engineTransmission > 4 then 'High' when rating_engineTransmission > 2 then 'Medium' else 'Low' end as market_value
+       case when rating_engineTransmission >= 4 then 'green' when rating_engineTransmission >= 3 then 'yellow' when rating_engineTransmission is not null then 'red' end as color,
+       case when rating_engineTransmission > 4 then 'optimal' when rating_engineTransmission > 2.5 then 'acceptable'
+            when rating_engineTransmission is not null then 'critical' end as condition,
+       case when rating_engineTransmission > 4 then 'High' when rating_engineTransmission > 2 then 'Medium'
+            when rating_engineTransmission is not null then 'Low' end as market_value
 from insp"""))
 def q_result_card_bands(spark, sf_dir):
     return inspections(spark, sf_dir).select(
@@ -780,7 +783,7 @@ def q_diagnostic_flags(spark, sf_dir):
 
 @register("round_display", with_insp("""
 select appointmentId, round_even(rating_engineTransmission / 3, 2) as rating_2dp,
-       printf('%.1f', round_even(rating_engineTransmission / 3, 1)) as rating_text from insp"""))
+       case when rating_engineTransmission is not null then printf('%.1f', round_even(rating_engineTransmission / 3, 1)) end as rating_text from insp"""))
 def q_round_display(spark, sf_dir):
     x = F.col(S.TARGET) / 3
     return inspections(spark, sf_dir).select(S.KEY, BD.round_display(x, 2).alias("rating_2dp"),
@@ -924,9 +927,9 @@ def q_score(spark, sf_dir):
 
 @register("score_rejects", with_insp("""
 select cast(appointmentId as varchar) as request_id, strftime(inspectionStartTime, '%Y-%m-%dT%H:%M') as inspectionStartTime,
-       coalesce(cast(cast(odometer_reading as bigint) as varchar), 'x') as odometer_reading,
-       'bad odometer_reading' as reject_reason
-from insp where odometer_reading is null"""))
+       coalesce(cast(cast(trunc(odometer_reading) as bigint) as varchar), 'x') as odometer_reading,
+       case when inspectionStartTime is null then 'bad inspectionStartTime' else 'bad odometer_reading' end as reject_reason
+from insp where odometer_reading is null or inspectionStartTime is null"""))
 def q_score_rejects(spark, sf_dir):
     return SC.reject_records(_requests(spark, sf_dir))
 

@@ -201,7 +201,7 @@ def _long_sql(flags: dict) -> str:
 
 _SERVICE = f"""lg as (select appointmentId, bucket, y, u.f as feature, u.x as x from (
   select appointmentId, {_SQL_BUCKET} as bucket, greatest(rating_engineTransmission - 0.5 * ({_N_SET}), 0.0)::double as y,
-         unnest({_long_sql(_FLAG_SQL)}) as u from insp))"""
+         unnest({_long_sql(_FLAG_SQL)}) as u from insp where rating_engineTransmission is not null))"""
 
 
 def _stump_sql(where: str, y: str = "y") -> str:
@@ -290,7 +290,7 @@ def q_stump_importance(spark, sf_dir):
 _ANSWERS = _stump_sql(_FIT) + f""",
 rq as (select request_id, odo, pred from (
   select cast(appointmentId as varchar) as request_id, trunc(odometer_reading) as odo, unnest({_long_sql(_ASKED_SQL)}) as u
-  from insp where odometer_reading is not null) join bs on u.f = bs.feature join pm on u.x = pm.x)"""
+  from insp where odometer_reading is not null and inspectionStartTime is not null) join bs on u.f = bs.feature join pm on u.x = pm.x)"""
 _GRADE = "case " + " ".join(f"when pred >= {b} then '{t}'" for b, t in S.GRADE_THRESHOLDS) + f" else '{S.GRADE_FLOOR_TEXT}' end"
 _SCORED = with_insp(f"""
 select request_id, round(pred, 6) as raw_prediction, round(greatest(0.0, least(5.0, pred)), 6) as prediction, {_GRADE} as rating_text from rq""", _ANSWERS)
@@ -354,7 +354,7 @@ def q_stump_residual_outliers(spark, sf_dir):
 @register("request_features", with_insp(f"""
 select cast(appointmentId as varchar) as request_id, {S.REG_YEAR}::double as {S.REG_YEAR}, {S.REG_MONTH}::double as {S.REG_MONTH},
        trunc({S.ODOMETER}) as {S.ODOMETER}, hour({S.TIME})::double as {S.HOUR}, month({S.TIME})::double as {S.MON},
-       {', '.join(f'{e}::double as {f}' for f, e in _ASKED_SQL.items())} from insp where {S.ODOMETER} is not null"""))
+       {', '.join(f'{e}::double as {f}' for f, e in _ASKED_SQL.items())} from insp where {S.ODOMETER} is not null and {S.TIME} is not null"""))
 def q_request_features(spark, sf_dir):
     cols = [*_PLAIN, *FLAGS]
     return SC.request_features(_requests(spark, sf_dir), cols).where("reject_reason IS NULL").select("request_id", *cols)

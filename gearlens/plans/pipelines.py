@@ -106,7 +106,8 @@ def explore_clean(df: DataFrame, persist: bool = False) -> DataFrame:
     """
     d = P.drop_columns(df, S.EMPTY_SLOT_COLUMNS)
     d = P.drop_columns_like(d, S.COMMENT_MARK)
-    d = P.fill_slots(d, P.columns_like(d, "engineTransmission"), S.SLOT_FILL_VALUE)
+    # a missing rating stays missing: the fill value is a text
+    d = P.fill_slots(d, [c for c in P.columns_like(d, "engineTransmission") if c != S.TARGET], S.SLOT_FILL_VALUE)
     d = time_features(d)
     if persist:
         d = d.persist(StorageLevel.MEMORY_AND_DISK)

@@ -4,7 +4,8 @@ The reference works on one table of vehicle inspections that is not shipped.
 For tests and benchmarks an inspection table with the same shape is derived
 from the TPC-H-like driver tables; its size grows with theirs:
 
-* one inspection per ``events`` row whose ``event_id`` is an order key,
+* one inspection per order, with time and rating from the ``events`` row of its
+  key (null where there is none),
 * registration year/month from the order date, odometer from the order total
   (null for every 97th id), fuel type from the order priority,
 * a 0-5 half-step rating from the ``k`` field of ``events.props``,
@@ -65,14 +66,14 @@ def inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = slots.select("l_orderkey", *[F.char(c).alias(c) for c in SLOT_COLUMNS + [COMMENT_COLUMN]])
 
     k = F.get_json_object("props", "$.k").cast("int")
-    base = events.join(orders, events.event_id == orders.o_orderkey, "inner")
-    insp = base.join(slots, base.event_id == slots.l_orderkey, "left")
+    base = orders.join(events, orders.o_orderkey == events.event_id, "left")
+    insp = base.join(slots, base.o_orderkey == slots.l_orderkey, "left")
     return insp.select(
-        F.col("event_id").alias("appointmentId"),
+        F.col("o_orderkey").alias("appointmentId"),
         F.col("ts").alias("inspectionStartTime"),
         F.year("o_orderdate").cast("int").alias("year"),
         F.month("o_orderdate").cast("int").alias("month"),
-        F.when(F.col("event_id") % 97 == 0, F.lit(None).cast("double"))
+        F.when(F.col("o_orderkey") % 97 == 0, F.lit(None).cast("double"))
          .otherwise(F.col("o_totalprice")).alias("odometer_reading"),
         F.col("o_orderpriority").alias("fuel_type"),
         (F.floor(k * 11 / 100) / F.lit(2.0)).cast("double").alias("rating_engineTransmission"),
@@ -96,19 +97,19 @@ INSP_CTE = f"""slots as (
   from lineitem
   group by l_orderkey),
 insp as (
-  select e.event_id as appointmentId,
+  select o.o_orderkey as appointmentId,
          e.ts as inspectionStartTime,
          cast(year(o.o_orderdate) as int) as year,
          cast(month(o.o_orderdate) as int) as month,
-         case when e.event_id % 97 = 0 then null else o.o_totalprice end as odometer_reading,
+         case when o.o_orderkey % 97 = 0 then null else o.o_totalprice end as odometer_reading,
          o.o_orderpriority as fuel_type,
          ((cast(json_extract_string(e.props, '$.k') as int) * 11) // 100) / 2.0::double as rating_engineTransmission,
          case when o.o_orderstatus = 'F' then 'Yes' else 'No' end as {CONDITION_COLUMN},
          {", ".join("s." + c for c in SLOT_COLUMNS)},
          s.{COMMENT_COLUMN}
-  from events e
-  join orders o on e.event_id = o.o_orderkey
-  left join slots s on s.l_orderkey = e.event_id)"""
+  from orders o
+  left join events e on e.event_id = o.o_orderkey
+  left join slots s on s.l_orderkey = o.o_orderkey)"""
 
 
 def with_insp(sql_body: str, extra_ctes: str = "") -> str:

@@ -58,7 +58,7 @@ def service_inspections(insp: DataFrame) -> DataFrame:
     rest = [F.col(c) for c in insp.columns if c not in (S.FUEL, S.TARGET, *SLOT_COLUMNS)]
     slots = [F.when(F.col(DIAGNOSTIC_SLOT[k]) == "R", r).when(F.col(DIAGNOSTIC_SLOT[k]) == "A", a).alias(c)
              for k, (c, r, a) in SERVICE_SLOTS.items()]
-    return insp.select(*rest, fuel.alias(S.FUEL), F.greatest(F.col(S.TARGET) - 0.5 * bad, F.lit(0.0)).alias(S.TARGET), *slots)
+    return insp.select(*rest, fuel.alias(S.FUEL), F.when(F.col(S.TARGET).isNotNull(), F.greatest(F.col(S.TARGET) - 0.5 * bad, F.lit(0.0))).alias(S.TARGET), *slots)
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
