@@ -50,5 +50,5 @@ def test_md5_bucket_orders(spark):
 
 def test_insp_shape(spark):
     insp = inspections(spark, SF)
-    assert insp.count() == 10000
+    assert insp.count() == spark.read.parquet(f"{SF}/orders.parquet").count() == 15000
     assert PR.is_unique(insp).first().is_unique
