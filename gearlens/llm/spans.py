@@ -21,44 +21,83 @@ from .common import ship_by_value, stage, table
 #: Sentences of a run, and the least words of a run that is compared (shorter
 #: runs are common phrases, not passages).
 RUN, MIN_WORDS = 3, 10
-#: A sentence longer than this goes on as a new one, so that a passage of over
-#: 50 words always holds several.
-MAX_WORDS = 12
-#: A sentence ends at . ! or ? before white space, or at a line's end.
-SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=[ \t\x0b\x0c\r\n]|$)|[^\n]+")
+#: Least and most words of a sentence (the least only if the text has as many):
+#: shorter ones go on through the next, longer ones go on as new ones.  So every
+#: run of three has enough words, and one of over 50 holds several runs.
+LEAST_WORDS, MAX_WORDS = 4, 7
+#: A sentence ends after a word that ends in one of these, or at a line's end.
+ENDS = b".!?"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Hashes of words that a task keeps.
+MEMO_WORDS = 400_000
+_memo: dict = {}
+
+
+def hashed(words: list[bytes]) -> list[int]:
+    if len(_memo) > MEMO_WORDS:
+        _memo.clear()
+    for w in set(words):
+        if w not in _memo:
+            _memo[w] = xxhash.xxh64_intdigest(w)
+    return list(map(_memo.__getitem__, words))
+
+
+def starts(hashes: list[int], first: list[int]) -> list[int]:
+    """Places in the words of a text where sentences start, LEAST_WORDS to MAX_WORDS apart.
+
+    Places are taken by priority, those after a sentence's end (``first``) before
+    all others and then by the word's hash, unless one closer than LEAST_WORDS is
+    taken.  What is taken depends on the words around only, so copies of a
+    passage are cut at the same words but for some near the passage's edges."""
+    n, near = len(hashes), LEAST_WORDS - 1
+    rank = hashes.copy()
+    for i in first:
+        rank[i] -= 2**64
+    taken, closed = [0], bytearray(n)
+    for i in (*range(min(n, near + 1)), *range(max(0, n - near), n)):
+        closed[i] = 1
+    shut = b"\1" * (2 * near + 1)
+    for i in sorted(range(n), key=rank.__getitem__):
+        if not closed[i]:
+            taken.append(i)
+            closed[i - near:i + near + 1] = shut
+    taken.sort()
+    return taken
+
+
+def cut_words(text: str) -> tuple[list[bytes], list[int], list[int]]:
+    """Normalised words of a text, their hashes, and the places where its sentences start, then the words' number."""
+    words, first = [], []
+    for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n"):
+        first.append(len(words))
+        words += line.split()
+    first += [i for i, w in enumerate(words, 1) if w[-1] in ENDS]
+    if not words:
+        return words, [], []
+    hashes = hashed(words)
+    return words, hashes, [*starts(hashes, [i for i in set(first) if i < len(words)]), len(words)]
 
 
 def sentences(text: str) -> list[tuple[int, int, bytes, int]]:
     """(start, end, normalised words, number of words) of the sentences of a text;
     ends reach to the next sentence's start, so that the sentences cover the text
     from the first word on."""
-    out, words = [], []
+    words, _, cuts = cut_words(text)
+    at = [w.start() for w in WORD.finditer(text)]
+    ends = [at[c] for c in cuts[1:-1]] + [len(text)]
+    return [(at[a], e, b" ".join(words[a:b]), b - a) for a, b, e in zip(cuts, cuts[1:], ends)]
 
-    def close():
-        if words:
-            out.append((words[0].start(), b" ".join(w.group().encode("utf-8", "surrogatepass").lower() for w in words), len(words)))
-            words.clear()
 
-    for s in SENTENCE.finditer(text):
-        for w in WORD.finditer(text, s.start(), s.end()):
-            words.append(w)
-            if len(words) == MAX_WORDS:
-                close()
-        close()
-    ends = [x[0] for x in out[1:]] + [len(text)]
-    return [(a, e, k, n) for (a, k, n), e in zip(out, ends)]
-
-
-def runs(parts: list[tuple[int, int, bytes, int]], run: int, least: int) -> list[tuple[int, int]]:
+def runs(hashes: list[int], cuts: list[int], run: int, least: int) -> list[tuple[int, int]]:
     """(hash, place of the first sentence) of every run of enough words; a text of
     fewer sentences than ``run`` is one run."""
-    n = min(run, len(parts))
-    h = [xxhash.xxh64_intdigest(p[2]) for p in parts]
+    n = min(run, len(cuts) - 1)
+    data = np.array(hashes, np.uint64).tobytes()
+    h = np.array([xxhash.xxh64_intdigest(data[8 * a:8 * b]) for a, b in zip(cuts, cuts[1:])], np.uint64).tobytes()
     out = []
-    for i in range(len(parts) - n + 1 if n else 0):
-        if sum(p[3] for p in parts[i:i + n]) >= least:
-            out.append((xxhash.xxh64_intdigest(np.array(h[i:i + n], np.uint64).tobytes(), seed=n) - 2**63, i))
+    for i in range(len(cuts) - n if n > 0 else 0):
+        if cuts[i + n] - cuts[i] >= least:
+            out.append((xxhash.xxh64_intdigest(h[8 * i:8 * (i + n)], seed=n) - 2**63, i))
     return out
 
 
@@ -68,7 +107,8 @@ def _runs(run: int, least: int):
             ids, hashes, at, again = [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 seen: set = set()
-                for h, i in runs(sentences(text.as_py() or ""), run, least):
+                _, hashed_words, cuts = cut_words(text.as_py() or "")
+                for h, i in runs(hashed_words, cuts, run, least):
                     ids.append(doc_id)
                     hashes.append(h)
                     at.append(i)
@@ -92,8 +132,15 @@ def _cutter(run: int):
             total, gone, lost, spans, texts = [], [], [], [], []
             for text, starts in zip(b.column(1), b.column(2)):
                 text, starts = text.as_py(), starts.as_py()
-                parts = sentences(text or "") if starts or text else []
-                covered = sorted({i + k for i in starts or [] for k in range(min(run, len(parts))) if i + k < len(parts)})
+                if not starts:
+                    total.append(max(0, len(cut_words(text or "")[2]) - 1))
+                    gone.append(0)
+                    lost.append(0)
+                    spans.append("")
+                    texts.append(text)
+                    continue
+                parts = sentences(text or "")
+                covered = sorted({i + k for i in starts for k in range(min(run, len(parts))) if i + k < len(parts)})
                 total.append(len(parts))
                 gone.append(len(covered))
                 lost.append(sum(parts[i][3] for i in covered))

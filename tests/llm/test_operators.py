@@ -360,3 +360,20 @@ def test_warc_frames_stand_alone(tmp_path):
         f.seek(0)
         whole = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
     assert whole.count(b"WARC/1.1\r\n") == 300
+
+
+def _gone(spark, texts):
+    """Words removed of each text."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r.doc_id: r.removed_words for r in spans.remove_repeats(df).collect()}
+
+
+def test_passages_at_any_offset_go(spark):
+    """Every repeated window of 51 words loses words, wherever it lies in text without sentence ends."""
+    r = random.Random(7)
+    new = lambda n: [f"u{r.randrange(10**6)}" for _ in range(n)]                     # noqa: E731
+    passages = [new(51) for _ in range(60)]
+    texts = [" ".join([*new(r.randrange(1, 40)), *p, *new(r.randrange(1, 40))]) for p in passages for _ in range(2)]
+    got = _gone(spark, texts)
+    for i in range(len(passages)):
+        assert got[2 * i] == 0 and 12 <= got[2 * i + 1] <= 51
