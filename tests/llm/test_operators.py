@@ -368,6 +368,15 @@ def _gone(spark, texts):
     return {r.doc_id: r.removed_words for r in spans.remove_repeats(df).collect()}
 
 
+def test_passages_of_short_sentences_go(spark):
+    r = random.Random(6)
+    own = lambda: " ".join(f"u{r.randrange(10**6)}" for _ in range(15)) + "."       # noqa: E731
+    menu = "\n".join(f"dish{i} {i}.50" for i in range(30))
+    texts = [f"{own()}\n{menu}\n{own()}", f"{own()} {own()}\n{menu}\n{own()}", " ".join(["word!!"] * 60), f"{own()} " + " ".join(["word!!"] * 55)]
+    got = _gone(spark, texts)
+    assert got[0] == 0 and got[1] >= 50 and got[3] >= 48
+
+
 def test_passages_at_any_offset_go(spark):
     """Every repeated window of 51 words loses words, wherever it lies in text without sentence ends."""
     r = random.Random(7)
