@@ -20,6 +20,10 @@ from .common import split_words, stage, table
 BLOCK = 16
 #: Words of a shard; the number of shards follows the corpus.
 SHARD_WORDS = 1 << 16
+#: Least blocks that a source has for each of its shards (a smaller source lies in
+#: fewer): a cell gets whole blocks but no document more than twice, so a cell of
+#: few blocks loses a large part of its quota or of its words.
+CELL_BLOCKS = 64
 SEED = 17
 #: Fixed values of the mix: weights by rank of the source, share of all words, largest repetition.
 WEIGHTS, SHARE_NUM, SHARE_DEN, MOST = (5, 2, 1), 3, 2, 2
@@ -99,7 +103,12 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, see
     shards = max(1, -(-total // shard_words))
     groups = max(1, round(shards ** 0.5))
 
-    d = d.withColumn("shard", seeded(F.col("doc_id"), "shard", seed) % shards)
+    own = F.greatest(F.lit(1), F.least(F.lit(shards), F.floor(F.col("source_size") / (CELL_BLOCKS * block)))).cast("bigint")
+    own = stage(sizes.select(F.col("source").alias("__source"), own.alias("__shards")), "mix-shards")
+    own = F.broadcast(own) if own.count() <= 100_000 else own
+    d = d.join(own, F.col("source").eqNullSafe(F.col("__source"))) \
+        .withColumn("shard", seeded(F.col("doc_id"), "shard", seed) % F.col("__shards")).drop("__source", "__shards")
+    d = stage(d, "mix-sharded")
     cells = d.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
     blocks = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("bigint")
     of_source = sainte_lague(goal.withColumn("blocks", blocks).withColumn("one", F.lit(1)), ["one"], "target", "blocks", "rank", "source_blocks") \

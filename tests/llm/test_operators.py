@@ -199,6 +199,17 @@ def test_mix_reaches_its_targets(spark, small):
     assert math.isclose(sum({r.source: r.target for r in rows}.values()), 1.5 * total)
 
 
+def test_small_source_reaches_its_target(spark):
+    """A source of short texts beside one that needs many shards."""
+    rows = [(i, "w " * 12, "a") for i in range(300)] + [(1000 + i, "w " * 500, "b") for i in range(60)] + [(2000 + i, "w " * 4, None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(df, shard_words=64).collect()
+    assert all(0 <= r.taken <= 2 * r.size for r in got) and len(got) == len(rows)
+    for s in ("a", "b", None):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= mixing.BLOCK + 0.01 * own[0].target
+
+
 def test_sainte_lague_equals_highest_quotients(spark):
     r = random.Random(2)
     rows = [(p, i, float(r.choice([0, 1, 5, 50, 1000]) * r.random()), 40 + p) for p in range(6) for i in range(25)]
