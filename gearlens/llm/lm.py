@@ -1,16 +1,17 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Training counts all n-grams level by level over the whole corpus: an n-gram can
-only reach a share ``MIN_SHARE`` of the tokens if both its (n-1)-grams do, so
-each level counts only candidates that the level below allows.  At most
-1 / MIN_SHARE n-grams of an order can have that share, whatever the size of the
-corpus, which bounds the broadcast model.  These frequent n-grams become the
-arcs of an automaton: a state is a context, a failure arc leads to the next
-shorter context and carries its backoff weight.  Texts are scored in one
-left-to-right traversal that carries the state.
-
-At the root every token has its unigram weight.  The weights of tokens that are
-too rare for the broadcast model come from a join with the full counts.
+All n-grams of the training texts are kept, at any size of the corpus.  The
+automaton is a set of tables in the shared folder, one per order: an n-gram is
+an arc (its log weight) and, as the context of longer ones, a state (its backoff
+weight); the failure arc of a state leads to its context without the first word.
+Every token of every text takes its step by shuffled joins on the words: an arc
+of the longest order where there is one, else the failure arc and the arcs of
+the next shorter order.  A state depends on ``order - 1`` words only, so the
+steps of a text need no order and their weights add up.
+
+At the root every token has its unigram weight.  The weights of common tokens
+are broadcast for the base score (at most 1 / COMMON_SHARE of them), those of the others
+come from a join with the full counts.
 """
 
 from __future__ import annotations
@@ -26,15 +27,17 @@ from pyspark.sql import functions as F
 
 from .common import ship_by_value, stage, table
 
-#: Longest n-gram, least share of the training tokens of an arc, absolute discount.
-ORDER, MIN_SHARE, DISCOUNT = 3, 1e-6, 0.75
+#: Longest n-gram, absolute discount.
+ORDER, DISCOUNT = 3, 0.75
+#: Least share of the training tokens of a token whose unigram weight is broadcast.
+COMMON_SHARE = 1e-6
 #: Token that ends every text; no word holds a space.
 END = xxhash.xxh64_intdigest(b" ") >> 1
 MEMO_WORDS = 400_000
 #: Distinct n-grams that a task holds before it hands on what it has counted.
 FLUSH = 2_000_000
-#: Tokens of a block of the traversal; blocks of a batch are traversed side by side.
-BLOCK = 256
+#: Word before a text's first one.
+NONE = -1
 #: Characters whose tokens are handled at once.
 BATCH_CHARS = 8_000_000
 
@@ -100,50 +103,6 @@ class Counter:
                 self.parts, self.size = [], 0
 
 
-class Automaton:
-    """States are numbers: 0 the root, then one per arc of every order but the last.
-
-    ``words`` (sorted hashes) are the frequent tokens, token k is arc k of order
-    1 and leads to state k + 1.  Arcs of a longer order are keys state * size +
-    token, sorted, with target state (0: none of that length) and log weight."""
-
-    def __init__(self, words, word_logs, least):
-        self.words, self.word_logs, self.size, self.least = words, word_logs, len(words) + 1, least
-        self.keys, self.to, self.logs = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        self.fail, self.back = np.zeros(1 + len(words), np.int64), np.zeros(1 + len(words))
-
-    def token(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each token, -1 for the rare ones."""
-        return find(self.words, hashes)
-
-    def arc(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Index of the arc of a longer order, -1 if there is none."""
-        return find(self.keys, np.where((state > 0) & (token >= 0), state * self.size + token, -1))
-
-    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(next state, log weight, whether it ends in a rare token at the root,
-        whose own weight is not in it)."""
-        log = np.zeros(len(state))
-        to = np.zeros(len(state), np.int64)
-        todo = np.arange(len(state))
-        s = state.copy()
-        while len(todo):
-            root = s[todo] == 0
-            at = todo[root]
-            known = at[token[at] >= 0]
-            log[known] += self.word_logs[token[known]]
-            to[known] = token[known] + 1
-            todo = todo[~root]
-            a = self.arc(s[todo], token[todo])
-            hit = todo[a >= 0]
-            log[hit] += self.logs[a[a >= 0]]
-            to[hit] = self.to[a[a >= 0]]
-            todo = todo[a < 0]
-            log[todo] += self.back[s[todo]]                     # the failure arc
-            s[todo] = self.fail[s[todo]]
-        return to, log, token < 0
-
-
 def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.full(len(x), -1)
@@ -152,35 +111,6 @@ def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at, -1)
 
 
-def states(m: Automaton, token: np.ndarray, lens: np.ndarray, order: int) -> np.ndarray:
-    """State after each token of texts of ``lens`` tokens, by the traversal in blocks."""
-    return traverse(m, token, lens, order)[0]
-
-
-def traverse(m: Automaton, token: np.ndarray, lens: np.ndarray, order: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """State after and log weight of each token.  Long texts are cut into blocks
-    that are traversed side by side; a state depends on ``order - 1`` tokens at
-    most, so each block first reads so many of the tokens before it."""
-    ends = np.cumsum(lens)
-    pieces = -(-lens // block)
-    text = np.repeat(np.arange(len(lens)), pieces)
-    k = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = (ends - lens)[text] + k * block
-    stop = np.minimum(begin + block, ends[text])
-    first = np.maximum(begin - (order - 1), (ends - lens)[text])
-    by = np.argsort(first - stop, kind="stable")                # the longest first
-    begin, stop, first = begin[by], stop[by], first[by]
-    state, out, logs = np.zeros(len(by), np.int64), np.zeros(len(token), np.int64), np.zeros(len(token))
-    for t in range(int((stop - first).max(initial=0))):
-        n = np.searchsorted(first - stop, -t, side="left")
-        at = first[:n] + t
-        to, log, _ = m.step(state[:n], token[at])
-        state[:n] = to
-        own = at >= begin[:n]
-        out[at[own]], logs[at[own]] = to[own], log[own]
-    return out, logs
-
-
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = Counter()
     for _, flat, _ in _chunks(batches, 0):
@@ -189,91 +119,117 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from count.rows(True)
 
 
-def _grams(shared, order: int, length: int):
-    """Counts of candidates of ``length`` tokens: keys state * size + token where the
-    state stands for all length - 1 tokens before and the token is frequent."""
+def names(order: int, length: int) -> list[str]:
+    """Columns of the last ``length`` words of an n-gram of ``order`` words."""
+    return [f"w{i}" for i in range(order - length, order)]
+
+
+def windows(flat: np.ndarray, lens: np.ndarray, order: int) -> list[np.ndarray]:
+    """The ``order`` words up to and with each token, NONE before a text's first."""
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+    out = []
+    for back in range(order - 1, -1, -1):
+        w = np.full(len(flat), NONE, np.int64)
+        w[back:] = flat[:len(flat) - back]
+        w[at < back] = NONE
+        out.append(w)
+    return out
+
+
+def _slices(columns: list[np.ndarray], fields: list[str]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 200_000]) for c in columns], fields)
+
+
+def _grams(order: int):
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, low, high = shared.value
-        count = Counter()
         for _, flat, lens in _chunks(batches, 0):
-            token = m.token(flat)
-            state = states(m, token, lens, length) if length > 2 else token + 1
-            before, here = state[:-1], token[1:]
-            inside = np.ones(len(flat), bool)
-            inside[np.cumsum(lens) - lens] = False              # a text's first token has none before it
-            ok = inside[1:] & (before >= low) & (before < high) & (here >= 0)
-            if length > 2:                                      # the shorter n-gram that ends here is an arc too
-                ok[ok] = m.arc(m.fail[before[ok]], here[ok]) >= 0
-            count.add(before[ok] * m.size + here[ok])
-            yield from count.rows(False)
-        yield from count.rows(True)
+            yield from _slices(windows(flat, lens, order), names(order, order))
     return grams
 
 
-def fit(texts: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE, discount: float = DISCOUNT) -> tuple[DataFrame, int, int, Automaton]:
+class Model:
+    """``arcs[n]``: table of the n-grams (words, c, p, back), back = 1 where none
+    longer starts with it; ``words``, ``logs``: the common tokens, sorted, and
+    their unigram weights; ``common``: their least count."""
+
+    def __init__(self, arcs: dict[int, DataFrame], words: np.ndarray, logs: np.ndarray, common: int):
+        self.arcs, self.words, self.logs, self.common = arcs, words, logs, common
+
+
+def fit(texts: DataFrame, order: int = ORDER, min_share: float = 0.0, discount: float = DISCOUNT) -> tuple[DataFrame, int, int, Model]:
     """(counts of all tokens, their sum N, their number V, automaton) of ``texts`` (text).
 
     P(w) = (c + 0.5) / (N + 0.5 (V + 1)); in a context u, for its arcs,
     P(w|u) = (c(u w) - D) / c(u) + back(u) P(w|shorter u), for all others
     back(u) P(w|shorter u), where back(u) is what the arcs leave of 1: each
-    context's probabilities, with one unknown word, add up to 1."""
-    spark = texts.sparkSession
+    context's probabilities, with one unknown word, add up to 1.  All n-grams are
+    arcs unless ``min_share`` asks for a least share of the tokens."""
     texts = texts.select("text")
     counts = texts.mapInArrow(_words, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
     counts = stage(counts, "lm-words")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     least = max(1, math.ceil(min_share * total))
-    frequent = lambda df: df.where(F.col("c") >= least).toPandas().sort_values("gram")         # noqa: E731  at most 1 / min_share rows
-    w = frequent(counts)
-    words, c = w["gram"].to_numpy(np.int64), w["c"].to_numpy(np.int64)
-    m = Automaton(words, np.log10((c + 0.5) / (total + 0.5 * (kinds + 1))), least)
-    low, high, context = 1, 1 + len(words), np.concatenate([[0], c])     # states of the last order, their counts
-    for length in range(2, order + 1):
-        shared = spark.sparkContext.broadcast((m, low, high))
-        g = texts.mapInArrow(_grams(shared, order, length), "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
-        g = frequent(g)
-        keys, c = g["gram"].to_numpy(np.int64), g["c"].to_numpy(np.float64)
-        if not len(keys):
-            break
-        before, here = keys // m.size, keys % m.size
-        of = context[before - low] if length > 2 else context[before]
-        kept = (c - discount) / of
-        back = 1 - np.bincount(before, kept, len(m.back))
-        # the same token after the shorter context
-        shorter, log, _ = m.step(m.fail[before], here)
-        here_p = kept + back[before] * 10 ** log
-        m.back[low:high] = np.log10(back[low:high])              # 0 where a context has no arc
-        last = length == order
-        to = shorter if last else np.arange(len(keys)) + high
-        m.keys, m.to, m.logs = np.concatenate([m.keys, keys]), np.concatenate([m.to, to]), np.concatenate([m.logs, np.log10(here_p)])
-        by = np.argsort(m.keys)
-        m.keys, m.to, m.logs = m.keys[by], m.to[by], m.logs[by]
-        if not last:
-            m.fail, m.back = np.concatenate([m.fail, shorter]), np.concatenate([m.back, np.zeros(len(keys))])
-            low, high, context = high, high + len(keys), c
-    return counts, total, kinds, m
-
-
-def _score(shared, order: int):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    p = lambda c: (c + 0.5) / (total + 0.5 * (kinds + 1))                                     # noqa: E731
+    common = max(1, math.ceil(COMMON_SHARE * total))
+    w = counts.where(F.col("c") >= common).toPandas().sort_values("gram")                    # at most 1 / COMMON_SHARE rows
+    words, logs = w["gram"].to_numpy(np.int64), np.log10(p(w["c"].to_numpy(np.int64)))
+
+    every = names(order, order)
+    grams = texts.mapInArrow(_grams(order), ", ".join(f"{x} bigint" for x in every)).groupBy(*every).agg(F.count(F.lit(1)).alias("c"))
+    grams = stage(grams, "lm-grams")
+    last = names(order, 1)
+    arcs = {1: counts.select(F.col("gram").alias(last[0]), "c", p(F.col("c")).alias("p"))}
+    for n in range(2, order + 1):
+        own = names(order, n)
+        g = grams.where(F.col(own[0]) != NONE)
+        g = (g if n == order else g.groupBy(*own).agg(F.sum("c").alias("c"))).where(F.col("c") >= least)
+        g = g.select(*[F.col(x).alias(f"x{i}") for i, x in enumerate(own)], F.col("c").alias("gc"))
+        g = g if n == order else stage(g, f"lm-grams-{n}")
+        shorter = names(order, n - 1)
+        state = [F.col(f"x{i}") == F.col(x) for i, x in enumerate(shorter)]
+        kept = g.groupBy(*[f"x{i}" for i in range(n - 1)]).agg(F.sum(F.col("gc") - discount).alias("kept"))
+        back = F.coalesce(1 - F.col("kept") / F.col("c"), F.lit(1.0))
+        arcs[n - 1] = stage(arcs[n - 1].join(kept, state, "left").select(*shorter, "c", "p", back.alias("back")), f"lm-arcs-{n - 1}")
+        g = g.join(arcs[n - 1].withColumnRenamed("p", "__p"), state).select(*[f"x{i}" for i in range(n)], "gc", "c", "back")
+        same = [F.col(f"x{i + 1}") == F.col(x) for i, x in enumerate(shorter)]
+        tail = arcs[n - 1].select(*shorter, F.col("p").alias("shorter"))
+        g = g.join(tail, same).select(*[F.col(f"x{i}").alias(x) for i, x in enumerate(own)], F.col("gc").alias("c"),
+                                      ((F.col("gc") - discount) / F.col("c") + F.col("back") * F.col("shorter")).alias("p"))
+        arcs[n] = stage(g, f"lm-weights-{n}")
+    return counts, total, kinds, Model(arcs, words, logs, common)
+
+
+def _read(shared):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, logs = shared.value
         for rows, flat, lens in _chunks(batches, 1):
-            token = m.token(flat)
-            _, log = traverse(m, token, lens, order)
+            token = find(words, flat)
             start = np.cumsum(lens) - lens
             known = token >= 0
-            base = np.where(known, m.word_logs[np.maximum(token, 0)], 0.0) if len(m.words) else np.zeros(len(token))
+            base = np.where(known, logs[np.maximum(token, 0)], 0.0) if len(words) else np.zeros(len(token))
             rare = np.flatnonzero(~known)
             offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(~known, start, dtype=np.int64))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(lens, pa.int64()), pa.array(np.add.reduceat(known, start, dtype=np.int64)),
-                 pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(log, start)),
+                [rows.column(0), pa.array(lens, pa.int64()), pa.array(np.add.reduceat(known, start, dtype=np.int64)), pa.array(np.add.reduceat(base, start)),
+                 pa.ListArray.from_arrays(pa.array(np.append(start, len(flat)).astype(np.int32)), pa.array(flat, pa.int64())),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[rare], pa.int64()))],
-                ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare"])
-    return score
+                ["doc_id", "n_tokens", "n_known", "base_score", "tokens", "rare"])
+    return read
+
+
+def _steps(order: int):
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                x = b.slice(i, 1000)
+                flat = x.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                lens = np.array([len(t) for t in x.column(1)], np.int64)
+                yield from _slices([np.repeat(x.column(0).to_numpy(zero_copy_only=False), lens), *windows(flat, lens, order)], ["row", *names(order, order)])
+    return steps
 
 
-def score(docs: DataFrame, model: tuple[DataFrame, int, int, Automaton], order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, model: tuple[DataFrame, int, int, Model], order: int = ORDER) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id bigint, text).
 
     Columns: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10).
@@ -282,17 +238,36 @@ def score(docs: DataFrame, model: tuple[DataFrame, int, int, Automaton], order:
     set leaves P = 1 for every token (score 0).  Texts are read whole; other
     columns are ignored."""
     counts, total, kinds, m = model
-    shared = docs.sparkSession.sparkContext.broadcast(m)         # bounded: order / MIN_SHARE arcs
+    shared = docs.sparkSession.sparkContext.broadcast((m.words, m.logs))         # at most 1 / COMMON_SHARE
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    s = d.mapInArrow(_score(shared, order), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>")
-    s = stage(s.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    rare = s.select("row", F.explode("rare").alias("gram")).join(counts.where(F.col("c") < m.least), "gram", "left")
-    log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / (total + 0.5 * (kinds + 1)))
-    rare = rare.groupBy("row").agg(F.sum(log).alias("rare_log"), F.count("c").alias("rare_known"))
-    out = s.drop("rare").join(rare, "row", "left")
-    more = F.coalesce("rare_log", F.lit(0.0))
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-                      F.lit(total).cast("bigint").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    s = d.mapInArrow(_read(shared), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, tokens array<bigint>, rare array<bigint>")
+    s = stage(s.withColumn("row", F.monotonically_increasing_id()), "lm-read")
+    rare = s.select("row", F.explode("rare").alias("gram")).join(counts.where(F.col("c") < m.common), "gram", "left")
+    unigram = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / (total + 0.5 * (kinds + 1)))
+    rare = rare.groupBy("row").agg(F.sum(unigram).alias("rare_log"), F.count("c").alias("rare_known"))
+
+    todo = s.select("row", "tokens").mapInArrow(_steps(order), ", ".join(["row bigint", *[f"{x} bigint" for x in names(order, order)]]))
+    parts = []
+    for n in range(order, 1, -1):
+        own, shorter = names(order, n), names(order, n - 1)
+        j = todo.join(m.arcs[n].select(*own, F.log10("p").alias("log")), own, "left")
+        # a step that is done needs its words no more
+        j = stage(j.select("row", "log", *[F.when(F.col("log").isNull(), F.col(x)).alias(x) for x in own]), f"lm-steps-{n}")
+        parts.append(j.where("log IS NOT NULL").groupBy("row").agg(F.sum("log").alias("log")))
+        missed = j.where("log IS NULL")
+        context = missed.where(F.col(own[0]) != NONE).select("row", *[F.col(x).alias(y) for x, y in zip(own, shorter)])
+        failure = m.arcs[n - 1].where("back <> 1").select(*shorter, F.log10("back").alias("log"))
+        parts.append(context.join(failure, shorter).groupBy("row").agg(F.sum("log").alias("log")))
+        todo = missed.select("row", *shorter)
+    root = todo.withColumnRenamed(names(order, 1)[0], "gram").join(counts, "gram", "left")
+    parts.append(root.groupBy("row").agg(F.sum(unigram).alias("log")))
+    logs = parts[0]
+    for x in parts[1:]:
+        logs = logs.union(x)
+    logs = logs.groupBy("row").agg(F.sum("log").alias("score"))
+    out = s.drop("rare", "tokens").join(rare, "row", "left").join(logs, "row", "left")
+    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
+                      (F.col("base_score") + F.coalesce("rare_log", F.lit(0.0))).alias("base_score"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def held_out() -> Column:

@@ -1,6 +1,7 @@
 """Operators against plain Python versions and on awkward rows."""
 
 import hashlib
+import inspect
 import math
 import random
 import zlib
@@ -332,6 +333,19 @@ def test_language_model_equals_its_formula(spark, order, share):
         assert math.isclose(got[i].base_score, base, rel_tol=1e-9) and math.isclose(got[i].score, score, rel_tol=1e-9)
 
 
+def test_language_model_keeps_rare_ngrams(spark, monkeypatch):
+    """An n-gram that comes once weighs the same in a large corpus as in a small one; no limit by share is left."""
+    train = ["x y z"] + ["a b c d"] * 400
+    monkeypatch.setattr(lm, "COMMON_SHARE", 0.01, raising=False)
+    assert inspect.signature(lm.fit).parameters["min_share"].default == 0
+    texts = ["x y z", "z y x", "a b z", None]
+    model = lm.fit(spark.createDataFrame([(t,) for t in train], "text string"))
+    got = {x.doc_id: x for x in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()}
+    want, _ = plain_lm(train, texts, 3, 1, lm.DISCOUNT)
+    for i, (base, score) in enumerate(want):
+        assert math.isclose(got[i].base_score, base, rel_tol=1e-9) and math.isclose(got[i].score, score, rel_tol=1e-9)
+
+
 def test_training_rows_by_crc():
     assert zlib.crc32(b"5") % 5 in range(5) and lm.held_out() is not None
 
