@@ -895,10 +895,13 @@ def q_compare_models(spark, sf_dir):
 
 @register("random_search")
 def q_random_search(spark, sf_dir):
-    space = {"maxDepth": [2, 4], "stepSize": [0.1, 0.2], "maxIter": [5]}
+    """Both searches of the notebook over the whole training part."""
+    out = []
     with _split_features(spark, sf_dir) as (features, (tr, _, _)):
-        cvm, maps = ML.random_search(tr, features, space, n=2, folds=3)
-    return ML.search_results(cvm, maps)
+        for search, space in (("boosted", ML.BOOSTED_SPACE), ("leafwise", ML.BOOSTED_SPACE_LEAFWISE)):
+            cvm, maps = ML.random_search(tr, features, space, n=ML.SEARCH_DRAWS[search], folds=3)
+            out.append(ML.search_results(cvm, maps).withColumn("search", F.lit(search)))
+    return out[0].unionByName(out[1])
 
 
 @register("final_fit")
