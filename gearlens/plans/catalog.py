@@ -1102,3 +1102,13 @@ def q_vif(spark, sf_dir):
     # 4 decimals: the constant's VIF is large (its z-scores are ~1e3)
     v = ST.vif(inspections(spark, sf_dir), _VIF_COLS)
     return v.select("feature", F.round("vif", 4).alias("vif"))
+
+
+@register("vif_encoded")
+def q_vif_encoded(spark, sf_dir):
+    """All encoded columns of the notebook's modelling table but those that are
+    constant in the rows without a null."""
+    ff = PL.explore_features(inspections(spark, sf_dir))
+    flat = set(PR.constant_flags(ff.df.dropna(subset=ff.features), ff.features))
+    v = ST.vif(ff.df, [c for c in ff.features if c not in flat])
+    return v.select("feature", F.round("vif", 4).alias("vif"))

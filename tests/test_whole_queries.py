@@ -1,4 +1,6 @@
 """Registered model queries do the whole job of the notebook."""
+import math
+
 import __spark_entry__ as E
 from gearlens.plans import catalog, model
 
@@ -17,3 +19,10 @@ def test_random_search_draws_from_the_full_spaces(spark, monkeypatch):
     got = E.queries()["random_search"](spark, SF).collect()
     assert calls == [(model.BOOSTED_SPACE, 20, 3), (model.BOOSTED_SPACE_LEAFWISE, 50, 3)]
     assert [r.search for r in got] == ["boosted", "leafwise"]
+
+
+def test_vif_of_all_encoded_columns(spark):
+    got = {r.feature: r.vif for r in E.queries()["vif_encoded"](spark, SF).collect()}
+    ff = catalog.PL.explore_features(catalog.inspections(spark, SF))
+    assert set(got) - {"const"} <= set(ff.features) and len(got) > len(catalog._VIF_COLS) + 1
+    assert any(math.isfinite(v) for v in got.values())
