@@ -17,11 +17,13 @@ from gearlens.llm.common import stage, table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn the languages from the labelled documents that are not held out;
     documents without any text to identify (``und``) go.  ``lang``, where it is
-    null, becomes the predicted language."""
+    null, becomes the predicted language.  Without any language to learn nothing is
+    predicted, and the documents without a letter go."""
     model = langid.fit(docs.where(~langid.held_out()))
     found = langid.identify(docs.withColumn("__text", F.col("text")), model, "__text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    kept = found.where(F.col("lang_pred") != langid.UNKNOWN).withColumnRenamed("__text", "text")
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    _, automata = model
+    kept = found.where(F.col("lang_pred") != langid.UNKNOWN if automata else F.col("__text").rlike(r"\p{L}")).withColumnRenamed("__text", "text")
+    return kept.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit(langid.UNKNOWN)))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

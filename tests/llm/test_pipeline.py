@@ -47,5 +47,12 @@ def test_stages(spark):
     assert sum(r.size for r in after) == sum(len(H.WORD.findall(r.text or "")) for r in before)
 
 
+def test_unlabelled_documents_stay(spark):
+    rows = [(1, "a text with letters", None), (2, "123 !", None), (3, None, None), (4, "Ünï", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = pipeline.language_id(spark, docs, SF_SMALL).collect()
+    assert {(r.doc_id, r.text, r.lang) for r in got} == {rows[0], rows[3]}
+
+
 def test_run(spark):
     assert pipeline.run(spark, SF_SMALL).count() > 0
