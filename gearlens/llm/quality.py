@@ -24,9 +24,12 @@ SKETCH_K, GROUP_MIN = 800, 200
 #: A measure is out of line above median + FENCE * (upper quartile - median, but
 #: at least FLOOR), i.e. relative to its own group.
 FENCE = 12.0
-FLOORS = {"symbol_share": 0.005, "dup_line_share": 0.05, "repeat_share": 0.05}
-#: Fences both ways for the mean word length (code points).
-WORD_LENGTH_FLOOR = 0.5
+#: The floors keep the least fence inside a measure's range: 0.6 of the lines with
+#: words, and a share of repeated words of 0.15 (above 0.2 the base rules reject).
+FLOORS = {"symbol_share": 0.005, "dup_line_share": 0.05, "repeat_share": 0.0125}
+#: The mean word length (code points) is fenced both ways by a ratio: median times
+#: or over (quartile to median, but at least this) ** FENCE, 2.1 at least.
+WORD_LENGTH_FLOOR = 1.065
 #: Thresholds are broadcast up to this many groups.
 BROADCAST_GROUPS = 100_000
 
@@ -56,9 +59,14 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(t) - spaces, sum(map(t.count, SYMBOLS)), len(lines) - len(set(lines)), repeat
 
 
+def text_lines(text: str | None) -> int:
+    """Lines that hold a word."""
+    return sum(1 for x in (text or "").split("\n") if x.strip(" \t\x0b\x0c\r"))
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(*measure(t.as_py()), (t.as_py() or "").count("\n") + 1) for t in b.column(3)]
+        rows = [(*measure(t.as_py()), text_lines(t.as_py())) for t in b.column(3)]
         cols = np.array(rows, np.int64).reshape(-1, 6).T
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *[pa.array(c) for c in cols]],
                                          ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"])
@@ -72,7 +80,7 @@ def measures(docs: DataFrame) -> DataFrame:
     m = m.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
     words = F.greatest("n_words", F.lit(1))
     return m.withColumns({
-        "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)), "dup_line_share": F.col("n_dup_lines") / F.col("n_lines"),
+        "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)), "dup_line_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
         "repeat_share": F.col("n_repeat_words") / words, "word_length": F.col("word_chars") / words})
 
 
@@ -89,10 +97,12 @@ def thresholds(m: DataFrame) -> DataFrame:
     for c in names:
         sketch = F.when(F.col("n") >= GROUP_MIN, F.col(c)).otherwise(F.col(f"{c}_of_lang"))
         at = lambda p, s=sketch: F.kll_sketch_get_quantile_double(s, F.lit(p))                # noqa: E731
-        floor = F.lit(FLOORS.get(c, WORD_LENGTH_FLOOR))
-        out.append((at(0.5) + FENCE * F.greatest(at(0.75) - at(0.5), floor)).alias(f"{c}_max"))
         if c == "word_length":
-            out.append((at(0.5) - FENCE * F.greatest(at(0.5) - at(0.25), floor)).alias(f"{c}_min"))
+            ratio = lambda a, b: F.pow(F.greatest(a / b, F.lit(WORD_LENGTH_FLOOR)), F.lit(FENCE))     # noqa: E731
+            out.append((at(0.5) * ratio(at(0.75), at(0.5))).alias(f"{c}_max"))
+            out.append((at(0.5) / ratio(at(0.5), at(0.25))).alias(f"{c}_min"))
+        else:
+            out.append((at(0.5) + FENCE * F.greatest(at(0.75) - at(0.5), F.lit(FLOORS[c]))).alias(f"{c}_max"))
     return g.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *out)
 
 

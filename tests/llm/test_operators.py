@@ -140,6 +140,24 @@ def test_quality_adapts_to_the_group(spark):
     assert not got.pop(999) and all(got.values())
 
 
+def test_each_quality_fence_acts(spark):
+    """One document a rule that this rule alone rejects."""
+    r = random.Random(8)
+    w = lambda n: [f"word{r.randrange(10**4)}" for _ in range(n)]                   # noqa: E731
+    repeat = w(5)
+    odd = {"symbol_share": " ".join(x + "<>" for x in w(60)), "dup_line_share": "\n\n".join([*["spam"] * 8, " ".join(w(80)), "more"]),
+           "repeat_share": " ".join([*w(25), *repeat, *w(25), *repeat, *w(2)]), "word_length_max": " ".join(x * 4 for x in w(60)),
+           "word_length_min": " ".join(f"{i % 10}{chr(97 + i % 26)}" for i in r.sample(range(260), 60))}
+    rows = [(i, " ".join(w(60)), "en", "news") for i in range(300)] + [(1000 + i, t, "en", "news") for i, t in enumerate(odd.values())]
+    got = {x.doc_id: x for x in quality.rate(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(300))
+    for i, rule in enumerate(odd):
+        x = got[1000 + i]
+        out = {c for c in ("symbol_share", "dup_line_share", "repeat_share") if x[c] > x[f"{c}_max"]}
+        out |= {"word_length_max"} if x.word_length > x.word_length_max else {"word_length_min"} if x.word_length < x.word_length_min else set()
+        assert out == {rule} and not x.base_failed and not x.kept, (rule, out, x)
+
+
 def test_language_on_held_out_rows(spark):
     d = spark.read.parquet(f"{SF_SMALL.replace('0.001', '0.01')}/documents.parquet")
     from pyspark.sql import functions as F
