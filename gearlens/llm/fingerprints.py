@@ -22,6 +22,8 @@ WIDTH, K = 5, 128
 #: hashes stay in a long) and the two primes that give the halves of a hash.
 WEIGHTS = [268435399, 205891133, 151372417, 233280047, 119304653]
 HIGH, LOW = 2**31 - 1, 2**31 - 19
+#: Ranges of keys for each shuffle partition.
+RANGES = 4
 #: Hashes lie in 0 .. SPACE.
 SPACE = HIGH * 2**31
 
@@ -130,15 +132,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) and ``next_text``: the text of the next row by
     descending doc_id (null last), then text; after the last comes the first.
 
-    The keys alone are sorted by range and written; every range's first key (one a
+    The keys alone are sorted by range and written; every range's first key (RANGES a
     shuffle partition) then tells each row its range, the texts are dealt out once,
     and each range is closed by a copy of the next range's first row.  Rows that
     share an id, or have none, are spread by their texts' hashes."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("__h"))
     place = _place(F.col("doc_id"), F.col("__h"))
-    keys = keyed.select(place.alias("place")).repartitionByRange("place")
+    keys = keyed.select(place.alias("place")).repartitionByRange(RANGES * parts, "place")
     keys = stage(keys.withColumn("range", F.spark_partition_id()), "fingerprint-keys")
-    firsts = [r["first"] for r in keys.groupBy("range").agg(F.min("place").alias("first")).orderBy("range").collect()]      # one a shuffle partition
+    firsts = [r["first"] for r in keys.groupBy("range").agg(F.min("place").alias("first")).orderBy("range").collect()]      # RANGES a shuffle partition
     if not firsts:
         return docs.select("doc_id", "text", F.lit(None).cast("string").alias("next_text"))
     dealt = keyed.withColumn("__range", _range_of(place, firsts)).withColumn("__end", F.lit(0))
@@ -149,7 +152,8 @@ def with_next(docs: DataFrame) -> DataFrame:
         .groupBy("before").agg(F.min("text").alias("text")) \
         .select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(0).cast("bigint").alias("__h"), F.col("before").alias("__range"), F.lit(1).alias("__end"))
     order = Window.partitionBy("__range").orderBy("__end", F.isnull("doc_id"), F.col("doc_id").desc(), "__h", "text")
-    return dealt.unionByName(closing).withColumn("next_text", F.lead("text").over(order)).where("__end = 0").select("doc_id", "text", "next_text")
+    # dealt out in as many parts as the session has: what follows is work on the words, not on the bytes
+    return dealt.unionByName(closing).repartition(parts, "__range").withColumn("next_text", F.lead("text").over(order)).where("__end = 0").select("doc_id", "text", "next_text")
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
