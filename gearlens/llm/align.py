@@ -8,10 +8,15 @@ bytes of a fallback.  There the decoded bytes of the tokens place the ends.
 
 Where an A and a B token end at the same byte, a group ends; every A-B pair of
 tokens with overlapping bytes is a link.  A link's weight is the number of links
-of its id pair in the whole corpus.  Texts are encoded once: a task collects
-blocks of documents, of which it writes the distinct pairs with their counts and
-every document's pairs as places in that list.  Only the lists are summed and
-joined across the corpus, then each block meets its own list again.
+of its id pair in the whole corpus.
+
+No token of either side reaches from a character that is no white space over a
+space behind it.  So a text falls into units there, each aligned by itself, and a
+unit that comes again is aligned once (tokenizers for which this does not hold
+take whole texts as units).  A task collects blocks of documents.  It writes each
+document's units, the units' pairs, and the distinct pairs with their counts.
+Only these are summed and joined across the corpus, then each block meets its
+own pairs again.
 """
 
 from __future__ import annotations
@@ -20,10 +25,13 @@ import hashlib
 import itertools
 import json
 import os
+import re
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +47,12 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK, BLOCK = 400_000, 6_000_000
 #: Entries of one output row of a block's list of pairs.
 ENTRIES = 50_000
+#: Units, and bytes of them, at which a process forgets the rare half of what it remembers.
+MEMO_UNITS, MEMO_BYTES = 400_000, 40_000_000
+#: Units aligned as one text, side by side.
+JOINED = 5000
+#: Where units begin: before a space that follows anything but white space.
+UNIT = re.compile(r"(?<=\S)(?= )")
 #: The mark that B has for a space.
 MARK = "▁"
 PARTS = ("block bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links binary, "
@@ -90,6 +104,71 @@ class Aligner:
             fallback.append(len(p) == 6 and p.startswith("<0x") and p.endswith(">"))
             pieces.append(bytes([int(p[3:5], 16)]) if fallback[-1] else p.replace(MARK, " ").encode())
         self.vb = Vocabulary(pieces, fallback)
+        # a lone space and no other mark inside a piece, and words cut as byte-level vocabularies do
+        before = model.get("pre_tokenizer") or {}
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.space = next((i for i, n in enumerate(names) if n == MARK), None)
+        self.units = (model.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+                      and not before.get("add_prefix_space") and self.space is not None and not any(MARK in n.lstrip(MARK) for n in names))
+        # units by number: tokens of A and B, groups and links, documents that held it, the
+        # groups' text, and all units' pairs in a row; number -1: its bytes do not come back
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.texts: list[bytes] = []
+        self.counts, self.seen, self.pairs = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes = 0
+
+    def pairs_of(self, units: np.ndarray) -> np.ndarray:
+        """The pairs of some units one after the other."""
+        sizes, last = self.counts[units, 3], np.cumsum(self.counts[:, 3])[units]
+        return self.pairs[np.arange(sizes.sum()) + np.repeat(last - np.cumsum(sizes), sizes)]
+
+    def forget(self) -> None:
+        """Keep what several documents held, half of the room at most."""
+        least = 2
+        while (keep := np.flatnonzero(self.seen >= least)).size > MEMO_UNITS // 2 or sum(len(self.names[i]) for i in keep) > MEMO_BYTES // 2:
+            least *= 2
+        self.pairs = self.pairs_of(keep)
+        self.names, self.texts = [self.names[i] for i in keep], [self.texts[i] for i in keep]
+        self.counts, self.seen = self.counts[keep], self.seen[keep] // 2
+        self.number = {u: i for i, u in enumerate(self.names)}
+        self.bytes = sum(map(len, self.names))
+
+    def split(self, text: str) -> list[str]:
+        """Units of space + text."""
+        return UNIT.split(" " + text) if self.units else [" " + text]
+
+    def learn(self, units: list[str]) -> None:
+        """Align units not met before."""
+        ends_in_space = [u for u in units if u[-1].isspace()]
+        others = [u for u in units if not u[-1].isspace()]
+        parts: list[Joint] = []
+        for lo in range(0, len(ends_in_space), JOINED):
+            self._learn(ends_in_space[lo:lo + JOINED], parts, [])
+        for lo in range(0, len(others), JOINED):
+            some = others[lo:lo + JOINED]
+            self._learn(some, parts, some if self.units else [])
+        if parts:
+            self.counts = np.concatenate([self.counts, *[np.stack([j.n_a, j.n_b, j.n_groups, j.n_links], 1) for j in parts]])
+            self.seen = np.concatenate([self.seen, np.zeros(len(self.names) - len(self.seen), np.int64)])
+            self.pairs = np.concatenate([self.pairs, *[j.link_a * len(self.vb.decoded) + j.link_b for j in parts]])
+
+    def _learn(self, units: list[str], parts: list["Joint"], joined: list[str]) -> None:
+        """As one text, where their ends come back in it; else each by itself."""
+        good, j = list(range(len(units))), None
+        if joined:
+            _, x = self.encode(["".join(joined)])
+            j = x.cut(np.array([len(u.encode()) for u in joined])) if x is not None else None
+        if j is None:
+            good, j = self.encode(units)
+        self.number.update(dict.fromkeys(units, -1))
+        if j is not None:
+            parts.append(j)
+            names = [units[i] for i in good]
+            self.number.update(zip(names, itertools.count(len(self.names))))
+            self.names += names
+            self.texts += j.texts(self.va, self.vb)
+        self.bytes += sum(map(len, units))
 
     @staticmethod
     def refine(ends: np.ndarray, sure: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -102,53 +181,43 @@ class Aligner:
         from_end, from_run = np.where(last < 0, 0, ends[last]), np.where(last < 0, 0, run[last])
         return from_end + run - from_run
 
-    def ends_a(self, encoding, whole: bytes) -> tuple[np.ndarray, np.ndarray] | None:
-        ids = encoding.ids
-        if b"".join(map(self.va.decoded.__getitem__, ids)) != whole:
-            return None
-        ids = np.array(ids, np.int64)
-        spans = np.fromiter(itertools.chain.from_iterable(encoding.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
-        starts = np.append(np.flatnonzero((np.frombuffer(whole, np.uint8) & 0xC0) != 0x80), len(whole))
-        # a token that shares its last character with the next one ends inside it
-        sure = np.append(spans[1:, 0] >= spans[:-1, 1], True)
-        return ids, self.refine(starts[spans[:, 1]], sure, self.va.lens[ids])
-
-    def ends_b(self, proto, whole: bytes) -> tuple[np.ndarray, np.ndarray] | None:
-        pieces = proto.pieces
-        ids = [p.id for p in pieces]
-        if b"".join(map(self.vb.decoded.__getitem__, ids)) != whole:
-            return None
-        ids = np.array(ids, np.int64)
-        starts, ends = np.array([p.begin for p in pieces], np.int64), np.array([p.end for p in pieces], np.int64)
-        # spans count from the text, which the added space moves on by one byte
-        sure = ~self.vb.fallback[ids] & (ends > starts) & np.append(starts[1:] >= ends[:-1], True)
-        return ids, self.refine(ends + 1, sure, self.vb.lens[ids])
-
-    def encode(self, texts: list[str | None]) -> list[tuple | None]:
-        """(A ids, their byte ends, B ids, their byte ends) of each text, None without tokens."""
-        out: list[tuple | None] = [None] * len(texts)
-        some = [i for i, t in enumerate(texts) if t]
-        if not some:
-            return out
-        a = self.a.encode_batch([" " + texts[i] for i in some], add_special_tokens=False)
-        b = self.b.encode([texts[i] for i in some], num_threads=1, return_type="proto")
-        for i, x, y in zip(some, a, b):
-            whole = f" {texts[i]}".encode()
-            one, two = self.ends_a(x, whole), self.ends_b(y, whole)
-            if one is not None and two is not None and len(one[0]) and len(two[0]):
-                out[i] = (*one, *two)
-        return out
+    def encode(self, texts: list[str]) -> tuple[list[int], "Joint | None"]:
+        """The places of the texts whose tokens give their bytes back, and these aligned.
+        Every text begins with the space that B adds by itself (to nothing it adds none)."""
+        bare = [t.encode() for t in texts]
+        one = self.a.encode_batch(texts, add_special_tokens=False)
+        two = self.b.encode([t[1:] for t in texts], num_threads=1, return_type="proto")
+        ids_a, pieces = [x.ids for x in one], [list(x.pieces) for x in two]
+        ids_b = [[p.id for p in x] if len(t) > 1 else [self.space] for x, t in zip(pieces, bare)]
+        da, db = self.va.decoded.__getitem__, self.vb.decoded.__getitem__
+        good = [i for i, (t, x, y) in enumerate(zip(bare, ids_a, ids_b)) if y != [None] and b"".join(map(da, x)) == t and b"".join(map(db, y)) == t]
+        if not good:
+            return [], None
+        flat = lambda rows: np.fromiter(itertools.chain.from_iterable(rows), np.int64)               # noqa: E731
+        size, chars = np.array([len(bare[i]) for i in good]), np.array([len(texts[i]) for i in good])
+        n_a, n_b = np.array([len(ids_a[i]) for i in good]), np.array([len(ids_b[i]) for i in good])
+        a, b = flat(ids_a[i] for i in good), flat(ids_b[i] for i in good)
+        at, char_at = np.cumsum(size) - size, np.cumsum(chars) - chars
+        whole = np.frombuffer(b"".join([bare[i] for i in good]), np.uint8)
+
+        # A's offsets count characters; a token that shares its last one with the next ends inside it
+        spans = flat(itertools.chain.from_iterable(one[i].offsets) for i in good).reshape(-1, 2) + np.repeat(char_at, n_a)[:, None]
+        starts = np.append(np.flatnonzero((whole & 0xC0) != 0x80), len(whole))
+        ends_a = self.refine(starts[spans[:, 1]], np.append(spans[1:, 0] >= spans[:-1, 1], True), self.va.lens[a])
+        # B's spans count the bytes after the added space
+        begin, end = (flat([*map(attrgetter(k), pieces[i])] if len(bare[i]) > 1 else [0] for i in good) + np.repeat(at, n_b) + 1 for k in ("begin", "end"))
+        sure = ~self.vb.fallback[b] & (end > begin) & np.append(begin[1:] >= end[:-1], True)
+        ends_b = self.refine(end, sure, self.vb.lens[b])
+        return good, Joint(a, ends_a, n_a, b, ends_b, n_b, size)
 
 
 class Joint:
-    """Groups and links of some encoded documents, laid end to end."""
+    """Groups and links of some texts laid end to end: ids, byte ends and numbers of
+    tokens of both sides, bytes of each text."""
 
-    def __init__(self, found: list[tuple]):
-        sizes = np.array([x[1][-1] for x in found])
+    def __init__(self, a, ends_a, n_a, b, ends_b, n_b, sizes):
+        self.a, self.b, self.n_a, self.n_b, self.ends_a, self.ends_b = a, b, n_a, n_b, ends_a, ends_b
         shift = np.cumsum(sizes) - sizes
-        self.a, self.b = np.concatenate([x[0] for x in found]), np.concatenate([x[2] for x in found])
-        self.n_a, self.n_b = np.array([len(x[0]) for x in found]), np.array([len(x[2]) for x in found])
-        ends_a, ends_b = np.concatenate([x[1] + s for x, s in zip(found, shift)]), np.concatenate([x[3] + s for x, s in zip(found, shift)])
         total = int(sizes.sum()) + 1
         at_a, at_b = np.zeros(total, bool), np.zeros(total, bool)
         at_a[ends_a], at_b[ends_b] = True, True
@@ -159,13 +228,21 @@ class Joint:
         close = np.flatnonzero(at_a | at_b)
         self.link_a, self.link_b = self.a[np.cumsum(at_a)[close - 1]], self.b[np.cumsum(at_b)[close - 1]]
         self.link_doc = np.searchsorted(shift, close, "left") - 1
-        docs = np.arange(len(found) + 1)
+        docs = np.arange(len(sizes) + 1)
         self.n_links = np.diff(np.searchsorted(self.link_doc, docs))
         self.n_groups = np.diff(np.searchsorted(self.ends, np.append(shift, total - 1), "right"))
         self.shift = shift
 
-    def digests(self, va: Vocabulary, vb: Vocabulary) -> list[str]:
-        """SHA-256 of every document's groups, `a1,a2|b1;a3|b2`."""
+    def cut(self, sizes: np.ndarray) -> "Joint | None":
+        """The same bytes as texts of these sizes; None if one does not end where both tokens do."""
+        upto = np.cumsum(sizes)
+        i, j = np.searchsorted(self.ends_a, upto), np.searchsorted(self.ends_b, upto)
+        if (self.ends_a[np.minimum(i, len(self.a) - 1)] != upto).any() or (self.ends_b[np.minimum(j, len(self.b) - 1)] != upto).any():
+            return None
+        return Joint(self.a, self.ends_a, np.diff(i + 1, prepend=0), self.b, self.ends_b, np.diff(j + 1, prepend=0), sizes)
+
+    def texts(self, va: Vocabulary, vb: Vocabulary) -> list[bytes]:
+        """Every document's groups, `a1,a2|b1;a3|b2`."""
         n = len(self.a) + len(self.b)
         groups = int(self.group_a[-1]) + 1
         a_to, b_to = np.cumsum(np.bincount(self.group_a, minlength=groups)), np.cumsum(np.bincount(self.group_b, minlength=groups))
@@ -179,11 +256,10 @@ class Joint:
         text[at_b, width] = np.where(np.append(self.group_b[1:] == self.group_b[:-1], False), ord(","), ord(";"))
         last = np.cumsum(self.n_a + self.n_b)
         text[last - 1, width] = 0
-        out = []
-        for lo, hi in zip([0, *last[:-1].tolist()], last.tolist()):
-            flat = text[lo:hi].ravel()
-            out.append(hashlib.sha256(flat[flat != 0].tobytes()).hexdigest())
-        return out
+        flat = text.ravel()
+        upto = np.append(0, np.cumsum(np.count_nonzero(text, axis=1))[last - 1]).tolist()
+        joined = flat[flat != 0].tobytes()
+        return [joined[lo:hi] for lo, hi in zip(upto, upto[1:])]
 
     def groups(self) -> list[list[dict]]:
         """Every document's groups with byte ranges in space + text."""
@@ -236,71 +312,95 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """Documents of one block and their links as (document, pair, times)."""
-
-    def __init__(self):
-        self.name = int.from_bytes(os.urandom(8), "little") >> 1
-        self.rows, self.parts, self.size = [], [], 0
-
-    def add(self, rows: list[tuple], doc: np.ndarray, pair: np.ndarray, times: np.ndarray) -> None:
-        self.parts.append((doc + len(self.rows), pair, times))
-        self.rows += rows
-        self.size += int(times.sum())
+    """Documents of one block: rows, and the units of each by their numbers in the process."""
+
+    def __init__(self, al: Aligner):
+        self.al, self.name = al, int.from_bytes(os.urandom(8), "little") >> 1
+        self.rows: list[tuple] = []
+        self.docs: list[tuple[np.ndarray, np.ndarray] | None] = []
+        self.size = 0
+
+    def add(self, doc_id: int | None, units: np.ndarray) -> None:
+        if not len(units) or (units < 0).any():
+            self.rows.append((doc_id, 0, 0, 0, 0, ""))
+            self.docs.append(None)
+            return
+        counts = self.al.counts[units].sum(0).tolist()
+        self.rows.append((doc_id, *counts, hashlib.sha256(b";".join([self.al.texts[i] for i in units.tolist()])).hexdigest()))
+        self.docs.append(np.unique(units, return_counts=True))
+        self.al.seen[self.docs[-1][0]] += 1
+        self.size += counts[3]
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        doc, pair, times = [np.concatenate([p[i] for p in self.parts] or [np.empty(0, np.int64)]) for i in range(3)]
-        pairs, place = np.unique(pair, return_inverse=True)
-        counts = np.zeros(len(pairs), np.int64)
-        np.add.at(counts, place, times)
-        bounds = np.searchsorted(doc, np.arange(len(self.rows) + 1))
         fields = [f.split()[0] for f in PARTS.split(", ")]
+        have = [d for d in self.docs if d is not None]
+        used, place = np.unique(np.concatenate([d[0] for d in have] or [np.empty(0, np.int64)]), return_inverse=True)
+        times = np.bincount(place, np.concatenate([d[1] for d in have] or [np.empty(0)]), len(used)).astype(np.int64)
+        at = iter(np.split(place, np.cumsum([len(d[0]) for d in have])[:-1]) if have else [])
+        links = [None if d is None else _pack(next(at), d[1]) for d in self.docs]
         for i in range(0, len(self.rows), 5000):
             some = self.rows[i:i + 5000]
-            links = [_pack(place[lo:hi], times[lo:hi]) if hi > lo else None for lo, hi in zip(bounds[i:i + len(some)], bounds[i + 1:i + 1 + len(some)])]
             n = len(some)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([self.name] * n, pa.int64()), *[pa.array(c, pa.int64()) for c in list(zip(*some))[:5]], pa.array([r[5] for r in some], pa.string()),
-                 pa.array(links, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], fields)
+                 pa.array(links[i:i + 5000], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], fields)
+        if not have:
+            return
+        sizes = self.al.counts[used, 3]
+        pairs, pair = np.unique(self.al.pairs_of(used), return_inverse=True)
+        counts = np.bincount(pair, np.repeat(times, sizes), len(pairs)).astype(np.int64)
+        # the units' pairs travel with the documents
+        empty, head = [pa.nulls(1, pa.int64())] * 5, _pack(np.cumsum(sizes), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array([self.name], pa.int64()), *empty, pa.nulls(1, pa.string()), pa.array([head + zstandard.compress(pair.astype(np.uint32).tobytes(), 1)]),
+                                          pa.array([len(head)], pa.int32()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64()))], fields)
         for i in range(0, len(pairs), ENTRIES):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([self.name], pa.int64()), *[pa.nulls(1, pa.int64())] * 5, pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()),
+                [pa.array([self.name], pa.int64()), *empty, pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()),
                  pa.array([pairs[i:i + ENTRIES]], pa.list_(pa.int64())), pa.array([counts[i:i + ENTRIES]], pa.list_(pa.int64()))], fields)
 
 
 def _parts(shared):
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        al, block = _aligner(shared), Block()
-        n_b = len(al.vb.decoded)
+        al = _aligner(shared)
+        block = Block(al)
         for ids, texts in _chunks(batches):
-            found = al.encode(texts)
-            have = [i for i, x in enumerate(found) if x is not None]
-            rows = [(i, 0, 0, 0, 0, "") for i in ids]
-            if have:
-                j = Joint([found[i] for i in have])
-                for k, sha in enumerate(j.digests(al.va, al.vb)):
-                    rows[have[k]] = (ids[have[k]], int(j.n_a[k]), int(j.n_b[k]), int(j.n_groups[k]), int(j.n_links[k]), sha)
-                span = len(al.va.decoded) * n_b
-                key, times = np.unique(np.array(have)[j.link_doc] * span + j.link_a * n_b + j.link_b, return_counts=True)
-                block.add(rows, key // span, key % span, times)
-            else:
-                block.rows += rows
-            if block.size >= BLOCK:
+            if len(al.texts) > MEMO_UNITS or al.bytes > MEMO_BYTES:
                 yield from block.batches()
-                block = Block()
+                al.forget()
+                block = Block(al)
+            split = [al.split(t) if t else [] for t in texts]
+            units = list(itertools.chain.from_iterable(split))
+            numbers = np.fromiter(map(al.number.get, units, itertools.repeat(-2)), np.int64, len(units))
+            new = [units[i] for i in np.flatnonzero(numbers == -2).tolist()]
+            al.learn(list(dict.fromkeys(new)))
+            numbers[numbers == -2] = np.fromiter(map(al.number.__getitem__, new), np.int64, len(new))
+            for doc_id, own in zip(ids, np.split(numbers, np.cumsum([len(x) for x in split])[:-1])):
+                block.add(doc_id, own)
+                if block.size >= BLOCK:
+                    yield from block.batches()
+                    block = Block(al)
         yield from block.batches()
     return parts
 
 
 def _weigh(key, docs: pa.Table, entries: pa.Table) -> pa.Table:
-    """A block's documents with its list: place, corpus-wide count, whether it is its B id's best."""
+    """A block's documents, its units' pairs and its pairs with their corpus-wide count
+    and whether it is their B id's best."""
     place = entries["place"].to_numpy()
     count, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     count[place], best[place] = entries["total"].to_numpy(), entries["best"].to_numpy()
+    of_units = docs.filter(pc.is_valid(docs["first"]))
+    packed, cut = of_units["links"][0].as_py(), of_units["first"][0].as_py()
+    _, sizes = _unpack(packed[:cut])
+    pair = np.frombuffer(zstandard.decompress(packed[cut:]), np.uint32)
+    start = np.cumsum(sizes) - sizes
+    unit_sum, unit_best = np.add.reduceat(count[pair], start), np.add.reduceat(best[pair], start)
+    docs = docs.filter(pc.is_null(docs["first"]))
     sums, bests = [], []
-    for packed in docs["links"].to_pylist():
-        where, times = _unpack(packed)
-        sums.append(int((count[where] * times).sum()))
-        bests.append(int((best[where] * times).sum()))
+    for links in docs["links"].to_pylist():
+        where, times = _unpack(links)
+        sums.append(int((unit_sum[where] * times).sum()))
+        bests.append(int((unit_best[where] * times).sum()))
     columns = {c: docs[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
     return pa.table(columns | {"n_best": pa.array(bests, pa.int64()), "count_sum": pa.array(sums, pa.int64()), "groups_sha256": docs["groups_sha256"]})
 
@@ -333,7 +433,7 @@ def align(docs: DataFrame, a: str = f"{FOLDER}/{A_FILE}", b: str = f"{FOLDER}/{B
     top = totals.groupBy(b_id.alias("b_id")).agg(F.max("total").alias("most"))              # one row per id of B
     totals = totals.join(F.broadcast(top), b_id == F.col("b_id")).select("pair", "total", (F.col("total") == F.col("most")).cast("bigint").alias("best"))
     weighed = entries.select(F.col("block").alias("of"), "place", "pair").join(totals, "pair").select("of", "place", "total", "best")
-    rows = parts.where("pairs IS NULL").select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links")
+    rows = parts.where("pairs IS NULL").select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links", "first")
     linked = rows.where("links IS NOT NULL").groupBy("block").cogroup(weighed.groupBy("of")).applyInArrow(_weigh, OUT)
     none = F.lit(0).cast("bigint")
     return linked.union(rows.where("links IS NULL").select("doc_id", "n_a", "n_b", "n_groups", "n_links", none, none, "groups_sha256"))
@@ -348,11 +448,11 @@ def aligned_groups(docs: DataFrame, a: str = f"{FOLDER}/{A_FILE}", b: str = f"{F
         al = _aligner(shared)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
         for ids, texts in _chunks(batches):
-            found = al.encode(texts)
-            have = [i for i, x in enumerate(found) if x is not None]
+            some = [i for i, t in enumerate(texts) if t]
+            good, j = al.encode([" " + texts[i] for i in some])
             rows: list = [[]] * len(ids)
-            for i, g in zip(have, Joint([found[i] for i in have]).groups() if have else []):
-                rows[i] = g
+            for i, g in zip(good, j.groups() if good else []):
+                rows[some[i]] = g
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, kind)], ["doc_id", "groups"])
     return _texts(docs).mapInArrow(spans, SPANS)
 

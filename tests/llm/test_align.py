@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 pytest.importorskip("gearlens.llm.registry")
@@ -95,6 +96,8 @@ def test_equals_brute_force(spark, rows, monkeypatch):
     monkeypatch.setattr(align, "BLOCK", 500)
     monkeypatch.setattr(align, "CHUNK", 1000)
     monkeypatch.setattr(align, "ENTRIES", 7)
+    monkeypatch.setattr(align, "MEMO_UNITS", 50)
+    monkeypatch.setattr(align, "JOINED", 3)
     assert Counter(map(tuple, align.align(df).collect())) == want
     assert align.align(df.limit(0)).count() == 0
     assert {x.n_links for x in align.align(df.where("text IS NULL OR text = ''")).collect()} == {0}
@@ -122,9 +125,19 @@ def test_groups_give_the_text_back(spark, rows):
 def test_characters_cut_by_tokens_are_refined():
     """Offsets of tokens inside one character say nothing; the decoded bytes place the ends."""
     al = align.Aligner(open(A, "rb").read(), open(B, "rb").read())
-    text = "\U00020BB7 \U0001F9D1 x"
-    (ids_a, ends_a, ids_b, ends_b), = al.encode([text])
-    assert ends_a.tolist() == [sum(len(al.va.decoded[i]) for i in ids_a[:k + 1]) for k in range(len(ids_a))]
-    assert ends_b.tolist() == [sum(len(al.vb.decoded[i]) for i in ids_b[:k + 1]) for k in range(len(ids_b))]
-    assert al.vb.fallback[ids_b].any() and len(ids_a) > len(text)
-    assert al.encode(["<unk>▁", None, ""]) == [None, None, None]
+    good, j = al.encode([" \U00020BB7 \U0001F9D1 x", " <unk>▁", " "])
+    assert good == [0, 2] and j.n_a.tolist()[0] > 6 and j.n_b.tolist()[1] == 1
+    assert j.ends_a.tolist() == np.cumsum(al.va.lens[j.a]).tolist() and j.ends_b.tolist() == np.cumsum(al.vb.lens[j.b]).tolist()
+    assert al.vb.fallback[j.b].any()
+
+
+def test_texts_fall_into_units():
+    """Units give the text back; none is cut where a token could reach over."""
+    al = align.Aligner(open(A, "rb").read(), open(B, "rb").read())
+    assert al.units
+    for text in ["a b", " a  b ", "a\n b\t\n", "\u00a0 x", "it's <|endoftext|> ok"]:
+        assert "".join(al.split(text)) == " " + text
+    assert al.split("a b  c \n d") == [" a", " b", "  c", " \n d"]
+    al.learn([" a", " b", " <unk>▁", "  "])
+    assert al.number[" <unk>▁"] == -1 and sorted(al.number[u] for u in (" a", " b", "  ")) == [0, 1, 2]
+    assert len(al.texts) == 3 and al.counts[:, 3].sum() == len(al.pairs)
