@@ -123,6 +123,13 @@ def cast_rating_int(df: DataFrame, col: str = S.TARGET) -> DataFrame:
     return df.withColumn(col, F.col(col).cast("double").cast("int"))
 
 
+def cast_double(df: DataFrame, cols) -> DataFrame:
+    """Columns as doubles in place; text that is no number is null."""
+    wanted = [c for c in cols if c in df.columns]
+    return df.withColumns({c: F.col(_q(c)).cast("string").try_cast("double") if df.schema[c].dataType.typeName() == "string" else F.col(_q(c)).cast("double")
+                           for c in wanted})
+
+
 def head(df: DataFrame, n: int = 5, order=(S.KEY,)) -> DataFrame:
     """First n rows under a total order (never an arbitrary n)."""
     order = [c for c in order if c in df.columns]

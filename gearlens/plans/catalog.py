@@ -833,6 +833,7 @@ from contextlib import contextmanager  # noqa: E402
 
 from pyspark import StorageLevel  # noqa: E402
 
+from gearlens.plans import booster as BO  # noqa: E402
 from gearlens.plans import model as ML  # noqa: E402
 from gearlens.plans import score as SC  # noqa: E402
 
@@ -890,7 +891,7 @@ def _model(spark, sf_dir):
 @register("compare_models")
 def q_compare_models(spark, sf_dir):
     with _split_features(spark, sf_dir) as (features, (tr, va, _)):
-        return ML.compare_models(tr, va, features)
+        return ML.compare_models(tr, va, features, kinds=("decision_tree", "random_forest", "boosted", *ML.BOOSTERS))
 
 
 @register("random_search")
@@ -898,9 +899,9 @@ def q_random_search(spark, sf_dir):
     """Both searches of the notebook over the whole training part."""
     out = []
     with _split_features(spark, sf_dir) as (features, (tr, _, _)):
-        for search, space in (("boosted", ML.BOOSTED_SPACE), ("leafwise", ML.BOOSTED_SPACE_LEAFWISE)):
-            cvm, maps = ML.random_search(tr, features, space, n=ML.SEARCH_DRAWS[search], folds=3)
-            out.append(ML.search_results(cvm, maps).withColumn("search", F.lit(search)))
+        for search, (base, n, space) in BO.SPACES.items():
+            found = BO.boosted_search(tr, features, space, n, folds=3, base=base)
+            out.append(BO.search_table(spark, found, space).withColumn("search", F.lit(search)))
     return out[0].unionByName(out[1])
 
 

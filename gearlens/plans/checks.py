@@ -24,6 +24,7 @@ from gearlens.operators import encode as EN
 from gearlens.operators import prep as P
 from gearlens.operators import profile as PR
 from gearlens.operators import stats as ST
+from gearlens.plans import booster as BO
 from gearlens.plans import model as ML
 from gearlens.plans import pipelines as PL
 from gearlens.plans import score as SC
@@ -360,6 +361,148 @@ def q_request_features(spark, sf_dir):
     return SC.request_features(_requests(spark, sf_dir), cols).where("reject_reason IS NULL").select("request_id", *cols)
 
 
+# ---------------------------------------------------------------------------
+# M4, M6, M8, M11 with the second-order booster
+# ---------------------------------------------------------------------------
+_L1, _L2, _RATE, _MIN = 0.05, 1.0, 0.5, 20
+_LEAFWISE = {"rounds": 2, "num_leaves": 3, "learning_rate": _RATE, "reg_alpha": _L1, "reg_lambda": _L2, "min_rows": _MIN}
+_FLAG_NO = f"list_position({FLAGS!r}, feature)"
+
+
+def _soft(g: str, l1: float) -> str:
+    return f"(sign({g}) * greatest(abs({g}) - {l1}, 0.0))"
+
+
+def _side(g: str, n: str, l1: float, l2: float) -> str:
+    return f"{_soft(g, l1)} * {_soft(g, l1)} / ({n} + {l2})"
+
+
+def _split_sql(src: str, by: str = "", l1: float = _L1, l2: float = _L2, least: int = _MIN) -> str:
+    """(by, feature, gain) of every split on a 0/1 feature from sums (by, feature, x, n, g)."""
+    keys = f"{by}, " if by else ""
+    gain = f"{_side('g0', 'n0', l1, l2)} + {_side('g1', 'n1', l1, l2)} - {_side('(g0 + g1)', '(n0 + n1)', l1, l2)}"
+    return f"""(select {keys}feature, round({gain}, 9) as gain from (
+  select {keys}feature, sum(n) filter (x = 0) as n0, sum(g) filter (x = 0) as g0, sum(n) filter (x = 1) as n1, sum(g) filter (x = 1) as g1
+  from {src} group by {keys}feature) where n0 >= {least} and n1 >= {least} and {gain} > {BO.LEAST_GAIN})"""
+
+
+def _round_sql(r: int) -> str:
+    """CTEs of one round of three leaves: root split, best split of either child, values, new predictions ``p{r}``."""
+    return f"""t{r} as (select appointmentId, pred - y as g from p{r - 1} where {_FIT}),
+sa{r} as (select feature, x, count(*) as n, sum(g) as g from lg join t{r} using (appointmentId) group by 1, 2),
+ba{r} as (select feature from {_split_sql(f'sa{r}')} order by gain desc, {_FLAG_NO} limit 1),
+a{r} as (select appointmentId, x as side from lg join ba{r} using (feature)),
+sb{r} as (select side, feature, x, count(*) as n, sum(g) as g from lg join t{r} using (appointmentId) join a{r} using (appointmentId) group by 1, 2, 3),
+bb{r} as (select side, feature from {_split_sql(f'sb{r}', 'side')} order by gain desc, side, {_FLAG_NO} limit 1),
+lf{r} as (select a.appointmentId, a.side, coalesce(x.x, -1) as below from a{r} a left join
+  (select lg.appointmentId, bb.side, lg.x from lg join bb{r} bb using (feature)) x on x.appointmentId = a.appointmentId and x.side = a.side),
+v{r} as (select side, below, -{_soft('sum(g)', _L1)} / (count(*) + {_L2}) * {_RATE} as v from lf{r} join t{r} using (appointmentId) group by 1, 2),
+p{r} as (select p.appointmentId, p.bucket, p.y, p.pred + coalesce(v, 0.0) as pred from p{r - 1} p left join lf{r} using (appointmentId) left join v{r} using (side, below))"""
+
+
+_BASE = f"""{_SERVICE},
+on1 as (select distinct appointmentId, bucket, y from lg),
+p0 as (select *, (select avg(y) from on1 where {_FIT}) as pred from on1)"""
+_TWO_ROUNDS = f"{_BASE},\n{_round_sql(1)},\n{_round_sql(2)}"
+
+
+def _leafwise(rows):
+    return ML.train(ML.split(rows, weights=(0.80, 0.20))[0], FLAGS, "leafwise", **_LEAFWISE)
+
+
+@register("leafwise_predictions", with_insp("select appointmentId, bucket < 80 as fitted, round(pred, 6) as prediction from p2", _TWO_ROUNDS))
+def q_leafwise_predictions(spark, sf_dir):
+    """Two rounds of three leaves with both penalties, row by row."""
+    with _service_rows(spark, sf_dir) as rows:
+        m = _leafwise(rows)
+    out = m.transform(_service_features(spark, sf_dir).df.where(F.col(S.TARGET).isNotNull()))
+    return out.select(S.KEY, (ML.split_bucket(S.KEY) < 80).alias("fitted"), r6(ML.PREDICTION).alias("prediction"))
+
+
+@register("split_importance", with_insp(
+    "select f.feature, count(b.feature)::double as importance from (select distinct feature from lg) f left join "
+    "(select feature from ba1 union all select feature from bb1 union all select feature from ba2 union all select feature from bb2) b using (feature) group by 1",
+    _TWO_ROUNDS))
+def q_split_importance(spark, sf_dir):
+    """M8 by number of splits, the leaf-wise library's default measure."""
+    with _service_rows(spark, sf_dir) as rows:
+        return ML.feature_importance(_leafwise(rows), FLAGS, None, "split")
+
+
+_SPACE = {"rounds": [1, 2], "num_leaves": [2]}
+
+
+def _fold_round(r: int) -> str:
+    """One round of two leaves in every fold ``k``."""
+    return f"""t{r} as (select k, appointmentId, pred - y as g from p{r - 1} where fold <> k),
+s{r} as (select k, feature, x, count(*) as n, sum(g) as g from lg join t{r} using (appointmentId) group by 1, 2, 3),
+b{r} as (select k, feature from (select *, row_number() over (partition by k order by gain desc, {_FLAG_NO}) as place from {_split_sql(f's{r}', 'k', 0.0)}) where place = 1),
+v{r} as (select k, feature, x, -g / (n + {_L2}) * {_RATE} as v from s{r} join b{r} using (k, feature)),
+p{r} as (select p.k, p.appointmentId, p.fold, p.y, p.pred + coalesce(v.v, 0.0) as pred
+  from p{r - 1} p left join b{r} using (k) left join lg on lg.appointmentId = p.appointmentId and lg.feature = b{r}.feature
+  left join v{r} v on v.k = p.k and v.x = lg.x)"""
+
+
+@register("leafwise_search", with_insp(
+    " union all ".join(f"""select '{{"num_leaves": 2, "rounds": {r}}}' as params, round(avg(r2), 6) as mean_cv_r2 from
+(select k, 1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)) as r2 from p{r} where fold = k group by 1)""" for r in _SPACE["rounds"]),
+    f"""{_SERVICE},
+tr as (select distinct appointmentId, bucket % {_FOLDS} as fold, y from lg where bucket < 64),
+p0 as (select k::int as k, appointmentId, fold, y, avg(y) filter (fold <> k) over (partition by k) as pred from tr, range(0, {_FOLDS}) r(k)),
+{_fold_round(1)},
+{_fold_round(2)}"""))
+def q_leafwise_search(spark, sf_dir):
+    """M6 on a small space whose two settings are one path."""
+    base = BO.Settings(learning_rate=_RATE, reg_lambda=_L2, min_rows=_MIN)
+    with _service_rows(spark, sf_dir) as rows:
+        found = BO.boosted_search(ML.split(rows)[0], FLAGS, _SPACE, 2, _FOLDS, base)
+    return BO.search_table(spark, found, _SPACE).withColumn("mean_cv_r2", r6("mean_cv_r2"))
+
+
+_BAND_KM = 20000
+_BAND = f"floor(odometer_reading / {_BAND_KM})"
+
+
+@register("leafwise_missing", with_insp("select appointmentId, round(case when coalesce(band <= cut, low) then left_mean else right_mean end, 6) as prediction from mb, best", f"""
+mb as (select appointmentId, {_SQL_BUCKET} as bucket, {_BAND} as band, {S.TARGET}::double as y from insp),
+fr as (select band, y - avg(y) over () as g, avg(y) over () as mean from mb where {_FIT} and y is not null),
+cd as (select cut, low, coalesce(band <= cut, low) as goes_left, g, mean from fr, (select distinct band as cut from fr where band is not null), (values (true), (false)) s(low)),
+sm as (select cut, low, any_value(mean) as mean, count(*) filter (goes_left) as nl, count(*) filter (not goes_left) as nr,
+         sum(g) filter (goes_left) as gl, sum(g) filter (not goes_left) as gr from cd group by 1, 2),
+best as (select cut, low, mean + gl / nl as left_mean, mean + gr / nr as right_mean from sm where nl >= {_MIN} and nr >= {_MIN}
+         order by round(gl * gl / nl + gr * gr / nr, 9) desc, cut, low desc limit 1)"""))
+def q_leafwise_missing(spark, sf_dir):
+    """One split on a column with missing values, which go to the side they fit."""
+    rows = inspections(spark, sf_dir).select(S.KEY, F.floor(F.col(S.ODOMETER) / _BAND_KM).alias("band"), S.TARGET)
+    m = ML.train(ML.split(rows, weights=(0.80, 0.20))[0], ["band"], "leafwise", rounds=1, num_leaves=2, learning_rate=1.0, min_rows=_MIN)
+    return m.transform(rows).select(S.KEY, r6(ML.PREDICTION).alias("prediction"))
+
+
+@register("odometer_degradation", with_insp(f"""
+select cast(appointmentId as varchar) as request_id, cast(step as int) as step, (trunc(odometer_reading) + step * {S.DEGRADATION_STEP_KM})::double as odometer_reading,
+       round(greatest(case when trunc(odometer_reading) + step * {S.DEGRADATION_STEP_KM} <= cut then left_mean else right_mean end, 0.0), 6) as prediction
+from insp, best, range(0, {S.DEGRADATION_POINTS}) t(step) where odometer_reading is not null and inspectionStartTime is not null""", f"""
+od as (select odometer_reading::double as x, {S.TARGET}::double as y from insp where {_SQL_BUCKET} < 80 and rating_engineTransmission is not null and odometer_reading is not null),
+rk as (select x, y, count(*) over (order by x) as upto, count(*) over () as total from od),
+ct as (select max(x) as cut from rk group by ceil(upto * {BO.MAX_BIN - 1} / total)),
+sm as (select cut, avg(y) filter (x <= cut) as left_mean, avg(y) filter (x > cut) as right_mean, count(*) filter (x <= cut) as nl, count(*) filter (x > cut) as nr,
+         any_value(m) as m from od, ct, (select avg(y) as m from od) group by 1),
+best as (select cut, left_mean, right_mean from sm where nl >= {_MIN} and nr >= {_MIN}
+         order by round(nl * pow(left_mean - m, 2) + nr * pow(right_mean - m, 2), 9) desc, cut limit 1)"""))
+def q_odometer_degradation(spark, sf_dir):
+    """M11 with one split on the odometer, so that a wrong step changes the answer."""
+    rows = inspections(spark, sf_dir).select(S.KEY, S.ODOMETER, S.TARGET).where(F.col(S.ODOMETER).isNotNull())
+    m = ML.train(ML.split(rows, weights=(0.80, 0.20))[0], [S.ODOMETER], "leafwise", rounds=1, num_leaves=2, learning_rate=1.0, min_rows=_MIN)
+    d = SC.degradation(_requests(spark, sf_dir), m, [S.ODOMETER])
+    return d.select("request_id", "step", "odometer_reading", r6("prediction").alias("prediction"))
+
+
+@register("cast_double", with_insp("select appointmentId, try_cast(fuel_type as double) as fuel_number, odometer_reading::double as odometer_reading from insp"))
+def q_cast_double(spark, sf_dir):
+    df = inspections(spark, sf_dir).select(S.KEY, F.col(S.FUEL).alias("fuel_number"), S.ODOMETER)
+    return P.cast_double(df, ["fuel_number", S.ODOMETER])
+
+
 # ---------------------------------------------------------------------------
 # T1-T5 with p-value and verdict
 # ---------------------------------------------------------------------------
