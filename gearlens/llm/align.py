@@ -44,11 +44,11 @@ from .common import ship_by_value, stage, table
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Code points encoded at once, links of a block (a longer text is a block of its own).
-CHUNK, BLOCK = 400_000, 6_000_000
+CHUNK, BLOCK = 400_000, 2_000_000
 #: Entries of one output row of a block's list of pairs.
 ENTRIES = 50_000
 #: Units, and bytes of them, at which a process forgets the rare half of what it remembers.
-MEMO_UNITS, MEMO_BYTES = 400_000, 40_000_000
+MEMO_UNITS, MEMO_BYTES = 300_000, 30_000_000
 #: Units aligned as one text, side by side.
 JOINED = 5000
 #: Where units begin: before a space that follows anything but white space.
@@ -123,9 +123,8 @@ class Aligner:
         sizes, last = self.counts[units, 3], np.cumsum(self.counts[:, 3])[units]
         return self.pairs[np.arange(sizes.sum()) + np.repeat(last - np.cumsum(sizes), sizes)]
 
-    def forget(self) -> None:
+    def forget(self, least: int = 2) -> None:
         """Keep what several documents held, half of the room at most."""
-        least = 2
         while (keep := np.flatnonzero(self.seen >= least)).size > MEMO_UNITS // 2 or sum(len(self.names[i]) for i in keep) > MEMO_BYTES // 2:
             least *= 2
         self.pairs = self.pairs_of(keep)
@@ -380,6 +379,7 @@ def _parts(shared):
                     yield from block.batches()
                     block = Block(al)
         yield from block.batches()
+        al.forget(1 << 62)                  # later tasks of the process need the room
     return parts
 
 
