@@ -1,8 +1,16 @@
 """Substring dedup over sliding sentence spans.
 
-Every run of ``RUN`` consecutive sentences is hashed; a global join finds runs
-that occur more than once, and the sentences covered by any occurrence but the
-first (smallest doc_id, then position) are removed.
+Every run of consecutive sentences is hashed; a global join finds runs that occur
+more than once, and the sentences covered by any occurrence but the first
+(smallest doc_id, then text, then position) are removed.
+
+A sentence ends at a line's end or after a word that ends in ``.``, ``!`` or ``?``.
+A long one goes on as several: it is cut at places that the words around decide,
+so copies of a passage are cut alike whatever stands before it.  A run has ``RUN``
+sentences, and more where they hold fewer than ``MIN_WORDS`` words: less is a
+phrase.  Any repeated passage of 51 words holds a whole run, as it loses at most
+``MAX_WORDS`` - 1 words at either end and a run takes at most
+``MIN_WORDS`` + ``MAX_WORDS`` - 1.
 """
 
 from __future__ import annotations
@@ -16,15 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship_by_value, stage, table
+from .common import ship_by_value, stage, table, text_key
 
-#: Sentences of a run, and the least words of a run that is compared (shorter
-#: runs are common phrases, not passages).
-RUN, MIN_WORDS = 3, 10
-#: Least and most words of a sentence (the least only if the text has as many):
-#: shorter ones go on through the next, longer ones go on as new ones.  So every
-#: run of three has enough words, and one of over 50 holds several runs.
-LEAST_WORDS, MAX_WORDS = 4, 7
+#: Least sentences and words of a run.
+RUN, MIN_WORDS = 3, 24
+#: Most words of a sentence; a longer one is cut into parts of LEAST_WORDS to
+#: 2 * LEAST_WORDS - 1 words.
+MAX_WORDS, LEAST_WORDS = 9, 4
 #: A sentence ends after a word that ends in one of these, or at a line's end.
 ENDS = b".!?"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,22 +48,17 @@ def hashed(words: list[bytes]) -> list[int]:
     return list(map(_memo.__getitem__, words))
 
 
-def starts(hashes: list[int], first: list[int]) -> list[int]:
-    """Places in the words of a text where sentences start, LEAST_WORDS to MAX_WORDS apart.
-
-    Places are taken by priority, those after a sentence's end (``first``) before
-    all others and then by the word's hash, unless one closer than LEAST_WORDS is
-    taken.  What is taken depends on the words around only, so copies of a
-    passage are cut at the same words but for some near the passage's edges."""
+def parts(hashes: list[int]) -> list[int]:
+    """Places where the parts of a long sentence start, LEAST_WORDS to
+    2 * LEAST_WORDS - 1 words apart, the first one left out: words are taken by their
+    hash unless one closer than LEAST_WORDS is taken, so what is taken depends on the
+    words around only."""
     n, near = len(hashes), LEAST_WORDS - 1
-    rank = hashes.copy()
-    for i in first:
-        rank[i] -= 2**64
-    taken, closed = [0], bytearray(n)
+    taken, closed = [], bytearray(n)
     for i in (*range(min(n, near + 1)), *range(max(0, n - near), n)):
         closed[i] = 1
     shut = b"\1" * (2 * near + 1)
-    for i in sorted(range(n), key=rank.__getitem__):
+    for i in sorted(range(n), key=hashes.__getitem__):
         if not closed[i]:
             taken.append(i)
             closed[i - near:i + near + 1] = shut
@@ -67,15 +68,21 @@ def starts(hashes: list[int], first: list[int]) -> list[int]:
 
 def cut_words(text: str) -> tuple[list[bytes], list[int], list[int]]:
     """Normalised words of a text, their hashes, and the places where its sentences start, then the words' number."""
-    words, first = [], []
+    words, ends = [], []
     for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n"):
-        first.append(len(words))
         words += line.split()
-    first += [i for i, w in enumerate(words, 1) if w[-1] in ENDS]
+        ends.append(len(words))
+    ends += [i for i, w in enumerate(words, 1) if w[-1] in ENDS]
     if not words:
         return words, [], []
-    hashes = hashed(words)
-    return words, hashes, [*starts(hashes, [i for i in set(first) if i < len(words)]), len(words)]
+    hashes, cuts = hashed(words), [0]
+    for end in sorted(set(ends)):
+        start = cuts[-1]
+        if end - start > MAX_WORDS:
+            cuts += [start + i for i in parts(hashes[start:end])]
+        if end > start:
+            cuts.append(end)
+    return words, hashes, cuts
 
 
 def sentences(text: str) -> list[tuple[int, int, bytes, int]]:
@@ -88,45 +95,53 @@ def sentences(text: str) -> list[tuple[int, int, bytes, int]]:
     return [(at[a], e, b" ".join(words[a:b]), b - a) for a, b, e in zip(cuts, cuts[1:], ends)]
 
 
+def run_ends(cuts: list[int], run: int, least: int) -> list[tuple[int, int]]:
+    """(first sentence, sentence after the last) of every run: ``run`` sentences, and
+    further ones up to ``least`` words."""
+    out, j, n = [], 0, len(cuts) - 1
+    for i in range(n):
+        j = max(j, i + run)
+        while j <= n and cuts[j] - cuts[i] < least:
+            j += 1
+        if j > n:
+            break
+        out.append((i, j))
+    return out
+
+
 def runs(hashes: list[int], cuts: list[int], run: int, least: int) -> list[tuple[int, int]]:
-    """(hash, place of the first sentence) of every run of enough words; a text of
-    fewer sentences than ``run`` is one run."""
-    n = min(run, len(cuts) - 1)
+    """(hash, place of the first sentence) of every run."""
     data = np.array(hashes, np.uint64).tobytes()
-    h = np.array([xxhash.xxh64_intdigest(data[8 * a:8 * b]) for a, b in zip(cuts, cuts[1:])], np.uint64).tobytes()
-    out = []
-    for i in range(len(cuts) - n if n > 0 else 0):
-        if cuts[i + n] - cuts[i] >= least:
-            out.append((xxhash.xxh64_intdigest(h[8 * i:8 * (i + n)], seed=n) - 2**63, i))
-    return out
+    return [(xxhash.xxh64_intdigest(data[8 * cuts[i]:8 * cuts[j]], seed=j - i) - 2**63, i) for i, j in run_ends(cuts, run, least)]
 
 
 def _runs(run: int, least: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hashes, at, again = [], [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+            ids, keys, hashes, at, again = [], [], [], [], []
+            for doc_id, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 seen: set = set()
                 _, hashed_words, cuts = cut_words(text.as_py() or "")
                 for h, i in runs(hashed_words, cuts, run, least):
                     ids.append(doc_id)
+                    keys.append(key)
                     hashes.append(h)
                     at.append(i)
                     again.append(h in seen)                      # not the first one even within its text
                     seen.add(h)
                 if len(ids) > 200_000:
-                    yield _batch(ids, hashes, at, again)
-                    ids, hashes, at, again = [], [], [], []
-            yield _batch(ids, hashes, at, again)
+                    yield _batch(ids, keys, hashes, at, again)
+                    ids, keys, hashes, at, again = [], [], [], [], []
+            yield _batch(ids, keys, hashes, at, again)
     return emit
 
 
-def _batch(ids, hashes, at, again) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(at, pa.int32()), pa.array(again, pa.bool_())],
-                                      ["doc_id", "hash", "at", "again"])
+def _batch(ids, keys, hashes, at, again) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(at, pa.int32()), pa.array(again, pa.bool_())],
+                                      ["doc_id", "key", "hash", "at", "again"])
 
 
-def _cutter(run: int):
+def _cutter(run: int, least: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, gone, lost, spans, texts = [], [], [], [], []
@@ -139,17 +154,19 @@ def _cutter(run: int):
                     spans.append("")
                     texts.append(text)
                     continue
-                parts = sentences(text or "")
-                covered = sorted({i + k for i in starts for k in range(min(run, len(parts))) if i + k < len(parts)})
-                total.append(len(parts))
+                found = sentences(text or "")
+                words = np.cumsum([0, *(p[3] for p in found)]).tolist()
+                upto = dict(run_ends(words, run, least))
+                covered = sorted({k for i in starts for k in range(i, upto[i])})
+                total.append(len(found))
                 gone.append(len(covered))
-                lost.append(sum(parts[i][3] for i in covered))
+                lost.append(sum(found[i][3] for i in covered))
                 merged: list[list[int]] = []
                 for i in covered:
-                    if merged and merged[-1][1] == parts[i][0]:
-                        merged[-1][1] = parts[i][1]
+                    if merged and merged[-1][1] == found[i][0]:
+                        merged[-1][1] = found[i][1]
                     else:
-                        merged.append([parts[i][0], parts[i][1]])
+                        merged.append([found[i][0], found[i][1]])
                 spans.append(",".join(f"{a}:{e}" for a, e in merged))
                 if merged:
                     kept, at = [], 0
@@ -170,20 +187,24 @@ def remove_repeats(docs: DataFrame, run: int = RUN, least: int = MIN_WORDS) -> D
     Columns: doc_id, n_sentences, n_removed, removed_words, spans (removed
     start:end in code points, comma-joined), text (what is left).
 
-    Null or empty text: no sentences, text unchanged.  Rows that share a doc_id
-    are one document for the question which occurrence is first: none of them is
-    cut for repeating the other.  A null doc_id sorts after all others and its
-    rows are cut only for repeating documents with an id.  An empty table gives
-    no rows; other columns are ignored."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    r = stage(d.mapInArrow(_runs(run, least), "doc_id bigint, hash bigint, at int, again boolean"), "spans-runs")
+    Null or empty text: no sentences, text unchanged.  Rows that share a doc_id (or
+    have none) are told apart by their texts, which also decide whose occurrence is
+    first; rows with the same id and text are one document and are cut alike.  A null
+    doc_id sorts after all others.  An empty table gives no rows; other columns are
+    ignored; texts are read whole."""
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+    r = stage(d.mapInArrow(_runs(run, least), "doc_id bigint, key bigint, hash bigint, at int, again boolean"), "spans-runs")
     # runs of several documents: one row each, whatever the number of occurrences
-    first = r.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("no_id"))
-    first = stage(first.where("first < last OR (no_id > 0 AND first IS NOT NULL)").select("hash", "first"), "spans-first")
-    across = r.join(first, "hash").where("doc_id IS NULL OR doc_id > first").select("doc_id", "at")
-    cuts = across.union(r.where("again").select("doc_id", "at")).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("at").alias("starts"))
-    out = d.join(stage(cuts, "spans-cuts"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "text", "starts")
-    return out.mapInArrow(_cutter(run), "doc_id bigint, n_sentences bigint, n_removed bigint, removed_words bigint, spans string, text string")
+    shared = r.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("no_id"),
+                                   F.min("key").alias("k0"), F.max("key").alias("k1"))
+    shared = stage(shared.where("first < last OR (no_id > 0 AND first IS NOT NULL) OR k0 < k1").select("hash", "first"), "spans-shared")
+    many = stage(r.join(shared, "hash").select("hash", "doc_id", "key", "at", F.col("doc_id").eqNullSafe(F.col("first")).alias("holds")), "spans-many")
+    first = many.where("holds").groupBy("hash").agg(F.min("key").alias("first_key"))
+    across = many.join(first, "hash").where(~(F.col("holds") & (F.col("key") == F.col("first_key")))).select("doc_id", "key", "at")
+    cuts = across.union(r.where("again").select("doc_id", "key", "at")).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set("at").alias("starts"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))
+    out = d.join(stage(cuts, "spans-cuts"), same, "left").select("doc_id", "text", "starts")
+    return out.mapInArrow(_cutter(run, least), "doc_id bigint, n_sentences bigint, n_removed bigint, removed_words bigint, spans string, text string")
 
 
 def op6_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

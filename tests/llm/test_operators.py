@@ -252,26 +252,86 @@ def test_repeated_passages_go(spark):
         assert got[i].text.split()[0] == (rows[i][1].split()[0] if i < 9 else rows[-1][1].split("\n")[1].split()[0])
 
 
+def plain_sentences(text):
+    """Sentences as (start, end) of words, by the rule itself; None where a long one is cut."""
+    ends, n = set(), 0
+    for line in text.split("\n"):
+        for w in H.WORD.findall(line):
+            n += 1
+            if w[-1] in ".!?":
+                ends.add(n)
+        ends.add(n)
+    return sorted(ends - {0}), n
+
+
+def plain_repeats(docs):
+    """Words removed of (doc_id, text) rows: a sentence goes if it lies in a run of at
+    least 3 sentences and 24 words whose words came before in the order of documents."""
+    first, gone = {}, {}
+    for d, (i, t) in enumerate(sorted(set(docs), key=lambda x: (x[0] is None, x[0] or 0, spans_key(x[1])))):
+        w = [x.lower().encode() for x in H.WORD.findall(H.lower(t or ""))]
+        cuts = [0]
+        for p in spans.sentences(t or ""):
+            cuts.append(cuts[-1] + p[3])
+        gone[i, t] = set()
+        for a in range(len(cuts) - 1):
+            b = next((b for b in range(a + 3, len(cuts)) if cuts[b] - cuts[a] >= 24), None)
+            if b is not None and first.setdefault((b - a, *w[cuts[a]:cuts[b]]), (d, a)) != (d, a):
+                gone[i, t] |= set(range(cuts[a], cuts[b]))
+    return {k: len(v) for k, v in gone.items()}
+
+
+def spans_key(text):
+    """Order of texts of one doc_id, as Spark hashes them (set by the test that needs it)."""
+    return KEYS.get(text, 0)
+
+
+KEYS: dict = {}
+
+
 def test_repeats_equal_brute_force(spark, small):
-    docs = sorted((r.doc_id, r.text or "") for r in small.collect())
-    parts = {i: spans.sentences(t) for i, t in docs}
-    first, want = {}, {}
-    for i, _ in docs:
-        gone = set()
-        for k in range(len(parts[i]) - min(3, len(parts[i])) + 1 if parts[i] else 0):
-            run = parts[i][k:k + 3]
-            if sum(p[3] for p in run) >= spans.MIN_WORDS:
-                if first.setdefault(tuple(p[2] for p in run), (i, k)) != (i, k):
-                    gone |= set(range(k, k + len(run)))
-        want[i] = (len(parts[i]), len(gone))
-    assert {r.doc_id: (r.n_sentences, r.n_removed) for r in spans.remove_repeats(small).collect()} == want
+    docs = [(r.doc_id, r.text) for r in small.select("doc_id", "text").collect()]
+    want = plain_repeats(docs)
+    got = {(r.doc_id, t): r.removed_words for r, t in zip(spans.remove_repeats(small).orderBy("doc_id").collect(), [t for _, t in sorted(docs)])}
+    assert got == want and sum(got.values()) > 0
+
+
+def test_rows_that_share_an_id_keep_their_own_words(spark):
+    """One doc_id, or none, on several rows: a row loses what it repeats itself, and nothing else."""
+    r = random.Random(8)
+    new = lambda n: " ".join(f"u{r.randrange(10**7)}" + (". " if i % 6 == 5 else "") for i in range(n))                # noqa: E731
+    passage = new(60)
+    rows = [(None, new(100)), (None, new(100)), (None, f"{new(30)}. {passage}"), (5, new(80)), (5, f"{passage} {new(30)}"), (9, passage), (9, passage), (None, passage)]
+    df = spark.createDataFrame([(*x, "h", 1, 2) for x in rows], "doc_id bigint, text string, hash string, at int, key int")
+    from pyspark.sql import functions as F
+    KEYS.update({x.text: x.k for x in df.select("text", F.xxhash64("text").alias("k")).collect()})
+    want = plain_repeats(rows)
+    got = Counter((x.doc_id, x.n, x.removed_words) for x in spans.remove_repeats(df).withColumn("n", F.length("text")).collect())
+    texts = {(x.doc_id, x.text) for x in spans.remove_repeats(df).collect()}
+    assert {(None, rows[0][1]), (None, rows[1][1]), (5, rows[3][1]), (5, rows[4][1])} <= texts
+    assert sum(n for (_, _, lost), n in got.items() if lost == 0) == 4 and sum(k[2] * n for k, n in got.items()) == sum(want.values()) + want[9, passage]
+
+
+def test_removed_spans_are_sentences(spark, small):
+    """Removed spans begin and end where sentences do, but for parts of long ones."""
+    docs = {r.doc_id: r.text for r in small.collect()}
+    for r in spans.remove_repeats(small).where("n_removed > 0").collect():
+        text = docs[r.doc_id]
+        words = [w.start() for w in H.WORD.finditer(text)]
+        ends, n = plain_sentences(text)
+        for a in (int(x.split(":")[0]) for x in r.spans.split(",")):
+            k = words.index(a)
+            if k and k not in ends:
+                start, end = max([0, *[e for e in ends if e < k]]), min(e for e in ends if e > k)
+                assert end - start > spans.MAX_WORDS and k - start >= spans.LEAST_WORDS
 
 
 def test_sentences_cover_the_text():
     text = "One two. Three!\nfour " + "x " * 30 + "end"
-    parts = spans.sentences(text)
-    assert [p[0] for p in parts[1:]] == [p[1] for p in parts[:-1]] and parts[-1][1] == len(text)
-    assert all(p[3] <= spans.MAX_WORDS for p in parts) and b"".join(p[2] for p in parts).count(b"x") == 30
+    found = spans.sentences(text)
+    assert [p[0] for p in found[1:]] == [p[1] for p in found[:-1]] and found[-1][1] == len(text)
+    assert [p[3] for p in found[:2]] == [2, 1]
+    assert all(p[3] <= spans.MAX_WORDS for p in found) and b"".join(p[2] for p in found).count(b"x") == 30
 
 
 def spans_of(spark, text):
@@ -417,7 +477,7 @@ def test_passages_of_short_sentences_go(spark):
     menu = "\n".join(f"dish{i} {i}.50" for i in range(30))
     texts = [f"{own()}\n{menu}\n{own()}", f"{own()} {own()}\n{menu}\n{own()}", " ".join(["word!!"] * 60), f"{own()} " + " ".join(["word!!"] * 55)]
     got = _gone(spark, texts)
-    assert got[0] == 0 and got[1] >= 50 and got[3] >= 48
+    assert got[0] == 0 and got[1] >= 50 and got[3] >= 45
 
 
 def test_passages_at_any_offset_go(spark):
@@ -428,4 +488,4 @@ def test_passages_at_any_offset_go(spark):
     texts = [" ".join([*new(r.randrange(1, 40)), *p, *new(r.randrange(1, 40))]) for p in passages for _ in range(2)]
     got = _gone(spark, texts)
     for i in range(len(passages)):
-        assert got[2 * i] == 0 and 12 <= got[2 * i + 1] <= 51
+        assert got[2 * i] == 0 and spans.MIN_WORDS <= got[2 * i + 1] <= 51
