@@ -1,273 +1,437 @@
 """Language-model scoring with a weighted backoff automaton.
 
-All n-grams of the training texts are kept, at any size of the corpus.  The
-automaton is a set of tables in the shared folder, one per order: an n-gram is
-an arc (its log weight) and, as the context of longer ones, a state (its backoff
-weight); the failure arc of a state leads to its context without the first word.
-Every token of every text takes its step by shuffled joins on the words: an arc
-of the longest order where there is one, else the failure arc and the arcs of
-the next shorter order.  A state depends on ``order - 1`` words only, so the
-steps of a text need no order and their weights add up.
-
-At the root every token has its unigram weight.  The weights of common tokens
-are broadcast for the base score (at most 1 / COMMON_SHARE of them), those of the others
-come from a join with the full counts.
+An n-gram of the training texts is an arc with its log weight, and as the context
+of longer ones a state with its backoff weight; the failure arc of a state leads
+to its context without the first word.  All n-grams are kept at any size of the
+corpus.  A text is scored by one walk from left to right that carries the state:
+an arc of the state where there is one, else its failure arc and the arcs of the
+next shorter state.
+
+The automaton is never gathered.  Tasks collect blocks of texts, and a block asks
+for what its own n-grams need: its distinct (two-word context, follower) keys go
+to one exchange by context, where they also bring the training counts.  Answers
+come back in the order of the keys, so they carry counts alone.  In each context
+one block is told to count it for the context's last but one word, which gives
+the one-word states by a second, small exchange of words.  Then the arcs and
+failure weights of a block's n-grams are attached to its texts, and the walk
+runs.  Tables that are no longer read are removed.
+
+In a bucket of the exchange a context is known by ``CONTEXT_BITS`` bits of its hash
+and a follower by ``FOLLOWER_BITS``; buckets grow in number with the corpus, so about one
+context in a hundred thousand shares its key with another, at any size.
 """
 
 from __future__ import annotations
 
-import math
+import gc
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship_by_value, stage, table
+from .common import remove, ship_by_value, stage, table
 
 #: Longest n-gram, absolute discount.
 ORDER, DISCOUNT = 3, 0.75
-#: Least share of the training tokens of a token whose unigram weight is broadcast.
-COMMON_SHARE = 1e-6
-#: Token that ends every text; no word holds a space.
-END = xxhash.xxh64_intdigest(b" ") >> 1
+#: Token that ends every text, and what follows it; no word holds a space.
+END, AFTER = xxhash.xxh64_intdigest(b" "), xxhash.xxh64_intdigest(b"  ")
 MEMO_WORDS = 400_000
-#: Distinct n-grams that a task holds before it hands on what it has counted.
-FLUSH = 2_000_000
-#: Word before a text's first one.
-NONE = -1
-#: Characters whose tokens are handled at once.
-BATCH_CHARS = 8_000_000
+#: Tokens of a block, and of a bucket of the exchange.
+BLOCK_TOKENS, BUCKET_TOKENS = 1_500_000, 2_000_000
+CONTEXT_BITS, FOLLOWER_BITS = 36, 28
+#: Texts that walk side by side; fewer walk one by one.
+ABREAST = 64
+BLOCKS = "block bigint, doc_ids array<bigint>, flags binary, lens binary, words binary, tokens binary, n_train bigint"
+ASKED = "bucket bigint, block bigint, keys binary, counts binary"
+ANSWER = "block bigint, bucket bigint, answer binary"
+STATE = "block bigint, doc_ids array<bigint>, flags binary, lens binary, words binary, tokens binary, n_train bigint, stats binary"
+SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+#: Flags of a text.
+LEARN, SCORE = 1, 2
 
 
-def tokens(text: str | None, memo: dict) -> list[int]:
-    """63-bit hashes of the lower-cased words, then the end token."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    for w in set(words):
-        if w not in memo:
-            memo[w] = xxhash.xxh64_intdigest(w) >> 1
-    out = [memo[w] for w in words]
-    out.append(END)
-    return out
+def pack(x: np.ndarray, kind=np.uint32) -> bytes:
+    """Unsigned numbers, byte by byte (all first bytes, then all second ones), compressed."""
+    x = np.ascontiguousarray(x, kind)
+    return zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, their tokens in one array, tokens per row), about BATCH_CHARS at a time."""
-    memo: dict = {}
-    for batch in batches:
-        at, size, flat, lens = 0, 0, [], []
-        for i, t in enumerate(batch.column(column)):
-            t = t.as_py()
-            x = tokens(t, memo)
-            flat.append(np.array(x, np.int64))
-            lens.append(len(x))
-            size += len(t or "")
-            if size >= BATCH_CHARS:
-                yield batch.slice(at, i + 1 - at), np.concatenate(flat), np.array(lens)
-                at, size, flat, lens = i + 1, 0, [], []
-        if flat:
-            yield batch.slice(at), np.concatenate(flat), np.array(lens)
-
-
-class Counter:
-    """Counts of int64 keys, merged as sorted arrays."""
-
-    def __init__(self):
-        self.parts, self.size = [], 0
-
-    def add(self, keys: np.ndarray) -> None:
-        if len(keys):
-            self.parts.append(np.unique(keys, return_counts=True))
-            self.size += len(self.parts[-1][0])
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([k for k, _ in self.parts] or [np.empty(0, np.int64)])
-        counts = np.concatenate([c for _, c in self.parts] or [np.empty(0, np.int64)])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
-        self.parts, self.size = [(keys, counts)], len(keys)
-        return keys, counts
-
-    def rows(self, last: bool) -> Iterator[pa.RecordBatch]:
-        if self.size > FLUSH or last:
-            keys, counts = self.merged()
-            if self.size > FLUSH // 2 or last:
-                for i in range(0, len(keys), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[i:i + 100_000]), pa.array(counts[i:i + 100_000], pa.int64())], ["gram", "c"])
-                self.parts, self.size = [], 0
-
-
-def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(x), -1)
-    at = np.searchsorted(keys, x)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == x, at, -1)
-
+def unpack(b: bytes, kind=np.uint32) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count = Counter()
-    for _, flat, _ in _chunks(batches, 0):
-        count.add(flat)
-        yield from count.rows(False)
-    yield from count.rows(True)
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=np.uint64(0)), np.uint64)
 
-def names(order: int, length: int) -> list[str]:
-    """Columns of the last ``length`` words of an n-gram of ``order`` words."""
-    return [f"w{i}" for i in range(order - length, order)]
 
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
-def windows(flat: np.ndarray, lens: np.ndarray, order: int) -> list[np.ndarray]:
-    """The ``order`` words up to and with each token, NONE before a text's first."""
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
-    out = []
-    for back in range(order - 1, -1, -1):
-        w = np.full(len(flat), NONE, np.int64)
-        w[back:] = flat[:len(flat) - back]
-        w[at < back] = NONE
-        out.append(w)
-    return out
 
+def join(parts: list[bytes]) -> bytes:
+    return b"".join([len(p).to_bytes(4, "little") + p for p in parts])
 
-def _slices(columns: list[np.ndarray], fields: list[str]) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(columns[0]), 200_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 200_000]) for c in columns], fields)
 
+def split(b: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(b):
+        n = int.from_bytes(b[at:at + 4], "little")
+        out.append(b[at + 4:at + 4 + n])
+        at += 4 + n
+    return out
 
-def _grams(order: int):
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, flat, lens in _chunks(batches, 0):
-            yield from _slices(windows(flat, lens, order), names(order, order))
-    return grams
-
-
-class Model:
-    """``arcs[n]``: table of the n-grams (words, c, p, back), back = 1 where none
-    longer starts with it; ``words``, ``logs``: the common tokens, sorted, and
-    their unigram weights; ``common``: their least count."""
-
-    def __init__(self, arcs: dict[int, DataFrame], words: np.ndarray, logs: np.ndarray, common: int):
-        self.arcs, self.words, self.logs, self.common = arcs, words, logs, common
 
+# ---------------------------------------------------------------------------
+# Blocks of texts
+# ---------------------------------------------------------------------------
+def tokens(text: str | None, memo: dict) -> list[int]:
+    """Hashes of the lower-cased words, then the end token."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(memo) > MEMO_WORDS:
+        memo.clear()
+    for w in set(words):
+        if w not in memo:
+            memo[w] = xxhash.xxh64_intdigest(w)
+    out = [memo[w] for w in words]
+    out.append(END)
+    return out
 
-def fit(texts: DataFrame, order: int = ORDER, min_share: float = 0.0, discount: float = DISCOUNT) -> tuple[DataFrame, int, int, Model]:
-    """(counts of all tokens, their sum N, their number V, automaton) of ``texts`` (text).
 
-    P(w) = (c + 0.5) / (N + 0.5 (V + 1)); in a context u, for its arcs,
-    P(w|u) = (c(u w) - D) / c(u) + back(u) P(w|shorter u), for all others
-    back(u) P(w|shorter u), where back(u) is what the arcs leave of 1: each
-    context's probabilities, with one unknown word, add up to 1.  All n-grams are
-    arcs unless ``min_share`` asks for a least share of the tokens."""
-    texts = texts.select("text")
-    counts = texts.mapInArrow(_words, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
-    counts = stage(counts, "lm-words")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(1, math.ceil(min_share * total))
-    p = lambda c: (c + 0.5) / (total + 0.5 * (kinds + 1))                                     # noqa: E731
-    common = max(1, math.ceil(COMMON_SHARE * total))
-    w = counts.where(F.col("c") >= common).toPandas().sort_values("gram")                    # at most 1 / COMMON_SHARE rows
-    words, logs = w["gram"].to_numpy(np.int64), np.log10(p(w["c"].to_numpy(np.int64)))
-
-    every = names(order, order)
-    grams = texts.mapInArrow(_grams(order), ", ".join(f"{x} bigint" for x in every)).groupBy(*every).agg(F.count(F.lit(1)).alias("c"))
-    grams = stage(grams, "lm-grams")
-    last = names(order, 1)
-    arcs = {1: counts.select(F.col("gram").alias(last[0]), "c", p(F.col("c")).alias("p"))}
-    for n in range(2, order + 1):
-        own = names(order, n)
-        g = grams.where(F.col(own[0]) != NONE)
-        g = (g if n == order else g.groupBy(*own).agg(F.sum("c").alias("c"))).where(F.col("c") >= least)
-        g = g.select(*[F.col(x).alias(f"x{i}") for i, x in enumerate(own)], F.col("c").alias("gc"))
-        g = g if n == order else stage(g, f"lm-grams-{n}")
-        shorter = names(order, n - 1)
-        state = [F.col(f"x{i}") == F.col(x) for i, x in enumerate(shorter)]
-        kept = g.groupBy(*[f"x{i}" for i in range(n - 1)]).agg(F.sum(F.col("gc") - discount).alias("kept"))
-        back = F.coalesce(1 - F.col("kept") / F.col("c"), F.lit(1.0))
-        arcs[n - 1] = stage(arcs[n - 1].join(kept, state, "left").select(*shorter, "c", "p", back.alias("back")), f"lm-arcs-{n - 1}")
-        g = g.join(arcs[n - 1].withColumnRenamed("p", "__p"), state).select(*[f"x{i}" for i in range(n)], "gc", "c", "back")
-        same = [F.col(f"x{i + 1}") == F.col(x) for i, x in enumerate(shorter)]
-        tail = arcs[n - 1].select(*shorter, F.col("p").alias("shorter"))
-        g = g.join(tail, same).select(*[F.col(f"x{i}").alias(x) for i, x in enumerate(own)], F.col("gc").alias("c"),
-                                      ((F.col("gc") - discount) / F.col("c") + F.col("back") * F.col("shorter")).alias("p"))
-        arcs[n] = stage(g, f"lm-weights-{n}")
-    return counts, total, kinds, Model(arcs, words, logs, common)
-
-
-def _read(shared):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, logs = shared.value
-        for rows, flat, lens in _chunks(batches, 1):
-            token = find(words, flat)
-            start = np.cumsum(lens) - lens
-            known = token >= 0
-            base = np.where(known, logs[np.maximum(token, 0)], 0.0) if len(words) else np.zeros(len(token))
-            rare = np.flatnonzero(~known)
-            offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(~known, start, dtype=np.int64))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(lens, pa.int64()), pa.array(np.add.reduceat(known, start, dtype=np.int64)), pa.array(np.add.reduceat(base, start)),
-                 pa.ListArray.from_arrays(pa.array(np.append(start, len(flat)).astype(np.int32)), pa.array(flat, pa.int64())),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[rare], pa.int64()))],
-                ["doc_id", "n_tokens", "n_known", "base_score", "tokens", "rare"])
-    return read
-
-
-def _steps(order: int):
-    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo: dict = {}
+    ids, flags, texts, size = [], [], [], 0
+
+    def block() -> pa.RecordBatch:
+        lens = np.array([len(t) for t in texts])
+        words, place, n = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")                                             # frequent words get small numbers
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        train = int(lens[np.array(flags) & LEARN > 0].sum())
+        values = [int.from_bytes(os.urandom(8), "little") >> 1, ids, bytes(flags), pack(lens), pack(words[order], np.uint64), pack(rank[place]), train]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64()))],
+                                          [f.split()[0] for f in BLOCKS.split(", ")])
+
+    for b in batches:
+        for doc_id, flag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            ids.append(doc_id)
+            flags.append(flag)
+            texts.append(np.array(tokens(text.as_py(), memo), np.uint64))
+            size += len(texts[-1])
+            if size >= BLOCK_TOKENS:
+                yield block()
+                ids, flags, texts, size = [], [], [], 0
+    if ids:
+        yield block()
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a pair of hashes."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(30))
+
+
+class Texts:
+    """A block: word hashes, tokens as numbers of words, and its bigrams.
+
+    ``second`` are the places of tokens that have one before them.  A bigram ends at
+    each; its key is its hash as a context and the hash of what follows."""
+
+    def __init__(self, row: dict):
+        self.row = row
+        self.flags, self.lens = np.frombuffer(row["flags"], np.uint8), unpack(row["lens"]).astype(np.int64)
+        self.words, self.tokens = unpack(row["words"], np.uint64), unpack(row["tokens"]).astype(np.int64)
+        self.start = np.cumsum(self.lens) - self.lens
+        self.learn = np.repeat(self.flags & LEARN > 0, self.lens)
+        first = np.zeros(len(self.tokens), bool)
+        first[self.start] = True
+        self.second = np.flatnonzero(~first)
+
+    def asked(self, bits: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+        """(keys sorted by bucket, number of each bigram's key, where the buckets begin and end)."""
+        h = self.words[self.tokens]
+        ahead = np.append(h[1:], np.uint64(AFTER))
+        ahead[self.start + self.lens - 1] = AFTER
+        context = mix(h[self.second - 1], h[self.second])
+        follower = mix(ahead[self.second], ahead[self.second]) >> np.uint64(64 - FOLLOWER_BITS)
+        bucket = (context >> np.uint64(64 - bits)).astype(np.uint32) if bits else np.zeros(len(context), np.uint32)
+        key = ((context << np.uint64(bits)) >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(FOLLOWER_BITS) | follower
+        order = np.argsort(bucket, kind="stable")
+        upto = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+        keys, number, ends, n = [], np.empty(len(key), np.int64), [], 0
+        for lo, hi in zip(upto, upto[1:]):
+            some, place = np.unique(key[order[lo:hi]], return_inverse=True)
+            number[order[lo:hi]] = place + n
+            keys.append(some)
+            ends.append((n, n + len(some)))
+            n += len(some)
+        return np.concatenate(keys), number, ends
+
+
+def contexts(keys: np.ndarray, ends: list[tuple[int, int]]) -> np.ndarray:
+    """Whether each key is the first one of its context."""
+    if not len(keys):
+        return np.zeros(0, bool)
+    c = keys >> np.uint64(FOLLOWER_BITS)
+    first = np.append(True, c[1:] != c[:-1])
+    first[[lo for lo, hi in ends if lo < hi]] = True
+    return first
+
+
+# ---------------------------------------------------------------------------
+# The exchange by context, and the one by word
+# ---------------------------------------------------------------------------
+def _ask(bits: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                x = b.slice(i, 1000)
-                flat = x.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                lens = np.array([len(t) for t in x.column(1)], np.int64)
-                yield from _slices([np.repeat(x.column(0).to_numpy(zero_copy_only=False), lens), *windows(flat, lens, order)], ["row", *names(order, order)])
-    return steps
-
-
-def score(docs: DataFrame, model: tuple[DataFrame, int, int, Model], order: int = ORDER) -> DataFrame:
-    """Scores of every row of ``docs`` (doc_id bigint, text).
+            for row in b.to_pylist():
+                t = Texts(row)
+                keys, number, ends = t.asked(bits)
+                counts = np.bincount(number, t.learn[t.second], len(keys)).astype(np.int64)
+                rows = [(i, row["block"], pack_sorted(keys[lo:hi]), pack(counts[lo:hi])) for i, (lo, hi) in enumerate(ends) if lo < hi]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
+                                                     ["bucket", "block", "keys", "counts"])
+    return ask
+
+
+def _sum_contexts(t):
+    """The answers of one bucket: to each block, in the order of its keys, the count of
+    every n-gram; then of every context its count, its distinct followers, and whether
+    this block is the one that counts it."""
+    t = t.sort_by("block")
+    keys, counts = [unpack_sorted(k) for k in t["keys"].to_pylist()], [unpack(c) for c in t["counts"].to_pylist()]
+    sizes = np.array([len(k) for k in keys])
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    own, of = np.concatenate(counts), np.repeat(np.arange(len(keys)), sizes)
+    total = np.bincount(place, own, len(every)).astype(np.int64)
+    first = contexts(every, [(0, len(every))])
+    context = np.cumsum(first) - 1
+    c2, d2 = np.bincount(context, total).astype(np.int64), np.bincount(context, total > 0).astype(np.int64)
+    owner = np.full(len(c2), len(keys))
+    np.minimum.at(owner, context[place[own > 0]], of[own > 0])
+    out = []
+    for i, (lo, hi) in enumerate(zip(np.cumsum(sizes) - sizes, np.cumsum(sizes))):
+        here = place[lo:hi]
+        mine = context[here]
+        mine = mine[np.append(True, mine[1:] != mine[:-1])]
+        out.append(join([pack(total[here]), pack(c2[mine]), pack(d2[mine]), pack(owner[mine] == i, np.uint8)]))
+    return pa.table({"block": t["block"], "bucket": t["bucket"], "answer": pa.array(out, pa.binary())})
+
+
+def _sum_words(t):
+    """The answers of one bucket of words: to each block every word's count and distinct
+    followers; the row without a block holds the number of distinct words."""
+    t = t.sort_by("block")
+    keys = [unpack_sorted(k) for k in t["keys"].to_pylist()]
+    counts = [[unpack(x) for x in split(c)] for c in t["counts"].to_pylist()]
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    c1, d1 = (np.bincount(place, np.concatenate([c[k] for c in counts]), len(every)).astype(np.int64) for k in (0, 1))
+    ends = np.cumsum([len(k) for k in keys])
+    out = [join([pack(c1[place[lo:hi]]), pack(d1[place[lo:hi]])]) for lo, hi in zip([0, *ends[:-1]], ends)]
+    return pa.table({"block": pa.chunked_array([t["block"].combine_chunks(), pa.array([None], pa.int64())]),
+                     "bucket": pa.array([*t["bucket"].to_pylist(), int((c1 > 0).sum())], pa.int64()), "answer": pa.array([*out, None], pa.binary())})
+
+
+def _attach(bits: int):
+    def attach(key, left, right):
+        """A block with, for every bigram of its texts, the n-gram that follows (count) and
+        the bigram as a state (count, followers); and for every word its training count
+        and the followers that this block counts."""
+        row = left.to_pylist()[0]
+        t = Texts(row)
+        keys, number, ends = t.asked(bits)
+        first = contexts(keys, ends)
+        context = np.cumsum(first) - 1
+        answers = [split(a) for a in right.sort_by("bucket")["answer"].to_pylist()]
+        c3, c2, d2 = (np.concatenate([unpack(a[k]) for a in answers] or [np.zeros(0, np.uint32)]).astype(np.int64) for k in range(3))
+        mine = np.concatenate([unpack(a[3], np.uint8) for a in answers] or [np.zeros(0, np.uint8)]) > 0
+        at = context[number]
+        # the word before each context that this block counts
+        word = np.full(len(c2), -1)
+        word[at] = t.tokens[t.second - 1]
+        followers = np.bincount(word[mine], minlength=len(t.words))
+        counts = np.bincount(t.tokens[t.learn], minlength=len(t.words))
+        stats = join([pack(c3[number]), pack(c2[at]), pack(d2[at]), pack(counts), pack(followers)])
+        return pa.table({k: left[k] for k in left.column_names} | {"stats": pa.array([stats], pa.binary())})
+    return attach
+
+
+def _ask_words(bits: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                words = unpack(row["words"], np.uint64)
+                order = np.argsort(words)
+                counts, followers = (unpack(x) for x in split(row["stats"])[3:])
+                upto = np.searchsorted(words[order] >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else [0, len(words)]
+                rows = [(i, row["block"], pack_sorted(words[order[lo:hi]]), join([pack(counts[order[lo:hi]]), pack(followers[order[lo:hi]])]))
+                        for i, (lo, hi) in enumerate(zip(upto, upto[1:])) if lo < hi]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
+                                                 ["bucket", "block", "keys", "counts"])
+    return ask
+
+
+# ---------------------------------------------------------------------------
+# The walk
+# ---------------------------------------------------------------------------
+class Automaton:
+    """What a block's texts need of the automaton, by token: ``arc[n]``, weight of the
+    n-gram that ends there (0: no arc); ``state[n]``, backoff weight of the state that
+    its last n words are (0: no state).  The root has an arc for every word."""
+
+    def __init__(self, t: Texts, c1, d1, c2, d2, c3, total: int, kinds: int):
+        n = len(t.tokens)
+        self.root = (c1 + 0.5) / (total + 0.5 * (kinds + 1))
+        p1 = self.root[t.tokens]
+        c1, d1 = c1[t.tokens].astype(float), d1[t.tokens].astype(float)
+        bigram, trigram, followers = np.zeros(n), np.zeros(n), np.zeros(n)
+        bigram[t.second], followers[t.second] = c2, d2
+        # an n-gram is kept with the bigram that it goes on from
+        inner = t.second[~np.isin(t.second, t.start + t.lens - 1)]
+        trigram[inner + 1] = c3[np.searchsorted(t.second, inner)]
+        # the end of a text is followed by nothing
+        last = t.start + t.lens - 1
+        d1[last], followers[last] = 0, 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            one = np.where((c1 > 0) & (d1 > 0), DISCOUNT * d1 / c1, 0.0)
+            two = np.where((bigram > 0) & (followers > 0), DISCOUNT * followers / bigram, 0.0)
+            before = np.zeros(n)
+            before[1:] = np.where(one[:-1] > 0, c1[:-1], 0)
+            p2 = np.where((bigram > 0) & (before > 0), (bigram - DISCOUNT) / before + np.append(0, one[:-1]) * p1, 0.0)
+            before[1:] = np.where(two[:-1] > 0, bigram[:-1], 0)
+            shorter = np.where(p2 > 0, p2, np.where(np.append(0, one[:-1]) > 0, np.append(0, one[:-1]), 1.0) * p1)
+            p3 = np.where((trigram > 0) & (before > 0), (trigram - DISCOUNT) / before + np.append(0, two[:-1]) * shorter, 0.0)
+            self.arc = [np.log10(p1), *(np.where(p > 0, np.log10(p), 0.0) for p in (p2, p3))]
+            self.has = [np.ones(n, bool), p2 > 0, p3 > 0]
+            self.fail = [np.zeros(n), *(np.where(s > 0, np.log10(s), 0.0) for s in (one, two))]
+            self.state = np.where(two > 0, 2, np.where(one > 0, 1, 0))
+
+    def walk(self, start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Sum of the log weights of each text, left to right.  A text's state is the
+        number of its last words that are one; the texts advance side by side."""
+        order = np.argsort(-lens, kind="stable")
+        start, lens = start[order], lens[order]
+        total, state = np.zeros(len(start)), np.zeros(len(start), np.int64)
+        k = 0
+        while len(start) and (going := int(np.searchsorted(-lens, -k, "left"))) >= min(ABREAST, len(start)) and going:
+            at, s, add = start[:going] + k, state[:going], np.zeros(going)
+            for n in (2, 1):
+                # no arc: along the failure arc, by its weight, into the shorter state
+                miss = (s == n) & ~self.has[n][at]
+                add[miss] += self.fail[n][at[miss] - 1]
+                # the shorter context may be no state, then its own failure costs nothing
+                s = np.where(miss, np.minimum(n - 1, np.where(self.fail_is_state(at - 1, n - 1), n - 1, 0)), s)
+            add += np.choose(s, [a[at] for a in self.arc])
+            total[:going] += add
+            state[:going] = self.state[at]
+            k += 1
+        for i in range(int(np.searchsorted(-lens, -k, "left")) if len(start) else 0):
+            total[i] += self._alone(int(start[i]) + k, int(start[i] + lens[i]), int(state[i]))
+        out = np.empty(len(total))
+        out[order] = total
+        return out
+
+    def fail_is_state(self, at: np.ndarray, n: int) -> np.ndarray:
+        return self.fail[1][at] != 0 if n == 1 else np.ones(len(at), bool)
+
+    def _alone(self, lo: int, hi: int, s: int) -> float:
+        arc, has, fail = ([x[lo:hi].tolist() for x in xs] for xs in (self.arc, self.has, self.fail))
+        states = self.state[lo:hi].tolist()
+        back = [x[lo - 1] if lo else 0.0 for x in self.fail]
+        total = 0.0
+        for i in range(hi - lo):
+            if s == 2 and not has[2][i]:
+                total += back[2]
+                s = 1 if back[1] != 0 else 0
+            if s == 1 and not has[1][i]:
+                total += back[1]
+                s = 0
+            total += arc[s][i]
+            s = states[i]
+            back = [x[i] for x in fail]
+        return total
+
+
+def _score(total: int, kinds: int):
+    def score(key, left, right):
+        row = left.to_pylist()[0]
+        t = Texts(row)
+        c3, c2, d2, _, _ = (unpack(x).astype(np.int64) for x in split(row["stats"]))
+        answers = [split(a) for a in right.sort_by("bucket")["answer"].to_pylist()]
+        order = np.argsort(t.words)
+        c1, d1 = np.zeros(len(t.words), np.int64), np.zeros(len(t.words), np.int64)
+        c1[order], d1[order] = (np.concatenate([unpack(a[k]) for a in answers]) for k in (0, 1))
+        a = Automaton(t, c1, d1, c2, d2, c3, total, kinds)
+        known = np.add.reduceat((c1[t.tokens] > 0).astype(np.int64), t.start)
+        base = np.add.reduceat(a.arc[0], t.start)
+        asked = np.flatnonzero(t.flags & SCORE)
+        scores = a.walk(t.start[asked], t.lens[asked])
+        ids = row["doc_ids"]
+        return pa.table({"doc_id": pa.array([ids[i] for i in asked], pa.int64()), "n_tokens": pa.array(t.lens[asked], pa.int64()), "n_known": pa.array(known[asked], pa.int64()),
+                         "train_tokens": pa.array(np.full(len(asked), total), pa.int64()), "base_score": pa.array(base[asked], pa.float64()), "score": pa.array(scores, pa.float64())})
+    return score
+
+
+def _bits(n: float) -> int:
+    return max(0, int(np.ceil(np.log2(max(n, 1)))))
+
+
+def score_flagged(docs: DataFrame) -> DataFrame:
+    """Scores of the rows of ``docs`` (doc_id bigint, text, flags: LEARN, SCORE or both)
+    that are to be scored, by a model of those to be learnt from.
+
+    P(w) = (c + 0.5) / (N + 0.5 (V + 1)); in a context u that was seen, for its arcs
+    P(w|u) = (c(u w) - D) / c(u) + back(u) P(w|shorter u), for all others
+    back(u) P(w|shorter u), with back(u) = D * distinct followers of u / c(u): each
+    context's probabilities, with one unknown word, add up to 1.
 
     Columns: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10).
     Null or empty text: the end token alone.  Rows that share a doc_id are told
     apart; null doc_ids stay.  An empty table gives no rows; an empty training
     set leaves P = 1 for every token (score 0).  Texts are read whole; other
     columns are ignored."""
-    counts, total, kinds, m = model
-    shared = docs.sparkSession.sparkContext.broadcast((m.words, m.logs))         # at most 1 / COMMON_SHARE
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    s = d.mapInArrow(_read(shared), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, tokens array<bigint>, rare array<bigint>")
-    s = stage(s.withColumn("row", F.monotonically_increasing_id()), "lm-read")
-    rare = s.select("row", F.explode("rare").alias("gram")).join(counts.where(F.col("c") < m.common), "gram", "left")
-    unigram = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / (total + 0.5 * (kinds + 1)))
-    rare = rare.groupBy("row").agg(F.sum(unigram).alias("rare_log"), F.count("c").alias("rare_known"))
-
-    todo = s.select("row", "tokens").mapInArrow(_steps(order), ", ".join(["row bigint", *[f"{x} bigint" for x in names(order, order)]]))
-    parts = []
-    for n in range(order, 1, -1):
-        own, shorter = names(order, n), names(order, n - 1)
-        j = todo.join(m.arcs[n].select(*own, F.log10("p").alias("log")), own, "left")
-        # a step that is done needs its words no more
-        j = stage(j.select("row", "log", *[F.when(F.col("log").isNull(), F.col(x)).alias(x) for x in own]), f"lm-steps-{n}")
-        parts.append(j.where("log IS NOT NULL").groupBy("row").agg(F.sum("log").alias("log")))
-        missed = j.where("log IS NULL")
-        context = missed.where(F.col(own[0]) != NONE).select("row", *[F.col(x).alias(y) for x, y in zip(own, shorter)])
-        failure = m.arcs[n - 1].where("back <> 1").select(*shorter, F.log10("back").alias("log"))
-        parts.append(context.join(failure, shorter).groupBy("row").agg(F.sum("log").alias("log")))
-        todo = missed.select("row", *shorter)
-    root = todo.withColumnRenamed(names(order, 1)[0], "gram").join(counts, "gram", "left")
-    parts.append(root.groupBy("row").agg(F.sum(unigram).alias("log")))
-    logs = parts[0]
-    for x in parts[1:]:
-        logs = logs.union(x)
-    logs = logs.groupBy("row").agg(F.sum("log").alias("score"))
-    out = s.drop("rare", "tokens").join(rare, "row", "left").join(logs, "row", "left")
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
-                      (F.col("base_score") + F.coalesce("rare_log", F.lit(0.0))).alias("base_score"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    spark = docs.sparkSession
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("flags").cast("int").alias("flags"), F.col("text").cast("string").alias("text"))
+    blocks = stage(d.mapInArrow(_blocks, BLOCKS), "lm-blocks")
+    size = blocks.agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0)), F.count(F.lit(1))).first()
+    total = size[1]
+    # as many buckets as blocks, so that both hold about as much
+    bits = _bits(size[2] * BLOCK_TOKENS / BUCKET_TOKENS)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = blocks.mapInArrow(_ask(bits), ASKED)
+    answers = stage(asked.groupBy("bucket").applyInArrow(_sum_contexts, ANSWER), "lm-answers")
+    free(spark)
+    state = stage(blocks.repartition(parts, "block").groupBy("block").cogroup(answers.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(_attach(bits), STATE), "lm-state")
+    remove(blocks)
+    remove(answers)
+    free(spark)
+    word_bits = max(0, bits - 3)
+    words = stage(state.mapInArrow(_ask_words(word_bits), ASKED).groupBy("bucket").applyInArrow(_sum_words, ANSWER), "lm-words")
+    kinds = words.where("block IS NULL").agg(F.coalesce(F.sum("bucket"), F.lit(0))).first()[0]
+    to = words.where("block IS NOT NULL").withColumnRenamed("block", "of")
+    return state.repartition(parts, "block").groupBy("block").cogroup(to.groupBy("of")).applyInArrow(_score(int(total), int(kinds)), SCORES)
+
+
+def free(spark: SparkSession) -> None:
+    """Let go of exchanges that nothing refers to any more: Spark removes their files
+    when the driver has collected them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def score(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """:func:`score_flagged` of all ``docs`` (doc_id, text) by a model of ``texts`` (text)."""
+    learn = texts.select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(LEARN).alias("flags"), F.col("text").cast("string").alias("text"))
+    asked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(SCORE).alias("flags"), F.col("text").cast("string").alias("text"))
+    return score_flagged(asked.union(learn))
 
 
 def held_out() -> Column:
@@ -276,7 +440,7 @@ def held_out() -> Column:
 
 def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = score(docs, fit(docs.where(~held_out())))
+    out = score_flagged(docs.withColumn("flags", F.when(held_out(), SCORE).otherwise(SCORE | LEARN)))
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

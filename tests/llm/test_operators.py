@@ -1,7 +1,6 @@
 """Operators against plain Python versions and on awkward rows."""
 
 import hashlib
-import inspect
 import math
 import random
 import zlib
@@ -55,7 +54,7 @@ def test_awkward_documents(spark, awkward, nothing):
     """Every row comes back, whatever it holds; empty tables give empty results."""
     items = bench(spark, [(1, None, 0), (2, "", 0), (3, "the cat sat", 0), (None, "on the mat and the dog sat by the door of the house", 0)])
     model = langid.fit(awkward)
-    scores = lambda d: lm.score(d, lm.fit(d))                                   # noqa: E731
+    scores = lambda d: lm.score(d, d)                                           # noqa: E731
     for op in (minhash.near_duplicates, quality.rate, lambda d: langid.identify(d, model), lambda d: decontam.scan(d, items),
                mixing.mix, spans.remove_repeats, secrets.scan, scores):
         assert count_ids(op(awkward)) == IDS
@@ -367,7 +366,7 @@ def test_chat_awkward(spark):
 
 def plain_lm(train, texts, order, least, discount):
     """Scores by the written formula, without an automaton."""
-    words = lambda t: [w.lower() for w in H.WORD.findall(t or "")] + [None]         # noqa: E731
+    words = lambda t: H.WORD.findall(H.lower(t)) + [None]                           # noqa: E731
     grams = [Counter() for _ in range(order + 1)]
     for t in train:
         w = words(t)
@@ -398,34 +397,53 @@ def plain_lm(train, texts, order, least, discount):
     return out, total
 
 
-@pytest.mark.parametrize("order,share", [(2, 1e-6), (3, 1e-6), (3, 0.01)])
-def test_language_model_equals_its_formula(spark, order, share):
-    r = random.Random(order)
-    texts = [" ".join(r.choice("abcdefgh") * r.choice([1, 1, 2]) for _ in range(r.randrange(0, 600 if i == 0 else 40))) for i in range(30)] + [None, "new words only", "a b new c d"]
-    train = texts[:25]
-    model = lm.fit(spark.createDataFrame([(t,) for t in train], "text string"), order, share)
-    got = {x.doc_id: x for x in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model, order).collect()}
-    want, total = plain_lm(train, texts, order, max(1, math.ceil(share * model[1])), lm.DISCOUNT)
-    assert model[1] == total
+def lm_scores(spark, train, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    return {x.doc_id: x for x in lm.score(df, spark.createDataFrame([(t,) for t in train], "text string").repartition(3)).collect()}
+
+
+@pytest.mark.parametrize("seed,block,abreast", [(1, None, None), (2, 40, 3), (3, 200, 10**9), (4, 7, 1)])
+def test_language_model_equals_its_formula(spark, monkeypatch, seed, block, abreast):
+    """One block and many, texts side by side and one by one."""
+    r = random.Random(seed)
+    texts = [" ".join(r.choice("abcdefgh") * r.choice([1, 1, 2]) for _ in range(r.randrange(0, 600 if i == 0 else 40))) for i in range(60)] + [None, "new words only", "a b new c d", ""]
+    train = texts[:45]
+    if block:
+        monkeypatch.setattr(lm, "BLOCK_TOKENS", block)
+        monkeypatch.setattr(lm, "BUCKET_TOKENS", block)
+        monkeypatch.setattr(lm, "ABREAST", abreast)
+    got = lm_scores(spark, train, texts)
+    want, total = plain_lm(train, texts, 3, 1, lm.DISCOUNT)
     for i, (base, score) in enumerate(want):
-        assert math.isclose(got[i].base_score, base, rel_tol=1e-9) and math.isclose(got[i].score, score, rel_tol=1e-9)
+        assert got[i].train_tokens == total and math.isclose(got[i].base_score, base, rel_tol=1e-9) and math.isclose(got[i].score, score, rel_tol=1e-9), i
 
 
-def test_language_model_keeps_rare_ngrams(spark, monkeypatch):
-    """An n-gram that comes once weighs the same in a large corpus as in a small one; no limit by share is left."""
+def test_language_model_keeps_rare_ngrams(spark):
+    """An n-gram that comes once weighs the same in a large corpus as in a small one."""
     train = ["x y z"] + ["a b c d"] * 400
-    monkeypatch.setattr(lm, "COMMON_SHARE", 0.01, raising=False)
-    assert inspect.signature(lm.fit).parameters["min_share"].default == 0
     texts = ["x y z", "z y x", "a b z", None]
-    model = lm.fit(spark.createDataFrame([(t,) for t in train], "text string"))
-    got = {x.doc_id: x for x in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()}
+    got = lm_scores(spark, train, texts)
     want, _ = plain_lm(train, texts, 3, 1, lm.DISCOUNT)
     for i, (base, score) in enumerate(want):
         assert math.isclose(got[i].base_score, base, rel_tol=1e-9) and math.isclose(got[i].score, score, rel_tol=1e-9)
 
 
-def test_training_rows_by_crc():
-    assert zlib.crc32(b"5") % 5 in range(5) and lm.held_out() is not None
+def test_language_model_query_equals_its_formula(spark, small):
+    """The registered query over its whole table, trained on the rows that the contract names."""
+    docs = [(x.doc_id, x.text) for x in small.collect()]
+    out = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in docs]
+    want, total = plain_lm([t for (_, t), h in zip(docs, out) if not h], [t for _, t in docs], 3, 1, lm.DISCOUNT)
+    got = {x.doc_id: x for x in lm.op9_backoff_automaton(spark, SF_SMALL).collect()}
+    assert len(got) == len(docs)
+    for (i, t), h, (base, score) in zip(docs, out, want):
+        x = got[i]
+        assert x.held_out == h and x.train_tokens == total and x.n_tokens == len(H.WORD.findall(t or "")) + 1
+        assert math.isclose(x.base_score, base, rel_tol=1e-9) and math.isclose(x.score, score, rel_tol=1e-9)
+
+
+def test_language_model_without_training_text(spark):
+    got = lm_scores(spark, [], ["a b", None])
+    assert {x.score for x in got.values()} == {0.0} and {x.train_tokens for x in got.values()} == {0}
 
 
 def test_warc_round_trip(spark, tmp_path):
