@@ -48,7 +48,7 @@ CHUNK, BLOCK = 400_000, 2_000_000
 #: Entries of one output row of a block's list of pairs.
 ENTRIES = 50_000
 #: Units, and bytes of them, at which a process forgets the rare half of what it remembers.
-MEMO_UNITS, MEMO_BYTES = 300_000, 30_000_000
+MEMO_UNITS, MEMO_BYTES = 600_000, 60_000_000
 #: Units aligned as one text, side by side.
 JOINED = 5000
 #: Where units begin: before a space that follows anything but white space.
@@ -379,7 +379,7 @@ def _parts(shared):
                     yield from block.batches()
                     block = Block(al)
         yield from block.batches()
-        al.forget(1 << 62)                  # later tasks of the process need the room
+        al.forget(8)                        # other tasks of the process need the room
     return parts
 
 
