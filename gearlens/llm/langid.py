@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import ship_by_value, table
 
-#: Bounds of the labelled sample that the automata are built from: code points per
-#: language (documents share them equally), documents per language, languages.
-SAMPLE_CHARS, SAMPLE_DOCS, MAX_LANGUAGES = 40_000, 64, 200
-#: A text is parsed in blocks of this many characters; a block's end ends a phrase.
+#: Bounds of the labelled sample that the automata are built from: letters per
+#: language (documents share them equally), documents per language, and letters of
+#: all languages together, which share them equally where they are many.
+SAMPLE_CHARS, SAMPLE_DOCS, ALL_CHARS = 40_000, 64, 8_000_000
+#: A text is parsed in blocks of this many characters side by side; each goes on
+#: from the state in which the one before it ends.
 BLOCK = 256
 #: Characters parsed side by side in one task.
 BATCH_CHARS = 3_000_000
@@ -103,11 +105,12 @@ class Automaton:
         self.unseen = start == 0
         self.unseen[-1] = False                                  # the padding
 
-    def phrases(self, columns: np.ndarray, alive: np.ndarray) -> np.ndarray:
-        """Phrases of blocks parsed side by side; ``columns[t]`` has the t-th
-        character of the blocks, of which the first ``alive[t]`` are that long."""
+    def phrases(self, columns: np.ndarray, alive: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in blocks parsed side by side from the states ``start``, and
+        the blocks' last states; ``columns[t]`` has the t-th character of the blocks, of
+        which the first ``alive[t]`` are that long."""
         count = self.unseen[columns].sum(0, dtype=np.int32)      # a character of no phrase counts as one
-        state = np.zeros(columns.shape[1], np.int32)
+        state = start.copy()
         at = np.zeros(columns.shape[1], np.int64)
         to, ends = np.zeros_like(state), np.zeros_like(state)
         for t in range(len(columns)):
@@ -118,27 +121,40 @@ class Automaton:
             np.right_shift(v, 31, out=e)                         # -1 where a phrase ends
             count[:n] -= e
             np.bitwise_xor(v, e, out=s)
-        return count + (state > 0)                               # the last phrase
+        return count, state
 
 
 def parse(texts: list[np.ndarray], automata: dict[str, Automaton], pad: int, block: int = BLOCK) -> np.ndarray:
-    """Phrases of each text (row) under each language (column)."""
-    sizes, owner = [], []
+    """Phrases of each text (row) under each language (column).
+
+    All blocks are parsed from the root, then those again whose predecessor ends
+    elsewhere, until every block has begun where the one before it ends."""
+    sizes, owner, first = [], [], []
     for i, x in enumerate(texts):
         full, rest = divmod(len(x), block)
+        n = full + (rest > 0)
         sizes += [block] * full + [rest] * (rest > 0)
-        owner += [i] * (full + (rest > 0))
+        owner += [i] * n
+        first += [k == 0 for k in range(n)]
     out = np.zeros((len(texts), len(automata)))
     if not sizes:
         return out
-    sizes, owner = np.array(sizes), np.array(owner)
+    sizes, owner, first = np.array(sizes), np.array(owner), np.array(first)
     rows = np.full((len(sizes), block), pad, np.uint16)
     rows[np.arange(block) < sizes[:, None]] = np.concatenate(texts)
-    order = np.argsort(-sizes, kind="stable")
-    columns = np.ascontiguousarray(rows[order].T)[:sizes.max()]
-    alive = np.searchsorted(-sizes[order], -np.arange(sizes.max()), side="left")
+    last = np.append(first[1:], True)
     for j, a in enumerate(automata.values()):
-        out[:, j] = np.bincount(owner[order], a.phrases(columns, alive), len(texts))
+        start, count, end = (np.zeros(len(sizes), np.int32) for _ in range(3))
+        todo = np.arange(len(sizes))
+        while len(todo):
+            order = todo[np.argsort(-sizes[todo], kind="stable")]
+            columns = np.ascontiguousarray(rows[order].T)[:sizes[order[0]]]
+            alive = np.searchsorted(-sizes[order], -np.arange(len(columns)), side="left")
+            count[order], end[order] = a.phrases(columns, alive, start[order])
+            before = np.where(first, 0, np.append(0, end[:-1])).astype(np.int32)
+            todo = np.flatnonzero(before != start)
+            start = before
+        out[:, j] = np.bincount(owner, count + (last & (end > 0)), len(texts))            # the last phrase
     return out
 
 
@@ -187,20 +203,21 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, sample_docs: int
     """Alphabet and automata of the languages of ``labelled`` (doc_id, text, lang).
 
     The sample is bounded: per language at most ``sample_docs`` documents, the
-    one with the least hash in each of that many hash classes, and of each at
-    most its equal share of ``sample_chars``.  Rows with null lang or text are
-    left out; so is a language without a letter in its sample."""
+    one with the least hash of id and text in each of that many hash classes, and of
+    the letters of each whole text the first ones, up to its share of ``sample_chars``
+    (of ALL_CHARS over the languages, where that is less).  Rows with null lang or text
+    are left out; so is a language without a letter in its sample."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    h = F.xxhash64(F.col("doc_id").cast("string"))
-    picks = rows.groupBy("lang", F.pmod(h, F.lit(sample_docs)).alias("class")).agg(F.min(h).alias("h"))
-    picks = picks.limit(MAX_LANGUAGES * sample_docs + 1).collect()
+    h = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+    picks = rows.groupBy("lang", F.pmod(h, F.lit(sample_docs)).alias("class")).agg(F.min(h).alias("h")).collect()        # the model has a part for each lang
     names = sorted({r["lang"] for r in picks})
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
+    sample_chars = min(sample_chars, ALL_CHARS // max(1, len(names)))
     lower, texts = lower_letters(), {n: [] for n in names}
     if picks:
-        chosen = rows.select("lang", h.alias("h"), F.substring("text", 1, 4 * sample_chars // sample_docs * 4).alias("text")) \
-            .where(F.col("h").isin([r["h"] for r in picks]))
+        # runs of what is no letter count as one character, as in the texts that are parsed
+        letters = F.substring(F.regexp_replace("text", r"[^\p{L}]+", " "), 1, sample_chars)
+        wanted = F.broadcast(labelled.sparkSession.createDataFrame([(r["lang"], r["h"]) for r in picks], "lang string, h bigint"))
+        chosen = rows.select("lang", h.alias("h"), letters.alias("text")).join(wanted, ["lang", "h"], "left_semi")
         for r in sorted(chosen.dropDuplicates(["lang", "h"]).collect(), key=lambda r: (r["lang"], r["h"])):
             texts[r["lang"]].append(normalise(r["text"], lower))
     samples = {}

@@ -1,9 +1,10 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-One pass measures every document.  KLL sketches of the measures are built per
-language and source with map-side partial sketches, the sketches of a language's
-sources are merged for groups too small to speak for themselves, and the
-thresholds read from them are joined back to filter.
+One pass measures every document.  The sketch of a measure in a language and source
+counts its values in bins of equal ratio: sketches merge by adding, in any order, to
+the same counts, and a quantile is off by at most half a bin.  A small source leans
+on its language: to every sketch the language's own is added with the weight of
+``PRIOR`` documents.  The thresholds read from them are joined back to filter.
 """
 
 from __future__ import annotations
@@ -12,15 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ship_by_value, stage, table
 
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEAT, WINDOW, SYMBOLS = 10, 20, 5, "#*$%&|<>"
-#: Sketch size; a group of fewer documents takes its language's threshold.
-SKETCH_K, GROUP_MIN = 800, 200
+#: Bins of the sketches for a factor of e (a bin is 0.5 % wide); documents that the
+#: language weighs in each of its sources, and the points of equal rank that stand for it.
+GRAIN, PRIOR, POINTS = 200, 200, 64
 #: A measure is out of line above median + FENCE * (upper quartile - median, but
 #: at least FLOOR), i.e. relative to its own group.
 FENCE = 12.0
@@ -84,39 +86,65 @@ def measures(docs: DataFrame) -> DataFrame:
         "repeat_share": F.col("n_repeat_words") / words, "word_length": F.col("word_chars") / words})
 
 
-def thresholds(m: DataFrame) -> DataFrame:
+def bin_of(value):
+    """Bin of a value >= 0; 0 has one of its own."""
+    return F.when(value > 0, F.floor(F.log(value) * GRAIN))
+
+
+def value_of(b):
+    """The middle of a bin."""
+    return F.when(b.isNull(), F.lit(0.0)).otherwise(F.exp((b + 0.5) / GRAIN))
+
+
+def sketches(m: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, measure, value, weight): counts of the documents that pass the base
+    rules, and the language's POINTS points."""
+    names = [*FLOORS, "word_length"]
+    long = F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), bin_of(F.col(c)).alias("bin")) for c in names]))
+    own = stage(m.where("NOT base_failed").select("lang", "source", long).groupBy("lang", "source", "measure", "bin").agg(F.count(F.lit(1)).alias("n")), "quality-sketches")
+    lang = own.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy("lang", "measure")
+    upto = F.sum("n").over(group.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lang = lang.withColumn("upto", upto).withColumn("all", F.sum("n").over(group))
+    # point i lies at rank (i + 1/2) / POINTS of the language: in the bin that reaches it
+    place = lambda c: F.ceil(c * POINTS / F.col("all") - 0.5)                                  # noqa: E731
+    lang = lang.withColumn("points", place(F.col("upto")) - place(F.col("upto") - F.col("n"))).where("points > 0")
+    groups = own.select("lang", "source", "measure").distinct()
+    lean = groups.join(lang.select(F.col("lang").alias("__lang"), F.col("measure").alias("__measure"), "bin", "points"),
+                       F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("measure") == F.col("__measure")))
+    weighed = own.select("lang", "source", "measure", "bin", F.col("n").cast("double").alias("weight")) \
+        .union(lean.select("lang", "source", "measure", "bin", F.col("points") * (prior / POINTS)))
+    return weighed.groupBy("lang", "source", "measure", "bin").agg(F.sum("weight").alias("weight")).withColumn("value", value_of(F.col("bin")))
+
+
+def thresholds(m: DataFrame, prior: int = PRIOR) -> DataFrame:
     """Upper (and for word_length lower) fences per lang and source, from the
     documents that pass the base rules."""
-    names = [*FLOORS, "word_length"]
-    by_group = m.where("NOT base_failed").groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(c) for c in names])
-    by_group = stage(by_group, "quality-sketches")
-    by_lang = by_group.groupBy(F.col("lang").alias("__lang")).agg(*[F.kll_merge_agg_double(c).alias(f"{c}_of_lang") for c in names])
-    g = by_group.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    out = []
-    for c in names:
-        sketch = F.when(F.col("n") >= GROUP_MIN, F.col(c)).otherwise(F.col(f"{c}_of_lang"))
-        at = lambda p, s=sketch: F.kll_sketch_get_quantile_double(s, F.lit(p))                # noqa: E731
-        if c == "word_length":
-            ratio = lambda a, b: F.pow(F.greatest(a / b, F.lit(WORD_LENGTH_FLOOR)), F.lit(FENCE))     # noqa: E731
-            out.append((at(0.5) * ratio(at(0.75), at(0.5))).alias(f"{c}_max"))
-            out.append((at(0.5) / ratio(at(0.5), at(0.25))).alias(f"{c}_min"))
-        else:
-            out.append((at(0.5) + FENCE * F.greatest(at(0.75) - at(0.5), F.lit(FLOORS[c]))).alias(f"{c}_max"))
-    return g.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *out)
-
-
-def rate(docs: DataFrame) -> DataFrame:
+    s = sketches(m, prior)
+    group = Window.partitionBy("lang", "source", "measure")
+    s = s.withColumn("upto", F.sum("weight").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))) \
+        .withColumn("all", F.sum("weight").over(group))
+    at = lambda p: F.min(F.when(F.col("upto") >= p * F.col("all") - 1e-6, F.col("value")))       # noqa: E731
+    q = s.groupBy("lang", "source", "measure").agg(at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("high"))
+    mid, low, high = F.col("mid"), F.col("low"), F.col("high")
+    ratio = lambda a, b: F.pow(F.greatest(a / b, F.lit(WORD_LENGTH_FLOOR)), F.lit(FENCE))           # noqa: E731
+    of = lambda c, fence: F.max(F.when(F.col("measure") == c, fence))                               # noqa: E731
+    fences = [of(c, mid + FENCE * F.greatest(high - mid, F.lit(floor))).alias(f"{c}_max") for c, floor in FLOORS.items()]
+    fences += [of("word_length", mid * ratio(high, mid)).alias("word_length_max"), of("word_length", mid / ratio(mid, low)).alias("word_length_min")]
+    return q.groupBy(F.col("lang").alias("__lang"), F.col("source").alias("__source")).agg(*fences)
+
+
+def rate(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """Measures and verdict of every row of ``docs`` (doc_id, text, lang, source).
 
     Columns: doc_id, lang, source, the counts, shares and thresholds, base_failed,
     kept.  Null or empty text: all counts 0, fails the base rules.  Null lang or
     source is a group of its own.  A group without a passing document has no
     thresholds and needs none.  Repeated rows stay and count as often as they
-    come; ties with a threshold are kept.  An empty table gives no rows; other
-    columns are ignored."""
+    come; ties with a threshold are kept.  The verdicts do not depend on how the rows
+    are dealt out.  An empty table gives no rows; other columns are ignored."""
     m = stage(measures(docs), "quality-measures")
-    t = stage(thresholds(m), "quality-thresholds")
+    t = stage(thresholds(m, prior), "quality-thresholds")
     t = F.broadcast(t) if t.count() <= BROADCAST_GROUPS else t
     j = m.join(t, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left").drop("__lang", "__source")
     fine = (F.col("word_length") >= F.col("word_length_min"))

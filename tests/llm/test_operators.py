@@ -139,6 +139,53 @@ def test_quality_adapts_to_the_group(spark):
     assert not got.pop(999) and all(got.values())
 
 
+def plain_fences(rows):
+    """Fences by (lang, source) from rows (lang, source, measures): every document counts 1,
+    and 64 documents of equal rank stand for the language with the weight of 200."""
+    out = {}
+    names = [*quality.FLOORS, "word_length"]
+    bin_of = lambda v: math.floor(math.log(v) * 200) if v > 0 else None              # noqa: E731
+    value = lambda b: 0.0 if b is None else math.exp((b + 0.5) / 200)                # noqa: E731
+    for lang, source in {x[:2] for x in rows}:
+        for c in names:
+            ranked = sorted((bin_of(x[2][c]) for x in rows if x[0] == lang), key=value)
+            own = [(value(bin_of(x[2][c])), 1.0) for x in rows if x[:2] == (lang, source)]
+            n = len(ranked)
+            weighed = sorted(own + [(value(ranked[min(n - 1, math.floor((i + 0.5) * n / 64 - 1e-9))]), 200 / 64) for i in range(64)])
+            total, q = sum(w for _, w in weighed), []
+            for p in (0.25, 0.5, 0.75):
+                upto = 0.0
+                for v, w in weighed:
+                    upto += w
+                    if upto >= p * total - 1e-6:
+                        q.append(v)
+                        break
+            low, mid, high = q
+            if c == "word_length":
+                ratio = lambda a, b: max(a / b, quality.WORD_LENGTH_FLOOR) ** quality.FENCE       # noqa: E731
+                out[lang, source, "word_length_max"], out[lang, source, "word_length_min"] = mid * ratio(high, mid), mid / ratio(mid, low)
+            else:
+                out[lang, source, f"{c}_max"] = mid + quality.FENCE * max(high - mid, quality.FLOORS[c])
+    return out
+
+
+def test_quality_verdicts_equal_plain_fences(spark):
+    """Fences and verdicts of the registered query, recomputed; the same however rows are dealt out."""
+    d = spark.read.parquet(f"{SF_SMALL.replace('0.001', '0.01')}/documents.parquet")
+    got = quality.rate(d).collect()
+    want = plain_fences([(x.lang, x.source, x.asDict()) for x in got if not x.base_failed])
+    kept = {}
+    for x in got:
+        fences = {c: want.get((x.lang, x.source, c)) for c in (*[f"{c}_max" for c in quality.FLOORS], "word_length_max", "word_length_min")}
+        assert all(v is None and x[c] is None or math.isclose(x[c], v, rel_tol=1e-9) for c, v in fences.items()), (x, fences)
+        fine = all(x[c] <= fences[f"{c}_max"] for c in [*quality.FLOORS, "word_length"]) and x.word_length >= fences["word_length_min"] if not x.base_failed else False
+        kept[x.doc_id] = fine
+    assert {x.doc_id: x.kept for x in got} == kept and 0 < sum(kept.values()) < len(kept)
+    for other in (d.repartition(13), d.orderBy("text").coalesce(2)):
+        again = {x.doc_id: (x.kept, x.symbol_share_max, x.word_length_min) for x in quality.rate(other).collect()}
+        assert again == {x.doc_id: (x.kept, x.symbol_share_max, x.word_length_min) for x in got}
+
+
 def test_each_quality_fence_acts(spark):
     """One document a rule that this rule alone rejects."""
     r = random.Random(8)
@@ -183,6 +230,26 @@ def test_cross_parsing_equals_longest_phrases():
     got = langid.parse([langid.normalise(t, alphabet.of) for t in texts], {"en": a}, alphabet.pad)
     assert got[:, 0].tolist() == [phrases(t) for t in texts]
     assert np.all(langid.parse([], {"en": a}, alphabet.pad) == 0)
+    # a phrase goes on over the end of a block
+    r = random.Random(4)
+    texts = ["the cat sat on the mat", "", *[" ".join(r.choice("the cat sat on mat thecat zebra".split()) for _ in range(r.randrange(1, 200))) for _ in range(40)]]
+    for block in (1, 7, 256):
+        got = langid.parse([langid.normalise(t, alphabet.of) for t in texts], {"en": a}, alphabet.pad, block)
+        assert got[:, 0].tolist() == [phrases(t) for t in texts]
+
+
+def test_languages_are_learnt_from_whole_texts(spark):
+    """Letters behind thousands of numbers count; rows without id, and hundreds of languages, are no failure."""
+    words = {"en": "the cat sat on the mat with thirty hats", "de": "der hund lief quer über jede breite brücke"}
+    rows = [(i, " ".join(str(k) for k in range(6000)) + " " + words[n] * 20, n) for i, n in enumerate(words)] + [(None, words["en"], "en"), (None, words["de"], "de")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    asked = spark.createDataFrame([(1, "the cat with hats", None), (2, "über jede brücke", None)], "doc_id bigint, text string, lang string")
+    for d in (df, df.where("doc_id IS NOT NULL"), df.repartition(3)):
+        assert [x.lang_pred for x in langid.identify(asked, langid.fit(d)).orderBy("doc_id").collect()] == ["en", "de"]
+    one, two = langid.fit(df), langid.fit(df.repartition(7))
+    assert all((one[1][n].next == two[1][n].next).all() for n in words)
+    many = spark.createDataFrame([(i, f"lang{chr(97 + i % 26)}{chr(97 + i // 26)} text", f"l{i}") for i in range(230)], "doc_id bigint, text string, lang string")
+    assert len(langid.fit(many)[1]) == 230
 
 
 def test_decontamination_equals_brute_force(spark, awkward):
