@@ -122,6 +122,12 @@ def _runs(run: int, least: int):
             for doc_id, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 seen: set = set()
                 _, hashed_words, cuts = cut_words(text.as_py() or "")
+                # one row tells the document's number of sentences
+                ids.append(doc_id)
+                keys.append(key)
+                hashes.append(None)
+                at.append(max(0, len(cuts) - 1))
+                again.append(None)
                 for h, i in runs(hashed_words, cuts, run, least):
                     ids.append(doc_id)
                     keys.append(key)
@@ -145,10 +151,10 @@ def _cutter(run: int, least: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, gone, lost, spans, texts = [], [], [], [], []
-            for text, starts in zip(b.column(1), b.column(2)):
+            for text, starts, n in zip(b.column(1), b.column(2), b.column(3)):
                 text, starts = text.as_py(), starts.as_py()
                 if not starts:
-                    total.append(max(0, len(cut_words(text or "")[2]) - 1))
+                    total.append(n.as_py())
                     gone.append(0)
                     lost.append(0)
                     spans.append("")
@@ -193,7 +199,8 @@ def remove_repeats(docs: DataFrame, run: int = RUN, least: int = MIN_WORDS) -> D
     doc_id sorts after all others.  An empty table gives no rows; other columns are
     ignored; texts are read whole."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
-    r = stage(d.mapInArrow(_runs(run, least), "doc_id bigint, key bigint, hash bigint, at int, again boolean"), "spans-runs")
+    every = stage(d.mapInArrow(_runs(run, least), "doc_id bigint, key bigint, hash bigint, at int, again boolean"), "spans-runs")
+    r = every.where("hash IS NOT NULL")
     # runs of several documents: one row each, whatever the number of occurrences
     shared = r.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("no_id"),
                                    F.min("key").alias("k0"), F.max("key").alias("k1"))
@@ -201,9 +208,11 @@ def remove_repeats(docs: DataFrame, run: int = RUN, least: int = MIN_WORDS) -> D
     many = stage(r.join(shared, "hash").select("hash", "doc_id", "key", "at", F.col("doc_id").eqNullSafe(F.col("first")).alias("holds")), "spans-many")
     first = many.where("holds").groupBy("hash").agg(F.min("key").alias("first_key"))
     across = many.join(first, "hash").where(~(F.col("holds") & (F.col("key") == F.col("first_key")))).select("doc_id", "key", "at")
-    cuts = across.union(r.where("again").select("doc_id", "key", "at")).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set("at").alias("starts"))
+    starts = across.union(r.where("again").select("doc_id", "key", "at")).withColumn("n", F.lit(None).cast("int"))
+    sizes = every.where("hash IS NULL").select("doc_id", "key", F.lit(None).cast("int").alias("at"), F.col("at").alias("n"))
+    cuts = starts.union(sizes).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set("at").alias("starts"), F.max("n").alias("n"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))
-    out = d.join(stage(cuts, "spans-cuts"), same, "left").select("doc_id", "text", "starts")
+    out = d.join(stage(cuts, "spans-cuts"), same, "left").select("doc_id", "text", "starts", "n")
     return out.mapInArrow(_cutter(run, least), "doc_id bigint, n_sentences bigint, n_removed bigint, removed_words bigint, spans string, text string")
 
 
