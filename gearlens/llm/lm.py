@@ -14,7 +14,7 @@ come back in the order of the keys, so they carry counts alone.  In each context
 one block is told to count it for the context's last but one word, which gives
 the one-word states by a second, small exchange of words.  Then the arcs and
 failure weights of a block's n-grams are attached to its texts, and the walk
-runs.  Tables that are no longer read are removed.
+runs.  Exchanges that are over are given back.
 
 In a bucket of the exchange a context is known by ``CONTEXT_BITS`` bits of its hash
 and a follower by ``FOLLOWER_BITS``; buckets grow in number with the corpus, so about one
@@ -25,16 +25,18 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, ship_by_value, stage, table
+from .common import ship_by_value, stage, table
 
 #: Longest n-gram, absolute discount.
 ORDER, DISCOUNT = 3, 0.75
@@ -49,8 +51,9 @@ ABREAST = 64
 BLOCKS = "block bigint, doc_ids array<bigint>, flags binary, lens binary, words binary, tokens binary, n_train bigint"
 ASKED = "bucket bigint, block bigint, keys binary, counts binary"
 ANSWER = "block bigint, bucket bigint, answer binary"
-STATE = "block bigint, doc_ids array<bigint>, flags binary, lens binary, words binary, tokens binary, n_train bigint, stats binary"
 SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+#: Kinds of answers to a block.
+CONTEXT, WORD = 1, 2
 #: Flags of a text.
 LEARN, SCORE = 1, 2
 
@@ -240,42 +243,37 @@ def _sum_words(t):
                      "bucket": pa.array([*t["bucket"].to_pylist(), int((c1 > 0).sum())], pa.int64()), "answer": pa.array([*out, None], pa.binary())})
 
 
-def _attach(bits: int):
-    def attach(key, left, right):
-        """A block with, for every bigram of its texts, the n-gram that follows (count) and
-        the bigram as a state (count, followers); and for every word its training count
-        and the followers that this block counts."""
+def attached(t: Texts, answers: list[bytes], bits: int) -> tuple[np.ndarray, ...]:
+    """By bigram of the texts: count of the n-gram that goes on from it, its own count and
+    distinct followers as a state; then (word before, whether this block counts it) by context."""
+    keys, number, ends = t.asked(bits)
+    context = np.cumsum(contexts(keys, ends)) - 1
+    parts = [split(a) for a in answers]
+    c3, c2, d2 = (np.concatenate([unpack(a[k]) for a in parts] or [np.zeros(0, np.uint32)]).astype(np.int64) for k in range(3))
+    mine = np.concatenate([unpack(a[3], np.uint8) for a in parts] or [np.zeros(0, np.uint8)]) > 0
+    at = context[number] if len(number) else np.zeros(0, np.int64)
+    word = np.full(len(c2), -1)
+    word[at] = t.tokens[t.second - 1]
+    return c3[number], c2[at], d2[at], word, mine
+
+
+def _by_bucket(right: pa.Table, kind: int) -> list[bytes]:
+    some = right.filter(pc.equal(right["kind"], kind)).sort_by("bucket")
+    return some["answer"].to_pylist()
+
+
+def _ask_words(bits: int, word_bits: int):
+    def ask(key, left, right):
+        """A block's words with their training counts and the followers that this block counts."""
         row = left.to_pylist()[0]
         t = Texts(row)
-        keys, number, ends = t.asked(bits)
-        first = contexts(keys, ends)
-        context = np.cumsum(first) - 1
-        answers = [split(a) for a in right.sort_by("bucket")["answer"].to_pylist()]
-        c3, c2, d2 = (np.concatenate([unpack(a[k]) for a in answers] or [np.zeros(0, np.uint32)]).astype(np.int64) for k in range(3))
-        mine = np.concatenate([unpack(a[3], np.uint8) for a in answers] or [np.zeros(0, np.uint8)]) > 0
-        at = context[number]
-        # the word before each context that this block counts
-        word = np.full(len(c2), -1)
-        word[at] = t.tokens[t.second - 1]
-        followers = np.bincount(word[mine], minlength=len(t.words))
-        counts = np.bincount(t.tokens[t.learn], minlength=len(t.words))
-        stats = join([pack(c3[number]), pack(c2[at]), pack(d2[at]), pack(counts), pack(followers)])
-        return pa.table({k: left[k] for k in left.column_names} | {"stats": pa.array([stats], pa.binary())})
-    return attach
-
-
-def _ask_words(bits: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                words = unpack(row["words"], np.uint64)
-                order = np.argsort(words)
-                counts, followers = (unpack(x) for x in split(row["stats"])[3:])
-                upto = np.searchsorted(words[order] >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else [0, len(words)]
-                rows = [(i, row["block"], pack_sorted(words[order[lo:hi]]), join([pack(counts[order[lo:hi]]), pack(followers[order[lo:hi]])]))
-                        for i, (lo, hi) in enumerate(zip(upto, upto[1:])) if lo < hi]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
-                                                 ["bucket", "block", "keys", "counts"])
+        _, _, _, word, mine = attached(t, _by_bucket(right, CONTEXT), bits)
+        followers, counts = np.bincount(word[mine], minlength=len(t.words)), np.bincount(t.tokens[t.learn], minlength=len(t.words))
+        order = np.argsort(t.words)
+        upto = np.searchsorted(t.words[order] >> np.uint64(64 - word_bits), np.arange((1 << word_bits) + 1)) if word_bits else [0, len(t.words)]
+        rows = [(i, row["block"], pack_sorted(t.words[order[lo:hi]]), join([pack(counts[order[lo:hi]]), pack(followers[order[lo:hi]])]))
+                for i, (lo, hi) in enumerate(zip(upto, upto[1:])) if lo < hi]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "block", "keys", "counts"])
     return ask
 
 
@@ -360,12 +358,11 @@ class Automaton:
         return total
 
 
-def _score(total: int, kinds: int):
+def _score(total: int, kinds: int, bits: int):
     def score(key, left, right):
-        row = left.to_pylist()[0]
-        t = Texts(row)
-        c3, c2, d2, _, _ = (unpack(x).astype(np.int64) for x in split(row["stats"]))
-        answers = [split(a) for a in right.sort_by("bucket")["answer"].to_pylist()]
+        t = Texts(left.to_pylist()[0])
+        c3, c2, d2, _, _ = attached(t, _by_bucket(right, CONTEXT), bits)
+        answers = [split(a) for a in _by_bucket(right, WORD)]
         order = np.argsort(t.words)
         c1, d1 = np.zeros(len(t.words), np.int64), np.zeros(len(t.words), np.int64)
         c1[order], d1[order] = (np.concatenate([unpack(a[k]) for a in answers]) for k in (0, 1))
@@ -374,7 +371,7 @@ def _score(total: int, kinds: int):
         base = np.add.reduceat(a.arc[0], t.start)
         asked = np.flatnonzero(t.flags & SCORE)
         scores = a.walk(t.start[asked], t.lens[asked])
-        ids = row["doc_ids"]
+        ids = t.row["doc_ids"]
         return pa.table({"doc_id": pa.array([ids[i] for i in asked], pa.int64()), "n_tokens": pa.array(t.lens[asked], pa.int64()), "n_known": pa.array(known[asked], pa.int64()),
                          "train_tokens": pa.array(np.full(len(asked), total), pa.int64()), "base_score": pa.array(base[asked], pa.float64()), "score": pa.array(scores, pa.float64())})
     return score
@@ -406,25 +403,25 @@ def score_flagged(docs: DataFrame) -> DataFrame:
     # as many buckets as blocks, so that both hold about as much
     bits = _bits(size[2] * BLOCK_TOKENS / BUCKET_TOKENS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = blocks.mapInArrow(_ask(bits), ASKED)
-    answers = stage(asked.groupBy("bucket").applyInArrow(_sum_contexts, ANSWER), "lm-answers")
-    free(spark)
-    state = stage(blocks.repartition(parts, "block").groupBy("block").cogroup(answers.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(_attach(bits), STATE), "lm-state")
-    remove(blocks)
-    remove(answers)
+    answers = stage(blocks.mapInArrow(_ask(bits), ASKED).groupBy("bucket").applyInArrow(_sum_contexts, ANSWER), "lm-answers")
     free(spark)
+    to_blocks = answers.select(F.col("block").alias("of"), "bucket", "answer", F.lit(CONTEXT).alias("kind"))
+    met = lambda right: blocks.repartition(parts, "block").groupBy("block").cogroup(right.groupBy("of"))                     # noqa: E731
     word_bits = max(0, bits - 3)
-    words = stage(state.mapInArrow(_ask_words(word_bits), ASKED).groupBy("bucket").applyInArrow(_sum_words, ANSWER), "lm-words")
+    words = stage(met(to_blocks).applyInArrow(_ask_words(bits, word_bits), ASKED).groupBy("bucket").applyInArrow(_sum_words, ANSWER), "lm-words")
+    free(spark)
     kinds = words.where("block IS NULL").agg(F.coalesce(F.sum("bucket"), F.lit(0))).first()[0]
-    to = words.where("block IS NOT NULL").withColumnRenamed("block", "of")
-    return state.repartition(parts, "block").groupBy("block").cogroup(to.groupBy("of")).applyInArrow(_score(int(total), int(kinds)), SCORES)
+    to_blocks = to_blocks.union(words.where("block IS NOT NULL").select("block", "bucket", "answer", F.lit(WORD)))
+    return met(to_blocks).applyInArrow(_score(int(total), int(kinds), bits), SCORES)
 
 
 def free(spark: SparkSession) -> None:
     """Let go of exchanges that nothing refers to any more: Spark removes their files
-    when the driver has collected them."""
+    some moments after the driver has collected what stood for them."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def score(docs: DataFrame, texts: DataFrame) -> DataFrame:
