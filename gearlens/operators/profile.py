@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -235,6 +237,54 @@ def pearson_matrix(df: DataFrame, cols, wide: bool = False) -> DataFrame:
     return long.groupBy("col_a").pivot("col_b", cols).agg(F.first("corr"))
 
 
+PAIR_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
+def pair_sums(df: DataFrame, cols) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) of every pair of columns over the rows that have
+    both, values taken from their column's mean.  With x the values (0 where missing)
+    and m their presence, all sums are products of the blocks x'x, x'm, (x^2)'m and m'm
+    of a task's rows, added up by pair.  A task holds four k x k blocks for k columns;
+    NaN counts as missing."""
+    k = len(cols)
+    numbers = df.select(*[as_number(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    present = [F.when(~F.isnan(f"x{i}"), F.col(f"x{i}")) for i in range(k)]
+    means = [m or 0.0 for m in numbers.agg(*[F.avg(p) for p in present]).first()]
+
+    def products(batches):
+        n, sx, sxx, sxy = (np.zeros((k, k)) for _ in range(4))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) - means
+            m = ~np.isnan(x)
+            x, m = np.where(m, x, 0.0), m.astype(float)
+            n, sx, sxx, sxy = n + m.T @ m, sx + x.T @ m, sxx + (x * x).T @ m, sxy + x.T @ x
+        i, j = np.divmod(np.arange(k * k), k)
+        columns = [i, j, n, sx, sx.T, sxx, sxx.T, sxy]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ravel(c)) for c in columns], ["i", "j", *PAIR_SUMS])
+
+    schema = "i bigint, j bigint, " + ", ".join(f"{c} double" for c in PAIR_SUMS)
+    return numbers.mapInArrow(products, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in PAIR_SUMS])
+
+
+def pearson_wide(df: DataFrame, cols) -> DataFrame:
+    """A20 for blocks of many columns: the rows of :func:`pearson_matrix` (col_a, col_b,
+    corr) from :func:`pair_sums`, so that k columns cost one product of blocks and not
+    k(k+1)/2 expressions.  No correlation (null) where a side is constant over the
+    rows of a pair, or no row has both; no columns, no rows."""
+    cols = list(cols)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
+    s = pair_sums(df, cols)
+    n = F.greatest("n", F.lit(1.0))
+    spread = lambda q, t: F.col(q) / n - (F.col(t) / n) * (F.col(t) / n)                            # noqa: E731
+    moves = lambda q, t: spread(q, t) > 1e-12 * F.col(q) / n                                        # noqa: E731
+    corr = (F.col("sxy") / n - F.col("sx") / n * F.col("sy") / n) / F.sqrt(spread("sxx", "sx") * spread("syy", "sy"))
+    names = F.array(*[F.lit(c) for c in cols])
+    # its own correlation is 1 but for rounding
+    corr = F.when(moves("sxx", "sx") & moves("syy", "sy"), F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(corr))
+    return s.select(F.get(names, F.col("i").cast("int")).alias("col_a"), F.get(names, F.col("j").cast("int")).alias("col_b"), corr.alias("corr"))
+
+
 def constant_columns(df: DataFrame) -> DataFrame:
     """Columns equal to their first row everywhere (no nulls, min = max)."""
     cols = df.columns

@@ -1113,3 +1113,16 @@ def q_vif_encoded(spark, sf_dir):
     flat = set(PR.constant_flags(ff.df.dropna(subset=ff.features), ff.features))
     v = ST.vif(ff.df, [c for c in ff.features if c not in flat])
     return v.select("feature", F.round("vif", 4).alias("vif"))
+
+
+_ENCODED = [S.REG_YEAR, S.REG_MONTH, S.ODOMETER, S.HOUR, S.MON, *[f"fuel_type_{p}" for p in _PRIORITIES],
+            f"{_B}battery_value_Yes_Yes_1", f"{_B}battery_cc_value_N_1", f"{_B}battery_cc_value_R_1"]
+_CORR = "select '{a}' as col_a, '{b}' as col_b, case when stddev_pop(a) > 0 and stddev_pop(b) > 0 then round(corr(a, b), 6) end as corr " \
+        "from (select \"{a}\"::double as a, \"{b}\"::double as b from ex where \"{a}\" is not null and \"{b}\" is not null)"
+
+
+@register("pearson_encoded", "with ex as (" + ORACLE["explore_features"] + ")\n" + "\nunion all ".join(_CORR.format(a=a, b=b) for a in _ENCODED for b in _ENCODED))
+def q_pearson_encoded(spark, sf_dir):
+    """Correlations of all encoded columns of the notebook's modelling table."""
+    ff = PL.explore_features(inspections(spark, sf_dir))
+    return PR.pearson_wide(ff.df, ff.features).withColumn("corr", r6("corr"))

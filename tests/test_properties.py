@@ -176,3 +176,21 @@ def test_search_spaces_draw_distinct_settings(spark):
     from pyspark.ml.regression import GBTRegressor
     maps = ML.draw_param_maps(GBTRegressor(), ML.BOOSTED_SPACE_LEAFWISE, ML.SEARCH_DRAWS["leafwise"])
     assert len(maps) == 50 and len({tuple(sorted((p.name, v) for p, v in m.items())) for m in maps}) == 50
+
+
+def test_wide_correlations_equal_pairwise_ones(spark):
+    """The block product gives what one expression a pair gives; awkward columns included."""
+    import random
+
+    from gearlens.operators import profile as PR
+    r = random.Random(2)
+    rows = [(r.gauss(1e6, 3), None if r.random() < 0.4 else r.random(), 5.0, None, i % 2 == 0, None if i % 3 else float(i), i % 7) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, flat double, none double, flag boolean, c double, i int").repartition(4)
+    numbers = df.withColumn("flag", df["flag"].cast("int"))
+    one = {(x.col_a, x.col_b): x["corr"] for x in PR.pearson_matrix(numbers, numbers.columns).collect()}
+    two = {(x.col_a, x.col_b): x["corr"] for x in PR.pearson_wide(numbers, numbers.columns).collect()}
+    assert one.keys() == two.keys()
+    for k, v in one.items():
+        assert (v is None) == (two[k] is None) and (v is None or abs(v - two[k]) < 1e-6), (k, v, two[k])
+    assert PR.pearson_wide(numbers, []).count() == 0
+    assert {x["corr"] for x in PR.pearson_wide(numbers.limit(0), ["a", "b"]).collect()} <= {None}
