@@ -21,6 +21,8 @@ own pairs again.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import itertools
 import json
@@ -358,6 +360,15 @@ class Block:
                  pa.array([pairs[i:i + ENTRIES]], pa.list_(pa.int64())), pa.array([counts[i:i + ENTRIES]], pa.list_(pa.int64()))], fields)
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: the process lives on and serves other steps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _parts(shared):
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         al = _aligner(shared)
@@ -379,7 +390,8 @@ def _parts(shared):
                     yield from block.batches()
                     block = Block(al)
         yield from block.batches()
-        al.forget(8)                        # other tasks of the process need the room
+        al.forget(1 << 62)
+        give_back()
     return parts
 
 
