@@ -47,6 +47,46 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
     return grams.groupBy("hash", "width", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
+def _probed(docs: DataFrame, probe: DataFrame, widths: list[int]) -> DataFrame:
+    """Hits by a broadcast set: the scan's rows meet it where they are."""
+    d = docs.select("doc_id", text_key(F.col("text")).alias("text_hash"), split_words(F.col("text"), NOT_WORD).alias("words"))
+    d = d.withColumn("h", _word_hashes(F.col("words"))) \
+        .withColumn("width", F.explode(F.array(*[F.lit(w) for w in widths])))
+    # position -1 carries the document itself through the probe, so one scan serves all
+    d = d.select("doc_id", "text_hash", "words", "width",
+                 F.posexplode(F.concat(F.array(F.lit(0).cast("bigint")), _window_hashes(F.col("h"), F.col("width")))).alias("p", "hash"))
+    d = d.withColumn("start", F.col("p") - 1)
+    hits = d.join(F.broadcast(probe),
+                  (F.col("hash") == F.col("w_hash")) & (F.col("width") == F.col("w_width")) & (F.col("start") >= 0), "left")
+    hits = hits.where((F.col("start") < 0) | F.col("gram").isNotNull())
+    found = lower_ascii(F.concat_ws(" ", F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("width"))))
+    hits = hits.where((F.col("start") < 0) | (found == F.col("gram")))
+    hits = hits.select("doc_id", "text_hash", "start", F.when(F.col("start") >= 0, F.col("start") + F.col("width")).otherwise(0).alias("end"),
+                       F.when(F.col("start") < 0, F.size("words")).alias("words_here"), "items",
+                       ((F.col("start") < 0) & (F.col("width") == widths[0])).alias("is_doc"))
+    return hits
+
+
+def _joined(docs: DataFrame, probe: DataFrame, widths: list[int]) -> DataFrame:
+    """The same hits by a shuffle of window hashes: (row's key, width, start, hash) of
+    every window, without a word; the words meet the few hits again by the row's key."""
+    base = docs.select("doc_id", text_key(F.col("text")).alias("text_hash"), split_words(F.col("text"), NOT_WORD).alias("words"))
+    h = base.select("doc_id", "text_hash", _word_hashes(F.col("words")).alias("h")).withColumn("width", F.explode(F.array(*[F.lit(w) for w in widths])))
+    h = h.select("doc_id", "text_hash", "width", F.posexplode(_window_hashes(F.col("h"), F.col("width"))).alias("start", "hash"))
+    met = h.join(probe, (F.col("hash") == F.col("w_hash")) & (F.col("width") == F.col("w_width"))).select("doc_id", "text_hash", "start", "width", "gram", "items")
+    met = met.dropDuplicates(["doc_id", "text_hash", "start", "width", "gram"])
+    per_row = met.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("start", "width", "gram", "items")).alias("met"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    both = base.join(per_row, same).select("doc_id", "text_hash", "words", F.inline("met"))
+    found = lower_ascii(F.concat_ws(" ", F.slice("words", F.col("start") + 1, F.col("width"))))
+    none = F.lit(None).cast("int")
+    hits = both.where(found == F.col("gram")).select("doc_id", "text_hash", "start", (F.col("start") + F.col("width")).alias("end"), none.alias("words_here"), "items",
+                                                     F.lit(False).alias("is_doc"))
+    rows = base.select("doc_id", "text_hash", F.lit(-1).alias("start"), F.lit(0).alias("end"), F.size("words").alias("words_here"),
+                       F.lit(None).cast("array<string>").alias("items"), F.lit(True).alias("is_doc"))
+    return rows.union(hits)
+
+
 def scan(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """Contamination of every row of ``docs`` (doc_id, text) by ``bench`` (item_id, text).
 
@@ -64,21 +104,7 @@ def scan(docs: DataFrame, bench: DataFrame) -> DataFrame:
     small = windows.count() <= BROADCAST_WINDOWS
     probe = windows.select(F.col("hash").alias("w_hash"), F.col("width").alias("w_width"), "gram", "items")
 
-    d = docs.select("doc_id", text_key(F.col("text")).alias("text_hash"), split_words(F.col("text"), NOT_WORD).alias("words"))
-    d = d.withColumn("h", _word_hashes(F.col("words"))) \
-        .withColumn("width", F.explode(F.array(*[F.lit(w) for w in widths])))
-    # position -1 carries the document itself through the probe, so one scan serves all
-    d = d.select("doc_id", "text_hash", "words", "width",
-                 F.posexplode(F.concat(F.array(F.lit(0).cast("bigint")), _window_hashes(F.col("h"), F.col("width")))).alias("p", "hash"))
-    d = d.withColumn("start", F.col("p") - 1)
-    hits = d.join(F.broadcast(probe) if small else probe,
-                  (F.col("hash") == F.col("w_hash")) & (F.col("width") == F.col("w_width")) & (F.col("start") >= 0), "left")
-    hits = hits.where((F.col("start") < 0) | F.col("gram").isNotNull())
-    found = lower_ascii(F.concat_ws(" ", F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("width"))))
-    hits = hits.where((F.col("start") < 0) | (found == F.col("gram")))
-    hits = hits.select("doc_id", "text_hash", "start", F.when(F.col("start") >= 0, F.col("start") + F.col("width")).otherwise(0).alias("end"),
-                       F.when(F.col("start") < 0, F.size("words")).alias("words_here"), "items",
-                       ((F.col("start") < 0) & (F.col("width") == widths[0])).alias("is_doc"))
+    hits = _probed(docs, probe, widths) if small else _joined(docs, probe, widths)
 
     key = ["doc_id", "text_hash"]
     before = Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

@@ -252,7 +252,18 @@ def test_languages_are_learnt_from_whole_texts(spark):
     assert len(langid.fit(many)[1]) == 230
 
 
-def test_decontamination_equals_brute_force(spark, awkward):
+def test_decontamination_without_a_broadcast(spark, monkeypatch):
+    """Beyond the broadcast's bound the rows are the same."""
+    docs, items = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = Counter(map(tuple, decontam.scan(docs, items).select(*columns).collect()))
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+    assert Counter(map(tuple, decontam.scan(docs, items).select(*columns).collect())) == want
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_decontamination_equals_brute_force(spark, awkward, monkeypatch, broadcast):
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", broadcast)
     items = [(1, "the cat sat"), (10, "sat by the door of the house"), (2, None), (3, "one"), (4, "x y z w v u t s r q p o n m"), (1, "SAT on")]
     got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontam.scan(awkward, bench(spark, [(*i, 0) for i in items])).collect())
     want = Counter()
