@@ -12,8 +12,8 @@ def main():
     add_common(p)
     p.add_argument("--model", required=True, help="output folder of the fitted pipeline model")
     p.add_argument("--pipeline", choices=["production", "explore"], default="production")
-    p.add_argument("--kind", choices=["decision_tree", "random_forest", "boosted"], default="boosted")
-    p.add_argument("--max-iter", type=int, default=20)
+    p.add_argument("--kind", choices=["decision_tree", "random_forest", "boosted", "leafwise", "depthwise"], default="leafwise")
+    p.add_argument("--rounds", type=int, help="of the boosted kinds, instead of their default")
     args = p.parse_args()
     spark = session(args)
 
@@ -22,7 +22,7 @@ def main():
     df = load_input(spark, args)
     ff = PL.production_features(df) if args.pipeline == "production" else PL.explore_features(df)
     tr, va, te = ML.split(ff.df)
-    params = {"maxIter": args.max_iter} if args.kind == "boosted" else {}
+    params = {} if args.rounds is None else {"maxIter": args.rounds} if args.kind == "boosted" else {"rounds": args.rounds} if args.kind in ML.BOOSTERS else {}
     model, metrics = ML.final_fit(tr, va, te, ff.features, args.kind, **params)
     metrics.show(truncate=False)
     ML.save_model(model, args.model)

@@ -35,7 +35,7 @@ def run_job(monkeypatch, name, args):
 
 def test_train_report_score(spark, monkeypatch, tmp_path):
     model = str(tmp_path / "model")
-    parts = run_job(monkeypatch, "train", ["--sf-dir", SF, "--model", model, "--max-iter", "3"])
+    parts = run_job(monkeypatch, "train", ["--sf-dir", SF, "--model", model, "--rounds", "3"])
     assert parts == "200"      # sized to its (small) input: scale_conf's floor
     assert os.path.isdir(model) and os.path.isdir(model + "_columns")
 
@@ -53,6 +53,12 @@ def test_train_report_score(spark, monkeypatch, tmp_path):
     assert scored + rejected == inspections(spark, SF).count() and rejected > 0
 
 
+def test_search_job(spark, monkeypatch, tmp_path):
+    run_job(monkeypatch, "search", ["--sf-dir", SF, "--draws", "2", "--folds", "2", "--out", str(tmp_path / "scores")])
+    got = spark.read.parquet(str(tmp_path / "scores")).collect()
+    assert len(got) == 2 and all("num_leaves" in r.params and r.mean_cv_r2 < 1 for r in got)
+
+
 def test_input_bytes_sums_scanned_files(spark):
     import os
     from gearlens.session import input_bytes, scale_conf

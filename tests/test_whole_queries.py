@@ -2,23 +2,19 @@
 import math
 
 import __spark_entry__ as E
-from gearlens.plans import catalog, model
+from gearlens.plans import booster, catalog
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_random_search_draws_from_the_full_spaces(spark, monkeypatch):
-    calls = []
-
-    def search(df, features, space, n, folds):
-        calls.append((space, n, folds))
-        return None, None
-
-    monkeypatch.setattr(catalog.ML, "random_search", search)
-    monkeypatch.setattr(catalog.ML, "search_results", lambda cvm, maps: spark.createDataFrame([(1.0,)], "r2 double"))
+def test_random_search_fits_what_it_draws(spark, monkeypatch):
+    """The registered search on a small table: real fits over the whole spaces, of which
+    fewer draws are taken here; the spaces and draws are the notebook's."""
+    assert [(n, len(space)) for _, n, space in booster.SPACES.values()] == [(20, 8), (50, 6)]
+    monkeypatch.setattr(booster, "SPACES", {k: (base, 3, space) for k, (base, _, space) in booster.SPACES.items()})
     got = E.queries()["random_search"](spark, SF).collect()
-    assert calls == [(model.BOOSTED_SPACE, 20, 3), (model.BOOSTED_SPACE_LEAFWISE, 50, 3)]
-    assert [r.search for r in got] == ["boosted", "leafwise"]
+    assert [r.search for r in got] == ["depthwise"] * 3 + ["leafwise"] * 3
+    assert all(-5 < r.mean_cv_r2 < 1 for r in got) and len({r.params for r in got}) == 6
 
 
 def test_vif_of_all_encoded_columns(spark):
