@@ -149,7 +149,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = F.broadcast(docs.sparkSession.createDataFrame(
         [(bool(r["no_id"]), int(r["down"]), int(r["h"]), (i - 1) % n) for i, r in enumerate(firsts)], "no_id boolean, down bigint, h bigint, before int"))
     closing = keyed.join(heads, (place["no_id"] == F.col("no_id")) & (place["down"] == F.col("down")) & (F.col("__h") == F.col("h"))) \
-        .groupBy("before").agg(F.min("text").alias("text")) \
+        .select("before", "text").distinct() \
         .select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(0).cast("bigint").alias("__h"), F.col("before").alias("__range"), F.lit(1).alias("__end"))
     order = Window.partitionBy("__range").orderBy("__end", F.isnull("doc_id"), F.col("doc_id").desc(), "__h", "text")
     # dealt out in as many parts as the session has: what follows is work on the words, not on the bytes
