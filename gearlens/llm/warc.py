@@ -93,7 +93,7 @@ def read_seek_table(f, size: int) -> list[tuple[int, int, int]]:
 
 
 class Bundle:
-    """A bundle being written: to a name of this attempt, moved to its own at the end."""
+    """A bundle being written, under another name until it is whole."""
 
     def __init__(self, folder: str, name: str):
         self.fs, self.folder = pafs.FileSystem.from_uri(folder)
@@ -143,7 +143,8 @@ def _writer(folder: str):
 
         for b in batches:
             for page_id, url, html, digest, size, refers in zip(*(b.column(i) for i in range(6))):
-                bundle = bundle or Bundle(folder, f"part-{part:06d}-{k:04d}.warc.zst")
+                # each attempt has bundles of its own: the index that is committed names those it describes
+                bundle = bundle or Bundle(folder, f"part-{part:06d}-{k:04d}-{uuid.uuid4().hex[:12]}.warc.zst")
                 page_id, refers = page_id.as_py(), refers.as_py()
                 payload = b"" if refers is not None else (html.as_py() or "").encode("utf-8", "surrogatepass")
                 record_id = name_of(page_id) if page_id is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'row:{part}:{n}')}"
@@ -177,11 +178,15 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     Null html: an empty payload.  Null page_id: a record without that header,
     never the one that others revisit.  Rows that repeat the smallest page_id of
-    a payload are all responses.  An empty table writes nothing.  Other columns
-    are ignored.  A task that runs again writes the same bundles anew."""
+    a payload are all responses.  An empty table writes no bundle.  Other columns
+    are ignored.  The index is written beside the bundles (``index``), in place of an
+    earlier one; every attempt of a task writes bundles of its own, of which the index
+    names those of the attempt that counts, whatever order its rows came in."""
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path)
-    return stage(revisits(pages).mapInArrow(_writer(folder), INDEX), "warc-index")
+    index = f"{folder.rstrip('/')}/index"
+    revisits(pages).mapInArrow(_writer(folder), INDEX).write.mode("overwrite").parquet(index)
+    return pages.sparkSession.read.schema(INDEX).parquet(index)
 
 
 def _reader(folder: str):

@@ -541,6 +541,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(empty, f"file://{tmp_path}/b").count() == 0
 
 
+def test_warc_attempts_do_not_meet(spark, tmp_path):
+    """Two attempts of the same tasks, rows in another order: either index reads its own bundles back."""
+    rows = [(i, f"u{i}", f"<p>{'x' * (i * 37 % 400)}{i // 2}") for i in range(300)]
+    folder = f"file://{tmp_path}/a"
+    indexes = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "page_id bigint, url string, html string").coalesce(1)
+        index = warc.write_archives(df, folder)
+        indexes.append(spark.createDataFrame(index.collect(), index.schema))
+    for index in indexes:
+        got = warc.read_archives(index, folder).collect()
+        assert sorted(r.page_id for r in got) == list(range(300)) and all(r.whole for r in got)
+
+
 def test_warc_frames_stand_alone(tmp_path):
     import zstandard
     b = warc.Bundle(f"file://{tmp_path}", "x.warc.zst")
