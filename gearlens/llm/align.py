@@ -55,6 +55,8 @@ MEMO_UNITS, MEMO_BYTES = 600_000, 60_000_000
 JOINED = 5000
 #: Where units begin: before a space that follows anything but white space.
 UNIT = re.compile(r"(?<=\S)(?= )")
+#: White space before a space: without it, every space begins a unit.
+UNEVEN = re.compile(r"\s ")
 #: The mark that B has for a space.
 MARK = "▁"
 PARTS = ("block bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links binary, "
@@ -137,7 +139,9 @@ class Aligner:
 
     def split(self, text: str) -> list[str]:
         """Units of space + text."""
-        return UNIT.split(" " + text) if self.units else [" " + text]
+        if not self.units:
+            return [" " + text]
+        return UNIT.split(" " + text) if UNEVEN.search(" " + text) else [" " + w for w in text.split(" ")]
 
     def learn(self, units: list[str]) -> None:
         """Align units not met before."""
@@ -373,6 +377,7 @@ def _parts(shared):
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         al = _aligner(shared)
         block = Block(al)
+        gc.disable()                        # millions of small tuples, no cycles among them
         for ids, texts in _chunks(batches):
             if len(al.texts) > MEMO_UNITS or al.bytes > MEMO_BYTES:
                 yield from block.batches()
@@ -391,6 +396,7 @@ def _parts(shared):
                     block = Block(al)
         yield from block.batches()
         al.forget(1 << 62)
+        gc.enable()
         give_back()
     return parts
 

@@ -137,7 +137,8 @@ def test_texts_fall_into_units():
     assert al.units
     for text in ["a b", " a  b ", "a\n b\t\n", "\u00a0 x", "it's <|endoftext|> ok"]:
         assert "".join(al.split(text)) == " " + text
-    assert al.split("a b  c \n d") == [" a", " b", "  c", " \n d"]
+        assert al.split(text) == align.UNIT.split(" " + text)
+    assert al.split("a b  c \n d") == [" a", " b", "  c", " \n d"] and al.split("a b ") == [" a", " b", " "]
     al.learn([" a", " b", " <unk>▁", "  "])
     assert al.number[" <unk>▁"] == -1 and sorted(al.number[u] for u in (" a", " b", "  ")) == [0, 1, 2]
     assert len(al.texts) == 3 and al.counts[:, 3].sum() == len(al.pairs)
