@@ -959,7 +959,7 @@ def q_score_stream(spark, sf_dir):
     _requests(spark, sf_dir).write.mode("overwrite").json(f"{run}/in")
     qs = score_stream(spark, f"{run}/in", f"{run}/out", m, cols, checkpoint=f"{run}/ck")
     run_to_completion(qs)
-    return spark.read.parquet(f"{run}/out/scored")
+    return spark.read.parquet(f"{run}/out/scored").drop("batch")
 
 
 # ---------------------------------------------------------------------------

@@ -40,3 +40,31 @@ def test_restart_scores_each_record_once(spark, tmp_path):
     batch, _ = score_requests(read_requests(spark, inp), model, ["odometer_reading"])
     want = {r.request_id: r.prediction for r in batch.collect()}
     assert {r.request_id: r.prediction for r in scored.collect()} == want
+
+
+def test_restart_between_the_two_writes(spark, tmp_path, monkeypatch):
+    """A stream that dies after the scored records of a batch and before its rejected ones
+    writes both once when it comes back."""
+    import pytest
+    from pyspark.sql.readwriter import DataFrameWriter
+    train = spark.range(200).select((F.col("id") * 300.0).alias("odometer_reading"), (F.lit(5.0) - F.col("id") / 100.0).alias(S.TARGET))
+    model = ML.train(train, ["odometer_reading"], "boosted", maxIter=1)
+    inp, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    rows = [{"request_id": f"r{i}", "inspectionStartTime": "2019-01-02T08:00" if i % 3 else "x", "odometer_reading": 1000 * i, "fuel_type": "Petrol"} for i in range(12)]
+    _write(inp, "part-1.json", rows)
+    write = DataFrameWriter.parquet
+
+    def dies(self, path, *args, **kw):
+        if "/rejected/" in path:
+            raise RuntimeError("lost")
+        return write(self, path, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", dies)
+    with pytest.raises(Exception):
+        run_to_completion(score_stream(spark, inp, out, model, ["odometer_reading"], checkpoint=ck))
+    assert os.path.isdir(f"{out}/scored") and not os.path.isdir(f"{out}/rejected")
+    monkeypatch.setattr(DataFrameWriter, "parquet", write)
+    _write(inp, "part-2.json", [{"request_id": "late", "inspectionStartTime": "2019-01-02T08:00", "odometer_reading": 5, "fuel_type": "CNG"}])
+    run_to_completion(score_stream(spark, inp, out, model, ["odometer_reading"], checkpoint=ck))
+    assert sorted(r.request_id for r in spark.read.parquet(f"{out}/scored").collect()) == sorted(["late", *[f"r{i}" for i in range(12) if i % 3]])
+    assert sorted(r.request_id for r in spark.read.parquet(f"{out}/rejected").collect()) == sorted(f"r{i}" for i in range(12) if i % 3 == 0)
