@@ -55,3 +55,16 @@ def test_explore_pipeline(table):
     assert not any(f.startswith(B + "battery_cc_value_yes") for f in ff.features)
     assert B + "battery_cc_value_Weak_1" in ff.features
     assert ff.df.count() == 3
+
+
+def test_inspections_are_not_broadcast(spark, tmp_path):
+    """Events and slots grow with the inspections, however small their files look."""
+    from gearlens.sources.driver_tables import inspections
+    spark.sql("SELECT id AS o_orderkey, 'F' AS o_orderstatus, id * 1.5D AS o_totalprice, DATE'2020-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(50)") \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT id AS event_id, TIMESTAMP'2020-01-02 03:04:05' AS ts, '{\"k\": 40}' AS props FROM range(40)").write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("SELECT id AS l_orderkey, 1 AS l_linenumber, 'R' AS l_returnflag, 'O' AS l_linestatus FROM range(45)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = inspections(spark, str(tmp_path))
+    assert got.count() == 50 and got.where("inspectionStartTime IS NULL").count() == 10
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
