@@ -329,11 +329,16 @@ def route(at: np.ndarray, codes: np.ndarray, tree: Tree, nodes: np.ndarray) -> n
     return moved
 
 
-def histograms(flat: np.ndarray, grad: np.ndarray, node: np.ndarray, nodes: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of gradients and rows by (node, bin); ``flat``: (rows, features) places in the layout."""
-    keys = (node[:, None] * bins + flat).ravel()
-    g = np.bincount(keys, np.repeat(grad, flat.shape[1]), nodes * bins).reshape(nodes, bins)
-    return g, np.bincount(keys, minlength=nodes * bins).reshape(nodes, bins).astype(float)
+def histograms(codes: np.ndarray, at: np.ndarray, grad: np.ndarray, node: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of gradients and rows by (node, bin); ``codes``: (rows, features) bins, ``at``: the
+    features' places in the layout.  One feature at a time, so that its keys stay in the cache."""
+    g, n = np.empty((nodes, int(at[-1]))), np.empty((nodes, int(at[-1])))
+    for f in range(codes.shape[1]):
+        lo, hi = int(at[f]), int(at[f + 1])
+        keys = node * (hi - lo) + codes[:, f]
+        g[:, lo:hi] = np.bincount(keys, grad, nodes * (hi - lo)).reshape(nodes, hi - lo)
+        n[:, lo:hi] = np.bincount(keys, minlength=nodes * (hi - lo)).reshape(nodes, hi - lo)
+    return g, n
 
 
 def drawn(pool: list[int], share: float, *seed) -> list[int]:
@@ -382,10 +387,10 @@ class Held:
         """A tree over the rows of ``use``, and every row's node."""
         some = tree_features(len(self.layout.features), s, number)
         tree, lay = Tree(s), self.layout.part(some)
-        self.flat = self.codes[:, some].astype(np.int64) + lay.at[:-1]
+        self.some = np.asfortranarray(self.codes[:, some])
         at = np.zeros(len(self.y), np.int64)
         some = np.flatnonzero(use)
-        g, n = histograms(self.flat[some], grad[some], np.zeros(len(some), np.int64), 1, lay.bins)
+        g, n = histograms(self.some[some], lay.at, grad[some], np.zeros(len(some), np.int64), 1)
         root = tree.add(np.array([[grad[some].sum(), len(some)]]), 0)
         tree.set_splits(root, best_splits(g, n, lay, s, allowed_bins(lay, len(self.layout.features), s, number, 0)))
         held = {0: (g, n, 0)}
@@ -405,7 +410,7 @@ class Held:
         some = moved[use[moved] & (place[at[moved]] >= 0)]
         g, n = np.empty((len(kids), lay.bins)), np.empty((len(kids), lay.bins))
         mine, other = small - kids[0], 2 * tree.left[nodes] + 1 - small - kids[0]
-        g[mine], n[mine] = histograms(self.flat[some], grad[some], place[at[some]], len(small), lay.bins)
+        g[mine], n[mine] = histograms(self.some[some], lay.at, grad[some], place[at[some]], len(small))
         parents = [held.pop(i) for i in nodes.tolist()]
         g[other], n[other] = np.stack([a[k] for a, _, k in parents]) - g[mine], np.stack([b[k] for _, b, k in parents]) - n[mine]
         splits = np.zeros((len(kids), 8))
@@ -455,61 +460,83 @@ def _held(rows: DataFrame, layout: Layout) -> tuple:
 # ---------------------------------------------------------------------------
 # A fit over a distributed table
 # ---------------------------------------------------------------------------
-STATE = "h bigint, y double, codes binary, pred double"
-SUMS = "node bigint, part bigint, g array<bigint>, n array<bigint>"
+#: Rows of a chunk, and of a partition at most.  A chunk's sums of gradients fit a double's 53 bits.
+CHUNK, PART_ROWS = 8192, 500_000
+STATE = "h binary, y binary, codes binary, pred binary"
+SUMS = "node bigint, g binary, n binary"
 FOUND = "node bigint, split array<double>"
 
 
-def _arrays(b: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(b.num_rows, features)
-    return (*(b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "y", "pred")), codes)
+def _chunks(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(h, y, pred, codes) of each chunk."""
+    for b in batches:
+        for h, y, codes, pred in zip(*(b.column(c) for c in ("h", "y", "codes", "pred"))):
+            yield (np.frombuffer(h.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), float), np.frombuffer(pred.as_buffer(), float),
+                   np.frombuffer(codes.as_buffer(), np.uint8).reshape(-1, features))
 
 
 class Spread:
-    """The binned table as a DataFrame with every row's prediction."""
+    """The binned table as a DataFrame with every row's prediction, a chunk of rows in one record."""
 
     def __init__(self, rows: DataFrame, layout: Layout):
         self.rows, self.layout = rows, layout
 
+    def _packed(self, n: int, mean: float) -> DataFrame:
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in range(0, b.num_rows, CHUNK):
+                    c = b.slice(lo, CHUNK)
+                    h, y = (c.column(k).to_numpy(zero_copy_only=False) for k in ("h", "y"))
+                    packed = (h.astype(np.int64), y.astype(float), b"".join(c.column("codes").to_pylist()), np.full(len(y), mean))
+                    yield pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in packed], ["h", "y", "codes", "pred"])
+        parts = max(self.rows.sparkSession.sparkContext.defaultParallelism, -(-n // PART_ROWS))
+        return self.rows.select("h", "y", "codes").repartition(parts).mapInArrow(pack, STATE)
+
     def _splits(self, state: DataFrame, tree: Tree, steps: list[np.ndarray], kids: np.ndarray, s: Settings, number: int, unit: float) -> tuple[np.ndarray, np.ndarray]:
         """Sums and best splits of the nodes ``kids`` after ``steps`` of expansions: one aggregation."""
         lay = self.layout
-        groups = [kids[i:i + NODES_AT_ONCE] for i in range(0, len(kids), NODES_AT_ONCE)]
+        features = len(lay.features)
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, list[np.ndarray]] = {}
-            for b in batches:
-                h, y, pred, codes = _arrays(b, len(lay.features))
+            to = np.full(tree.size, -1, np.int64)
+            to[kids] = np.arange(len(kids))
+            held = []
+            for h, y, pred, codes in _chunks(batches, features):
                 at = np.zeros(len(y), np.int64)
                 for nodes in steps:
                     route(at, codes, tree, nodes)
-                to = np.full(tree.size, -1, np.int64)
-                to[kids] = np.arange(len(kids))
-                some = np.flatnonzero(sampled(h, s, number) & (to[at] >= 0))
-                grad = np.rint((pred[some] - y[some]) / unit)
-                flat = codes[some].astype(np.int64) + lay.at[:-1]
-                node = to[at[some]]
-                for lo in range(0, len(kids), NODES_AT_ONCE):
-                    here = (node >= lo) & (node < lo + NODES_AT_ONCE)
-                    if here.any():
-                        g, n = histograms(flat[here], grad[here], node[here] - lo, len(groups[lo // NODES_AT_ONCE]), lay.bins)
-                        for k in np.unique(node[here]).tolist():
-                            have = total.setdefault(k, [np.zeros(lay.bins, np.int64), np.zeros(lay.bins, np.int64)])
-                            have[0] += g[k - lo].astype(np.int64)
-                            have[1] += n[k - lo].astype(np.int64)
-            for k, (g, n) in total.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([0], pa.int64()), pa.array([g], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64()))],
-                                                 ["node", "part", "g", "n"])
-
-        def best(key, t):
-            k = key[0].as_py()
-            add = lambda c: np.add.reduce([np.asarray(x.as_py(), np.int64) for x in t[c]])          # noqa: E731  one row a task
-            g, n = add("g") * unit, add("n").astype(float)
-            split = best_splits(g[None], n[None], lay, s, allowed_bins(lay, len(lay.features), s, number, int(tree.depth[kids[k]])))[0]
-            one = slice(0, int(lay.at[1]))
-            return pa.table({"node": pa.array([k], pa.int64()), "split": pa.array([[g[one].sum(), n[one].sum(), *split]], pa.list_(pa.float64()))})
-
-        found = state.mapInArrow(sums, SUMS).groupBy("node").applyInArrow(best, FOUND).collect()         # one row an open leaf
+                node = to[at]
+                some = np.flatnonzero(sampled(h, s, number) & (node >= 0))
+                held.append((codes[some], np.rint((pred[some] - y[some]) / unit), node[some]))
+            for lo in range(0, len(kids), NODES_AT_ONCE):
+                size = min(NODES_AT_ONCE, len(kids) - lo)
+                total = np.zeros((2, size, lay.bins), np.int64)
+                for codes, grad, node in held:
+                    if size < len(kids):
+                        here = np.flatnonzero((node >= lo) & (node < lo + size))
+                        codes, grad, node = codes[here], grad[here], node[here] - lo
+                    for k, x in enumerate(histograms(codes, lay.at, grad, node, size)):
+                        total[k] += x.astype(np.int64)
+                found = np.flatnonzero(total[1, :, :lay.at[1]].any(1))
+                yield pa.RecordBatch.from_arrays([pa.array(lo + found, pa.int64()), *[pa.array([t[k].tobytes() for k in found], pa.binary()) for t in total]], ["node", "g", "n"])
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}                                                    # the nodes of this partition
+            for b in batches:
+                for k, g, n in zip(b.column("node").to_pylist(), b.column("g"), b.column("n")):
+                    x = np.stack([np.frombuffer(v.as_buffer(), np.int64) for v in (g, n)])
+                    total[k] = total[k] + x if k in total else x
+            depths: dict[int, list[int]] = {}
+            for k in sorted(total):
+                depths.setdefault(int(tree.depth[kids[k]]), []).append(k)
+            for depth, ks in depths.items():
+                g, n = np.stack([total[k][0] for k in ks]) * unit, np.stack([total[k][1] for k in ks]).astype(float)
+                split = best_splits(g, n, lay, s, allowed_bins(lay, features, s, number, depth))
+                one = slice(0, int(lay.at[1]))
+                out = np.concatenate([g[:, one].sum(1)[:, None], n[:, one].sum(1)[:, None], split], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(out.tolist(), pa.list_(pa.float64()))], ["node", "split"])
+
+        found = state.mapInArrow(sums, SUMS).repartition("node").mapInArrow(best, FOUND).collect()        # one row an open leaf
         total, splits = np.zeros((len(kids), 2)), np.zeros((len(kids), 8))
         for r in found:
             total[r["node"]], splits[r["node"]] = r["split"][:2], r["split"][2:]
@@ -517,35 +544,44 @@ class Spread:
 
     def fit(self, s: Settings):
         """(mean, trees).  Predictions are carried from round to round as a persisted
-        table, written to the checkpoint folder every CHECKPOINT_ROUNDS."""
+        table, which the first step of a round fills, written to the checkpoint folder
+        every CHECKPOINT_ROUNDS."""
         ensure_checkpoint_dir(self.rows.sparkSession)
         n, total, low, high = self.rows.agg(F.count(F.lit(1)), F.sum("y"), F.min("y"), F.max("y")).first()
         mean = total / n if n else 0.0
         unit = unit_of(n, max(abs((low or 0.0) - mean), abs((high or 0.0) - mean)))
-        state = self.rows.select("h", "y", "codes", F.lit(mean).alias("pred")).persist(StorageLevel.MEMORY_AND_DISK)
+        state, before = self._packed(n, mean).persist(StorageLevel.MEMORY_AND_DISK), None
         trees = []
         try:
             for r in range(s.rounds):
                 tree, steps = Tree(s), []
                 root = tree.add(np.zeros((1, 2)), 0)
                 total, splits = self._splits(state, tree, [], root, s, r, unit)
+                if before is not None:
+                    before.unpersist()
                 tree.total[root] = total
                 tree.set_splits(root, splits)
                 while (nodes := tree.wanted()).size:
                     kids = tree.expand(nodes)
                     steps.append(nodes)
-                    tree.set_splits(kids, self._splits(state, tree, steps, kids, s, r, unit)[1])
+                    # a node of too few rows, or at the last level, cannot split
+                    may = (tree.total[kids, 1] >= 2 * s.min_rows) & (tree.depth[kids] < (s.max_depth if s.max_depth is not None else np.inf))
+                    splits = np.zeros((len(kids), 8))
+                    if may.any():
+                        splits[may] = self._splits(state, tree, steps, kids[may], s, r, unit)[1]
+                    tree.set_splits(kids, splits)
                 trees.append(tree.table())
+                if r + 1 == s.rounds:
+                    break
                 before, state = state, self._moved(state, tree, steps).persist(StorageLevel.MEMORY_AND_DISK)
                 if (r + 1) % CHECKPOINT_ROUNDS == 0:
                     kept = state.checkpoint()
                     state.unpersist()
                     state = kept.persist(StorageLevel.MEMORY_AND_DISK)
-                else:
-                    state.count()
-                before.unpersist()
         finally:
-            state.unpersist()
+            for table in (before, state):
+                if table is not None:
+                    table.unpersist()
         return mean, trees
 
     def _moved(self, state: DataFrame, tree: Tree, steps: list[np.ndarray]) -> DataFrame:
@@ -553,11 +589,13 @@ class Spread:
 
         def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                _, _, pred, codes = _arrays(b, features)
-                at = np.zeros(len(pred), np.int64)
-                for nodes in steps:
-                    route(at, codes, tree, nodes)
-                yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), b.column("codes"), pa.array(pred + values[at])], ["h", "y", "codes", "pred"])
+                after = []
+                for _, y, pred, codes in _chunks([b], features):
+                    at = np.zeros(len(y), np.int64)
+                    for nodes in steps:
+                        route(at, codes, tree, nodes)
+                    after.append((pred + values[at]).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), b.column("codes"), pa.array(after, pa.binary())], ["h", "y", "codes", "pred"])
         return state.mapInArrow(move, STATE)
 
 

@@ -169,3 +169,25 @@ def test_spaces_are_drawn_without_repeats():
         drawn = B.draw_settings(space, n, base)
         assert len(set(drawn)) == n == len(drawn) and drawn == B.draw_settings(space, n, base)
     assert len(B.draw_settings({"rounds": [1, 2]}, 10, B.Settings())) == 2
+
+
+def test_histograms_sum_by_node_and_bin():
+    r = np.random.default_rng(3)
+    lay = B.Layout(["a", "b"], [[1.0, 2.0], [1.0, 2.0, 3.0]])
+    codes = np.stack([r.integers(0, 3, 500), r.integers(0, 4, 500)], 1).astype(np.uint8)
+    grad, node = r.integers(-9, 9, 500).astype(float), r.integers(0, 5, 500)
+    g, n = B.histograms(codes, lay.at, grad, node, 5)
+    for k in range(5):
+        for f in range(2):
+            for c in range(len(lay.cuts[f]) + 1):
+                here = (node == k) & (codes[:, f] == c)
+                assert g[k, lay.at[f] + c] == grad[here].sum() and n[k, lay.at[f] + c] == here.sum()
+
+
+def test_a_distributed_round_takes_no_step_beyond_its_last_level(spark, table, monkeypatch):
+    """A tree of two levels asks for the sums of its root and of the root's children only."""
+    lay, binned = B._prepared(table, FEATURES, "y", False, "appointmentId")
+    asked, splits = [], B.Spread._splits
+    monkeypatch.setattr(B.Spread, "_splits", lambda *a: asked.append(len(a[4])) or splits(*a))
+    B.Spread(binned, lay).fit(replace(B.DEPTHWISE, rounds=2, max_depth=2))
+    assert asked == [1, 2, 1, 2]
