@@ -11,6 +11,8 @@ failing the job.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from gearlens.functions import bands as BD
 from gearlens.functions.timefx import parse_time
 from gearlens.operators.profile import fences
 from gearlens.plans.model import PREDICTION
+from gearlens.session import shared_folder
 
 
 def _q(c: str) -> str:
@@ -127,7 +130,11 @@ def residual_outliers(feats: DataFrame, model: PipelineModel, label: str = S.TAR
     pred = model.transform(feats.where(F.col(label).isNotNull()))
     res = pred.select(key, F.col(label).alias("rating"), F.col(PREDICTION).alias("prediction"),
                       F.abs(F.col(label) - F.col(PREDICTION)).alias("residual"))
-    f = fences(res, "residual", k)   # its passes keep a narrow projection cached only while they run
+    # the quartiles and the result read it: derived and scored once
+    path = f"{shared_folder(feats.sparkSession, 'residuals')}/{uuid.uuid4().hex}"
+    res.write.parquet(path)
+    res = feats.sparkSession.read.parquet(path)
+    f = fences(res, "residual", k)
     if f is None:
         return res.limit(0)
     lo, hi = f

@@ -131,3 +131,14 @@ def test_read_write_dispatch(spark, tmp_path):
     assert alt.count() == 2
     with pytest.raises(Exception):
         IO.read_inspections(spark, str(tmp_path / "missing.csv")).count()
+
+
+def test_residuals_are_scored_once(spark, tmp_path):
+    """Quartiles and result read one staged table of residuals."""
+    rows = spark.range(200).select(F.col("id").alias(S.KEY), (F.col("id") * 300.0).alias("odometer_reading"),
+                                   F.when(F.col("id") % 50 == 0, 0.0).otherwise(5.0 - F.col("id") / 100.0).alias(S.TARGET))
+    model = ML.train(rows, ["odometer_reading"], "decision_tree", maxDepth=2)
+    got = SC.residual_outliers(rows, model)
+    assert got.count() == 4 and {r[S.KEY] % 50 for r in got.collect()} == {0}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "parquet" in plan
