@@ -873,6 +873,22 @@ def _split_features(spark, sf_dir):
         rows.unpersist()
 
 
+@contextmanager
+def _kept_inspections(spark, sf_dir):
+    """Within it the inspections are derived once, whoever reads them: the vocabulary,
+    the fit and the requests.  They are kept on disk, as the fit needs the memory, and
+    in the partitions of their join, so a fit samples the same rows as from the join."""
+    insp = inspections(spark, sf_dir)
+    if insp.storageLevel.useDisk:       # a caller keeps them
+        yield
+        return
+    insp.persist(StorageLevel.DISK_ONLY)
+    try:
+        yield
+    finally:
+        insp.unpersist()
+
+
 def _service_features(spark, sf_dir):
     """Features whose flags are the ones that scoring requests set."""
     key = (sf_dir, spark.sparkContext.applicationId)
@@ -884,10 +900,11 @@ def _service_features(spark, sf_dir):
 def _model(spark, sf_dir):
     key = (sf_dir, spark.sparkContext.applicationId)
     if key not in _MODEL_CACHE:
-        ff = _service_features(spark, sf_dir)
-        # train and validation rows as one range of buckets: one derivation, no union
-        fit, _ = ML.split(ff.df, weights=(0.80, 0.20))
-        m = ML.train(fit, ff.features, "boosted", int_target=True)
+        with _kept_inspections(spark, sf_dir):
+            ff = _service_features(spark, sf_dir)
+            # train and validation rows as one range of buckets: one derivation, no union
+            fit, _ = ML.split(ff.df, weights=(0.80, 0.20))
+            m = ML.train(fit, ff.features, "boosted", int_target=True)
         _MODEL_CACHE[key] = (m, ff.features)
     return _MODEL_CACHE[key]
 
@@ -958,9 +975,10 @@ def q_residual_outliers(spark, sf_dir):
 def q_score_stream(spark, sf_dir):
     from gearlens.session import shared_folder
     from gearlens.streaming.score_stream import run_to_completion, score_stream
-    m, cols = _model(spark, sf_dir)
     run = shared_folder(spark, f"score-stream-{uuid.uuid4().hex}")
-    _requests(spark, sf_dir).write.mode("overwrite").json(f"{run}/in")
+    with _kept_inspections(spark, sf_dir):
+        m, cols = _model(spark, sf_dir)
+        _requests(spark, sf_dir).write.mode("overwrite").json(f"{run}/in")
     qs = score_stream(spark, f"{run}/in", f"{run}/out", m, cols, checkpoint=f"{run}/ck")
     run_to_completion(qs)
     return spark.read.parquet(f"{run}/out/scored").drop("batch")

@@ -28,7 +28,7 @@ from gearlens.plans import booster as BO
 from gearlens.plans import model as ML
 from gearlens.plans import pipelines as PL
 from gearlens.plans import score as SC
-from gearlens.plans.catalog import (_FUEL_OF, _PRIORITIES, _SQL_BUCKET, _TREND_FEATURES, _TREND_LONG, _anova_sql, _kw_sql, _requests,
+from gearlens.plans.catalog import (_FUEL_OF, _PRIORITIES, _SQL_BUCKET, _TREND_FEATURES, _TREND_LONG, _anova_sql, _kept_inspections, _kw_sql, _requests,
                                     _service_features, _spearman_sql, iso_ts, r6, register)
 from gearlens.session import shared_folder
 from gearlens.sources import io as IO
@@ -319,9 +319,10 @@ def q_stump_saved_model(spark, sf_dir):
 @register("stump_score_stream", _SCORED)
 def q_stump_score_stream(spark, sf_dir):
     run = _scratch(spark, "stump-stream")
-    with _service_rows(spark, sf_dir) as rows:
-        m = _stump(rows, "decision_tree")
-    _requests(spark, sf_dir).write.json(f"{run}/in")
+    with _kept_inspections(spark, sf_dir):
+        with _service_rows(spark, sf_dir) as rows:
+            m = _stump(rows, "decision_tree")
+        _requests(spark, sf_dir).write.json(f"{run}/in")
     run_to_completion(score_stream(spark, f"{run}/in", f"{run}/out", m, FLAGS, checkpoint=f"{run}/ck"))
     return _scored(spark.read.parquet(f"{run}/out/scored"))
 

@@ -104,10 +104,34 @@ def score_requests(req: DataFrame, model: PipelineModel, columns,
     good = feats.where(F.col("reject_reason").isNull())
     bad = reject_records(req)
     pred = model.transform(good.drop("reject_reason", "__time_text", "__odo_text", "__odo"))
-    clamped = BD.clamp(F.col(PREDICTION))
-    scored = pred.select("request_id", F.col(PREDICTION).alias("raw_prediction"),
-                         clamped.alias("prediction"), BD.grade_threshold(clamped).alias("rating_text"))
-    return scored, bad
+    return _graded(pred, PREDICTION), bad
+
+
+def _graded(pred: DataFrame, raw: str) -> DataFrame:
+    clamped = BD.clamp(F.col(raw))
+    return pred.select("request_id", F.col(raw).alias("raw_prediction"),
+                       clamped.alias("prediction"), BD.grade_threshold(clamped).alias("rating_text"))
+
+
+def answer_requests(req: DataFrame, model: PipelineModel, columns, year_month_default: int = 0) -> DataFrame:
+    """M10 as one row per record, for callers that keep a batch to split it: the raw
+    prediction of a good record, the reason and raw fields of a rejected one (see
+    :func:`split_answers`).  Fields are parsed once and no map is carried along.
+    The model also sees rejected records, with 0 for what could not be read."""
+    feats = request_features(req, columns, year_month_default)
+    known = [F.coalesce(F.col(_q(c)), F.lit(0.0)).alias(c) for c in columns]
+    pred = model.transform(feats.select("request_id", "reject_reason", "__time_text", "__odo_text", *known))
+    bad = F.col("reject_reason").isNotNull()
+    return pred.select("request_id", "reject_reason", F.when(~bad, F.col(PREDICTION)).alias("raw_prediction"),
+                       F.when(bad, F.col("__time_text")).alias("inspectionStartTime"),
+                       F.when(bad, F.col("__odo_text")).alias("odometer_reading"))
+
+
+def split_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scored, rejected) of :func:`answer_requests`, as :func:`score_requests` gives them."""
+    bad = F.col("reject_reason").isNotNull()
+    return (_graded(answers.where(~bad), "raw_prediction"),
+            answers.where(bad).select("request_id", "inspectionStartTime", "odometer_reading", "reject_reason"))
 
 
 def degradation(req: DataFrame, model: PipelineModel, columns, step: int = S.DEGRADATION_STEP_KM,

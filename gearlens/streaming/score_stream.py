@@ -2,7 +2,8 @@
 
 ``readStream`` of JSON request files with the fixed request schema, and the same
 stateless projection and model as batch scoring (M10).  Every micro-batch is read
-once and split into scored records and rejected ones with their reason.  Each part
+and scored once; its answers, a few narrow columns, are kept while they are split
+into scored records and rejected ones with their reason.  Each part
 is written to the folder of its batch number, in place of what an interrupted
 attempt left there, so a restart between the two writes loses and repeats nothing.
 No state, no watermark: every record is scored on its own.
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from gearlens import schema as S
-from gearlens.plans.score import score_requests
+from gearlens.plans.score import answer_requests, split_answers
 from gearlens.session import shared_folder
 
 
@@ -33,12 +34,12 @@ def score_stream(spark: SparkSession, in_path: str, out_path: str, model: Pipeli
     out = out_path.rstrip("/")
 
     def split(batch: DataFrame, number: int) -> None:
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        answers = answer_requests(batch, model, columns).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            for name, frame in zip(("scored", "rejected"), score_requests(batch, model, columns)):
+            for name, frame in zip(("scored", "rejected"), split_answers(answers)):
                 frame.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
         finally:
-            batch.unpersist()
+            answers.unpersist()
 
     ck = (checkpoint or shared_folder(spark, "score-stream")).rstrip("/")
     w = reader.json(in_path).writeStream.foreachBatch(split).option("checkpointLocation", ck)

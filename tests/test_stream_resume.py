@@ -68,3 +68,52 @@ def test_restart_between_the_two_writes(spark, tmp_path, monkeypatch):
     run_to_completion(score_stream(spark, inp, out, model, ["odometer_reading"], checkpoint=ck))
     assert sorted(r.request_id for r in spark.read.parquet(f"{out}/scored").collect()) == sorted(["late", *[f"r{i}" for i in range(12) if i % 3]])
     assert sorted(r.request_id for r in spark.read.parquet(f"{out}/rejected").collect()) == sorted(f"r{i}" for i in range(12) if i % 3 == 0)
+
+
+def test_a_batch_keeps_its_answers_only(spark, tmp_path, monkeypatch):
+    """A micro-batch is scored once and what is kept of it holds no map and no feature;
+    both parts are those of batch scoring."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    train = spark.range(200).select((F.col("id") * 300.0).alias("odometer_reading"), (F.lit(5.0) - F.col("id") / 100.0).alias(S.TARGET))
+    model = ML.train(train, ["odometer_reading"], "boosted", maxIter=2)
+    inp, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [{"request_id": f"r{i}" if i else None, "inspectionStartTime": "2019-01-02T08:00" if i % 5 else "x", "fuel_type": "Petrol",
+             "odometer_reading": 1000 * i if i % 7 else None, "diagnostics": {"clutch_hard": True}} for i in range(40)]
+    _write(inp, "part-1.json", rows)
+    kept, persist = [], DataFrame.persist
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *args: kept.append(self.columns) or persist(self, *args))
+    run_to_completion(score_stream(spark, inp, out, model, ["odometer_reading"], checkpoint=str(tmp_path / "ck")))
+    assert kept == [["request_id", "reject_reason", "raw_prediction", "inspectionStartTime", "odometer_reading"]]
+    for name, want in zip(("scored", "rejected"), score_requests(read_requests(spark, inp), model, ["odometer_reading"])):
+        got = spark.read.parquet(f"{out}/{name}").drop("batch")
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 0
+
+
+def test_query_derives_the_inspections_once(spark, tmp_path, monkeypatch):
+    """Vocabulary, fit and requests of the registered query read one derivation."""
+    import __spark_entry__ as E
+    from gearlens.plans import catalog
+    derived = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            derived.add(b.num_rows)
+            yield b
+
+    sf, n, day = str(tmp_path), 120, F.expr("timestamp'2020-01-01 08:00:00' + make_dt_interval(id)")
+    spark.range(n).select(F.col("id").alias("o_orderkey"), F.element_at(F.array(F.lit("F"), F.lit("O")), (F.col("id") % 2 + 1).cast("int")).alias("o_orderstatus"),
+                          (F.col("id") * 100.5).alias("o_totalprice"), day.alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority")).write.parquet(f"{sf}/orders.parquet")
+    spark.range(n - 20).select(F.col("id").alias("event_id"), day.alias("ts"), F.format_string('{"k": %d}', F.col("id") % 100).alias("props")).write.parquet(f"{sf}/events.parquet")
+    spark.range(3 * n).select((F.col("id") % n).alias("l_orderkey"), (F.col("id") / n + 1).cast("int").alias("l_linenumber"),
+                              F.element_at(F.array(F.lit("R"), F.lit("A"), F.lit("N")), (F.col("id") % 7 % 3 + 1).cast("int")).alias("l_returnflag"),
+                              F.lit("O").alias("l_linestatus")).write.parquet(f"{sf}/lineitem.parquet")
+    insp = catalog.inspections(spark, sf)
+    insp = insp.mapInArrow(counted, insp.schema)
+    for name in ("_MODEL_CACHE", "_FRAME_CACHE"):
+        monkeypatch.setattr(catalog, name, {})
+    monkeypatch.setattr(catalog, "inspections", lambda *_: insp)
+    scored = E.queries()["score_stream"](spark, sf)
+    # rows without an event have no time, ids 0 and 97 no odometer
+    assert scored.count() == n - 20 - 2 and derived.value == n
+    assert not insp.storageLevel.useDisk
