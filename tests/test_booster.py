@@ -191,3 +191,33 @@ def test_a_distributed_round_takes_no_step_beyond_its_last_level(spark, table, m
     monkeypatch.setattr(B.Spread, "_splits", lambda *a: asked.append(len(a[4])) or splits(*a))
     B.Spread(binned, lay).fit(replace(B.DEPTHWISE, rounds=2, max_depth=2))
     assert asked == [1, 2, 1, 2]
+
+
+def test_a_distributed_fit_leaves_no_plan_a_step_in_the_driver(spark, table, monkeypatch):
+    """More rounds run no more queries: a step's plan held those of all tables before it, and filled the driver."""
+    lay, binned = B._prepared(table, FEATURES, "y", False, "appointmentId")
+    ran, frame = [], type(binned)
+    for name in ("collect", "checkpoint", "persist"):
+        monkeypatch.setattr(frame, name, lambda self, *a, f=getattr(frame, name), **b: ran.append(1) or f(self, *a, **b))
+    queries = {}
+    for rounds in (2, 6):
+        ran.clear()
+        assert len(B.Spread(binned, lay).fit(replace(B.DEPTHWISE, rounds=rounds, max_depth=2))[1]) == rounds
+        queries[rounds] = len(ran)
+    assert queries[2] == queries[6]
+
+
+def test_rows_descend_to_the_wanted_nodes_only():
+    """Walking a part of a tree finds the rows that routing step by step puts there."""
+    r = np.random.default_rng(5)
+    codes = r.integers(0, 9, (400, 3)).astype(np.uint8)
+    lay = B.Layout(["a", "b", "c"], [list(range(1, 9))] * 3)
+    held = B.Held(lay, np.arange(400), r.normal(0, 1, 400), np.zeros(400, int), codes)
+    tree, at = held.grow(np.rint(r.normal(0, 99, 400)), np.ones(400, bool), B.Settings(num_leaves=None, min_rows=3), 0)
+    leaves = np.flatnonzero(tree.left[:tree.size] < 0)
+    for wanted in (leaves, leaves[::3]):
+        ends = np.where(tree.left[:tree.size] < 0, -2, -1)
+        ends[wanted] = wanted
+        rows_, node = B.descend(codes, tree.down(), ends)
+        got = dict(zip(rows_.tolist(), node.tolist()))
+        assert got == {i: n for i, n in enumerate(at.tolist()) if n in set(wanted.tolist())}
