@@ -221,3 +221,37 @@ def test_rows_descend_to_the_wanted_nodes_only():
         rows_, node = B.descend(codes, tree.down(), ends)
         got = dict(zip(rows_.tolist(), node.tolist()))
         assert got == {i: n for i, n in enumerate(at.tolist()) if n in set(wanted.tolist())}
+
+
+def test_features_summed_together_have_their_own_sums():
+    """Narrow features share one histogram of their combinations; every tree, node and bin gets the same sums."""
+    r = np.random.default_rng(7)
+    n, sizes = 3000, [3, 200, 4, 3, 2, 3]
+    codes = np.stack([r.integers(0, k, n) for k in sizes], 1).astype(np.uint8)
+    lay = B.Layout(list("abcdef"), [list(range(1, k)) for k in sizes])
+    held = B.Held(lay, np.arange(n), np.zeros(n), np.zeros(n, int), codes)
+    assert [len(of) for of, _, _ in held.together] == [5, 1] and held.together[0][2].shape[1] == 216
+    rows_, grad = np.flatnonzero(r.random(n) < 0.7), r.integers(-99, 99, n).astype(float)
+    for features in (range(6), [0, 1, 3], [1], [4]):
+        part = lay.part(list(features))
+        for nodes in (1, 4, 100):
+            node = r.integers(0, nodes, len(rows_))
+            got = held._histograms(part, rows_, grad[rows_], node, nodes)
+            want = B.histograms(codes[rows_][:, list(features)], part.at, grad[rows_], node, nodes)
+            assert all((a == b).all() for a, b in zip(got, want))
+
+
+def test_rows_are_moved_block_by_block(monkeypatch):
+    """A held fit does not depend on the rows taken at once, and only features that may split are searched."""
+    r = np.random.default_rng(8)
+    codes = r.integers(0, 9, (700, 4)).astype(np.uint8)
+    lay = B.Layout(list("abcd"), [list(range(1, 9))] * 4)
+    s = B.Settings(rounds=4, num_leaves=None, max_depth=9, min_rows=1, subsample=0.7, colsample_bytree=0.8, colsample_bylevel=0.5)
+    y = codes[:, 0] - 2.0 * (codes[:, 1] == 0) + r.normal(0, 1, 700)
+    fits = []
+    for block in (B.BLOCK, 64):
+        monkeypatch.setattr(B, "BLOCK", block)
+        fits.append(B.Held(lay, np.arange(700), y, np.arange(700) % 3, codes).fit(s, np.arange(700) % 3 == 1, [2, 4]))
+    assert fits[0] == fits[1]
+    for number, tree in enumerate(fits[0][1]):
+        assert {t[6] for t in tree if t[6] >= 0} <= set(B.tree_features(4, s, number))
